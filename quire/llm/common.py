@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +43,54 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+class Shared:
+    """Whole small files in the shared folder, read and written from Python on any node.
+
+    ``file:`` paths are opened as they are (the folder is mounted everywhere); other schemes go through
+    pyarrow's file systems. A file appears under its name only when it is complete, so a task that is run
+    again, or twice at once, leaves the same file.
+    """
+
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+        if "://" not in root or root.startswith("file:"):
+            self.fs, self.base = pyarrow.fs.LocalFileSystem(), re.sub("^file:/*", "/", self.root)
+        else:
+            self.fs, self.base = pyarrow.fs.FileSystem.from_uri(self.root)
+
+    def path(self, name: str) -> str:
+        return f"{self.base}/{name}"
+
+    def put(self, name: str, parts) -> int:
+        """Writes the byte strings of ``parts`` one after the other; gives their total length."""
+        final, size = self.path(name), 0
+        self.fs.create_dir(final.rpartition("/")[0], recursive=True)
+        draft = f"{final}.{uuid.uuid4().hex}.part"
+        with self.fs.open_output_stream(draft) as out:
+            for part in parts:
+                out.write(part)
+                size += len(part)
+        self.fs.move(draft, final)
+        return size
+
+    def open(self, name: str):
+        return self.fs.open_input_file(self.path(name))
+
+    def get(self, name: str) -> bytes | None:
+        """The file's bytes, or None if there is no such file."""
+        if self.fs.get_file_info(self.path(name)).type != pyarrow.fs.FileType.File:
+            return None
+        with self.open(name) as f:
+            return f.read()
+
+    def remove_dir(self, name: str) -> None:
+        if self.fs.get_file_info(self.path(name)).type == pyarrow.fs.FileType.Directory:
+            self.fs.delete_dir(self.path(name))
+
+
+def drop_dead_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete shuffle files that no DataFrame in use refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()

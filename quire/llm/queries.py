@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from .pii import op1_pii
 from .secrets import op7_secret_scan
+from .simhash import op8_simhash
+from .substring import op5_substring_dedup
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op5_substring_dedup": op5_substring_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_simhash": op8_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
