@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from .pii import op1_pii
 from .secrets import op7_secret_scan
+from .sharding import op9_shard
 from .simhash import op8_simhash
 from .substring import op5_substring_dedup
+from .warc import op3_warc
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op3_warc": op3_warc,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash": op8_simhash,
+    "op9_shard": op9_shard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
