@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .bpe import op4_bpe
 from .pii import op1_pii
 from .secrets import op7_secret_scan
 from .sharding import op9_shard
@@ -12,6 +13,7 @@ from .warc import op3_warc
 QUERIES = {
     "op1_pii": op1_pii,
     "op3_warc": op3_warc,
+    "op4_bpe": op4_bpe,
     "op5_substring_dedup": op5_substring_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash": op8_simhash,
