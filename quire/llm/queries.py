@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .ann import op10_ann
 from .bpe import op4_bpe
+from .decontam import op2_decontaminate
+from .langid import op6_language
 from .pii import op1_pii
 from .secrets import op7_secret_scan
 from .sharding import op9_shard
@@ -12,12 +15,15 @@ from .warc import op3_warc
 
 QUERIES = {
     "op1_pii": op1_pii,
+    "op2_decontaminate": op2_decontaminate,
     "op3_warc": op3_warc,
     "op4_bpe": op4_bpe,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_language": op6_language,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash": op8_simhash,
     "op9_shard": op9_shard,
+    "op10_ann": op10_ann,
 }
 
 ORACLE_SQL: dict[str, str] = {}

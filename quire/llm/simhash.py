@@ -52,12 +52,18 @@ def fingerprint(text: str | None, shingle: int) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): the signed 64-bit fingerprint of every whole text; null counts as empty."""
 
+    return docs.select("doc_id", "text").mapInArrow(_print_rows(shingle), "doc_id long, fp long")
+
+
+def _print_rows(shingle: int):
+    """Replaces the last column, a text, by its fingerprint."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(batch.num_columns - 1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64))], [*batch.schema.names[:-1], "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return run
 
 
 def _block_masks(n: int, radius: int) -> list[tuple[int, int]]:
@@ -151,6 +157,22 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp")
 
 
+def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
+    """One row of ``docs``, as it is, for each component: the smallest doc_id (null last), then the smaller hash of the text."""
+    marked = docs.withColumn("_text", F.xxhash64("text"))
+    prints = written(marked.select("doc_id", "_text", "text").mapInArrow(_print_rows(shingle), "doc_id long, _text long, fp long"), "simhash-rows")
+    roots = connected_components(links(prints, radius))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_text")).alias("first")
+    classes = prints.groupBy("fp").agg(first)
+    kept = (
+        classes.join(roots, classes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root"))
+        .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._text").alias("_own"))
+    )
+    kept = written(kept, "simhash-kept")
+    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_own")), "left_semi")
+    return out.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document, at four words and four bits."""
     out = near_duplicates(table(spark, sf_dir, "documents"), 4, 4)
