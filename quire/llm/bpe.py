@@ -28,7 +28,7 @@ from .common import table, text_or_empty, written
 #: Distinct pieces that are broadcast at most, bytes of each at most, and pieces that a worker remembers besides.
 PIECES, PIECE_BYTES, REMEMBERED = 262_144, 48, 400_000
 #: Slots of the literal rank map.
-SLOTS = 65_536
+SLOTS = 16_384
 _NONE = 2**31 - 1
 #: The characters of White_Space, which ``\\s`` stands for in the pattern's own engine, as a character class in Java and Python.
 _WHITE = r"\x09-\x0d \x85\xa0  -     　"
@@ -103,26 +103,38 @@ def rank_map(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
 
 
 def fold_merges(piece: Column, ranks: dict[bytes, int]) -> Column:
-    """array<int>: tokens of a binary column, by folding one merge after the other over its parts."""
-    rank = rank_map(ranks)
-    size = F.length(piece)
+    """array<int>: tokens of a binary column, by folding one merge after the other over its parts.
+
+    The state holds the parts, their tokens (a merged part's token is the rank of its pair) and the ranks of
+    adjacent pairs. The literal map stands in the expression twice: for the first pairs, and in the step.
+    A piece that is a token as a whole isn't looked up as such.
+    """
+    rank, size = rank_map(ranks), F.length(piece)
+    ints, blobs = F.array().cast("array<int>"), F.array().cast("array<binary>")
+    byte = F.from_json(F.lit(json.dumps([ranks[bytes([k])] for k in range(256)])), "array<int>")
     parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(piece, i, F.lit(1)))
-    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(piece, i, F.lit(2))))).otherwise(F.array().cast("array<int>"))
+    ids = F.transform(parts, lambda p: byte[F.conv(F.hex(p), 16, 10).cast("int")])
+    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(piece, i, F.lit(2))))).otherwise(ints)
 
     def step(acc: Column, _: Column) -> Column:
         parts, pairs, least = acc["parts"], acc["pairs"], acc["least"]
         i = F.array_position(pairs, least).cast("int")
         one = F.concat(F.get(parts, i - 1), F.get(parts, i))
-        left = F.when(i > 1, F.array(rank(F.concat(F.get(parts, i - 2), one)))).otherwise(F.array().cast("array<int>"))
-        right = F.when(i + 1 < F.size(parts), F.array(rank(F.concat(one, F.get(parts, i + 1))))).otherwise(F.array().cast("array<int>"))
-        new_pairs = F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(pairs, i + 2, F.size(pairs)))
-        new_parts = F.concat(F.slice(parts, F.lit(1), i - 1), F.array(one), F.slice(parts, i + 2, F.size(parts)))
-        merged = F.struct(new_parts.alias("parts"), new_pairs.alias("pairs"), F.coalesce(F.array_min(new_pairs), F.lit(_NONE)).alias("least"))
-        return F.when(least == _NONE, acc).otherwise(merged)
+        left = F.when(i > 1, F.array(F.concat(F.get(parts, i - 2), one))).otherwise(blobs)
+        right = F.when(i + 1 < F.size(parts), F.array(F.concat(one, F.get(parts, i + 1)))).otherwise(blobs)
+        new_pairs = F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), F.transform(F.concat(left, right), rank), F.slice(pairs, i + 2, F.size(pairs)))
+        rest = lambda array, new: F.concat(F.slice(array, F.lit(1), i - 1), F.array(new), F.slice(array, i + 2, F.size(array)))
+        merged = F.struct(rest(parts, one).alias("parts"), rest(acc["ids"], least).alias("ids"), new_pairs.alias("pairs"))
+        return F.when(least == _NONE, acc).otherwise(_with_least(merged))
+
+    turns = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(ints)
+    return F.aggregate(turns, _with_least(F.struct(parts.alias("parts"), ids.alias("ids"), pairs.alias("pairs"))), step, lambda acc: acc["ids"])
+
 
-    start = F.struct(parts.alias("parts"), pairs.alias("pairs"), F.coalesce(F.array_min(pairs), F.lit(_NONE)).alias("least"))
-    folded = F.aggregate(F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(F.array().cast("array<int>")), start, step, lambda acc: F.transform(acc["parts"], rank))
-    return F.when(rank(piece) != _NONE, F.array(rank(piece))).otherwise(folded)
+def _with_least(state: Column) -> Column:
+    """The state with its lowest rank; one lambda, so that the state's expression stands there once."""
+    done = F.transform(F.array(state), lambda s: F.struct(s["parts"].alias("parts"), s["ids"].alias("ids"), s["pairs"].alias("pairs"), F.coalesce(F.array_min(s["pairs"]), F.lit(_NONE)).alias("least")))
+    return F.get(done, F.lit(0))
 
 
 def frequent_pieces(docs: DataFrame, limit: int = PIECES) -> DataFrame:
@@ -152,7 +164,9 @@ class Encoder:
         pieces, ids = known.column(0).to_pylist(), known.column(1).combine_chunks()
         packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
         ends = np.cumsum(np.r_[0, ids.value_lengths().to_numpy(zero_copy_only=False)]) * 4 if len(ids) else [0]
-        self.sent = docs.sparkSession.sparkContext.broadcast((pieces, [packed[a:b] for a, b in zip(ends[:-1], ends[1:])], self.ranks))
+        # A piece that is a token is that token, as in the tokenizer's own encoder.
+        tokens = [packed[a:b] if (whole := self.ranks.get(p.encode())) is None else whole.to_bytes(4, "little") for p, a, b in zip(pieces, ends[:-1], ends[1:])]
+        self.sent = docs.sparkSession.sparkContext.broadcast((pieces, tokens, self.ranks))
 
     def apply(self, docs: DataFrame, emit: Callable[[bytes, list[bytes]], tuple], schema: dict[str, str]) -> DataFrame:
         """doc_id and the columns of ``emit(tokens as little-endian unsigned 32-bit integers, token bytes by id)`` for every document."""
