@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import Shared, drop_dead_shuffles, shared_dir, table, written
 
 WINDOW = 20
-#: Windows that a task packs at once, and that a bucket gets from the whole corpus at about.
-BLOCK, PER_BUCKET = 1_000_000, 2_000_000
+#: Windows that a task packs at once, and that a bucket gets from the whole corpus at about; buckets at least.
+BLOCK, PER_BUCKET, MIN_BUCKETS = 1_000_000, 4_000_000, 64
 #: Runs that are compacted into one.
 FANOUT = 3
 #: Parts, by doc_id, in which the query feeds the corpus to the index.
@@ -249,7 +249,7 @@ def digest_batches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     cuts, size = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000), F.sum(F.octet_length("text"))).first()
-    buckets = max(16, (size or 0) // 6 // PER_BUCKET)
+    buckets = max(MIN_BUCKETS, (size or 0) // 6 // PER_BUCKET)
     index = WindowIndex(spark, shared_dir(spark, "substring-index"), buckets, window, fanout)
     cuts = sorted(set(cuts or []))
     parts = []
