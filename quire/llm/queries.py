@@ -6,6 +6,7 @@ from .ann import op10_ann
 from .bpe import op4_bpe
 from .decontam import op2_decontaminate
 from .langid import op6_language
+from .oracles import ORACLE_SQL
 from .pii import op1_pii
 from .secrets import op7_secret_scan
 from .sharding import op9_shard
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_ann": op10_ann,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -26,9 +26,9 @@ BASE = (
 #: Published token formats beyond the base rules.
 EXTRA = (
     ("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", None),
-    ("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", None),
-    ("github", r"(?<![A-Za-z0-9_])gh[pousr]_[A-Za-z0-9]{36,}+", None),
-    ("slack", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+", None),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", None),
+    ("github", r"gh[pousr]_[A-Za-z0-9]{36,}+", None),
+    ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+", None),
 )
 EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing
 

@@ -13,6 +13,7 @@ would have to look at all pairs; hence the buckets.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -29,26 +30,54 @@ from .components import connected_components
 BLOCKS, BUCKET = 6, 16
 #: Shingles hashed at once, which bounds memory for very long texts.
 SLICE = 65_536
-PIVOTS = np.random.default_rng(20).integers(0, 2**64, 16, dtype=np.uint64)
+PIVOTS = np.random.default_rng(20).integers(0, 2**64, (16, 1), dtype=np.uint64)
 
+#: For similarity rather than a radius: words of 64 bits, bits of a sampled key at least, chance that a pair at the threshold shares a key.
+LANES, KEY_BITS, RECALL = 4, 18, 0.85
+WIDE_PIVOTS = np.random.default_rng(22).integers(0, 2**64, (4, LANES), dtype=np.uint64)
 
-def fingerprint(text: str | None, shingle: int) -> int:
-    """64 bits; each is set where it is set in over half the shingles' XXH64 (seed 42). No words: 0."""
+
+def _shingle_hashes(text: str | None, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of every word shingle, a slice at a time; of the whole sequence if it is shorter; none without words."""
     words = (text or "").encode().lower().split()  # bytes: lowers A-Z only, splits at 0x20 and 0x09-0x0D only
     if not words:
-        return 0
+        return
     joined, sizes = b" ".join(words), np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     k = min(shingle, len(words))
     starts, ends, n = starts[: len(words) - k + 1], ends[k - 1 :], len(words) - k + 1
-    ones, hash_of = np.zeros(64, np.int64), xxhash.xxh64_intdigest
+    hash_of = xxhash.xxh64_intdigest
     for at in range(0, n, SLICE):
-        h = np.array([hash_of(joined[a:b], 42) for a, b in zip(starts[at : at + SLICE].tolist(), ends[at : at + SLICE].tolist())], np.uint64)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        yield np.array([hash_of(joined[a:b], 42) for a, b in zip(starts[at : at + SLICE].tolist(), ends[at : at + SLICE].tolist())], np.uint64)
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def fingerprint(text: str | None, shingle: int) -> int:
+    """64 bits; each is set where it is set in over half the shingles' hashes. No words: 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in _shingle_hashes(text, shingle):
+        ones, n = ones + _ones(h), n + len(h)
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
+    """LANES words of 64 bits, each made as ``fingerprint`` is, from the hashes mixed anew."""
+    ones, n = np.zeros((LANES, 64), np.int64), 0
+    for h in _shingle_hashes(text, shingle):
+        for lane in range(LANES):
+            x = h + np.uint64(0x9E3779B97F4A7C15 * (lane + 1) % 2**64)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            ones[lane] += _ones(x ^ (x >> np.uint64(31)))
+        n += len(h)
+    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): the signed 64-bit fingerprint of every whole text; null counts as empty."""
 
@@ -76,28 +105,79 @@ def _block_masks(n: int, radius: int) -> list[tuple[int, int]]:
     return [(k, sum(c)) for k, c in enumerate(combinations(single, blocks - radius))]
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of rows of lanes."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
+
+
+def _pivot_rows(fps: np.ndarray, pivots: np.ndarray = PIVOTS) -> np.ndarray:
+    """Rows of the pivot table: distances of each fingerprint (n, lanes) to every pivot (p, lanes)."""
+    return np.stack([_apart(fps, p) for p in pivots], axis=1).astype(np.int16) if len(fps) else np.empty((0, len(pivots)), np.int16)
+
+
 def _forest(fps: np.ndarray, rows: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Spanning forest of the links among ``fps``; rows: their rows of the pivot table."""
+    """Spanning forest of the links among fingerprints (n, lanes); rows: their rows of the pivot table."""
     left, edges = np.arange(len(fps)), []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.ones(len(left), bool)
+            where = np.arange(len(left))
             for p in range(0, rows.shape[1], 4):  # a few coordinates at a time, on what is left
-                where = np.flatnonzero(near)
-                near[where] = (np.abs(rows[left[where], p : p + 4] - rows[at, p : p + 4]) <= radius).all(axis=1)
-            where = np.flatnonzero(near)
-            near[where] = np.bitwise_count(fps[left[where]] ^ fps[at]) <= radius
-            found = left[near]
+                where = where[(np.abs(rows[left[where], p : p + 4] - rows[at, p : p + 4]) <= radius).all(axis=1)]
+            where = where[_apart(fps[left[where]], fps[at]) <= radius]
+            found = left[where]
             edges += [(at, x) for x in found]
             queue += found.tolist()
-            left = left[~near]
+            left = np.delete(left, where)
     return edges
 
 
-def _pivot_rows(fps: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
+def _bucket_edges(names: np.ndarray, fps: np.ndarray, first: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of linked rows of each bucket; ``first`` has the place where each bucket begins."""
+    size = np.diff(np.r_[first, len(names)])
+    two = first[size == 2]
+    two = two[(np.abs(_pivot_rows(fps[two], pivots) - _pivot_rows(fps[two + 1], pivots)) <= radius).all(axis=1)]
+    two = two[_apart(fps[two], fps[two + 1]) <= radius]
+    a, b = [names[two]], [names[two + 1]]
+    for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
+        own = fps[at : at + n]
+        if found := _forest(own, _pivot_rows(own, pivots), radius):
+            x = np.array(found) + at
+            a.append(names[x[:, 0]])
+            b.append(names[x[:, 1]])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _in_buckets(dealt: DataFrame, lanes: list[str], name: str, radius: int, pivots: np.ndarray) -> DataFrame:
+    """(a, b): links within the buckets (t, bits) of rows with a name and lanes. Rows stream through in the order of their bucket."""
+    columns = ["t", "bits", name, *[c for c in lanes if c != name]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+
+        def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
+            t, bits, names = cols[:3]
+            first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (bits[1:] != bits[:-1])])
+            by_name = dict(zip(columns, cols))
+            fps = np.stack([by_name[c] for c in lanes], axis=1).view(np.uint64)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in _bucket_edges(names, fps, first, radius, pivots)], ["a", "b"])
+
+        for batch in batches:  # the last bucket of a batch may go on in the next
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if kept is not None:
+                cols = [np.concatenate(pair) for pair in zip(kept, cols)]
+            if not len(cols[0]):
+                continue
+            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
+            if last:
+                yield edges([c[:last] for c in cols])
+            kept = [c[last:] for c in cols]
+        if kept is not None:
+            yield edges(kept)
+
+    return dealt.select(columns).repartition("t", "bits").sortWithinPartitions("t", "bits").mapInArrow(run, "a long, b long").distinct()
 
 
 def links(prints: DataFrame, radius: int = 4) -> DataFrame:
@@ -108,38 +188,7 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     keys = F.array(*[F.struct(F.lit(k).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for k, m in masks])
     dealt = prints.select("fp", F.explode(keys).alias("key")).select("key.t", "key.bits", "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-
-        def edges(t, bits, fp) -> pa.RecordBatch:
-            new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (bits[1:] != bits[:-1])])
-            size = np.diff(np.r_[new, len(t)])
-            fp = fp.view(np.uint64)
-            two = new[size == 2]
-            rows_a, rows_b = _pivot_rows(fp[two]), _pivot_rows(fp[two + 1])
-            two = two[(np.abs(rows_a - rows_b) <= radius).all(axis=1)]
-            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-            a, b = [fp[two]], [fp[two + 1]]
-            for at, n in zip(new[size > 2].tolist(), size[size > 2].tolist()):
-                own = fp[at : at + n]
-                if found := _forest(own, _pivot_rows(own), radius):
-                    x = np.array(found)
-                    a.append(own[x[:, 0]])
-                    b.append(own[x[:, 1]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (a, b)], ["a", "b"])
-
-        for batch in batches:  # sorted by key; the last key of a batch may go on in the next
-            t, bits, fp = (np.concatenate([*k, c.to_numpy(zero_copy_only=False)]) for k, c in zip(zip(*kept) if kept else ((), (), ()), batch.columns))
-            if not len(t):
-                continue
-            last = len(t) - int(np.argmin(((t == t[-1]) & (bits == bits[-1]))[::-1])) if not ((t == t[0]) & (bits == bits[0])).all() else 0
-            if last:
-                yield edges(t[:last], bits[:last], fp[:last])
-            kept = [(t[last:], bits[last:], fp[last:])]
-        if kept:
-            yield edges(*kept[0])
-
-    return dealt.repartition("t", "bits").sortWithinPartitions("t", "bits").mapInArrow(run, "a long, b long").distinct()
+    return _in_buckets(dealt, ["fp"], "fp", radius, PIVOTS)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -157,15 +206,60 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp")
 
 
-def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """One row of ``docs``, as it is, for each component: the smallest doc_id (null last), then the smaller hash of the text."""
+def share_of_bits(similarity: float) -> float:
+    """Expected share of differing SimHash bits of two texts, of about one length, whose shingle sets have this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def similar_links(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """(a, b): links between rows (node, w0, w1, ...) whose wide fingerprints are about as near as that similarity makes them.
+
+    A radius of dozens of bits can't be split into blocks, so candidates share one of several keys of sampled bits, as
+    many as give a pair at the threshold RECALL; nearer pairs are found almost surely. Links are verified on all bits.
+    """
+    n, apart = wide.count(), share_of_bits(similarity)
+    bits = max(KEY_BITS, math.ceil(math.log2(max(n, 2))) - 1)
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - apart) ** bits))
+    width = 64 * LANES
+    radius = int(width * apart + math.sqrt(width * apart * (1 - apart)))  # one deviation beyond what is expected
+    pick = np.stack([np.random.default_rng(1000 + t).choice(width, bits, replace=False) for t in range(tables)])
+    weight = (1 << np.arange(bits)).astype(np.int64)
+    lanes = [f"w{k}" for k in range(LANES)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                on = np.unpackbits(np.ascontiguousarray(np.stack(cols[1:], axis=1)).view(np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
+                keys = np.stack([on[:, p].astype(np.int64) @ weight for p in pick], axis=1)
+                t = np.tile(np.arange(tables, dtype=np.int16), batch.num_rows)
+                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(keys.ravel()), *[pa.array(np.repeat(c, tables)) for c in cols]], ["t", "bits", "node", *lanes])
+
+    schema = ", ".join(["t short", "bits long", "node long", *(f"{w} long" for w in lanes)])
+    return _in_buckets(wide.select("node", *lanes).mapInArrow(deal, schema), lanes, "node", radius, WIDE_PIVOTS)
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row of ``docs``, as it is, of each group of texts that are similar: the smallest doc_id (null last), then the smaller hash of the text.
+
+    Similar: ``similarity`` or more of the word shingles, by wide fingerprints. Texts without words are one group.
+    """
     marked = docs.withColumn("_text", F.xxhash64("text"))
-    prints = written(marked.select("doc_id", "_text", "text").mapInArrow(_print_rows(shingle), "doc_id long, _text long, fp long"), "simhash-rows")
-    roots = connected_components(links(prints, radius))
+    lanes = [f"w{k}" for k in range(LANES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = np.stack([wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)]).view(np.int64) if batch.num_rows else np.empty((0, LANES), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(wide[:, k]) for k in range(LANES)]], ["doc_id", "_text", *lanes])
+
+    schema = "doc_id long, _text long, " + ", ".join(f"{w} long" for w in lanes)
+    prints = written(marked.select("doc_id", "_text", "text").mapInArrow(run, schema).withColumn("node", F.xxhash64(*lanes)), "simhash-rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_text")).alias("first")
-    classes = prints.groupBy("fp").agg(first)
+    classes = written(prints.groupBy("node", *lanes).agg(first), "simhash-classes")
+    roots = connected_components(similar_links(classes, similarity)).withColumnRenamed("node", "_node")
     kept = (
-        classes.join(roots, classes.fp == roots.node, "left").groupBy(F.coalesce("root", "fp").alias("root"))
+        classes.join(roots, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root"))
         .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._text").alias("_own"))
     )
     kept = written(kept, "simhash-kept")
