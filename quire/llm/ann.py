@@ -74,9 +74,9 @@ def nearest(x: np.ndarray, c: np.ndarray, with_distance: bool = False):
 class Index:
     """Coarse centroids, codebooks, and how many lists to probe; fitted on a bounded sample."""
 
-    def __init__(self, sample: np.ndarray, n: int):
+    def __init__(self, ids: np.ndarray, sample: np.ndarray, n: int):
         dim = sample.shape[1]
-        self.dim, self.parts = dim, min(PARTS, dim)
+        self.dim, self.parts, self.ids, self.sample = dim, min(PARTS, dim), ids, sample
         self.coarse = kmeans(sample, max(1, min(LISTS, n // PER_LIST, len(sample) // 8)))
         self.cuts = np.linspace(0, dim, self.parts + 1).astype(int)
         residual = sample - self.coarse[nearest(sample, self.coarse)]
@@ -103,6 +103,23 @@ class Index:
             out += tables[:, k][:, codes[:, k]]
         return out
 
+    def pinned(self, ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query, ids and exact scores of its k nearest rows of the sample, itself left out, best first.
+
+        They are real candidates, so the k-th of them bounds what is worth passing on from the lists.
+        """
+        take = min(k + 1, len(self.sample))
+        for at in range(0, len(q), 256):
+            rough = q[at : at + 256] @ self.sample.T
+            near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
+            for r, rows in enumerate(near):
+                edge = rough[r, rows].min() - 1e-9
+                rows = rows if take == len(self.sample) else np.flatnonzero(rough[r] >= edge)  # with all that tie
+                rows = rows[self.ids[rows] != ids[at + r]]
+                exact = (self.sample[rows] * q[at + r]).sum(1)
+                best = np.lexsort((self.ids[rows], -exact))[:k]
+                yield self.ids[rows[best]], exact[best]
+
     def _probes(self, sample: np.ndarray, k: int = 20) -> int:
         """The fewest lists that reach AIM on the sample, with a tenth more for what the sample doesn't show."""
         lists, pick = nearest(sample, self.coarse), np.random.default_rng(1).choice(len(sample), min(TRIALS, len(sample)), replace=False)
@@ -129,7 +146,7 @@ def fit(vectors: DataFrame, n: int) -> Index | None:
     if not rows.num_rows:
         return None
     rows = rows.sort_by("vec_id")  # the order of arrival doesn't matter
-    return Index(_matrix(rows.column("v")), n)
+    return Index(rows.column("vec_id").to_numpy(), _matrix(rows.column("v")), n)
 
 
 def build(vectors: DataFrame, index: Index) -> DataFrame:
@@ -168,10 +185,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             count = np.minimum(np.maximum(index.probes, enough), len(index.coarse))
             rows = np.repeat(np.arange(len(q)), count)
             lists = np.concatenate([o[:c] for o, c in zip(order, count)]) if len(q) else np.empty(0, int)
-            whole = pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows))], ["list", "query_id", "q"])
+            least = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in index.pinned(batch.column(0).to_numpy(), q, k)])[rows] if len(q) else np.empty(0)
+            whole = pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(least)], ["list", "query_id", "q", "least"])
             yield from (whole.slice(at, 8192) for at in range(0, max(whole.num_rows, 1), 8192))
 
-    routed = written(queries.select("vec_id", "v").mapInArrow(route, "list int, query_id long, q array<double>"), "ann-queries")
+    def pin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_numpy()
+            found = list(sent.value[0].pinned(own, _matrix(batch.column(1)), k)) if len(own) else []
+            count = [len(i) for i, _ in found]
+            join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, count)), pa.array(join([i for i, _ in found], np.int64)), pa.array(join([s for _, s in found], float))], ["query_id", "vec_id", "score"])
+
+    routed = written(queries.select("vec_id", "v").mapInArrow(route, "list int, query_id long, q array<double>, least double"), "ann-queries")
     asked = {r.list: r.n for r in routed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     parts = [(i, max(1, -(-sizes.get(i, 0) // BLOCK)), max(1, -(-asked.get(i, 0) // QUERIES))) for i in range(len(index.coarse))]
     of_list = lambda: F.broadcast(spark.createDataFrame(parts, "list int, v_parts int, q_parts int"))  # noqa: E731  a row for each list
@@ -182,7 +208,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     def meet(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         index, number = sent.value[0], key[0].as_py()
         left = left.sort_by("vec_id")
-        ids, v, qids, q = left.column("vec_id").to_numpy(), _matrix(left.column("v")), right.column("query_id").to_numpy(), _matrix(right.column("q"))
+        ids, v, qids, q, least = left.column("vec_id").to_numpy(), _matrix(left.column("v")), right.column("query_id").to_numpy(), _matrix(right.column("q")), right.column("least").to_numpy()
         if not len(ids) or not len(qids):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
@@ -199,6 +225,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
                 rows = np.r_[over, tied[: take - len(over)]]
                 rows = rows[ids[rows] != own[r]]
                 exact = (v[rows] * some[r]).sum(1)
+                rows, exact = rows[exact >= least[at + r]], exact[exact >= least[at + r]]  # others can't be among the k nearest
                 best = np.lexsort((ids[rows], -exact))[:k]
                 out_q.append(np.full(len(best), own[r]))
                 out_v.append(ids[rows[best]])
@@ -209,7 +236,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         stored.groupBy("list", "vp", "qp").cogroup(asking.groupBy("list", "vp", "qp"))
         .applyInArrow(meet, "query_id long, vec_id long, score double")
     )
-    # At most k rows from each block, so a query's rows are bounded by its probes.
+    # At most k rows from each block, and none below what the k-th nearest of the sample has; that sample's k rows besides.
+    near = near.unionByName(queries.select("vec_id", "v").mapInArrow(pin, "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
