@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import sample_of_groups
@@ -33,8 +33,7 @@ def block_report(blocks: DataFrame, keys: list[str], samples: int = 5, preview:
 def round_trip_report(pairs: DataFrame, level: str) -> DataFrame:
     """(line): a Markdown table of how many formulas came back at each level, with shares."""
     counts = pairs.groupBy(F.col(level).alias("level")).agg(F.count("*").alias("n"))
-    total = pairs.agg(F.count("*").alias("total"))
-    rows = counts.join(F.broadcast(total), F.lit(True))  # one row each
+    rows = counts.withColumn("total", F.sum("n").over(Window.partitionBy()))  # a row for each level, four at most
     return rows.select(F.format_string("| %s | %d | %.1f %% |", "level", "n", 100.0 * F.col("n") / F.col("total")).alias("line"))
 
 
