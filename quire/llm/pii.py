@@ -71,26 +71,28 @@ def _entity(b: Column) -> Column:
 
 
 def term_spans(docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(_text_id, _terms): the disclosing terms of each text that has any, as spans by start.
+    """(__quire_text_id, __quire_terms): the disclosing terms of each text that has any, as spans by start.
 
-    ``docs`` has text (no nulls), _base (its base spans) and _text_id. All counts are over all documents;
+    ``docs`` has text (no nulls), __quire_base (its base spans) and __quire_text_id. All counts are over all documents;
     ``support`` asks for distinct texts, so copies alone never make a term disclosing.
     """
     n = docs.count()
-    private = docs.filter(F.size("_base") > 0).groupBy("_text_id").agg(F.count("*").alias("copies"), F.any_value("text").alias("text"), F.any_value("_base").alias("_base"))
-    words = find_spans(F.col("text"), "term", len(BASE), _TERM)
-    clear = F.filter(words, lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    near = written(
-        private.select("_text_id", "copies", "_base", clear.alias("words"))
-        .select("_text_id", "copies", "words", F.explode("_base").alias("b"))
-        .select("_text_id", "copies", _entity(F.col("b")).alias("entity"), F.explode(F.filter("words", lambda w: (w["end"] >= F.col("b.start") - window) & (w["start"] <= F.col("b.end") + window))).alias("w"))
-        .select("_text_id", "copies", "entity", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end")),
-        "pii-near",
+    private = docs.filter(F.size("__quire_base") > 0).groupBy("__quire_text_id").agg(F.count("*").alias("copies"), F.any_value("text").alias("text"), F.any_value("__quire_base").alias("__quire_base"))
+    # Only the text around each entity is searched; a word that the cut may have shortened doesn't count.
+    begin = F.greatest(F.col("b.start") - window, F.lit(0))
+    around = (
+        private.select("__quire_text_id", "copies", "text", F.explode("__quire_base").alias("b"), F.transform("__quire_base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("all"))
+        .select("__quire_text_id", "copies", "all", _entity(F.col("b")).alias("entity"), begin.alias("begin"), F.length("text").alias("size"), F.expr(f"substring(text, greatest(b.start - {window}, 0) + 1, b.end + {window} - greatest(b.start - {window}, 0))").alias("part"))
     )
-    once = near.select("_text_id", "copies", "entity", "term").distinct()
+    placed = F.transform(find_spans(F.col("part"), "term", len(BASE), _TERM), lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + F.col("begin")).alias("start"), (w["end"] + F.col("begin")).alias("end")))
+    stop = F.col("begin") + F.length("part")
+    whole = F.filter(placed, lambda w: ((w["start"] > F.col("begin")) | (F.col("begin") == 0)) & ((w["end"] < stop) | (stop == F.col("size"))))
+    clear = F.filter(whole, lambda w: ~F.exists("all", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    near = written(around.select("__quire_text_id", "copies", "entity", F.explode(clear).alias("w")).select("__quire_text_id", "copies", "entity", "w.term", "w.start", "w.end"), "pii-near")
+    once = near.select("__quire_text_id", "copies", "entity", "term").distinct()
     pairs = once.groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
     entities = (
-        private.select("copies", F.explode(F.array_distinct(F.transform("_base", _entity))).alias("entity"))
+        private.select("copies", F.explode(F.array_distinct(F.transform("__quire_base", _entity))).alias("entity"))
         .groupBy("entity").agg(F.sum("copies").alias("n_c"))
     )
     terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
@@ -104,21 +106,21 @@ def term_spans(docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLO
     )
     span = F.struct(F.lit("term").alias("kind"), F.lit(len(BASE)).alias("rank"), F.col("start"), F.col("end"), F.col("term").alias("value"))
     by_place = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"])
-    return near.join(told, ["entity", "term"], "left_semi").groupBy("_text_id").agg(F.array_sort(F.collect_set(span), by_place).alias("_terms"))
+    return near.join(told, ["entity", "term"], "left_semi").groupBy("__quire_text_id").agg(F.array_sort(F.collect_set(span), by_place).alias("__quire_terms"))
 
 
 def find(docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """``docs`` with _base (entities by pattern) and _terms (disclosing terms). Null texts count as empty; rows are kept as they are."""
-    found = docs.withColumn("_text_id", F.sha2(text_or_empty(), 256)).withColumn("_base", base_spans(text_or_empty()))
-    told = term_spans(found.select(text_or_empty().alias("text"), "_base", "_text_id"), window, disclosure, support)
-    return found.join(told, "_text_id", "left").withColumn("_terms", F.coalesce("_terms", no_spans()))
+    """``docs`` with __quire_base (entities by pattern) and __quire_terms (disclosing terms). Null texts count as empty; rows are kept as they are."""
+    found = docs.withColumn("__quire_text_id", F.sha2(text_or_empty(), 256)).withColumn("__quire_base", base_spans(text_or_empty()))
+    told = term_spans(found.select(text_or_empty().alias("text"), "__quire_base", "__quire_text_id"), window, disclosure, support)
+    return found.join(told, "__quire_text_id", "left").withColumn("__quire_terms", F.coalesce("__quire_terms", no_spans()))
 
 
 def sanitise(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with entities generalised to ``[KIND]`` and disclosing terms removed. Null texts stay null; n_chars follows the text."""
     columns = docs.columns
     label = lambda kind: F.when(kind == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
-    out = find(docs, **parameters).withColumn("text", masked(F.col("text"), F.concat("_base", "_terms"), label))
+    out = find(docs, **parameters).withColumn("text", masked(F.col("text"), F.concat("__quire_base", "__quire_terms"), label))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*columns)
@@ -128,11 +130,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of the base patterns, and all spans (base, then disclosing terms)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     base = base_spans(text_or_empty())
-    keyed = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("_text_id"), base.alias("_base"))
-    told = term_spans(docs.select(text_or_empty().alias("text"), base.alias("_base"), F.sha2(text_or_empty(), 256).alias("_text_id")))
-    return keyed.join(told, "_text_id", "left").select(
+    keyed = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("__quire_text_id"), base.alias("__quire_base"))
+    told = term_spans(docs.select(text_or_empty().alias("text"), base.alias("__quire_base"), F.sha2(text_or_empty(), 256).alias("__quire_text_id")))
+    return keyed.join(told, "__quire_text_id", "left").select(
         "doc_id",
-        *[count_kind(F.col("_base"), kind).alias(f"n_{kind}") for kind, *_ in BASE],
-        F.sha2(joined(F.col("_base")), 256).alias("base_sha256"),
-        joined(F.concat("_base", F.coalesce("_terms", no_spans()))).alias("spans"),
+        *[count_kind(F.col("__quire_base"), kind).alias(f"n_{kind}") for kind, *_ in BASE],
+        F.sha2(joined(F.col("__quire_base")), 256).alias("base_sha256"),
+        joined(F.concat("__quire_base", F.coalesce("__quire_terms", no_spans()))).alias("spans"),
     )
