@@ -71,23 +71,23 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def findings(docs: DataFrame, ledger_path: str | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """``docs`` with columns _blob, _base and _extra: the spans found in each text, from the ledger.
+    """``docs`` with columns __quire_blob, __quire_base and __quire_extra: the spans found in each text, from the ledger.
 
     Rows are kept as they are, repeated ones too; a text without findings has empty lists.
     """
     spark = docs.sparkSession
     found = scan(docs, ledger_path or shared_dir(spark, "ledger"), rule_version)
     none = F.array().cast(found.schema["base"].dataType)
-    right = found.select(F.col("blob").alias("_blob"), F.col("base").alias("_base"), F.col("extra").alias("_extra"))
-    joined_ = docs.withColumn("_blob", F.sha2(text_or_empty(), 256)).join(right, "_blob", "left")
-    return joined_.withColumns({"_base": F.coalesce("_base", none), "_extra": F.coalesce("_extra", none)})
+    right = found.select(F.col("blob").alias("__quire_blob"), F.col("base").alias("__quire_base"), F.col("extra").alias("__quire_extra"))
+    joined_ = docs.withColumn("__quire_blob", F.sha2(text_or_empty(), 256)).join(right, "__quire_blob", "left")
+    return joined_.withColumns({"__quire_base": F.coalesce("__quire_base", none), "__quire_extra": F.coalesce("__quire_extra", none)})
 
 
 def redact(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
     """``docs`` with every secret replaced by ``[SECRET:kind]`` and n_chars, if there, brought up to date. Null texts stay null."""
     columns = docs.columns
     out = findings(docs, ledger_path)
-    text = masked(F.col("text"), F.concat("_base", "_extra"), lambda kind: F.concat(F.lit("[SECRET:"), kind, F.lit("]")))
+    text = masked(F.col("text"), F.concat("__quire_base", "__quire_extra"), lambda kind: F.concat(F.lit("[SECRET:"), kind, F.lit("]")))
     out = out.withColumn("text", text)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
@@ -100,7 +100,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = findings(docs)
     return out.select(
         "doc_id",
-        *[count_kind(F.col("_base"), kind).alias(f"n_{kind}") for kind, _, _ in BASE],
-        F.sha2(joined(F.col("_base")), 256).alias("base_sha256"),
-        joined(F.concat("_base", "_extra")).alias("spans"),
+        *[count_kind(F.col("__quire_base"), kind).alias(f"n_{kind}") for kind, _, _ in BASE],
+        F.sha2(joined(F.col("__quire_base")), 256).alias("base_sha256"),
+        joined(F.concat("__quire_base", "__quire_extra")).alias("spans"),
     )

@@ -245,26 +245,26 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
 
     Similar: ``similarity`` or more of the word shingles, by wide fingerprints. Texts without words are one group.
     """
-    marked = docs.withColumn("_text", F.xxhash64("text"))
+    marked = docs.withColumn("__quire_text", F.xxhash64("text"))
     lanes = [f"w{k}" for k in range(LANES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wide = np.stack([wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)]).view(np.int64) if batch.num_rows else np.empty((0, LANES), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(wide[:, k]) for k in range(LANES)]], ["doc_id", "_text", *lanes])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(wide[:, k]) for k in range(LANES)]], ["doc_id", "__quire_text", *lanes])
 
-    schema = "doc_id long, _text long, " + ", ".join(f"{w} long" for w in lanes)
-    prints = written(marked.select("doc_id", "_text", "text").mapInArrow(run, schema).withColumn("node", F.xxhash64(*lanes)), "simhash-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "_text")).alias("first")
+    schema = "doc_id long, __quire_text long, " + ", ".join(f"{w} long" for w in lanes)
+    prints = written(marked.select("doc_id", "__quire_text", "text").mapInArrow(run, schema).withColumn("node", F.xxhash64(*lanes)), "simhash-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__quire_text")).alias("first")
     classes = written(prints.groupBy("node", *lanes).agg(first), "simhash-classes")
     roots = connected_components(similar_links(classes, similarity)).withColumnRenamed("node", "_node")
     kept = (
         classes.join(roots, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root"))
-        .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_id"), F.col("first._text").alias("_own"))
+        .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__quire_id"), F.col("first.__quire_text").alias("__quire_own"))
     )
     kept = written(kept, "simhash-kept")
-    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_own")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (F.col("__quire_text") == F.col("__quire_own")), "left_semi")
+    return out.dropDuplicates(["doc_id", "__quire_text"]).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

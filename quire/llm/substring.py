@@ -213,7 +213,7 @@ def covered(n_words: int, starts: list[bytes], window: int = WINDOW) -> np.ndarr
 
 def _kept(docs: DataFrame, repeats: DataFrame, window: int, emit, schema: str) -> DataFrame:
     """Applies ``emit(row's words, kept words)`` to each document; ``docs`` may have any columns besides doc_id and text."""
-    starts = repeats.groupBy("doc_id").agg(F.collect_list("starts").alias("_starts")).withColumnRenamed("doc_id", "_id")
+    starts = repeats.groupBy("doc_id").agg(F.collect_list("starts").alias("__quire_starts")).withColumnRenamed("doc_id", "__quire_id")
     names = ["doc_id", *schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +226,7 @@ def _kept(docs: DataFrame, repeats: DataFrame, window: int, emit, schema: str) -
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{c: pa.array([r[k] for r in rows], kind) for k, (c, kind) in enumerate(schema.items())}}).select(names)
 
     sql = {pa.int64(): "long", pa.string(): "string"}
-    joined = docs.select("doc_id", "text").join(starts, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("_id"), "left").select("doc_id", "text", "_starts")
+    joined = docs.select("doc_id", "text").join(starts, F.coalesce("doc_id", F.lit(_NO_ID)) == F.col("__quire_id"), "left").select("doc_id", "text", "__quire_starts")
     return joined.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} {sql[k]}" for c, k in schema.items()))
 
 

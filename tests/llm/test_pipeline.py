@@ -104,3 +104,23 @@ def test_odd_rows_pass_every_stage(spark, tmp_path):
     assert kept.filter("doc_id is null").count() == 1
     empty = sf_dir_of(spark, tmp_path / "e", documents=docs.limit(0), benchmark=bench.limit(0))
     assert corpus_pipeline.run(spark, empty).count() == 0
+
+
+def test_extra_columns_with_clashing_names_pass_through(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quire.llm import decontam, langid, pii, secrets, simhash
+
+    names = ["_text", "_id", "_base", "_terms", "blob", "fp", "root", "node", "w0", "t", "bits", "kind", "start", "term", "score", "lang_pred"]
+    docs = spark.createDataFrame([(1, "a fine text password=abcdefgh1", "en", "s", 30), (2, "mail a@b.org for the other text", "en", "s", 31), (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(f"v-{n}").alias(n) for n in names])
+    bench = spark.createDataFrame([(1, "an item that no document here holds at all", "x")], "item_id long, text string, doc_id string")
+    for out in (secrets.redact(docs), pii.sanitise(docs), simhash.keep_one(docs), decontam.decontaminate(docs, bench), langid.keep_identified(docs, langid.train(langid.teaching(docs)))):
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[n] == f"v-{n}" for n in names)
+    path = sf_dir_of(spark, tmp_path, documents=docs, benchmark=bench)
+    from quire.llm.queries import QUERIES
+
+    for name in ("op1_pii", "op2_decontaminate", "op4_bpe", "op5_substring_dedup", "op6_language", "op7_secret_scan", "op8_simhash", "op9_shard"):
+        assert QUERIES[name](spark, path).count() == (0 if name == "op2_decontaminate" else 3)
