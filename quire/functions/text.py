@@ -73,3 +73,8 @@ def position_class(y: Column, caption_y: Column) -> Column:
 
 def safe_name(text: Column) -> Column:
     return F.when(text.rlike(r"^[A-Za-z0-9_.-]+$"), text).otherwise(F.regexp_replace(text, "[^A-Za-z0-9_.-]+", "_"))
+
+
+def alignment_name(number: Column) -> Column:
+    """left, center, right or justify; else null."""
+    return F.when(number == 0, "left").when(number == 1, "center").when(number == 2, "right").when(number == 3, "justify")
