@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import latex as L
+from ..functions import omml as M
 from ..operators import ordered as O
 from .lines import lines
 from .registry import query, table
@@ -67,3 +68,13 @@ def k1_s22(spark, sf):
     """Records to JSON and back with an explicit schema, in one plan."""
     d = table(spark, sf, "documents").filter("doc_id % 10 = 0").select(F.to_json(F.struct("doc_id", "lang", "source")).alias("j"))
     return d.select(F.from_json("j", "doc_id long, lang string, source string").alias("r")).select("r.*")
+
+
+@query("p38_formula_round_trip", "select case when doc_id % 5 = 4 then 'failed' else 'exact' end as level, count(*) as n from documents group by 1")
+def p38_g7(spark, sf):
+    """Formulas to Office math and back: how many come back as they were, and how many have no counterpart."""
+    kinds = (r"concat(r'\frac{a_{', doc_id, r'}}{\sqrt{b}}+\alpha^{2}')", r"concat(r'\sum_{i}^{n}', 'x_{', doc_id, '}')", r"concat(r'\left(', doc_id, r'+y\right)')", r"concat(r'\mathbf{v}=\hat{', 'x}', doc_id)", r"concat(r'\unknown{', doc_id, '}')")
+    case = " ".join(f"when {k} then {e}" for k, e in enumerate(kinds))
+    t = table(spark, sf, "documents").select(F.expr(f"case doc_id % 5 {case} end").alias("a"))
+    back = t.select("a", M.latex_of(M.omml_of("a")).alias("b"))
+    return back.select(F.when(F.col("b").isNull(), "failed").otherwise(L.formula_match(F.col("a"), F.col("b"))).alias("level")).groupBy("level").agg(F.count("*").alias("n"))

@@ -160,3 +160,11 @@ def test_event_windows_on_a_stream(spark, sf, tmp_path):
     q.awaitTermination()
     batch = registry.queries()["e1_tumbling_windows"](spark, sf)
     assert spark.sql("select sum(n) from hours").first()[0] == batch.agg(F.sum("n")).first()[0] and spark.table("hours").count() == batch.count()
+
+
+def test_latex_to_omml_and_back():
+    for tex in (r"\frac{a}{b}", r"x_{1}^{2}", r"\sqrt[3]{x+1}", r"\sum_{i}^{n}", r"\left(a+b\right)", r"\bar{x}", r"\overline{x}", r"\underbrace{ab}", r"\mathbf{v}", r"\mathrm{ab}", r"\alpha\leq\beta", r"a\%", r"\left.a\right\|", r"e^{x_{1}}"):
+        assert omml.to_latex(omml.from_latex(tex)) == tex
+    for bad in (r"\foo{x}", "{", "}", "_", r"\frac{a}", r"\left(a", "a^"):
+        assert omml.from_latex(bad) is None
+    assert omml.from_latex(None) is None and omml.to_latex(omml.from_latex("")) == ""
