@@ -7,7 +7,9 @@ narrow candidate, not on the text.
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,44 +64,48 @@ def classify(blocks: DataFrame, keys: list[str]) -> DataFrame:
     marked = sized.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("block_ord")) - 1).withColumn("candidate", candidate())
     centred = F.coalesce(F.col("alignment") == "center", F.lit(False))
     facts = marked.select(
-        *keys, "block_ord", "_n", "candidate", centred.alias("centred"), F.length(text).alias("size"), text.rlike(AFFILIATION).alias("affiliated"),
+        *keys, "block_ord", F.col("_n").alias("n"), "candidate", centred.alias("centred"), F.length(text).alias("size"), text.rlike(AFFILIATION).alias("affiliated"),
         (text.rlike(CORRESPONDENCE) | text.rlike(EMAIL)).alias("mailed"), F.coalesce(F.col("size_pt") < F.col("body_pt"), F.lit(False)).alias("small"),
         (F.col("has_formula") & (F.trim(F.regexp_replace(text, r"\([0-9.-]+\)", "")) == "")).alias("alone"), (F.col("has_formula") & (F.length(text) < 100) & text.rlike(r"\([0-9.-]+\)")).alias("numbered"),
         ((F.coalesce(F.col("indent_pt"), F.lit(0.0)) > 0) | (F.length(text) > 50) | F.col("has_cite") | F.col("has_formula")).alias("solid"),
     )
-    kinds = dict(blocks.dtypes)
+    kinds, width = dict(blocks.dtypes), len(keys)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("n")
-        out, before = [], None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, before = None, None
         inside = title = authors_done = False
-        for r in group.itertuples(index=False):
-            kind = r.candidate
-            if kind in ("heading", "keywords"):
-                inside = False
-            elif kind == "abstract":
-                inside = True
-            elif kind == "open":
-                if before == "abstract_label" or inside:
-                    kind, inside = "abstract", True
-                elif r.n < 5 and r.centred and r.size > 5 and not title:
-                    kind, title = "title", True
-                elif title and not authors_done and r.n < 15 and r.centred and 1 < r.size < 100 and not r.affiliated:
-                    kind = "author"
-                elif r.mailed:
-                    kind = "correspondence"
-                elif r.affiliated and (r.centred or r.small and r.size < 200):
-                    kind, authors_done = "affiliation", True
-                else:
-                    if title and not r.centred and r.n < 15:
-                        authors_done = True
-                    kind = "display_formula" if r.alone or r.numbered else "body" if r.solid else "unknown"
-            out.append(kind)
-            before = kind
-        return group[[*keys, "block_ord"]].assign(semantic_type=out)
-
-    narrow = facts.withColumnRenamed("_n", "n").groupBy(*keys)
-    types = narrow.applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "block_ord"]) + ", semantic_type string")
+        for batch in batches:  # a partition's rows by document and place; a document may go on in the next batch
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:width] != document:
+                    document, before = row[:width], None
+                    inside = title = authors_done = False
+                _, n, kind, centred, size, affiliated, mailed, small, alone, numbered, solid = row[width:]
+                if kind in ("heading", "keywords"):
+                    inside = False
+                elif kind == "abstract":
+                    inside = True
+                elif kind == "open":
+                    if before == "abstract_label" or inside:
+                        kind, inside = "abstract", True
+                    elif n < 5 and centred and size > 5 and not title:
+                        kind, title = "title", True
+                    elif title and not authors_done and n < 15 and centred and 1 < size < 100 and not affiliated:
+                        kind = "author"
+                    elif mailed:
+                        kind = "correspondence"
+                    elif affiliated and (centred or small and size < 200):
+                        kind, authors_done = "affiliation", True
+                    else:
+                        if title and not centred and n < 15:
+                            authors_done = True
+                        kind = "display_formula" if alone or numbered else "body" if solid else "unknown"
+                out.append(kind)
+                before = kind
+            yield pa.RecordBatch.from_arrays([*batch.columns[: width + 1], pa.array(out, pa.string())], [*keys, "block_ord", "semantic_type"])
+
+    in_order = facts.repartition(*keys).sortWithinPartitions(*keys, "n")
+    types = in_order.mapInArrow(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "block_ord"]) + ", semantic_type string")
     return blocks.join(types, [*keys, "block_ord"])
 
 
