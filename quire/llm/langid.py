@@ -12,6 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,21 +68,23 @@ def features(text: str | None) -> np.ndarray | None:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
-    """Weights, the last for a constant, of a linear machine with squared hinge loss; y is 1 or -1. Accelerated gradient."""
-    x = np.c_[x, np.ones(len(x), np.float32)]
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)  # classes weigh the same
+    """Weights of a linear machine with squared hinge loss, by accelerated gradient; y is 1, -1, or 0 for rows that don't count.
+
+    The last column of x is the constant 1. Rows stay where they are, so no part of x is copied.
+    """
+    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), np.where(y < 0, 0.5 / max(1, (y < 0).sum()), 0)).astype(np.float32)  # classes weigh the same
     w = v = np.zeros(x.shape[1], np.float32)
     rate = 1 / (2 * 2 + penalty)
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - rate * (penalty * v - 2 * x.T @ (weight * y * slack))
+        new = v - rate * (penalty * v - 2 * ((weight * y * slack) @ x))
         v = new + k / (k + 3) * (new - w)
         w = new
     return w
 
 
 class Model:
-    """Families with a machine each (one against the rest), and a machine for each pair of languages of a family."""
+    """Families with a machine each (one against the rest), and a machine for each pair of languages of a family. The last column of x is 1."""
 
     def __init__(self, langs: list[str], x: np.ndarray):
         family = np.array([_FAMILY_OF.get(lang, lang) for lang in langs])
@@ -93,8 +96,7 @@ class Model:
         self.inner = {}
         for f in self.families:
             for a, b in combinations(self.members[f], 2):
-                rows = (names == a) | (names == b)
-                self.inner[a, b] = train_svm(x[rows], side(names[rows] == a))
+                self.inner[a, b] = train_svm(x, np.where(names == a, 1, np.where(names == b, -1, 0)).astype(np.float32))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score: the family's share, by softmax of margins, times the mean sigmoid of the winner's margins."""
@@ -127,7 +129,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
     counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
-        return Model([], np.empty((0, SLOTS), np.float32))
+        return Model([], np.empty((0, SLOTS + 1), np.float32))
     each = sample // len(counts)
     share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, each / r.n))])
     luck = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
@@ -138,9 +140,14 @@ def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) ->
             found = [features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([None if v is None else v.astype(np.float16).tobytes() for v in found], pa.binary())], ["lang", "x"])
 
-    rows = chosen.mapInArrow(run, "lang string, x binary").filter("x is not null").limit(2 * sample).collect()
-    rows = sorted(rows, key=lambda r: (r.lang, bytes(r.x)))  # the order of arrival doesn't matter
-    return Model([r.lang for r in rows], np.stack([np.frombuffer(r.x, np.float16).astype(np.float32) for r in rows]) if rows else np.empty((0, SLOTS), np.float32))
+    rows = chosen.mapInArrow(run, "lang string, x binary").filter("x is not null").limit(2 * sample).toArrow()
+    rows = rows.take(pc.sort_indices(rows, [("lang", "ascending"), ("x", "ascending")]))  # the order of arrival doesn't matter
+    x = np.ones((rows.num_rows, SLOTS + 1), np.float32)
+    for k, v in enumerate(rows.column("x")):
+        x[k, :-1] = np.frombuffer(v.as_buffer(), np.float16)
+    langs = rows.column("lang").to_pylist()
+    del rows
+    return Model(langs, x)
 
 
 def held_out(doc_id):
