@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
+from .common import drop_dead_shuffles, table, text_or_empty, written
 
 #: Distinct pieces that are broadcast at most, bytes of each at most, and pieces that a worker remembers besides.
 PIECES, PIECE_BYTES, REMEMBERED = 262_144, 48, 400_000
@@ -94,47 +94,60 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def rank_map(ranks: dict[bytes, int]) -> Callable[[Column], Column]:
-    """Looks up a binary column in a literal map: an array of small maps by hash, for a map alone is searched from its start."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+    """Looks up a binary column in a literal map, cut by hash into slots of ``;token=rank;`` text.
+
+    One literal of a few strings a slot: a map of maps, as objects, makes the plan that goes to every task ten times larger.
+    """
+    slots = [[""] for _ in range(SLOTS)]
     for token, rank in ranks.items():
-        slots[zlib.crc32(token) % SLOTS][token.hex().upper()] = rank
-    literal = F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<map<string,int>>")  # folded to a constant
-    return lambda token: F.coalesce(literal[(F.crc32(token) % SLOTS).cast("int")][F.hex(token)], F.lit(_NONE))
+        slots[zlib.crc32(token) % SLOTS].append(f"{token.hex().upper()}={rank}")
+    literal = F.split(F.lit(",".join(";".join([*s, ""]) for s in slots)), ",")  # folded to a constant
+
+    def rank(token: Column) -> Column:
+        slot = F.get(literal, (F.crc32(token) % SLOTS).cast("int"))
+        after = F.split_part(slot, F.concat(F.lit(";"), F.hex(token), F.lit("=")), F.lit(2))
+        return F.coalesce(F.split_part(after, F.lit(";"), F.lit(1)).try_cast("int"), F.lit(_NONE))
+
+    return rank
 
 
 def fold_merges(piece: Column, ranks: dict[bytes, int]) -> Column:
     """array<int>: tokens of a binary column, by folding one merge after the other over its parts.
 
-    The state holds the parts, their tokens (a merged part's token is the rank of its pair) and the ranks of
-    adjacent pairs. The literal map stands in the expression twice: for the first pairs, and in the step.
-    A piece that is a token as a whole isn't looked up as such.
+    The state holds the parts, their tokens (a merged part's token is the rank of its pair), the ranks of adjacent
+    pairs, and the pairs that still lack theirs (all at first, then the two beside the last merge) with their place. So the
+    literal map stands in the expression once. A piece that is a token as a whole isn't looked up as such.
     """
     rank, size = rank_map(ranks), F.length(piece)
     ints, blobs = F.array().cast("array<int>"), F.array().cast("array<binary>")
-    byte = F.from_json(F.lit(json.dumps([ranks[bytes([k])] for k in range(256)])), "array<int>")
+    byte = F.split(F.lit(",".join(str(ranks[bytes([k])]) for k in range(256))), ",")
     parts = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(piece, i, F.lit(1)))
-    ids = F.transform(parts, lambda p: byte[F.conv(F.hex(p), 16, 10).cast("int")])
-    pairs = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.substring(piece, i, F.lit(2))))).otherwise(ints)
+    ids = F.transform(parts, lambda p: F.get(byte, F.conv(F.hex(p), 16, 10).cast("int")).cast("int"))
+    todo = F.when(size > 1, F.transform(F.sequence(F.lit(1), size - 1), lambda i: F.substring(piece, i, F.lit(2)))).otherwise(blobs)
 
-    def step(acc: Column, _: Column) -> Column:
-        parts, pairs, least = acc["parts"], acc["pairs"], acc["least"]
+    def ranked(acc: Column) -> Column:
+        pairs, at = acc["pairs"], acc["at"]
+        whole = F.concat(F.slice(pairs, F.lit(1), at - 1), F.transform(acc["todo"], rank), F.slice(pairs, at, F.greatest(F.size(pairs), F.lit(1))))
+        return F.struct(acc["parts"].alias("parts"), acc["ids"].alias("ids"), whole.alias("pairs"))
+
+    def merged(s: Column) -> Column:
+        parts, pairs = s["parts"], s["pairs"]
+        least = F.coalesce(F.array_min(pairs), F.lit(_NONE))
         i = F.array_position(pairs, least).cast("int")
         one = F.concat(F.get(parts, i - 1), F.get(parts, i))
         left = F.when(i > 1, F.array(F.concat(F.get(parts, i - 2), one))).otherwise(blobs)
         right = F.when(i + 1 < F.size(parts), F.array(F.concat(one, F.get(parts, i + 1)))).otherwise(blobs)
-        new_pairs = F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), F.transform(F.concat(left, right), rank), F.slice(pairs, i + 2, F.size(pairs)))
         rest = lambda array, new: F.concat(F.slice(array, F.lit(1), i - 1), F.array(new), F.slice(array, i + 2, F.size(array)))
-        merged = F.struct(rest(parts, one).alias("parts"), rest(acc["ids"], least).alias("ids"), new_pairs.alias("pairs"))
-        return F.when(least == _NONE, acc).otherwise(_with_least(merged))
+        kept = F.concat(F.slice(pairs, F.lit(1), F.greatest(i - 2, F.lit(0))), F.slice(pairs, i + 2, F.size(pairs)))
+        done = _state(parts, s["ids"], pairs, F.lit(1), blobs)
+        return F.when(least == _NONE, done).otherwise(_state(rest(parts, one), rest(s["ids"], least), kept, F.greatest(i - 1, F.lit(1)), F.concat(left, right)))
 
-    turns = F.when(size > 1, F.sequence(F.lit(1), size - 1)).otherwise(ints)
-    return F.aggregate(turns, _with_least(F.struct(parts.alias("parts"), ids.alias("ids"), pairs.alias("pairs"))), step, lambda acc: acc["ids"])
+    step = lambda acc, _: F.get(F.transform(F.transform(F.array(acc), ranked), merged), F.lit(0))
+    return F.aggregate(F.sequence(F.lit(1), size), _state(parts, ids, ints, F.lit(1), todo), step, lambda acc: acc["ids"])
 
 
-def _with_least(state: Column) -> Column:
-    """The state with its lowest rank; one lambda, so that the state's expression stands there once."""
-    done = F.transform(F.array(state), lambda s: F.struct(s["parts"].alias("parts"), s["ids"].alias("ids"), s["pairs"].alias("pairs"), F.coalesce(F.array_min(s["pairs"]), F.lit(_NONE)).alias("least")))
-    return F.get(done, F.lit(0))
+def _state(parts: Column, ids: Column, pairs: Column, at: Column, todo: Column) -> Column:
+    return F.struct(parts.alias("parts"), ids.alias("ids"), pairs.alias("pairs"), at.alias("at"), todo.alias("todo"))
 
 
 def frequent_pieces(docs: DataFrame, limit: int = PIECES) -> DataFrame:
@@ -154,19 +167,43 @@ def frequent_pieces(docs: DataFrame, limit: int = PIECES) -> DataFrame:
     return counts.filter(level >= cut) if cut is not None else counts.limit(0)
 
 
+def _collected(folded: DataFrame) -> pa.Table:
+    """The rows, with the literal map left out of the descriptions that Spark keeps of the plan."""
+    conf, name = folded.sparkSession.conf, "spark.sql.maxPlanStringLength"
+    before = conf.get(name)
+    conf.set(name, "10000")
+    try:
+        return folded.toArrow()
+    finally:
+        conf.set(name, before)
+
+
+def _packed(table: bytes, ranks: dict[bytes, int]) -> dict[str, bytes]:
+    """Piece -> its tokens as little-endian unsigned 32-bit integers. A piece that is a token is that token, as in the tokenizer's own encoder."""
+    rows = pa.ipc.open_stream(table).read_all()
+    ids = rows.column("ids").combine_chunks()
+    packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+    ends = (np.cumsum(np.r_[0, ids.value_lengths().to_numpy(zero_copy_only=False)]) * 4).tolist() if len(ids) else [0]
+    out = {}
+    for piece, a, b in zip(rows.column("piece").to_pylist(), ends[:-1], ends[1:]):
+        whole = ranks.get(piece.encode())
+        out[piece] = packed[a:b] if whole is None else whole.to_bytes(4, "little")
+    return out
+
+
 class Encoder:
     """Frequent pieces with their tokens, and the ranks for the rest; sent to the executors once."""
 
     def __init__(self, docs: DataFrame, path: str = RANKS, limit: int = PIECES):
         self.ranks = load_ranks(path)
         frequent = frequent_pieces(docs, limit).repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism), "piece")
-        known = frequent.select("piece", fold_merges(F.encode("piece", "UTF-8"), self.ranks).alias("ids")).toArrow()  # at most ``limit`` short rows
-        pieces, ids = known.column(0).to_pylist(), known.column(1).combine_chunks()
-        packed = ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-        ends = np.cumsum(np.r_[0, ids.value_lengths().to_numpy(zero_copy_only=False)]) * 4 if len(ids) else [0]
-        # A piece that is a token is that token, as in the tokenizer's own encoder.
-        tokens = [packed[a:b] if (whole := self.ranks.get(p.encode())) is None else whole.to_bytes(4, "little") for p, a, b in zip(pieces, ends[:-1], ends[1:])]
-        self.sent = docs.sparkSession.sparkContext.broadcast((pieces, tokens, self.ranks))
+        folded = frequent.select("piece", fold_merges(F.encode("piece", "UTF-8"), self.ranks).alias("ids"))
+        known = _collected(folded)  # at most ``limit`` short rows
+        with pa.BufferOutputStream() as out:
+            with pa.ipc.new_stream(out, known.schema) as stream:
+                stream.write_table(known)
+            self.sent = docs.sparkSession.sparkContext.broadcast((out.getvalue().to_pybytes(), self.ranks))
+        drop_dead_shuffles(docs.sparkSession)
 
     def apply(self, docs: DataFrame, emit: Callable[[bytes, list[bytes]], tuple], schema: dict[str, str]) -> DataFrame:
         """doc_id and the columns of ``emit(tokens as little-endian unsigned 32-bit integers, token bytes by id)`` for every document."""
@@ -174,8 +211,8 @@ class Encoder:
         kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pieces, packed, ranks = sent.value
-            known, more, split = dict(zip(pieces, packed)), {}, regex.compile(pattern).findall
+            table, ranks = sent.value
+            known, more, split = _packed(table, ranks), {}, regex.compile(pattern).findall
             by_id = [b""] * (max(ranks.values(), default=-1) + 1)
             for token, k in ranks.items():
                 by_id[k] = token
