@@ -196,7 +196,8 @@ class Encoder:
 
     def __init__(self, docs: DataFrame, path: str = RANKS, limit: int = PIECES):
         self.ranks = load_ranks(path)
-        frequent = frequent_pieces(docs, limit).repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism), "piece")
+        # A bounded number of short rows: a task for each core, so that the literal map goes out no more often than that.
+        frequent = frequent_pieces(docs, limit).repartition(max(1, docs.sparkSession.sparkContext.defaultParallelism))
         folded = frequent.select("piece", fold_merges(F.encode("piece", "UTF-8"), self.ranks).alias("ids"))
         known = _collected(folded)  # at most ``limit`` short rows
         with pa.BufferOutputStream() as out:
