@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table, written
 from .components import connected_components
@@ -32,8 +33,8 @@ BLOCKS, BUCKET = 6, 16
 SLICE = 65_536
 PIVOTS = np.random.default_rng(20).integers(0, 2**64, (16, 1), dtype=np.uint64)
 
-#: For similarity rather than a radius: words of 64 bits, bits of a sampled key at least, chance that a pair at the threshold shares a key.
-LANES, KEY_BITS, RECALL = 4, 18, 0.85
+#: For similarity rather than a radius: words of 64 bits, texts that common shingles are counted in at about, and common shingles at most.
+LANES, SAMPLE, COMMON = 4, 4096, 131_072
 WIDE_PIVOTS = np.random.default_rng(22).integers(0, 2**64, (4, LANES), dtype=np.uint64)
 
 
@@ -65,19 +66,6 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: str | None, shingle: int) -> np.ndarray:
-    """LANES words of 64 bits, each made as ``fingerprint`` is, from the hashes mixed anew."""
-    ones, n = np.zeros((LANES, 64), np.int64), 0
-    for h in _shingle_hashes(text, shingle):
-        for lane in range(LANES):
-            x = h + np.uint64(0x9E3779B97F4A7C15 * (lane + 1) % 2**64)
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            ones[lane] += _ones(x ^ (x >> np.uint64(31)))
-        n += len(h)
-    return np.packbits(ones * 2 > n, axis=1, bitorder="little").view("<u8")[:, 0]
-
-
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp): the signed 64-bit fingerprint of every whole text; null counts as empty."""
 
@@ -206,61 +194,174 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataF
     return prints.join(rooted.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp")
 
 
-def share_of_bits(similarity: float) -> float:
-    """Expected share of differing SimHash bits of two texts, of about one length, whose shingle sets have this Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct word shingles, ascending."""
+    parts = [np.unique(h) for h in _shingle_hashes(text, shingle)]
+    return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def similar_links(wide: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(a, b): links between rows (node, w0, w1, ...) whose wide fingerprints are about as near as that similarity makes them.
+def parity_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """LANES words of 64 bits; each bit is the parity of the shingles that fall on it.
 
-    A radius of dozens of bits can't be split into blocks, so candidates share one of several keys of sampled bits, as
-    many as give a pair at the threshold RECALL; nearer pairs are found almost surely. Links are verified on all bits.
+    A shingle that only one of two sets has changes one bit, so sets differ in at least as many shingles as
+    their fingerprints in bits: what is discarded by the bits, or by pivots, is never similar.
     """
-    n, apart = wide.count(), share_of_bits(similarity)
-    bits = max(KEY_BITS, math.ceil(math.log2(max(n, 2))) - 1)
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - apart) ** bits))
-    width = 64 * LANES
-    radius = int(width * apart + math.sqrt(width * apart * (1 - apart)))  # one deviation beyond what is expected
-    pick = np.stack([np.random.default_rng(1000 + t).choice(width, bits, replace=False) for t in range(tables)])
-    weight = (1 << np.arange(bits)).astype(np.int64)
+    ones = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * LANES), minlength=64 * LANES)
+    return np.packbits((ones & 1).astype(bool), bitorder="little").view("<u8")
+
+
+def _prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The rarest hashes, as many that two similar sets share one of them. Any one order of all hashes is exact; here what is common comes last."""
+    if not len(hashes):
+        return hashes
+    take = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    often = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        often = np.where(common[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, often))[:take]]
+
+
+def _common(marked: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, ascending; counts): shingles that stand in several texts of a bounded sample."""
+    luck = F.pmod(F.xxhash64("__quire_text"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(marked.count(), 1)) * (1 << 30))
+    some = marked.filter(luck).select("__quire_text", "text").dropDuplicates(["__quire_text"]).limit(2 * SAMPLE).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle).view(np.int64))], ["h"])
+
+    found = some.mapInArrow(run, "h long").groupBy("h").count().filter("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    hashes, counts = found.column("h").to_numpy().view(np.uint64), found.column("count").to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _near_pairs(company: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): rows (key, node, root, size, w0, ...) of one key and several roots that sizes, pivots and bits don't keep apart."""
     lanes = [f"w{k}" for k in range(LANES)]
+    share = (1 - similarity) / (1 + similarity)  # of both sizes, that similar sets differ in at most
+
+    def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys = cols[0]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        for at, end in zip(first.tolist(), np.r_[first[1:], len(keys)].tolist()):
+            order = at + np.argsort(cols[3][at:end], kind="stable")
+            node, root, size = (c[order] for c in cols[1:4])
+            fps = np.stack([c[order] for c in cols[4:]], axis=1).view(np.uint64)
+            rows = _pivot_rows(fps, WIDE_PIVOTS)
+            last = np.searchsorted(size, size / similarity + 1e-9, side="right")
+            a, b, held = [], [], 0
+            for i in range(len(node) - 1):
+                j = np.arange(i + 1, last[i])
+                j = j[root[j] != root[i]]
+                radius = (size[j] + size[i]) * share + 1e-9
+                near = (np.abs(rows[j] - rows[i]) <= radius[:, None]).all(axis=1)
+                j, radius = j[near], radius[near]
+                j = j[_apart(fps[j], fps[i]) <= radius]
+                a.append(np.full(len(j), node[i]))
+                b.append(node[j])
+                held += len(j)
+                if held > SLICE or i == len(node) - 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    a, b, held = [], [], 0
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[np.ndarray] | None = None
+        for batch in batches:  # the last key of a batch may go on in the next
+            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            if kept is not None:
+                cols = [np.concatenate(pair) for pair in zip(kept, cols)]
+            if not len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last:
+                yield from pairs([c[:last] for c in cols])
+            kept = [c[last:] for c in cols]
+        if kept is not None:
+            yield from pairs(kept)
+
+    rows = company.select("key", "node", "root", "size", *lanes).repartition("key").sortWithinPartitions("key")
+    found = rows.mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose sets of distinct shingles have the Jaccard similarity, computed from the texts."""
+    pairs = written(pairs, "simhash-pairs")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
+    need = need.select(F.col("node").alias("__quire_node"), F.col("doc_id").alias("__quire_id"), F.col("__quire_text").alias("__quire_own"))
+    texts = marked.join(need, F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (F.col("__quire_text") == F.col("__quire_own")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                on = np.unpackbits(np.ascontiguousarray(np.stack(cols[1:], axis=1)).view(np.uint8).reshape(batch.num_rows, -1), axis=1, bitorder="little")
-                keys = np.stack([on[:, p].astype(np.int64) @ weight for p in pick], axis=1)
-                t = np.tile(np.arange(tables, dtype=np.int16), batch.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(keys.ravel()), *[pa.array(np.repeat(c, tables)) for c in cols]], ["t", "bits", "node", *lanes])
+                sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
 
-    schema = ", ".join(["t short", "bits long", "node long", *(f"{w} long" for w in lanes)])
-    return _in_buckets(wide.select("node", *lanes).mapInArrow(deal, schema), lanes, "node", radius, WIDE_PIVOTS)
+    sets = texts.select("__quire_node", "text").dropDuplicates(["__quire_node"]).mapInArrow(run, "node long, h array<long>")
+    sets = written(sets, "simhash-sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
+    shared = F.size(F.array_intersect("ha", "hb"))
+    return both.filter(shared * (1 + similarity) + 1e-9 >= similarity * (F.size("ha") + F.size("hb"))).select("a", "b")
+
+
+def similar_links(classes: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): verified links between rows of ``classes`` that connect just what all links of that similarity connect.
+
+    Similar sets share one of their rarest shingles (``keys``), so candidates share a key; that is exact. Each row is
+    verified against the smallest set of its key first; what is still apart is then verified pair by pair.
+    """
+    lanes = [f"w{k}" for k in range(LANES)]
+    dealt = classes.select(F.explode("keys").alias("key"), "node")
+    shared = dealt.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
+    company = written(shared.join(classes.select("node", "size", *lanes), "node"), "simhash-company")
+    hubs = company.groupBy("key").agg(F.min(F.struct("size", "node", *lanes)).alias("hub"))
+    share = (1 - similarity) / (1 + similarity)
+    bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"hub.{w}"))) for w in lanes[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("hub.w0"))))
+    may = (F.col("node") != F.col("hub.node")) & (F.col("size") * similarity <= F.col("hub.size") + 1e-9) & (bits <= (F.col("size") + F.col("hub.size")) * share + 1e-9)
+    stars = company.join(hubs, "key").filter(may).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
+    edges = written(_verified(stars, classes, marked, shingle, similarity), "simhash-edges")
+    roots = connected_components(edges).withColumnRenamed("node", "_node")
+    rooted = company.filter("n > 2").join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    return edges.unionByName(_verified(_near_pairs(rooted.join(mixed, "key"), similarity), classes, marked, shingle, similarity))
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs``, as it is, of each group of texts that are similar: the smallest doc_id (null last), then the smaller hash of the text.
 
-    Similar: ``similarity`` or more of the word shingles, by wide fingerprints. Texts without words are one group.
+    Similar: Jaccard ``similarity`` or more of the distinct word shingles, or linked by such texts. Texts without words are one group.
     """
     marked = docs.withColumn("__quire_text", F.xxhash64("text"))
     lanes = [f"w{k}" for k in range(LANES)]
+    sent = docs.sparkSession.sparkContext.broadcast(_common(marked, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            wide = np.stack([wide_fingerprint(t.as_py(), shingle) for t in batch.column(2)]).view(np.int64) if batch.num_rows else np.empty((0, LANES), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(wide[:, k]) for k in range(LANES)]], ["doc_id", "__quire_text", *lanes])
-
-    schema = "doc_id long, __quire_text long, " + ", ".join(f"{w} long" for w in lanes)
-    prints = written(marked.select("doc_id", "__quire_text", "text").mapInArrow(run, schema).withColumn("node", F.xxhash64(*lanes)), "simhash-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__quire_text")).alias("first")
-    classes = written(prints.groupBy("node", *lanes).agg(first), "simhash-classes")
-    roots = connected_components(similar_links(classes, similarity)).withColumnRenamed("node", "_node")
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
+                node, size, wide, keys = [], [], [], []
+                for t in batch.column(2):
+                    h = shingle_set(t.as_py(), shingle)
+                    node.append(xxhash.xxh64_intdigest(h.tobytes(), 42))
+                    size.append(len(h))
+                    wide.append(parity_fingerprint(h))
+                    keys.append(_prefix(h, similarity, *sent.value).view(np.int64))
+                bits = np.stack(wide).view(np.int64)
+                made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LANES)], pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "__quire_text", "node", "size", *lanes, "keys"])
+
+    schema = "doc_id long, __quire_text long, node long, size long, " + ", ".join(f"{w} long" for w in lanes) + ", keys array<long>"
+    prints = marked.select("doc_id", "__quire_text", "text").mapInArrow(run, schema)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__quire_text", "size", *lanes, "keys")).alias("first")
+    classes = written(prints.groupBy("node").agg(first).select("node", "first.*"), "simhash-classes")
+    roots = connected_components(similar_links(classes, marked, shingle, similarity)).withColumnRenamed("node", "_node")
     kept = (
         classes.join(roots, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root"))
-        .agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__quire_id"), F.col("first.__quire_text").alias("__quire_own"))
+        .agg(F.min(F.struct("late", "doc_id", "__quire_text")).alias("first")).select(F.col("first.doc_id").alias("__quire_id"), F.col("first.__quire_text").alias("__quire_own"))
     )
     kept = written(kept, "simhash-kept")
     out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (F.col("__quire_text") == F.col("__quire_own")), "left_semi")
