@@ -79,7 +79,8 @@ class Index:
         self.dim, self.parts, self.ids, self.sample = dim, min(PARTS, dim), ids, sample
         self.coarse = kmeans(sample, max(1, min(LISTS, n // PER_LIST, len(sample) // 8)))
         self.cuts = np.linspace(0, dim, self.parts + 1).astype(int)
-        residual = sample - self.coarse[nearest(sample, self.coarse)]
+        self.lists = nearest(sample, self.coarse)
+        residual = sample - self.coarse[self.lists]
         self.books = [kmeans(residual[:, a:b], CODES, 8) for a, b in zip(self.cuts, self.cuts[1:])]
         self.probes = self._probes(sample)
 
@@ -103,22 +104,21 @@ class Index:
             out += tables[:, k][:, codes[:, k]]
         return out
 
-    def pinned(self, ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query, ids and exact scores of its k nearest rows of the sample, itself left out, best first.
+    def bounds(self, ids: np.ndarray, q: np.ndarray, probed: np.ndarray, k: int) -> np.ndarray:
+        """For each query, the k-th best exact score among the sampled rows of its probed lists, itself left out; -inf if they are fewer.
 
-        They are real candidates, so the k-th of them bounds what is worth passing on from the lists.
+        Those rows stand in the lists, so k rows of the lists reach it; it only spares passing on others.
         """
-        take = min(k + 1, len(self.sample))
+        out = np.full(len(q), -np.inf)
+        if len(self.sample) < k:
+            return out
         for at in range(0, len(q), 256):
             rough = q[at : at + 256] @ self.sample.T
-            near = np.argpartition(-rough, take - 1, axis=1)[:, :take]
-            for r, rows in enumerate(near):
-                edge = rough[r, rows].min() - 1e-9
-                rows = rows if take == len(self.sample) else np.flatnonzero(rough[r] >= edge)  # with all that tie
-                rows = rows[self.ids[rows] != ids[at + r]]
-                exact = (self.sample[rows] * q[at + r]).sum(1)
-                best = np.lexsort((self.ids[rows], -exact))[:k]
-                yield self.ids[rows[best]], exact[best]
+            rough[~probed[at : at + 256][:, self.lists]] = -np.inf
+            rough[ids[at : at + 256, None] == self.ids[None, :]] = -np.inf
+            edge = -np.partition(-rough, k - 1, axis=1)[:, k - 1]
+            out[at : at + 256] = edge - 1e-9 * np.maximum(1.0, np.abs(edge), where=np.isfinite(edge), out=np.ones(len(edge)))
+        return out
 
     def _probes(self, sample: np.ndarray, k: int = 20) -> int:
         """The fewest lists that reach AIM on the sample, with a tenth more for what the sample doesn't show."""
@@ -185,18 +185,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
             count = np.minimum(np.maximum(index.probes, enough), len(index.coarse))
             rows = np.repeat(np.arange(len(q)), count)
             lists = np.concatenate([o[:c] for o, c in zip(order, count)]) if len(q) else np.empty(0, int)
-            least = np.array([s[k - 1] if len(s) >= k else -np.inf for _, s in index.pinned(batch.column(0).to_numpy(), q, k)])[rows] if len(q) else np.empty(0)
+            probed = np.zeros((len(q), len(index.coarse)), bool)
+            probed[rows, lists] = True
+            least = index.bounds(batch.column(0).to_numpy(), q, probed, k)[rows]
             whole = pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(least)], ["list", "query_id", "q", "least"])
             yield from (whole.slice(at, 8192) for at in range(0, max(whole.num_rows, 1), 8192))
 
-    def pin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = batch.column(0).to_numpy()
-            found = list(sent.value[0].pinned(own, _matrix(batch.column(1)), k)) if len(own) else []
-            count = [len(i) for i, _ in found]
-            join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, count)), pa.array(join([i for i, _ in found], np.int64)), pa.array(join([s for _, s in found], float))], ["query_id", "vec_id", "score"])
-
     routed = written(queries.select("vec_id", "v").mapInArrow(route, "list int, query_id long, q array<double>, least double"), "ann-queries")
     asked = {r.list: r.n for r in routed.groupBy("list").agg(F.count("*").alias("n")).collect()}
     parts = [(i, max(1, -(-sizes.get(i, 0) // BLOCK)), max(1, -(-asked.get(i, 0) // QUERIES))) for i in range(len(index.coarse))]
@@ -236,8 +230,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         stored.groupBy("list", "vp", "qp").cogroup(asking.groupBy("list", "vp", "qp"))
         .applyInArrow(meet, "query_id long, vec_id long, score double")
     )
-    # At most k rows from each block, and none below what the k-th nearest of the sample has; that sample's k rows besides.
-    near = near.unionByName(queries.select("vec_id", "v").mapInArrow(pin, "query_id long, vec_id long, score double")).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    # At most k rows from each block, and none below what k sampled rows of the probed lists have.
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -66,3 +66,20 @@ def test_odd_vectors(spark, tmp_path):
     out = op10_ann(spark, sf_dir_of(spark, tmp_path, embeddings=df)).collect()
     assert compare(out, brute([r for r in rows if r[0] != 9])) == 1.0
     assert op10_ann(spark, sf_dir_of(spark, tmp_path / "e", embeddings=df.limit(0))).count() == 0
+
+
+def test_rows_come_only_from_the_probed_lists(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_LIST", 50)
+    monkeypatch.setattr(ann.Index, "_probes", lambda self, sample, k=20: 2)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(1000, 16))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").localCheckpoint()
+    index = ann.fit(vectors, 1000)  # the sample is the whole table
+    lists = ann.nearest(x, index.coarse)
+    out = ann.search(vectors, vectors.filter("vec_id % 20 = 0"), 20).collect()
+    size = np.bincount(lists, minlength=len(index.coarse))
+    for q in range(0, 1000, 20):
+        order = np.argsort(-(index.coarse @ x[q]), kind="stable")
+        probed = order[: max(2, int((np.cumsum(size[order]) <= 20).sum()) + 1)]
+        inside = [i for i in np.argsort(-(x @ x[q]), kind="stable").tolist() if i != q and lists[i] in probed][:20]
+        assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] == inside
