@@ -2,7 +2,7 @@
 
 Vectors lie in the list of their nearest coarse centroid; the residual is coded by product quantisation. A query
 looks into the ``probes`` lists with the best centroids. There each code is scored from the query's asymmetric
-distance table; the best are reranked exactly, on the original vectors. Lists and their queries are cut into
+distance table; all that the quantisation's error leaves among the best are reranked exactly, on the original vectors. Lists and their queries are cut into
 blocks of bounded size, so neither a common vector nor a growing table fills one task.
 """
 
@@ -21,8 +21,8 @@ from .common import table, written
 
 #: Rows that the index is fitted on at most; vectors in a list at about, lists at most.
 SAMPLE, PER_LIST, LISTS = 16_384, 1024, 4096
-#: Parts of a vector that are quantised one by one, codes of a part, and codes reranked in a block for each query.
-PARTS, CODES, RERANK = 16, 256, 48
+#: Parts of a vector that are quantised one by one, and codes of a part.
+PARTS, CODES = 16, 256
 #: Vectors and queries of a block at most, at about.
 BLOCK, QUERIES = 8192, 8192
 #: Recall on the sample from which no further list is probed, and sampled queries that it is measured on.
@@ -97,6 +97,10 @@ class Index:
             out[:, k, : len(book)] = q[:, a:b] @ book.T
         return out
 
+    def decode(self, number: int, codes: np.ndarray) -> np.ndarray:
+        """What the codes of a list stand for."""
+        return self.coarse[number] + np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
+
     def scores(self, q: np.ndarray, number: int, codes: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """(queries, rows): asymmetric scores of one list's codes."""
         out = np.repeat((q @ self.coarse[number]).astype(np.float32)[:, None], len(codes), 1)
@@ -206,17 +210,24 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
         if not len(ids) or not len(qids):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         codes = np.frombuffer(b"".join(left.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        off = np.linalg.norm(v - index.decode(number, codes), axis=1)  # of each row from what its code stands for
+        largest, take = np.linalg.norm(v, axis=1).max(), min(k + 1, len(ids))
         out_q, out_v, out_s = [], [], []
         for at in range(0, len(qids), 128):
             some, own = q[at : at + 128], qids[at : at + 128]
-            rough = index.scores(some, number, codes, index.tables(some))
-            rough[own[:, None] == ids[None, :]] = -np.inf
-            take = min(RERANK, len(ids))
-            # Equal vectors have equal codes; the smaller ids of a tie come first.
-            edge = -np.partition(-rough, take - 1, axis=1)[:, take - 1]
+            rough, length = index.scores(some, number, codes, index.tables(some)), np.linalg.norm(some, axis=1)
+            # A score is wrong by no more than this, rounding included, so rows that can't reach the k-th are known.
+            error = length[:, None] * (off + 1e-5 * (largest + off))
+            low = -np.partition(error - rough, take - 1, axis=1)[:, take - 1]
+            may = rough + error >= np.maximum(low, least[at : at + 128])[:, None]
+            some_rows = np.flatnonzero(may.any(axis=0))
+            exactly = np.where(may[:, some_rows], some @ v[some_rows].T, -np.inf)
             for r in range(len(some)):
-                over, tied = np.flatnonzero(rough[r] > edge[r]), np.flatnonzero(rough[r] == edge[r])
-                rows = np.r_[over, tied[: take - len(over)]]
+                rows, near = some_rows, exactly[r]
+                if len(rows) > take:
+                    edge = -np.partition(-near, take - 1)[take - 1]
+                    rows, near = rows[near >= edge - 1e-9 * length[r] * largest], near[near >= edge - 1e-9 * length[r] * largest]  # with all that tie
+                rows = rows[np.isfinite(near)]
                 rows = rows[ids[rows] != own[r]]
                 exact = (v[rows] * some[r]).sum(1)
                 rows, exact = rows[exact >= least[at + r]], exact[exact >= least[at + r]]  # others can't be among the k nearest

@@ -83,3 +83,13 @@ def test_rows_come_only_from_the_probed_lists(spark, monkeypatch):
         probed = order[: max(2, int((np.cumsum(size[order]) <= 20).sum()) + 1)]
         inside = [i for i in np.argsort(-(x @ x[q]), kind="stable").tolist() if i != q and lists[i] in probed][:20]
         assert [r.vec_id for r in sorted(out, key=lambda r: r["rank"]) if r.query_id == q] == inside
+
+
+def test_near_copies_a_third_of_the_table(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 32))
+    x[:2000] = x[0] + 0.001 * rng.normal(size=(2000, 32))  # nearer to each other than the codes tell
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    sf = sf_dir_of(spark, tmp_path, embeddings=spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    out, want = op10_ann(spark, sf).collect(), brute(rows)
+    assert compare([r for r in out if r.query_id < 2000], {q: w for q, w in want.items() if q < 2000}) >= 0.9
