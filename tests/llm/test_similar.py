@@ -56,3 +56,15 @@ def test_every_pair_at_the_threshold_is_found(spark):
     sets = [shingles(t) for t in texts]
     assert sum(0.8 <= jaccard(a, b) < 0.86 for k, a in enumerate(sets) for b in sets[:k]) > 30
     assert kept(spark, docs) == brute(docs)
+
+
+def test_texts_below_the_threshold_stay(spark):
+    rng, docs = random.Random(4), []
+    line = " ".join(f"line{i}" for i in range(24))
+    for k in range(6):  # a line of 20 shingles, repeated 30 times, in texts of their own
+        docs.append((len(docs), " ".join([line] * 30 + [f"own{k}x{i}" for i in range(300)])))
+    for n in (60, 300):
+        for _ in range(15):  # a tail of its own: Jaccard about 0.75
+            words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+            docs += [(len(docs) + e, " ".join(words[: n - e * n // 7] + [f"t{rng.randrange(10**9)}" for _ in range(e * n // 7)])) for e in (0, 1)]
+    assert kept(spark, docs) == brute(docs) == {i for i, _ in docs}
