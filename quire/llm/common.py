@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import re
 import tempfile
@@ -33,8 +34,39 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = path or shared_dir(spark, name)
+    keep_until_exit(spark, path)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    return out
+
+
+_FOLDERS: dict[str, SparkSession] = {}
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> str:
+    """Marks a folder of the shared one as scratch: it goes when the driver's program ends, unless ``remove`` took it before."""
+    _FOLDERS[path] = spark
+    return path
+
+
+def discard(*frames: DataFrame) -> None:
+    """Removes the files of frames that ``written`` gave and that nothing reads any more."""
+    for df in frames:
+        remove(df.sparkSession, df._quire_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    _FOLDERS.pop(path, None)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path, spark in list(_FOLDERS.items()):
+        if spark.sparkContext._jsc is not None:  # the session still runs
+            remove(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

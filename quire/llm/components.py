@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_dead_shuffles, written
+from .common import discard, drop_dead_shuffles, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,8 +32,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or mark[0] == 0:
             break
-        before = mark
-        edges = written(_star(_star(edges, True), False), "components")
+        before, old = mark, edges
+        edges = written(_star(_star(old, True), False), "components")
+        discard(old)
         drop_dead_shuffles(spark)
     # Now every edge goes from a node to its root.
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out._quire_path = edges._quire_path  # for ``discard``
+    return out

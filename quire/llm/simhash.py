@@ -22,9 +22,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import discard, drop_dead_shuffles, table, written
 from .components import connected_components
 
 #: Blocks of bits at least; buckets hold about this many unrelated fingerprints at most.
@@ -35,6 +34,8 @@ PIVOTS = np.random.default_rng(20).integers(0, 2**64, (16, 1), dtype=np.uint64)
 
 #: For similarity rather than a radius: words of 64 bits, texts that common shingles are counted in at about, and common shingles at most.
 LANES, SAMPLE, COMMON = 4, 4096, 131_072
+#: Rows of one key, or texts compared with one, that a task takes at most at about.
+GROUP = 4096
 WIDE_PIVOTS = np.random.default_rng(22).integers(0, 2**64, (4, LANES), dtype=np.uint64)
 
 
@@ -200,14 +201,26 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
-def parity_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """LANES words of 64 bits; each bit is the parity of the shingles that fall on it.
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """About four bits for each shingle, a power of two of them and LANES words at least; each is the parity of the shingles that fall on it.
 
     A shingle that only one of two sets has changes one bit, so sets differ in at least as many shingles as
-    their fingerprints in bits: what is discarded by the bits, or by pivots, is never similar.
+    their bits: what is discarded by the bits, or by pivots, is never similar.
     """
-    ones = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % (64 * LANES), minlength=64 * LANES)
-    return np.packbits((ones & 1).astype(bool), bitorder="little").view("<u8")
+    size = max(64 * LANES, 1 << (4 * len(hashes) - 1).bit_length()) if len(hashes) else 64 * LANES
+    ones = np.bincount((hashes >> np.uint64(20)).astype(np.int64) % size, minlength=size)
+    return np.packbits((ones & 1).astype(bool), bitorder="little").tobytes()
+
+
+def folded(bits: bytes, size: int) -> bytes:
+    """The parity bits that the same set has in ``size`` bytes, fewer or as many, a power of two."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0).tobytes()
+
+
+def folded_apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two parity fingerprints, the longer one folded."""
+    size = min(len(a), len(b))
+    return int(np.bitwise_count(np.frombuffer(folded(a, size), np.uint64) ^ np.frombuffer(folded(b, size), np.uint64)).sum())
 
 
 def _prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -239,23 +252,26 @@ def _common(marked: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near_pairs(company: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): rows (key, node, root, size, w0, ...) of one key and several roots that sizes, pivots and bits don't keep apart."""
+    """(a, b): rows (key, node, n, root, size, w0, ...) of one key and several roots that sizes, pivots and bits don't keep apart.
+
+    A key of more than GROUP rows is cut into cells of two parts of about GROUP rows, so no task holds more.
+    """
     lanes = [f"w{k}" for k in range(LANES)]
     share = (1 - similarity) / (1 + similarity)  # of both sizes, that similar sets differ in at most
 
     def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys = cols[0]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        for at, end in zip(first.tolist(), np.r_[first[1:], len(keys)].tolist()):
-            order = at + np.argsort(cols[3][at:end], kind="stable")
-            node, root, size = (c[order] for c in cols[1:4])
-            fps = np.stack([c[order] for c in cols[4:]], axis=1).view(np.uint64)
+        first = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])])
+        for at, end in zip(first.tolist(), np.r_[first[1:], len(cols[0])].tolist()):
+            order = at + np.argsort(cols[5][at:end], kind="stable")
+            part, node, root, size = (c[order] for c in cols[2:6])
+            fps = np.stack([c[order] for c in cols[6:]], axis=1).view(np.uint64)
+            across = (part != part[0]).any()  # within a part, pairs are of the cell that has it alone
             rows = _pivot_rows(fps, WIDE_PIVOTS)
             last = np.searchsorted(size, size / similarity + 1e-9, side="right")
             a, b, held = [], [], 0
             for i in range(len(node) - 1):
                 j = np.arange(i + 1, last[i])
-                j = j[root[j] != root[i]]
+                j = j[(root[j] != root[i]) & ((part[j] != part[i]) | (not across))]
                 radius = (size[j] + size[i]) * share + 1e-9
                 near = (np.abs(rows[j] - rows[i]) <= radius[:, None]).all(axis=1)
                 j, radius = j[near], radius[near]
@@ -269,43 +285,83 @@ def _near_pairs(company: DataFrame, similarity: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
-        for batch in batches:  # the last key of a batch may go on in the next
+        for batch in batches:  # the last cell of a batch may go on in the next
             cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if kept is not None:
                 cols = [np.concatenate(pair) for pair in zip(kept, cols)]
             if not len(cols[0]):
                 continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
                 yield from pairs([c[:last] for c in cols])
             kept = [c[last:] for c in cols]
         if kept is not None:
             yield from pairs(kept)
 
-    rows = company.select("key", "node", "root", "size", *lanes).repartition("key").sortWithinPartitions("key")
+    parts = F.ceil(F.col("n") / GROUP).cast("long")
+    own = company.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    cell = F.least("part", "other") * parts + F.greatest("part", "other")
+    # A cell of two parts also gets the rows of both; the cell of one part gets them once.
+    rows = own.withColumn("cell", cell).select("key", "cell", "part", "node", "root", "size", *lanes).repartition("key", "cell").sortWithinPartitions("key", "cell")
     found = rows.mapInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _bits_agree(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and parity bits don't rule out; nothing similar goes."""
+    lanes = [f"w{k}" for k in range(LANES)]
+    share = (1 - similarity) / (1 + similarity)
+    side = lambda s: classes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "wide", *lanes)])
+    both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+    bits = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in lanes), F.lit(0))
+    sizes = F.least("size_a", "size_b") + 1e-9 >= F.greatest("size_a", "size_b") * similarity
+    near = both.filter(sizes & (bits <= (F.col("size_a") + F.col("size_b")) * share + 1e-9))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            apart = (folded_apart(x.as_py(), y.as_py()) for x, y in zip(batch.column(3), batch.column(4)))
+            keep = np.fromiter(apart, np.int64, batch.num_rows) <= batch.column(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    return near.select("a", "b", ((F.col("size_a") + F.col("size_b")) * share + 1e-9).alias("radius"), "wide_a", "wide_b").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose sets of distinct shingles have the Jaccard similarity, computed from the texts."""
-    pairs = written(pairs, "simhash-pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes, "node")
-    need = need.select(F.col("node").alias("__quire_node"), F.col("doc_id").alias("__quire_id"), F.col("__quire_text").alias("__quire_own"))
+    """Those of the pairs (a, b) whose sets of distinct shingles have the Jaccard similarity, computed from the texts.
+
+    Texts go to the pairs' ``a``, at most about GROUP of them to one place, and stream past it one at a time.
+    What needs a text is written first: while it is small, it is sent to the texts, which then aren't shuffled.
+    """
+    pairs = written(_bits_agree(pairs, classes, similarity), "simhash-pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
+    dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
+    wanted = dealt.unionByName(dealt.select("a", "part", F.col("a").alias("b")).distinct())
+    place = classes.select(F.col("node").alias("b"), F.col("doc_id").alias("__quire_id"), F.col("__quire_text").alias("__quire_own"))
+    need = written(wanted.join(place, "b").select(F.col("a").alias("__quire_a"), F.col("part").alias("__quire_part"), F.col("b").alias("__quire_b"), "__quire_id", "__quire_own"), "simhash-need")
     texts = marked.join(need, F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (F.col("__quire_text") == F.col("__quire_own")))
+    texts = texts.select("__quire_a", "__quire_part", "__quire_b", "text").repartition("__quire_a", "__quire_part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                sets = [shingle_set(t.as_py(), shingle).view(np.int64) for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "h"])
-
-    sets = texts.select("__quire_node", "text").dropDuplicates(["__quire_node"]).mapInArrow(run, "node long, h array<long>")
-    sets = written(sets, "simhash-sets")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("h").alias("ha")), "a").join(sets.select(F.col("node").alias("b"), F.col("h").alias("hb")), "b")
-    shared = F.size(F.array_intersect("ha", "hb"))
-    return both.filter(shared * (1 + similarity) + 1e-9 >= similarity * (F.size("ha") + F.size("hb"))).select("a", "b")
+        at, centre = None, None
+        for batch in batches:
+            found: list[tuple] = []
+            for a, part, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
+                if a == b:
+                    if at != (a, part):  # rows of the centre itself come first
+                        at, centre = (a, part), shingle_set(text.as_py(), shingle)
+                    continue
+                own = shingle_set(text.as_py(), shingle)
+                shared = int((centre[np.minimum(np.searchsorted(centre, own), len(centre) - 1)] == own).sum()) if len(centre) else 0
+                if shared * (1 + similarity) + 1e-9 >= similarity * (len(centre) + len(own)):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    streamed = texts.sortWithinPartitions("__quire_a", "__quire_part", F.col("__quire_a") != F.col("__quire_b"))
+    edges = written(streamed.mapInArrow(run, "a long, b long").distinct(), "simhash-edges")
+    discard(pairs, need)
+    drop_dead_shuffles(marked.sparkSession)
+    return edges
 
 
 def similar_links(classes: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -315,57 +371,69 @@ def similar_links(classes: DataFrame, marked: DataFrame, shingle: int, similarit
     verified against the smallest set of its key first; what is still apart is then verified pair by pair.
     """
     lanes = [f"w{k}" for k in range(LANES)]
-    dealt = classes.select(F.explode("keys").alias("key"), "node")
-    shared = dealt.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    company = written(shared.join(classes.select("node", "size", *lanes), "node"), "simhash-company")
-    hubs = company.groupBy("key").agg(F.min(F.struct("size", "node", *lanes)).alias("hub"))
-    share = (1 - similarity) / (1 + similarity)
-    bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"hub.{w}"))) for w in lanes[1:]), F.bit_count(F.col("w0").bitwiseXOR(F.col("hub.w0"))))
-    may = (F.col("node") != F.col("hub.node")) & (F.col("size") * similarity <= F.col("hub.size") + 1e-9) & (bits <= (F.col("size") + F.col("hub.size")) * share + 1e-9)
-    stars = company.join(hubs, "key").filter(may).select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
-    edges = written(_verified(stars, classes, marked, shingle, similarity), "simhash-edges")
-    roots = connected_components(edges).withColumnRenamed("node", "_node")
-    rooted = company.filter("n > 2").join(roots, F.col("node") == F.col("_node"), "left").withColumn("root", F.coalesce("root", "node"))
+    hubs = classes.select(F.explode("keys").alias("key"), "size", "node").groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("hub")).filter("n > 1")
+    company = classes.select(F.explode("keys").alias("key"), "node").join(hubs.select("key", "n", F.col("hub.node").alias("hub")), "key")
+    company = written(company, "simhash-company")
+    drop_dead_shuffles(classes.sparkSession)
+    stars = company.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    edges = _verified(stars, classes, marked, shingle, similarity)
+    roots = connected_components(edges)
+    rooted = company.filter("n > 2").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    return edges.unionByName(_verified(_near_pairs(rooted.join(mixed, "key"), similarity), classes, marked, shingle, similarity))
+    apart = written(rooted.join(mixed, "key"), "simhash-apart")
+    discard(company, roots)
+    more = _verified(_near_pairs(apart.join(classes.select("node", "size", *lanes), "node"), similarity), classes, marked, shingle, similarity)
+    discard(apart)
+    return edges.unionByName(more)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs``, as it is, of each group of texts that are similar: the smallest doc_id (null last), then the smaller hash of the text.
 
-    Similar: Jaccard ``similarity`` or more of the distinct word shingles, or linked by such texts. Texts without words are one group.
+    Similar: Jaccard ``similarity`` or more of the distinct word shingles, or linked by a chain of such texts, so a text that
+    goes may be less like the one kept. Texts without words are one group. Rows that repeat are one.
     """
+    spark = docs.sparkSession
     marked = docs.withColumn("__quire_text", F.xxhash64("text"))
     lanes = [f"w{k}" for k in range(LANES)]
-    sent = docs.sparkSession.sparkContext.broadcast(_common(marked, shingle))
+    sent = spark.sparkContext.broadcast(_common(marked, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                node, size, wide, keys = [], [], [], []
+                node, size, wide, bits, keys = [], [], [], [], []
                 for t in batch.column(2):
                     h = shingle_set(t.as_py(), shingle)
                     node.append(xxhash.xxh64_intdigest(h.tobytes(), 42))
                     size.append(len(h))
-                    wide.append(parity_fingerprint(h))
+                    wide.append(parity_bits(h))
+                    bits.append(np.frombuffer(folded(wide[-1], 8 * LANES), "<u8"))
                     keys.append(_prefix(h, similarity, *sent.value).view(np.int64))
-                bits = np.stack(wide).view(np.int64)
-                made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LANES)], pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "__quire_text", "node", "size", *lanes, "keys"])
+                bits = np.stack(bits).view(np.int64)
+                made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(wide, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LANES)], pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "__quire_text", "node", "size", "wide", *lanes, "keys"])
 
-    schema = "doc_id long, __quire_text long, node long, size long, " + ", ".join(f"{w} long" for w in lanes) + ", keys array<long>"
+    schema = "doc_id long, __quire_text long, node long, size long, wide binary, " + ", ".join(f"{w} long" for w in lanes) + ", keys array<long>"
     prints = marked.select("doc_id", "__quire_text", "text").mapInArrow(run, schema)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__quire_text", "size", *lanes, "keys")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__quire_text", "size", "wide", *lanes, "keys")).alias("first")
     classes = written(prints.groupBy("node").agg(first).select("node", "first.*"), "simhash-classes")
-    roots = connected_components(similar_links(classes, marked, shingle, similarity)).withColumnRenamed("node", "_node")
+    drop_dead_shuffles(spark)
+    links_ = similar_links(classes, marked, shingle, similarity)
+    roots = connected_components(links_)
     kept = (
-        classes.join(roots, F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root"))
+        classes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").groupBy(F.coalesce("root", "node").alias("root"))
         .agg(F.min(F.struct("late", "doc_id", "__quire_text")).alias("first")).select(F.col("first.doc_id").alias("__quire_id"), F.col("first.__quire_text").alias("__quire_own"))
     )
     kept = written(kept, "simhash-kept")
-    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (F.col("__quire_text") == F.col("__quire_own")), "left_semi")
-    return out.dropDuplicates(["doc_id", "__quire_text"]).select(*docs.columns)
+    discard(classes, roots)
+    same = F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (F.col("__quire_text") == F.col("__quire_own"))
+    # Only rows that repeat are shuffled to drop the repeats.
+    often = marked.select("doc_id", "__quire_text").join(kept, same, "left_semi").groupBy(F.col("doc_id").alias("__quire_id"), F.col("__quire_text").alias("__quire_own")).count().filter("count > 1").drop("count")
+    often = written(often, "simhash-repeated")
+    out = marked.join(kept, same, "left_semi")
+    once, repeated = out.join(often, same, "left_anti"), out.join(often, same, "left_semi")
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "__quire_text"])).select(*docs.columns)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
