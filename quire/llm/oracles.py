@@ -29,26 +29,27 @@ _PII = [
     ("card", 2, r"[0-9](?:[\x20-]?[0-9])+", f"length({_DIGITS}) between 13 and 19 and {_LUHN}"),
     ("phone", 3, r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) between 9 and 15"),
 ]
-_TERM = [("term", 4, rf"\pL{{{pii.MIN_LETTERS},}}", "true")]
-_W = pii.WINDOW
+_TERM = [("term", 4, r"[\pL\pM\pN]+", "true")]
 
 OP1 = f"""
 with d as (select doc_id as id, coalesce(text, '') as t from documents),
 u as (select row_number() over () as id, t, count(*) as copies from d group by t),
 b as (select * from ({_places("u", _PII)})),
 n as (select count(*) as n from d),
-near0 as (select id as own, t as whole, kind || ':' || lower(v) as entity, s as bs, e as be, greatest(s - {_W}, 0) as begin, row_number() over () as id, substring(t, greatest(s - {_W}, 0) + 1, e + {_W} - greatest(s - {_W}, 0)) as t from b),
-w as (select * from ({_places("near0", _TERM, "id, own, whole, entity, begin, t")})),
-near as (select own, entity, lower(v) as term, s + begin as s, e + begin as e from w
-  where (s > 0 or begin = 0) and (e < length(t) or begin + length(t) = length(whole))
-    and not exists (select 1 from b where b.id = w.own and b.s < w.e + w.begin and w.s + w.begin < b.e)),
-once as (select distinct own, entity, term from near),
-pairs as (select entity, term, sum(copies) as n_ct from once join u on u.id = own group by 1, 2 having count(*) >= {pii.SUPPORT}),
-ents as (select entity, sum(copies) as n_c from (select distinct id, kind || ':' || lower(v) as entity from b) x join u using (id) group by 1),
-spread as (select term, count(*) as n_t from (select id, unnest(list_distinct(list_transform(regexp_extract_all(t, '\\pL{{{pii.MIN_LETTERS},}}'), lambda x: lower(x)))) as term from d) group by 1),
-told as (select entity, term from (select *, log2(n * 1.0 * n_ct / (n_c * n_t)) as pmi from pairs join ents using (entity) join spread using (term), n)
+ents as (select distinct id, kind || ':' || lower(v) as entity from b),
+-- Entities that overlap are one stretch; each is cut out and replaced by spaces.
+edge as (select id, s, e, max(e) over (partition by id order by s, e rows between unbounded preceding and 1 preceding) as before from b),
+stretch as (select id, min(s) as s, max(e) as e from (select *, sum(case when before is null or s >= before then 1 else 0 end) over (partition by id order by s, e rows unbounded preceding) as k from edge) group by id, k),
+parts as (select id, s, e, coalesce(lag(e) over (partition by id order by s), 0) as prev from stretch),
+clear as (select parts.id, string_agg(substring(t, prev + 1, s - prev) || repeat(' ', e - s), '' order by s) || substring(any_value(t), max(e) + 1) as t from parts join u using (id) group by parts.id),
+w as (select id, lower(v) as term, s, e from ({_places("clear", _TERM)})),
+here as (select distinct id, term from w),
+n_c as (select entity, sum(copies) as n_c from ents join u using (id) group by 1),
+spread as (select term, sum(copies) as n_t from (select id, copies, unnest(list_distinct(list_transform(regexp_extract_all(t, '[\\pL\\pM\\pN]+'), lambda x: lower(x)))) as term from u) group by 1),
+common as (select entity, term, sum(copies) as n_ct from ents join here using (id) join u using (id) group by 1, 2 having count(*) >= {pii.SUPPORT}),
+told as (select entity, term from (select *, log2(n * 1.0 * n_ct / (n_c * n_t)) as pmi from common join n_c using (entity) join spread using (term), n)
   where pmi > 0 and pmi >= {pii.DISCLOSURE} * log2(n * 1.0 / n_c) - 1e-9),
-terms as (select distinct own as id, s, e from near join told using (entity, term)),
+terms as (select distinct w.id, s, e from told join ents using (entity) join w on w.id = ents.id and w.term = told.term),
 base as (select id, string_agg(kind || ':' || s || ':' || e, ',' order by rank, s) as t, count(*) filter (where kind = 'email') as n_email, count(*) filter (where kind = 'ip') as n_ip, count(*) filter (where kind = 'card') as n_card, count(*) filter (where kind = 'phone') as n_phone from b group by id),
 more as (select id, string_agg('term:' || s || ':' || e, ',' order by s, e) as t from terms group by id)
 select d.id as doc_id, coalesce(n_email, 0) as n_email, coalesce(n_ip, 0) as n_ip, coalesce(n_card, 0) as n_card, coalesce(n_phone, 0) as n_phone,
@@ -68,9 +69,9 @@ OP7 = f"""
 with d as (select doc_id as id, coalesce(text, '') as t from documents),
 u as (select row_number() over () as id, t from d group by t),
 b as (select * from ({_places("u", _SECRETS)})),
-g as (select id, coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (where rank < 3), '') as base, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (where rank >= 3) as extra,
-  count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex from b group by id)
-select d.id as doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, concat_ws(',', nullif(base, ''), extra) as spans
+g as (select id, coalesce(string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) filter (where rank < 3), '') as base,
+  count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access, count(*) filter (where kind = 'hex') as n_hex, string_agg(kind || ':' || s || ':' || e, ',' order by s, rank) as whole from b group by id)
+select d.id as doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(whole, '') as spans
 from d join u on u.t = d.t left join g on g.id = u.id
 """
 

@@ -1,15 +1,19 @@
 """Personal data: pattern spans, then information-theoretic sanitisation, with built-in functions only.
 
-Base spans are the protected entities. Co-occurrence over the corpus estimates how strongly a
-term reveals an entity: with N distinct texts, an entity c in n_c of them and a term t in n_t,
-seen near c in n_ct texts,
+Base spans are the protected entities. Co-occurrence over the corpus estimates how strongly a term reveals an entity:
+with N documents, an entity c in n_c of them, a term t in n_t, and both in n_ct,
 
     PMI(c; t) = log2(N * n_ct / (n_c * n_t))        IC(c) = log2(N / n_c)
 
-A term whose PMI reaches ``disclosure`` of the entity's information, backed by at least
-``support`` distinct texts, discloses the entity; its occurrences near the entity become spans of
-kind ``term``. Sanitising generalises base spans to their kind and removes disclosing terms.
-Counts cover all documents; exact copies of a text count once.
+A term whose PMI reaches ``disclosure`` of the entity's information discloses the entity, and every occurrence of it in
+the documents that hold the entity becomes a span of kind ``term``. Terms are runs of letters, marks and digits of
+the whole text outside its entities, without regard to case. All counts are of documents (copies count), over all of
+them. ``support`` asks that a pair be seen together in so many distinct texts; at 1, a term that stands nowhere but
+with an entity reveals it, be it once. Sanitising generalises entities to their kind, terms with a digit to
+``[NUMBER]`` and capitalised terms to ``[NAME]``, and removes other terms.
+
+Entities that stand in just the same texts have the same figures with every term, and so have such terms with every
+entity; so classes of them are paired, not their members, and a long list of addresses and names makes one pair.
 """
 
 from __future__ import annotations
@@ -17,24 +21,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty, written
-from .spans import SPAN, count_kind, find_spans, joined, masked, no_spans
+from .common import discard, table, text_or_empty, written
+from .spans import count_kind, find_spans, joined, masked, no_spans
 
-#: Code points between a term and an entity at which both count as together.
-WINDOW = 48
 #: Share of an entity's information that a term may not reveal.
 DISCLOSURE = 0.8
-#: Distinct texts in which a term must stand near the entity.
-SUPPORT = 3
-#: Letters that a term has at least.
-MIN_LETTERS = 4
+#: Distinct texts in which a term must stand with the entity.
+SUPPORT = 1
 
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 _IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 _CARD = r"[0-9](?:[\x20-]?[0-9])++"
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _BYTE = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
-_TERM = r"\p{L}{" + str(MIN_LETTERS) + r",}+"
+_TERM = r"[\p{L}\p{M}\p{N}]++"
 
 
 def _digits(v: Column) -> Column:
@@ -70,57 +70,70 @@ def _entity(b: Column) -> Column:
     return F.concat_ws(":", b["kind"], F.lower(b["value"]))
 
 
-def term_spans(docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """(__quire_text_id, __quire_terms): the disclosing terms of each text that has any, as spans by start.
-
-    ``docs`` has text (no nulls), __quire_base (its base spans) and __quire_text_id. All counts are over all documents;
-    ``support`` asks for distinct texts, so copies alone never make a term disclosing.
-    """
-    n = docs.count()
-    private = docs.filter(F.size("__quire_base") > 0).groupBy("__quire_text_id").agg(F.count("*").alias("copies"), F.any_value("text").alias("text"), F.any_value("__quire_base").alias("__quire_base"))
-    # Only the text around each entity is searched; a word that the cut may have shortened doesn't count.
-    begin = F.greatest(F.col("b.start") - window, F.lit(0))
-    around = (
-        private.select("__quire_text_id", "copies", "text", F.explode("__quire_base").alias("b"), F.transform("__quire_base", lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))).alias("all"))
-        .select("__quire_text_id", "copies", "all", _entity(F.col("b")).alias("entity"), begin.alias("begin"), F.length("text").alias("size"), F.expr(f"substring(text, greatest(b.start - {window}, 0) + 1, b.end + {window} - greatest(b.start - {window}, 0))").alias("part"))
-    )
-    placed = F.transform(find_spans(F.col("part"), "term", len(BASE), _TERM), lambda w: F.struct(F.lower(w["value"]).alias("term"), (w["start"] + F.col("begin")).alias("start"), (w["end"] + F.col("begin")).alias("end")))
-    stop = F.col("begin") + F.length("part")
-    whole = F.filter(placed, lambda w: ((w["start"] > F.col("begin")) | (F.col("begin") == 0)) & ((w["end"] < stop) | (stop == F.col("size"))))
-    clear = F.filter(whole, lambda w: ~F.exists("all", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
-    near = written(around.select("__quire_text_id", "copies", "entity", F.explode(clear).alias("w")).select("__quire_text_id", "copies", "entity", "w.term", "w.start", "w.end"), "pii-near")
-    once = near.select("__quire_text_id", "copies", "entity", "term").distinct()
-    pairs = once.groupBy("entity", "term").agg(F.sum("copies").alias("n_ct"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
-    entities = (
-        private.select("copies", F.explode(F.array_distinct(F.transform("__quire_base", _entity))).alias("entity"))
-        .groupBy("entity").agg(F.sum("copies").alias("n_c"))
-    )
-    terms = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(_TERM), F.lit(0)), F.lower))
-    spread = docs.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    pmi = F.log2(F.lit(n) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
+def _texts(column: str) -> list[Column]:
+    """Aggregates that tell the set of texts of a group: their number, and two sums of their hashes."""
+    return [F.count("*").alias("texts"), F.sum("copies").alias("docs"), F.bit_xor(F.xxhash64(column)).alias("h1"), F.bit_xor(F.xxhash64(column, F.lit(1))).alias("h2")]
+
+
+def scan(docs: DataFrame) -> DataFrame:
+    """Written: ``docs``' base spans and text id, with the text of those that have any; null texts count as empty."""
+    text = text_or_empty()
+    own = docs.select("doc_id", F.unhex(F.sha2(text, 256)).alias("__quire_text_id"), base_spans(text).alias("__quire_base"), text.alias("text"))
+    return written(own.withColumn("text", F.when(F.size("__quire_base") > 0, F.col("text"))), "pii-base")
+
+
+def term_spans(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """(__quire_text_id, __quire_terms): the disclosing terms of each text that has any, as spans by start. ``scanned``: from ``scan(docs)``."""
+    n = scanned.count()
+    private = scanned.filter("text is not null").groupBy("__quire_text_id").agg(F.count("*").alias("copies"), F.any_value("text").alias("text"), F.any_value("__quire_base").alias("__quire_base"))
+    private = written(private.withColumn("__quire_clear", masked(F.col("text"), F.col("__quire_base"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))), "pii-private")
+    words = private.select("__quire_text_id", "copies", F.explode(find_spans(F.col("__quire_clear"), "term", len(BASE), _TERM)).alias("w"))
+    words = written(words.select("__quire_text_id", "copies", F.lower("w.value").alias("term"), "w"), "pii-words")
+
+    here = words.select("__quire_text_id", "copies", "term").distinct()
+    terms = here.groupBy("term").agg(*_texts("__quire_text_id")).filter(F.col("texts") >= support)
+    terms = written(terms, "pii-terms")
+    every = F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(), F.lit(_TERM), F.lit(0)), F.lower))
+    spread = docs.select(F.explode(every).alias("term")).join(terms.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    terms = written(terms.join(spread, "term").select("term", "n_t", F.struct("n_t", "texts", "h1", "h2").alias("t")), "pii-term-classes")
+
+    held = private.select("__quire_text_id", "copies", F.explode(F.array_distinct(F.transform("__quire_base", _entity))).alias("entity"))
+    entities = held.groupBy("entity").agg(*_texts("__quire_text_id")).filter(F.col("texts") >= support).select("entity", F.col("docs").alias("n_c"), F.struct("docs", "texts", "h1", "h2").alias("c"))
+    by_entity = held.join(entities, "entity").select("__quire_text_id", "copies", "c", "n_c").distinct()
+    by_term = here.join(terms, "term").select("__quire_text_id", "t", "n_t").distinct()
+    # A pair has n_ct of n_c at most, so a term that is too common for that is out before pairs are made.
+    least = F.pow(F.col("n_c") / F.lit(float(max(n, 1))), F.lit(1 - disclosure)) * F.col("n_t")
+    both = written(by_entity.join(by_term, "__quire_text_id").filter(least <= F.col("n_c") * (1 + 1e-9)).select("__quire_text_id", "copies", "c", "t", "n_c", "n_t"), "pii-pairs")
+    pmi = F.log2(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     told = (
-        pairs.join(entities, "entity").join(spread, "term")
-        .filter(pmi >= F.lit(disclosure) * F.log2(F.lit(n) / F.col("n_c")) - F.lit(1e-9))
-        .filter(pmi > 0)
-        .select("entity", "term")
+        both.groupBy("c", "t", "n_c", "n_t").agg(F.sum("copies").alias("n_ct"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
+        .filter((pmi > 0) & (pmi >= F.lit(disclosure) * F.log2(F.lit(float(n)) / F.col("n_c")) - F.lit(1e-9))).select("c", "t")
     )
-    span = F.struct(F.lit("term").alias("kind"), F.lit(len(BASE)).alias("rank"), F.col("start"), F.col("end"), F.col("term").alias("value"))
-    by_place = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["end"] - b["end"])
-    return near.join(told, ["entity", "term"], "left_semi").groupBy("__quire_text_id").agg(F.array_sort(F.collect_set(span), by_place).alias("__quire_terms"))
+    where = both.join(told, ["c", "t"], "left_semi").select("__quire_text_id", "t").distinct().join(terms.select("term", "t"), "t").select("__quire_text_id", "term")
+    hit = words.join(where, ["__quire_text_id", "term"], "left_semi")
+    out = written(hit.groupBy("__quire_text_id").agg(F.collect_list("w").alias("w")), "pii-disclosing")
+    discard(private, words, both, terms)
+    in_order = F.array_sort(F.transform("w", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "rank", "end", "value", "at", "stop")])))
+    return out.select("__quire_text_id", F.transform(in_order, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "rank", "start", "end", "value", "at", "stop")])).alias("__quire_terms"))
 
 
-def find(docs: DataFrame, window: int = WINDOW, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
     """``docs`` with __quire_base (entities by pattern) and __quire_terms (disclosing terms). Null texts count as empty; rows are kept as they are."""
-    found = docs.withColumn("__quire_text_id", F.sha2(text_or_empty(), 256)).withColumn("__quire_base", base_spans(text_or_empty()))
-    told = term_spans(found.select(text_or_empty().alias("text"), "__quire_base", "__quire_text_id"), window, disclosure, support)
+    told = term_spans(docs, scan(docs), disclosure, support)
+    found = docs.withColumn("__quire_text_id", F.unhex(F.sha2(text_or_empty(), 256))).withColumn("__quire_base", base_spans(text_or_empty()))
     return found.join(told, "__quire_text_id", "left").withColumn("__quire_terms", F.coalesce("__quire_terms", no_spans()))
 
 
+def _label(s: Column) -> Column:
+    entity = F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    term = F.when(s["value"].rlike(r"\p{N}"), F.lit("[NUMBER]")).when(s["value"].rlike(r"^\p{Lu}"), F.lit("[NAME]")).otherwise(F.lit(""))
+    return F.when(s["kind"] == "term", term).otherwise(entity)
+
+
 def sanitise(docs: DataFrame, **parameters) -> DataFrame:
-    """``docs`` with entities generalised to ``[KIND]`` and disclosing terms removed. Null texts stay null; n_chars follows the text."""
+    """``docs`` with entities generalised to ``[KIND]`` and disclosing terms generalised or removed. Null texts stay null; n_chars follows the text."""
     columns = docs.columns
-    label = lambda kind: F.when(kind == "term", F.lit("")).otherwise(F.concat(F.lit("["), F.upper(kind), F.lit("]")))
-    out = find(docs, **parameters).withColumn("text", masked(F.col("text"), F.concat("__quire_base", "__quire_terms"), label))
+    out = find(docs, **parameters).withColumn("text", masked(F.col("text"), F.concat("__quire_base", "__quire_terms"), _label))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*columns)
@@ -129,10 +142,8 @@ def sanitise(docs: DataFrame, **parameters) -> DataFrame:
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts and digest of the base patterns, and all spans (base, then disclosing terms)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    base = base_spans(text_or_empty())
-    keyed = docs.select("doc_id", F.sha2(text_or_empty(), 256).alias("__quire_text_id"), base.alias("__quire_base"))
-    told = term_spans(docs.select(text_or_empty().alias("text"), base.alias("__quire_base"), F.sha2(text_or_empty(), 256).alias("__quire_text_id")))
-    return keyed.join(told, "__quire_text_id", "left").select(
+    keyed = scan(docs)
+    return keyed.join(term_spans(docs, keyed), "__quire_text_id", "left").select(
         "doc_id",
         *[count_kind(F.col("__quire_base"), kind).alias(f"n_{kind}") for kind, *_ in BASE],
         F.sha2(joined(F.col("__quire_base")), 256).alias("base_sha256"),

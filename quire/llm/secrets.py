@@ -1,8 +1,9 @@
 """Secret scanning over an incremental blob ledger, with built-in functions only.
 
-Every distinct text is a blob, addressed by its SHA-256. The ledger holds a row for each
-(blob, rule version) that has been scanned, with its findings. A scan looks only at pairs the
-ledger lacks, appends them, and joins the findings back to every path that holds the blob.
+Every distinct text is a blob, addressed by its SHA-256, whatever versions of whatever paths hold it. The ledger
+has a row for each (blob, rule version) that has been scanned, with its findings. A scan looks only at pairs
+that the ledger lacks, appends them, and joins the findings back to every path that holds the blob. A history is
+scanned commit by commit; what a commit repeats from those before it isn't scanned again.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, text_or_empty
+from .common import discard, keep_until_exit, shared_dir, table, text_or_empty, written
 from .spans import count_kind, find_spans, joined, masked
 
 #: Raised whenever a rule below changes, so that blobs are scanned anew.
@@ -30,77 +31,105 @@ EXTRA = (
     ("github", r"gh[pousr]_[A-Za-z0-9]{36,}+", None),
     ("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}+", None),
 )
-EMPTY = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"  # SHA-256 of nothing
+#: Parts, by doc_id, in which the query feeds the corpus to the ledger, as commits.
+COMMITS = 2
 
+_SPANS = "array<struct<start:int,rank:int,end:int,kind:string,at:int,stop:int>>"
+_LEDGER = f"blob binary, spans {_SPANS}"
 
-def spans(text: Column, rules=BASE, first_rank: int = 0) -> Column:
-    """All spans by start, then kind in the order of the rules."""
-    found = [find_spans(text, kind, first_rank + k, pattern, keep=keep) for k, (kind, pattern, keep) in enumerate(rules)]
-    return F.array_sort(
-        F.concat(*found),
-        lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["rank"] - b["rank"]),
-    )
 
+def spans(text: Column, rules=BASE + EXTRA) -> Column:
+    """All spans by start, then kind in the order of the rules, without the secrets themselves."""
+    found = F.concat(*[find_spans(text, kind, k, pattern, keep=keep) for k, (kind, pattern, keep) in enumerate(rules)])
+    return F.array_sort(F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "at", "stop")])))
 
-def scan(docs: DataFrame, ledger_path: str, rule_version: int = RULE_VERSION) -> DataFrame:
-    """Scans the blobs of ``docs`` that the ledger lacks for this rule version, appends them, and returns (blob, base, all).
 
-    ``docs`` needs a text column; null counts as empty. Copies of a text are scanned once.
-    The result holds a row for each blob of the ledger with at least one finding.
-    """
-    spark = docs.sparkSession
-    blobs = docs.select(F.sha2(text_or_empty(), 256).alias("blob"), text_or_empty().alias("text"))
-    seen = ledger(spark, ledger_path).filter(F.col("rule_version") == rule_version)
-    new = blobs.join(seen.select("blob"), "blob", "left_anti") if _exists(spark, ledger_path) else blobs
-    found = new.dropDuplicates(["blob"]).select("blob", F.lit(rule_version).alias("rule_version"), spans(F.col("text")).alias("base"), spans(F.col("text"), EXTRA, len(BASE)).alias("extra"))
-    found.write.mode("append").parquet(ledger_path)
-    return ledger(spark, ledger_path).filter((F.col("rule_version") == rule_version) & ((F.size("base") > 0) | (F.size("extra") > 0)))
+def _blob() -> Column:
+    return F.unhex(F.sha2(text_or_empty(), 256))
 
 
-_LEDGER = "blob string, rule_version int, base array<struct<kind:string,rank:int,start:int,end:int,value:string>>, extra array<struct<kind:string,rank:int,start:int,end:int,value:string>>"
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(_LEDGER).parquet(path) if there else spark.range(0).select(F.lit(None).cast("binary").alias("blob"), F.lit(None).cast(_SPANS).alias("spans"))
 
 
-def ledger(spark: SparkSession, path: str) -> DataFrame:
-    """(blob, rule_version, base, extra): one row for each pair that has been scanned."""
-    return spark.read.schema(_LEDGER).parquet(path) if _exists(spark, path) else spark.createDataFrame([], _LEDGER)
+def scanned(spark: SparkSession, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
+    """(blob): every blob that has been scanned under this rule version, once."""
+    return _read(spark, f"{path}/rules={rule_version}/found=true").select("blob").unionByName(_read(spark, f"{path}/rules={rule_version}/found=false").select("blob")).distinct()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+def found(spark: SparkSession, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
+    """(blob, spans): the blobs with findings, once, even if two scans at a time appended the same one."""
+    return _read(spark, f"{path}/rules={rule_version}/found=true").dropDuplicates(["blob"])
 
 
-def findings(docs: DataFrame, ledger_path: str | None = None, rule_version: int = RULE_VERSION) -> DataFrame:
-    """``docs`` with columns __quire_blob, __quire_base and __quire_extra: the spans found in each text, from the ledger.
+def scan(docs: DataFrame, path: str, rule_version: int = RULE_VERSION) -> None:
+    """Scans the blobs of ``docs`` (text; null counts as empty) that the ledger lacks for this rule version, and appends them.
 
-    Rows are kept as they are, repeated ones too; a text without findings has empty lists.
+    Only blobs that stand in several rows are shuffled, once map-side combined; what the ledger knows is left out
+    by a narrow table of the blobs of ``docs`` that are known or repeated.
     """
     spark = docs.sparkSession
-    found = scan(docs, ledger_path or shared_dir(spark, "ledger"), rule_version)
-    none = F.array().cast(found.schema["base"].dataType)
-    right = found.select(F.col("blob").alias("__quire_blob"), F.col("base").alias("__quire_base"), F.col("extra").alias("__quire_extra"))
-    joined_ = docs.withColumn("__quire_blob", F.sha2(text_or_empty(), 256)).join(right, "__quire_blob", "left")
-    return joined_.withColumns({"__quire_base": F.coalesce("__quire_base", none), "__quire_extra": F.coalesce("__quire_extra", none)})
-
-
-def redact(docs: DataFrame, ledger_path: str | None = None) -> DataFrame:
-    """``docs`` with every secret replaced by ``[SECRET:kind]`` and n_chars, if there, brought up to date. Null texts stay null."""
-    columns = docs.columns
-    out = findings(docs, ledger_path)
-    text = masked(F.col("text"), F.concat("__quire_base", "__quire_extra"), lambda kind: F.concat(F.lit("[SECRET:"), kind, F.lit("]")))
-    out = out.withColumn("text", text)
+    blobs = docs.select(_blob().alias("blob"), text_or_empty().alias("text"))
+    known = scanned(spark, path, rule_version).withColumn("known", F.lit(True))
+    special = blobs.groupBy("blob").agg(F.count("*").alias("n")).join(known, "blob", "left").filter((F.col("n") > 1) | F.col("known"))
+    special = written(special.select(F.col("blob").alias("own"), F.coalesce("known", F.lit(False)).alias("known")), "secrets-special")
+    marked = blobs.join(special, F.col("blob") == F.col("own"), "left")
+    once = marked.filter("own is null").select("blob", "text")
+    several = marked.filter("not known").select("blob", "text").dropDuplicates(["blob"])
+    new = once.unionByName(several).select("blob", spans(F.col("text")).alias("spans"))
+    new.withColumn("found", F.size("spans") > 0).write.mode("append").partitionBy("found").parquet(f"{path}/rules={rule_version}")
+    discard(special)
+
+
+def scan_history(versions: DataFrame, commit: str, commits: int, path: str, rule_version: int = RULE_VERSION) -> None:
+    """Scans the commits 0 to ``commits`` - 1 of ``versions`` (text, and the number of a commit in a column) one after the other."""
+    for k in range(commits):
+        scan(versions.filter(F.col(commit) == k), path, rule_version)
+
+
+def findings(docs: DataFrame, path: str, rule_version: int = RULE_VERSION) -> DataFrame:
+    """``docs`` with __quire_spans: the spans of each text, by start, from a ledger that has its blob.
+
+    Rows are kept as they are, repeated ones too; a text without findings has an empty list.
+    """
+    right = found(docs.sparkSession, path, rule_version).select(F.col("blob").alias("__quire_blob"), F.col("spans").alias("__quire_spans"))
+    out = docs.withColumn("__quire_own", _blob()).join(right, F.col("__quire_own") == F.col("__quire_blob"), "left").drop("__quire_own", "__quire_blob")
+    return out.withColumn("__quire_spans", F.coalesce("__quire_spans", F.array().cast(_SPANS)))
+
+
+def redact(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """``docs`` with every secret replaced by ``[SECRET:kind]`` and n_chars, if there, brought up to date. Null texts stay null.
+
+    path: a ledger to go on with; otherwise a new one.
+    """
+    spark, columns = docs.sparkSession, docs.columns
+    path = path or keep_until_exit(spark, shared_dir(spark, "ledger"))
+    scan(docs, path)
+    out = findings(docs, path)
+    secret = F.transform("__quire_spans", lambda s: F.struct(*[s[c].alias(c) for c in ("at", "stop", "start", "end", "rank", "kind")], F.lit("").alias("value")))
+    out = out.withColumn("text", masked(F.col("text"), secret, lambda s: F.concat(F.lit("[SECRET:"), s["kind"], F.lit("]"))))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*columns)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document: counts and digest of the base rules, and all spans (base, then further formats)."""
+    """Secrets in every document: counts and digest of the base rules, and all spans, further formats among them.
+
+    The documents come to the ledger in COMMITS parts by doc_id; a text that an earlier part had isn't scanned again.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = findings(docs)
+    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", [k / COMMITS for k in range(1, COMMITS)], 1000)).first()[0] or []))
+    commit = sum((F.when(F.col("doc_id") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    path = keep_until_exit(spark, shared_dir(spark, "ledger"))
+    scan_history(docs.withColumn("commit", commit), "commit", len(cuts) + 1, path)
+    out = findings(docs, path)
+    base = F.filter("__quire_spans", lambda s: s["rank"] < len(BASE))
     return out.select(
         "doc_id",
-        *[count_kind(F.col("__quire_base"), kind).alias(f"n_{kind}") for kind, _, _ in BASE],
-        F.sha2(joined(F.col("__quire_base")), 256).alias("base_sha256"),
-        joined(F.concat("__quire_base", "__quire_extra")).alias("spans"),
+        *[count_kind(base, kind).alias(f"n_{kind}") for kind, _, _ in BASE],
+        F.sha2(joined(base), 256).alias("base_sha256"),
+        joined(F.col("__quire_spans")).alias("spans"),
     )
