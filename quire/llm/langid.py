@@ -2,11 +2,13 @@
 
 A linear classifier picks the language family; within it, one-versus-one linear support vector machines
 separate the languages, by vote. Features are hashed character 1- to 3-grams of the whole lower-cased text.
-Models are trained here, on a bounded sample of labelled documents.
+Models are trained here, on a bounded sample of labelled documents, in which every label has a share. A text that lies
+farther from every family than labelled texts of its length do is in no learned language.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -15,11 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import table
 
-#: Hash slots; labelled rows that are learned from at most, and languages at most (the most frequent).
-SLOTS, SAMPLE, LANGUAGES = 4096, 4000, 64
+#: Hash slots; labelled rows that are learned from, shared out evenly over the labels, and rows of a label at least that are asked for.
+SLOTS, SAMPLE, LEAST = 4096, 4000, 10
+#: The floor of a length's margins: a share of a low quantile of the labelled rows' margins, from so many rows at least.
+SHARE, QUANTILE, ENOUGH = 0.4, 0.01, 100
 UNKNOWN = "und"
 #: Characters hashed at once, which bounds memory for very long texts.
 SLICE = 1 << 20
@@ -86,17 +91,40 @@ def train_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int =
 class Model:
     """Families with a machine each (one against the rest), and a machine for each pair of languages of a family. The last column of x is 1."""
 
-    def __init__(self, langs: list[str], x: np.ndarray):
+    def __init__(self, langs: list[str], x: np.ndarray, letters: list[int]):
         family = np.array([_FAMILY_OF.get(lang, lang) for lang in langs])
         names = np.array(langs)
         self.families = sorted(set(family.tolist()))
         self.members = {f: sorted(set(names[family == f].tolist())) for f in self.families}
         side = lambda where: np.where(where, 1, -1).astype(np.float32)
         self.outer = np.stack([train_svm(x, side(family == f)) for f in self.families]) if len(self.families) > 1 else np.zeros((len(self.families), SLOTS + 1), np.float32)
-        self.inner = {}
+        self.inner = {}  # of each family, the machines of its pairs as rows
         for f in self.families:
-            for a, b in combinations(self.members[f], 2):
-                self.inner[a, b] = train_svm(x, np.where(names == a, 1, np.where(names == b, -1, 0)).astype(np.float32))
+            made = [train_svm(x, np.where(names == a, 1, np.where(names == b, -1, 0)).astype(np.float32)) for a, b in combinations(self.members[f], 2)]
+            self.inner[f] = np.stack(made) if made else np.zeros((0, SLOTS + 1), np.float32)
+        self.floors = self._floors(x, np.array(letters, np.int64))
+
+    def _floors(self, x: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The least margin of a text in a learned language, by the power of two of its letters.
+
+        From rows of that length, half or twice it; where they are too few, the floor of the next shorter length holds.
+        """
+        out = np.full(64, -np.inf)
+        if len(self.families) < 2 or not len(x):
+            return out  # one family has no margin
+        best, size = (x @ self.outer.T).max(axis=1), np.frexp(letters)[1]
+        for k in range(1, 64):
+            near = best[np.abs(size - k) <= 1]
+            out[k] = SHARE * np.quantile(near, QUANTILE) if len(near) >= ENOUGH else out[k - 1]
+        return out
+
+    def known(self, text: str | None) -> bool:
+        """Whether the text is in a learned language: it has a letter, and its best family's margin is no less than its length's floor."""
+        x = features(text)
+        if x is None or not self.families:
+            return False
+        letters = sum(map(str.isalpha, text))
+        return bool((self.outer @ np.append(x, np.float32(1))).max() >= self.floors[np.frexp(letters)[1]])
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and score: the family's share, by softmax of margins, times the mean sigmoid of the winner's margins."""
@@ -111,9 +139,8 @@ class Model:
         if len(langs) == 1:
             return langs[0], score
         votes, sure = dict.fromkeys(langs, 0.0), dict.fromkeys(langs, 0.0)
-        for a, b in combinations(langs, 2):
-            margin = float(self.inner[a, b] @ x)
-            p = 1 / (1 + np.exp(-4 * margin))
+        for (a, b), margin in zip(combinations(langs, 2), (self.inner[self.families[best]] @ x).tolist()):
+            p = 1 / (1 + math.exp(-4 * margin))
             votes[a if margin >= 0 else b] += 1
             sure[a] += p
             sure[b] += 1 - p
@@ -121,33 +148,36 @@ class Model:
         return winner, min(1.0, score * sure[winner] / (len(langs) - 1))
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Model:
+def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the rows of ``docs`` (text, lang), of which those without a language or letters teach nothing.
 
-    About sample / languages rows of each language, chosen by hash of the text, and never more than ``sample``.
+    Every label is learned, from its rows with the smallest hashes of the text, so the order of arrival doesn't matter:
+    sample / labels of each, but LEAST at least, so max(sample, LEAST * labels) rows in all. Copies teach once.
     """
-    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
-    if not counts:
-        return Model([], np.empty((0, SLOTS + 1), np.float32))
-    each = sample // len(counts)
-    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, each / r.n))])
-    luck = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = labelled.filter(luck < F.coalesce(F.element_at(share, F.col("lang")), F.lit(0.0)))
+    labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
+    labels = labelled.select("lang").distinct().count()
+    if not labels:
+        return Model([], np.empty((0, SLOTS + 1), np.float32), [])
+    each = max(LEAST, sample // labels)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    picked = labelled.select("lang", "h").distinct().withColumn("at", first).filter(F.col("at") <= each).drop("at")
+    chosen = labelled.join(F.broadcast(picked), ["lang", "h"]).select("text", "lang", "h").dropDuplicates(["lang", "h"])  # as many rows at most as the docstring says
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t.as_py()) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([None if v is None else v.astype(np.float16).tobytes() for v in found], pa.binary())], ["lang", "x"])
+            texts = batch.column(0).to_pylist()
+            found = [features(t) for t in texts]
+            packed = pa.array([None if v is None else v.astype(np.float16).tobytes() for v in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([sum(map(str.isalpha, t)) for t in texts], pa.int64()), packed], ["lang", "h", "letters", "x"])
 
-    rows = chosen.mapInArrow(run, "lang string, x binary").filter("x is not null").limit(2 * sample).toArrow()
-    rows = rows.take(pc.sort_indices(rows, [("lang", "ascending"), ("x", "ascending")]))  # the order of arrival doesn't matter
+    rows = chosen.mapInArrow(run, "lang string, h long, letters long, x binary").filter("x is not null").toArrow()
+    rows = rows.take(pc.sort_indices(rows, [("lang", "ascending"), ("h", "ascending")]))
     x = np.ones((rows.num_rows, SLOTS + 1), np.float32)
     for k, v in enumerate(rows.column("x")):
         x[k, :-1] = np.frombuffer(v.as_buffer(), np.float16)
-    langs = rows.column("lang").to_pylist()
+    langs, letters = rows.column("lang").to_pylist(), rows.column("letters").to_pylist()
     del rows
-    return Model(langs, x)
+    return Model(langs, x, letters)
 
 
 def held_out(doc_id):
@@ -172,14 +202,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Model, min_score: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, as they are, whose language is known with a score of ``min_score`` or more."""
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, as they are, whose text is in a learned language (``Model.known``); repeated rows stay or go together."""
     sent, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = (sent.value.predict(t.as_py()) for t in batch.column(place))
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= min_score for lang, score in found], pa.bool_()))
+            yield batch.filter(pa.array([sent.value.known(t.as_py()) for t in batch.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

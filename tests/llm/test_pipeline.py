@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from quire.llm import langid
 
 from .helpers import odd_docs, sf_dir_of, sha
 from .test_bpe import LIB
@@ -66,7 +67,8 @@ def test_stages_equal_brute_force(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     stay = BY_NAME["language"](spark, docs, sf)
     assert stay.schema == docs.schema
-    assert rows(stay) == [r for r in rows(docs) if any(c.isalpha() for c in r[1] or "")]
+    model = langid.train(langid.teaching(docs))  # test_langid compares its decisions with a plain version
+    assert rows(stay) == [r for r in rows(docs) if model.known(r[1])] and stay.count() >= 0.99 * docs.count()
 
     deduped = BY_NAME["near_duplicates"](spark, stay, sf)
     assert deduped.schema == docs.schema and set(rows(deduped)) <= set(rows(stay))
