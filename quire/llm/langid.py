@@ -24,7 +24,7 @@ from .common import table
 #: Hash slots; labelled rows that are learned from, shared out evenly over the labels, and rows of a label at least that are asked for.
 SLOTS, SAMPLE, LEAST = 4096, 4000, 10
 #: The floor of a length's margins: a share of a low quantile of the labelled rows' margins, from so many rows at least.
-SHARE, QUANTILE, ENOUGH = 0.4, 0.01, 100
+SHARE, QUANTILE, ENOUGH = 0.3, 0.01, 100
 UNKNOWN = "und"
 #: Characters hashed at once, which bounds memory for very long texts.
 SLICE = 1 << 20

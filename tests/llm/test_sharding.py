@@ -1,17 +1,45 @@
+import heapq
+import random
 import zlib
 from collections import defaultdict
 
-from quire.llm.sharding import op9_shard, schedule
+from quire.llm.sharding import op9_shard, schedule, shard
 
 from .helpers import odd_docs, sf_dir_of
 
 
-def test_schedule_is_longest_first():
-    to = schedule([("a", 7), ("b", 5), ("c", 4), ("d", 4), ("e", 3)], 2)
-    load = defaultdict(int)
-    for item, size in [("a", 7), ("b", 5), ("c", 4), ("d", 4), ("e", 3)]:
-        load[to[item]] += size
-    assert to["a"] == 0 and to["b"] == 1 and sorted(load.values()) == [11, 12]
+def brute(sizes, shards):
+    """Loads of the schedule, one item after the other."""
+    heap = [(0, s) for s in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        load, s = heapq.heappop(heap)
+        heapq.heappush(heap, (load + size, s))
+    return [load for load, _ in sorted(heap, key=lambda x: x[1])]
+
+
+def test_classes_are_dealt_as_one_by_one():
+    rng = random.Random(2)
+    assert schedule([(7, 1), (5, 1), (4, 2), (3, 1)], 2) == {7: [1, 0], 5: [0, 1], 4: [1, 1], 3: [0, 1]}
+    for _ in range(200):
+        classes = [(s, rng.choice((1, 2, 3, 50, 1000))) for s in rng.sample(range(1, 60), rng.randrange(1, 9))]
+        shards = rng.randrange(1, 9)
+        loads = [sum(s * got[k] for s, got in schedule(classes, shards).items()) for k in range(shards)]
+        assert loads == brute([s for s, n in classes for _ in range(n)], shards)
+
+
+def test_loads_equal_brute_force_in_small_cells(spark):
+    rng = random.Random(3)
+    texts = ["x" * rng.randrange(40) for _ in range(600)] + ["hot text"] * 400 + [f"{k:04d}" for k in range(500)] + [None] * 30
+    rng.shuffle(texts)
+    rows = shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 8, cell=64).collect()
+    laws(rows, list(enumerate(texts)))
+    sizes = defaultdict(int)
+    for t in texts:
+        sizes[t or ""] += len(t or "") + 1
+    loads = defaultdict(int)
+    for r in rows:
+        loads[r.shard] += r["size"]
+    assert [loads[s] for s in range(8)] == brute(sizes.values(), 8)
 
 
 def laws(rows, docs):
