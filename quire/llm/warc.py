@@ -1,8 +1,8 @@
 """WARC archives as chunked record tables.
 
-A record is rows of (record, chunk number, bytes): payloads are cut into chunks before they leave the JVM,
-written one chunk at a time into a gzip member per record, and read back the same way, each chunk row carrying
-the SHA-1 of the payload so far. Neither side ever holds a whole record.
+A record is rows of (record, chunk number, bytes). Payloads, which the input has whole, are cut one chunk at a time
+before they leave the JVM, written chunk by chunk into a gzip member per record, and read back the same way, each
+chunk row carrying the SHA-1 of the payload so far. Neither the writer nor the reader of archives holds a whole record.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, shared_dir, table, written
+from .common import Shared, keep_until_exit, shared_dir, table, written
 
 CHUNK = 256 * 1024
 #: Records of one batch between the JVM and Python, which bounds it to this many chunks.
@@ -47,23 +47,25 @@ def plan_records(pages: DataFrame) -> DataFrame:
     others revisit it; ids that are null come last, and payloads that only they have are responses.
     """
     html = F.coalesce("html", F.lit(""))
-    keyed = pages.select("page_id", "url", html.alias("html"), F.sha1(html).alias("sha1"), F.octet_length(html).cast("long").alias("payload_bytes"))
-    first = keyed.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    own = F.col("page_id").eqNullSafe(F.col("first_id"))
-    return keyed.join(first, "sha1").select(
+    sha1 = F.sha1(html).alias("sha1")
+    # Only digests that repeat, without their payloads, are sent to the pages.
+    first = pages.select("page_id", sha1).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
+    first = written(first.select(F.col("sha1").alias("own"), "first_id", "n"), "warc-repeated")
+    keyed = pages.select("page_id", "url", html.alias("html"), sha1, F.octet_length(html).cast("long").alias("payload_bytes"))
+    again = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
+    return keyed.join(first, F.col("sha1") == F.col("own"), "left").select(
         "page_id", "url", "html", "sha1", "payload_bytes",
-        F.when(own, "response").otherwise("revisit").alias("record_type"), F.when(~own, F.col("first_id")).alias("refers_to"),
+        F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first_id")).alias("refers_to"),
     )
 
 
 def chunked(planned: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
     """A row for each chunk of each payload, in order; a revisit, and an empty payload, has one empty chunk."""
     raw: Column = F.col("html").cast("binary")
-    last = F.greatest(F.ceil(F.col("payload_bytes") / chunk_bytes) - 1, F.lit(0)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("chunk_no"), F.substring(raw, i * chunk_bytes + 1, F.lit(chunk_bytes)).alias("data")))
-    none = F.array(F.struct(F.lit(0).alias("chunk_no"), F.lit(b"").alias("data")))
-    out = planned.select("page_id", "url", "sha1", "payload_bytes", "record_type", "refers_to", F.explode(F.when(F.col("record_type") == "response", cut).otherwise(none)).alias("c"))
-    return out.select("page_id", "url", "sha1", "payload_bytes", "record_type", "refers_to", "c.chunk_no", "c.data")
+    last = F.when(F.col("record_type") == "response", F.greatest(F.ceil(F.col("payload_bytes") / chunk_bytes) - 1, F.lit(0))).otherwise(0).cast("int")
+    numbered = planned.select("*", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    data = F.when(F.col("record_type") == "response", F.substring(raw, F.col("chunk_no") * chunk_bytes + 1, F.lit(chunk_bytes))).otherwise(F.lit(b""))
+    return numbered.select("page_id", "url", "sha1", "payload_bytes", "record_type", "refers_to", "chunk_no", data.alias("data"))
 
 
 def _head(row: dict, name: str) -> bytes:
@@ -82,6 +84,13 @@ def _head(row: dict, name: str) -> bytes:
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields if v is not None) + b"\r\n" + http
 
 
+def _info(name: str) -> bytes:
+    """A warcinfo record, which begins each file."""
+    body = b"software: quire\r\nformat: WARC File Format 1.1\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMESPACE, name)}>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(body)}\r\n\r\n"
+    return gzip.compress(head.encode() + body + b"\r\n\r\n", 3, mtime=0)
+
+
 def write(chunks: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Writes chunk rows (as from ``chunked``, a record's rows adjacent) as .warc.gz files under ``path``; gives the manifest.
 
@@ -93,13 +102,14 @@ def write(chunks: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFra
         rows = (row for batch in batches for k in range(0, batch.num_rows, ROWS) for row in batch.slice(k, ROWS).to_pylist())
         held, number, done = next(rows, None), 0, []
 
-        def members() -> Iterator[bytes]:
+        def members(name: str) -> Iterator[bytes]:
             nonlocal held
             size, records = 0, 0
+            yield _info(name)
             while held is not None and (not records or size < file_bytes):
                 pack = zlib.compressobj(3, zlib.DEFLATED, 31)
-                name = str(held["page_id"]) if held["page_id"] is not None else f"{part}/{number}/{records}"
-                out = [pack.compress(_head(held, name))]
+                record = str(held["page_id"]) if held["page_id"] is not None else f"{part}/{number}/{records}"
+                out = [pack.compress(_head(held, record))]
                 while True:
                     out.append(pack.compress(held["data"]))
                     size += sum(map(len, out))
@@ -115,7 +125,7 @@ def write(chunks: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> DataFra
         while held is not None:
             counted: list[int] = []
             name = f"part-{part:05d}-{number:05d}.warc.gz"
-            size = store.put(name, members())
+            size = store.put(name, members(name))
             done.append((name, counted[0], size))
             number += 1
         yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "records", "bytes"])
@@ -127,17 +137,25 @@ def _headers(lines: list[bytes]) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (line.decode("utf-8", "replace").partition(":") for line in lines)}
 
 
+def _line(f) -> bytes:
+    """A line with its end, however long."""
+    parts = [f.readline(65_536)]
+    while parts[-1] and not parts[-1].endswith(b"\n"):
+        parts.append(f.readline(65_536))
+    return b"".join(parts)
+
+
 def _block(f) -> list[bytes]:
     """Lines up to the empty one."""
     out = []
-    while (line := f.readline(65_536)) not in (b"\r\n", b"\n", b""):
+    while (line := _line(f)) not in (b"\r\n", b"\n", b""):
         out.append(line)
     return out
 
 
 def records(f, chunk_bytes: int = CHUNK) -> Iterator[dict]:
     """Chunk rows of an uncompressed WARC stream: responses and revisits; other records are passed over."""
-    while line := f.readline(65_536):
+    while line := _line(f):
         if not line.startswith(b"WARC/"):
             continue  # the empty lines after a record
         head = _headers(_block(f))
@@ -197,6 +215,6 @@ def read(manifest: DataFrame, path: str, chunk_bytes: int = CHUNK, data: bool =
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes every page as a WARC record, reads the archives back, and gives each page's record."""
-    path = shared_dir(spark, "warc")
+    path = keep_until_exit(spark, shared_dir(spark, "warc"))
     manifest = write(chunked(plan_records(table(spark, sf_dir, "pages"))), path)
     return read(manifest, path, data=False).filter("is_last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 import io
 
@@ -66,3 +67,20 @@ def test_damage_is_seen():
 
 def test_empty_table(spark, tmp_path):
     assert op3_warc(spark, sf_dir_of(spark, tmp_path, pages=pages(spark).limit(0))).count() == 0
+
+
+def test_long_header_lines_and_warcinfo(spark, tmp_path):
+    url = "http://a/" + "x" * 200_000
+    df = spark.createDataFrame([(1, url, "<p>one</p>"), (2, url, "<p>one</p>")], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    manifest = warc.write(warc.chunked(warc.plan_records(df)), path)
+    rows = warc.read(manifest, path).collect()
+    assert sorted((r.page_id, r.record_type, r.url == url) for r in rows) == [(1, "response", True), (2, "revisit", True)]
+    name = manifest.first().file
+    assert gzip.decompress((tmp_path / "w" / name).read_bytes()).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+
+
+def test_a_payload_that_most_pages_share(spark, tmp_path):
+    df = spark.createDataFrame([(k, "u", "<p>same</p>" if k % 3 else f"own {k}") for k in range(300)], "page_id long, url string, html string")
+    got = op3_warc(spark, sf_dir_of(spark, tmp_path, pages=df)).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute([(r.page_id, r.url, r.html) for r in df.collect()]), key=key)
