@@ -3,23 +3,28 @@
 Benchmark items are cut into overlapping segments. A text that holds a segment of n characters within e edits
 shares at least n - q + 1 - q * e of its q-grams with it, all on e + 1 neighbouring diagonals (position in
 the text less position in the segment). Shared q-grams are counted in bands of diagonals that overlap by e, so
-that no such region falls between two; bands that reach the bound are verified by banded alignment.
+that no such region falls between two; bands that reach the bound are verified by banded alignment. Items shorter
+than a q-gram have none: they are found only in a text that is nothing else. Long texts are searched a slice at a
+time, and slices overlap by more than a stretch can take up.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, table, written
 
 #: Characters of a q-gram, of a segment and between segments; edits allowed per character.
 Q, SEGMENT, STEP, BUDGET = 10, 160, 80, 0.08
+#: Code points of a text that are searched at once, and that slices overlap by.
+SLICE, LAP = 32_768, 1024
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark goes in blocks.
 BLOCK_BYTES = 16 * 1024 * 1024
 
@@ -120,13 +125,16 @@ class Probe:
     place: np.ndarray
     flag: np.ndarray
     band: int
+    short: dict  # bytes of an item shorter than a q-gram -> item ids
 
     @staticmethod
     def of(items: list[tuple], q: int = Q, segment: int = SEGMENT, step: int = STEP, budget: float = BUDGET) -> Probe:
-        """Items are (id, text); null and shorter than q characters hold no q-gram and are not searched."""
-        ids, cuts = [], []
+        """Items are (id, text); null and blank ones are nowhere."""
+        ids, cuts, short = [], [], {}
         for item, text in items:
             cp = _stripped(normalise(text or "")[0])
+            if 0 < len(cp) < q:
+                short.setdefault(cp.tobytes(), []).append(item)
             for at in range(0, max(1, len(cp) - segment + step), step):
                 at = min(at, max(0, len(cp) - segment))
                 if len(cut := cp[at : at + segment]) >= q:
@@ -146,21 +154,30 @@ class Probe:
         flag = np.zeros(1 << _FILTER_BITS, bool)
         flag[gram >> np.uint64(64 - _FILTER_BITS)] = True
         band = 1 << int(max(1, edits.max(initial=1))).bit_length()  # wider than any budget
-        return Probe(ids, cuts, edits, need, gram, np.r_[first, len(h)], seg[order], place[order], flag, band)
+        return Probe(ids, cuts, edits, need, gram, np.r_[first, len(h)], seg[order], place[order], flag, band, short)
 
     def search(self, text: str | None, q: int = Q) -> list[tuple]:
         """(item_id, start, end, edits) of every item found: the stretch that its segments cover, and the fewest edits of one."""
         cp, at = normalise(text or "")
+        if len(cp) <= q + 1 and (ids := self.short.get(_stripped(cp).tobytes())):
+            return [(item, 0, len(text), 0) for item in ids]
+        found: dict = {}
+        for begin in range(0, max(1, len(cp) - LAP), SLICE):
+            self._search(cp[begin : begin + SLICE + LAP], at[begin : begin + SLICE + LAP], q, found)
+        return [(item, *span) for item, span in found.items()]
+
+    def _search(self, cp: np.ndarray, at: np.ndarray, q: int, found: dict) -> None:
+        """Adds (start, end, edits) of the items found in a slice; ``at``: the place of its code points in the text."""
         h = grams(cp, q)
         where = np.flatnonzero(self.flag[h >> np.uint64(64 - _FILTER_BITS)])
         if not len(where):
-            return []
+            return
         k = np.searchsorted(self.gram, h[where])
         hit = (k < len(self.gram)) & (self.gram[np.minimum(k, len(self.gram) - 1)] == h[where])
         where, k = where[hit], k[hit]
         count = self.first[k + 1] - self.first[k]
         if not len(k):
-            return []
+            return
         entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.first[k], count)
         seg, diagonal = self.seg[entry], np.repeat(where, count) - self.place[entry] + SEGMENT * 2  # not negative
         band = diagonal // self.band
@@ -168,7 +185,6 @@ class Probe:
         bands = (len(cp) + SEGMENT * 4) // self.band + 2
         key, n = np.unique(np.r_[seg * bands + band, (seg * bands + band - 1)[over]], return_counts=True)
         key = key[n >= self.need[key // bands]]
-        found: dict = {}
         for s, b in zip((key // bands).tolist(), (key % bands).tolist()):
             e, low = int(self.budget[s]), b * self.band - SEGMENT * 2
             best = edits_within(self.cuts[s], cp, low, low + self.band + e, e)
@@ -177,26 +193,26 @@ class Probe:
                 end = min(max(end, start + 1), len(at))
                 was = found.get(self.items[s], (1 << 30, -1, 1 << 30))
                 found[self.items[s]] = (min(was[0], int(at[start])), max(was[1], int(at[end - 1]) + 1), min(was[2], cost))
-        return [(item, *span) for item, span in found.items()]
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple]]:
-    """(item_id, text) rows of the benchmark, at most about ``block_bytes`` at a time."""
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[list[tuple], bool]]:
+    """(item_id, text) rows of the benchmark, at most about ``block_bytes`` at a time; and whether there are several blocks."""
     items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     for k in range(blocks):
         part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        yield [tuple(r) for r in part.collect()]  # bounded by block_bytes
+        yield [tuple(r) for r in part.collect()], blocks > 1  # bounded by block_bytes
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, start, end, edits): a row for each document row and item found in it; clean documents have none.
 
-    start and end are code points of the text. Null texts are clean; repeated rows give repeated results.
+    start and end are code points of the text. Null texts are clean; repeated rows give repeated results. A benchmark of
+    several blocks takes a pass for each, whose rows are written before the next block is sent, so that one is held at a time.
     """
-    spark, out = docs.sparkSession, None
-    for items in _blocks(benchmark, block_bytes):
+    spark, found, several = docs.sparkSession, [], False
+    for items, several in _blocks(benchmark, block_bytes):
         sent = spark.sparkContext.broadcast(Probe.of(items))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -204,22 +220,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
                 rows = [(d, *x) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for x in sent.value.search(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "item_id", "start", "end", "edits"])
 
-        found = docs.select("doc_id", "text").mapInArrow(run, _FOUND)
-        out = found if out is None else out.unionByName(found)
-    return out
+        part = docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+        if several:
+            part = written(part, "decontam-found")
+            sent.destroy()
+        found.append(part)
+    return reduce(DataFrame.unionByName, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, as they are, whose text holds no benchmark item."""
-    for items in _blocks(benchmark, block_bytes):
+    """The rows of ``docs``, as they are, whose text holds no benchmark item. Blocks as in ``contaminated``: each leaves fewer rows."""
+    left = docs
+    for items, several in _blocks(benchmark, block_bytes):
         sent, place = docs.sparkSession.sparkContext.broadcast(Probe.of(items)), docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, place=place) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch.filter(pa.array([not sent.value.search(t.as_py()) for t in batch.column(place)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        before, left = left, left.mapInArrow(run, docs.schema)
+        if several:
+            left = written(left, "decontam-left")
+            sent.destroy()
+            if before is not docs:
+                discard(before)
+    return left
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

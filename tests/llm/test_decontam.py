@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from quire.llm import decontam
-from quire.llm.decontam import Probe, decontaminate, edits_within, op2_decontaminate
+from quire.llm.decontam import Probe, contaminated, decontaminate, edits_within, op2_decontaminate
 
 from .helpers import odd_docs, sf_dir_of
 
@@ -68,7 +68,7 @@ def test_parts_of_long_items_and_clean_texts():
     text = prose(rng, 120)
     probe = Probe.of([(1, text), (2, None), (3, ""), (4, "short")])
     assert [x[0] for x in probe.search(prose(rng, 30) + text[200:460])] == [1]
-    assert probe.search(prose(rng, 3000)) == [] and probe.search(None) == [] and probe.search("short") == []
+    assert probe.search(prose(rng, 3000)) == [] and probe.search(None) == [] and probe.search("a short one") == []
     assert probe.search(text[:50]) == []
 
 
@@ -100,3 +100,30 @@ def test_odd_rows_blocks_and_filter(spark, tmp_path):
     kept = decontaminate(docs, bench)
     assert kept.columns == docs.columns and kept.count() == n - 2 and not bad & {r.doc_id for r in kept.collect()}
     assert decontaminate(docs.limit(0), bench).count() == 0 and decontaminate(docs, bench.limit(0)).count() == n
+
+
+def test_short_items_are_only_found_as_whole_texts():
+    probe = Probe.of([(1, "yes"), (2, " YES "), (3, "no")])
+    assert sorted(x[0] for x in probe.search("\nYes ")) == [1, 2] and probe.search("no") == [(3, 0, 2, 0)]
+    assert probe.search("yes and no") == [] and probe.search("") == []
+
+
+def test_slices_lose_nothing(monkeypatch):
+    rng = random.Random(6)
+    item = prose(rng, 300)
+    probe = Probe.of([(1, item)])
+    monkeypatch.setattr("quire.llm.decontam.SLICE", 1500)
+    for at in range(0, 3000, 97):
+        before, after = prose(rng, at), prose(rng, 4000)
+        text = f"{before} {item} {after}"
+        (found,) = probe.search(text)
+        assert found[0] == 1 and found[3] == 0 and found[1] <= len(before) + 2 and found[2] >= len(before) + len(item) - 1
+    assert probe.search(prose(rng, 9000)) == []
+
+
+def test_blocks_of_a_benchmark_give_what_one_gives(spark, sf):
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    want = sorted(map(tuple, contaminated(docs, bench).collect()))
+    assert want and sorted(map(tuple, contaminated(docs, bench, 4000).collect())) == want
+    clean = sorted(r.doc_id for r in decontaminate(docs, bench, 4000).collect())
+    assert clean == sorted({r.doc_id for r in docs.collect()} - {r[0] for r in want})
