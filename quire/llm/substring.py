@@ -3,9 +3,11 @@
 A window is ``WINDOW`` consecutive words. The index holds the windows of all earlier batches as sorted,
 immutable runs, cut into buckets by the top bits of the fingerprint. A new batch's windows are dealt to
 the buckets as packed, sorted blocks, and each bucket merge-joins them with its runs: a window is a
-repeat if history holds it, or if the batch holds it at a smaller (doc_id, start). A match needs 64 bits
-of one polynomial fingerprint and is verified by 16 bits of an independent one. The bucket's new
-windows become the next run; when ``FANOUT`` runs have gathered, they are compacted into it.
+repeat if history holds it, or if the batch holds it at a smaller (doc_id, start). Of windows that are equal within a
+block only the first goes to its bucket, the others are repeats whatever it finds; so no window is sent more often than
+there are blocks. A match needs 64 bits of one polynomial fingerprint and is verified by 32 bits of another, over
+hashes of the words with another seed. The bucket's new windows become the next run; when ``FANOUT`` runs have
+gathered, they are compacted into it.
 """
 
 from __future__ import annotations
@@ -15,17 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, drop_dead_shuffles, shared_dir, table, written
+from .common import Shared, discard, drop_dead_shuffles, keep_until_exit, remove, shared_dir, table, written
 
 WINDOW = 20
 #: Windows that a task packs at once, and that a bucket gets from the whole corpus at about; buckets at least.
-BLOCK, PER_BUCKET, MIN_BUCKETS = 1_000_000, 4_000_000, 64
+BLOCK, PER_BUCKET, MIN_BUCKETS = 1_000_000, 2_000_000, 64
+#: Words whose hashes a worker remembers.
+REMEMBERED = 500_000
 #: Runs that are compacted into one.
-FANOUT = 3
+FANOUT = 2
 #: Parts, by doc_id, in which the query feeds the corpus to the index.
 BATCHES = 4
 
@@ -60,13 +65,26 @@ def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
+_words: dict[bytes, bytes] = {}
+
+
+def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """Two hashes of each word, by different seeds, as rows."""
+    of, known = xxhash.xxh64_digest, _words
+    if len(known) > REMEMBERED:
+        known.clear()
+    for w in words:
+        if w not in known:
+            known[w] = of(w) + of(w, 1)
+    return np.frombuffer(b"".join([known[w] for w in words]), ">u8").astype(np.uint64).reshape(-1, 2)
+
+
 def window_hashes(words: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint and check of the window at every start."""
     if len(words) < window:
-        return np.empty(0, np.uint64), np.empty(0, np.uint16)
-    of = xxhash.xxh64_intdigest
-    h = np.array([of(w) for w in words], np.uint64)
-    return _rolling(h, _P, window), (_rolling(h, _Q, window) >> np.uint64(48)).astype(np.uint16)
+        return np.empty(0, np.uint64), np.empty(0, np.uint32)
+    h = _word_hashes(words)
+    return _rolling(np.ascontiguousarray(h[:, 0]), _P, window), (_rolling(np.ascontiguousarray(h[:, 1]), _Q, window) >> np.uint64(32)).astype(np.uint32)
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -87,12 +105,25 @@ def unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return out
 
 
-_ENTRY = (np.uint64, np.uint16, np.int64, np.int32)  # fingerprint, check, doc_id, start
-_RUN = (np.uint64, np.uint16)
+_ENTRY = (np.uint64, np.uint32, np.int64, np.int32)  # fingerprint, check, doc_id, start
+_RUN = (np.uint64, np.uint32)
+_DEALT = "bucket int, doc_id long, blob binary"
+
+
+def _starts(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The distinct doc_ids, and the packed starts of each."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    if not len(doc):
+        return doc, []
+    cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    return doc[cut], [np.diff(x, prepend=np.int32(0)).astype("<i4").tobytes() for x in np.split(start, cut[1:])]
 
 
 def _blocks(docs: DataFrame, bits: int, window: int) -> DataFrame:
-    """(bucket, blob): the windows of ``docs`` as packed entries, sorted by fingerprint within each blob."""
+    """(bucket, doc_id, blob): the windows of ``docs`` as packed entries, sorted by fingerprint within each blob, without a doc_id;
+    and the packed starts of a document's windows that repeat one of their block, in any one bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -102,11 +133,17 @@ def _blocks(docs: DataFrame, bits: int, window: int) -> DataFrame:
             held.clear()
             order = np.argsort(h)
             h, check, doc, start = h[order], check[order], doc[order], start[order]
+            again = _repeats(h, check, doc, start, [])[0]
+            docs_, starts = _starts(doc[again], start[again])
+            for lo in range(0, len(docs_), 4096):
+                some = docs_[lo : lo + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array((some % 2**bits).astype(np.int32)), pa.array(some), pa.array(starts[lo : lo + 4096], pa.binary())], ["bucket", "doc_id", "blob"])
+            h, check, doc, start = h[~again], check[~again], doc[~again], start[~again]
             edge = np.searchsorted(h >> np.uint64(64 - bits), np.arange(2**bits + 1, dtype=np.uint64))
             for lo in range(0, 2**bits, 64):
                 some = [k for k in range(lo, min(lo + 64, 2**bits)) if edge[k] < edge[k + 1]]
                 blobs = [pack(*(c[edge[k] : edge[k + 1]] for c in (h, check, doc, start))) for k in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.nulls(len(some), pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "doc_id", "blob"])
 
         count = 0
         for batch in batches:
@@ -121,7 +158,7 @@ def _blocks(docs: DataFrame, bits: int, window: int) -> DataFrame:
         if held:
             yield from flush()
 
-    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text").mapInArrow(run, "bucket int, blob binary")
+    return docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "text").mapInArrow(run, _DEALT)
 
 
 def _repeats(h: np.ndarray, check: np.ndarray, doc: np.ndarray, start: np.ndarray, history: list[list[np.ndarray]]):
@@ -172,7 +209,9 @@ class WindowIndex:
 
         def merge(key: tuple, group: pa.Table) -> pa.Table:
             bucket, store = key[0].as_py(), Shared(root)
-            parts = [unpack(b.as_py(), *_ENTRY) for b in group.column("blob")]
+            sure = pc.is_valid(group.column("doc_id"))
+            passed = group.filter(sure).select(["doc_id", "blob"]).rename_columns(["doc_id", "starts"])
+            parts = [unpack(b.as_py(), *_ENTRY) for b in group.filter(pc.invert(sure)).column("blob")] or [[np.empty(0, k) for k in _ENTRY]]
             h, check, doc, start = (np.concatenate(c) for c in zip(*parts))
             del parts
             order = np.argsort(h)
@@ -184,16 +223,12 @@ class WindowIndex:
                 order = np.argsort(new_h, kind="stable")
                 new_h, new_check = new_h[order], new_check[order]
             store.put(f"run-{number}/{bucket}", [pack(new_h, new_check)])
-            doc, start = doc[repeat], start[repeat]
-            order = np.lexsort((start, doc))
-            doc, start = doc[order], start[order]
-            cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.empty(0, np.int64)
-            starts = [np.diff(x, prepend=np.int32(0)).astype("<i4").tobytes() for x in np.split(start, cut[1:])] if len(doc) else []
-            return pa.table({"doc_id": pa.array(doc[cut]), "starts": pa.array(starts, pa.binary())})
+            docs_, starts = _starts(doc[repeat], start[repeat])
+            return pa.concat_tables([passed, pa.table({"doc_id": pa.array(docs_), "starts": pa.array(starts, pa.binary())})])
 
         dealt = _blocks(docs, bits, self.window)
         if compacting:  # buckets that the batch doesn't touch are carried over, too
-            dealt = dealt.unionByName(self.spark.range(2**bits).select(F.col("id").cast("int").alias("bucket"), F.lit(pack(*(np.empty(0, k) for k in _ENTRY))).alias("blob")))
+            dealt = dealt.unionByName(self.spark.range(2**bits).select(F.col("id").cast("int").alias("bucket"), F.lit(None).cast("long").alias("doc_id"), F.lit(pack(*(np.empty(0, k) for k in _ENTRY))).alias("blob")))
         out = written(dealt.groupBy("bucket").applyInArrow(merge, "doc_id long, starts binary"), "substring-repeats")
         self.runs = [number] if compacting else [*runs, number]
         self.made += 1
@@ -250,7 +285,7 @@ def digest_batches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
     docs = docs.select("doc_id", "text")
     cuts, size = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 10_000), F.sum(F.octet_length("text"))).first()
     buckets = max(MIN_BUCKETS, (size or 0) // 6 // PER_BUCKET)
-    index = WindowIndex(spark, shared_dir(spark, "substring-index"), buckets, window, fanout)
+    index = WindowIndex(spark, keep_until_exit(spark, shared_dir(spark, "substring-index")), buckets, window, fanout)
     cuts = sorted(set(cuts or []))
     parts = []
     for low, high in zip([None, *cuts], [*cuts, None]):
@@ -261,8 +296,10 @@ def digest_batches(docs: DataFrame, batches: int = BATCHES, window: int = WINDOW
             part = part.filter(F.col("doc_id") <= high)
         repeats = index.add(part)
         parts.append(written(_digests(part, repeats, window), "substring-digests"))
+        discard(repeats)
         del repeats, part
         drop_dead_shuffles(spark)
+    remove(spark, index.root)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
