@@ -77,7 +77,7 @@ class Index:
     def __init__(self, ids: np.ndarray, sample: np.ndarray, n: int):
         dim = sample.shape[1]
         self.dim, self.parts, self.ids, self.sample = dim, min(PARTS, dim), ids, sample
-        self.coarse = kmeans(sample, max(1, min(LISTS, n // PER_LIST, len(sample) // 8)))
+        self.coarse = kmeans(sample, max(1, min(LISTS, max(n // PER_LIST, math.isqrt(n) // 4), len(sample) // 8)))
         self.cuts = np.linspace(0, dim, self.parts + 1).astype(int)
         self.lists = nearest(sample, self.coarse)
         residual = sample - self.coarse[self.lists]

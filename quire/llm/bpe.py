@@ -13,6 +13,7 @@ import base64
 import hashlib
 import heapq
 import json
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -159,12 +160,14 @@ def frequent_pieces(docs: DataFrame, limit: int = PIECES) -> DataFrame:
     counts = written(pieces.groupBy("piece").agg(F.count("*").alias("n")).filter(F.octet_length("piece") <= PIECE_BYTES), "bpe-pieces")
     level = F.floor(F.log2("n") * 16)
     classes = sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r.level)
-    total, cut = 0, None
+    total, above, share = 0, None, 0.0
     for r in classes:
-        if (total := total + r.words) > limit:
+        if total + r.words > limit:
+            share = (limit - total) / r.words  # of the first class that doesn't fit, a part by hash
             break
-        cut = r.level
-    return counts.filter(level >= cut) if cut is not None else counts.limit(0)
+        total, above = total + r.words, r.level
+    part = (level == (F.lit(r.level) if share else F.lit(None))) & (F.pmod(F.xxhash64("piece"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return counts.filter(part | (level >= above) if above is not None else part) if classes else counts.limit(0)
 
 
 def _collected(folded: DataFrame) -> pa.Table:
@@ -191,6 +194,9 @@ def _packed(table: bytes, ranks: dict[bytes, int]) -> dict[str, bytes]:
     return out
 
 
+_worker: dict = {}  # what a Python worker has unpacked, of the encoder it last ran for
+
+
 class Encoder:
     """Frequent pieces with their tokens, and the ranks for the rest; sent to the executors once."""
 
@@ -203,20 +209,23 @@ class Encoder:
         with pa.BufferOutputStream() as out:
             with pa.ipc.new_stream(out, known.schema) as stream:
                 stream.write_table(known)
+            self.mark = uuid.uuid4().hex
             self.sent = docs.sparkSession.sparkContext.broadcast((out.getvalue().to_pybytes(), self.ranks))
         drop_dead_shuffles(docs.sparkSession)
 
     def apply(self, docs: DataFrame, emit: Callable[[bytes, list[bytes]], tuple], schema: dict[str, str]) -> DataFrame:
         """doc_id and the columns of ``emit(tokens as little-endian unsigned 32-bit integers, token bytes by id)`` for every document."""
-        sent, pattern, names = self.sent, portable(), list(schema)
+        sent, pattern, names, mark = self.sent, portable(), list(schema), self.mark
         kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, ranks = sent.value
-            known, more, split = _packed(table, ranks), {}, regex.compile(pattern).findall
-            by_id = [b""] * (max(ranks.values(), default=-1) + 1)
-            for token, k in ranks.items():
-                by_id[k] = token
+            if _worker.get("of") != mark:  # a worker runs many tasks; it unpacks the table once
+                by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+                for token, k in ranks.items():
+                    by_id[k] = token
+                _worker.update(of=mark, known=_packed(table, ranks), by_id=by_id, more={})
+            known, by_id, more, split = _worker["known"], _worker["by_id"], _worker["more"], regex.compile(pattern).findall
 
             def rare(piece: str) -> bytes:
                 if (found := more.get(piece)) is None:

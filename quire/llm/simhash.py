@@ -15,12 +15,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, drop_dead_shuffles, table, written
@@ -122,62 +123,73 @@ def _forest(fps: np.ndarray, rows: np.ndarray, radius: int) -> list[tuple[int, i
     return edges
 
 
-def _bucket_edges(names: np.ndarray, fps: np.ndarray, first: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Names of linked rows of each bucket; ``first`` has the place where each bucket begins."""
+def _bucket_edges(names: np.ndarray, fps: np.ndarray, rows: np.ndarray, first: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of linked rows of each bucket; ``first`` has the place where each bucket begins, ``rows`` the rows of the pivot table."""
     size = np.diff(np.r_[first, len(names)])
     two = first[size == 2]
-    two = two[(np.abs(_pivot_rows(fps[two], pivots) - _pivot_rows(fps[two + 1], pivots)) <= radius).all(axis=1)]
+    two = two[(np.abs(rows[two] - rows[two + 1]) <= radius).all(axis=1)]
     two = two[_apart(fps[two], fps[two + 1]) <= radius]
     a, b = [names[two]], [names[two + 1]]
     for at, n in zip(first[size > 2].tolist(), size[size > 2].tolist()):
-        own = fps[at : at + n]
-        if found := _forest(own, _pivot_rows(own, pivots), radius):
+        if found := _forest(fps[at : at + n], rows[at : at + n], radius):
             x = np.array(found) + at
             a.append(names[x[:, 0]])
             b.append(names[x[:, 1]])
     return np.concatenate(a), np.concatenate(b)
 
 
-def _in_buckets(dealt: DataFrame, lanes: list[str], name: str, radius: int, pivots: np.ndarray) -> DataFrame:
-    """(a, b): links within the buckets (t, bits) of rows with a name and lanes. Rows stream through in the order of their bucket."""
-    columns = ["t", "bits", name, *[c for c in lanes if c != name]]
+def _whole_keys(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns of sorted batches, cut so that rows that agree in the first ``keys`` columns stay together."""
+    held: list[list[np.ndarray]] = []  # of the last key
+
+    def joined() -> list[np.ndarray]:
+        return [np.concatenate(parts) for parts in zip(*held)]
+
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        if held and any(held[-1][k][-1] != cols[k][0] for k in range(keys)):
+            yield joined()
+            held = []
+        other = np.flatnonzero(np.any([cols[k] != cols[k][-1] for k in range(keys)], axis=0))
+        last = int(other[-1]) + 1 if len(other) else 0
+        if last:
+            held.append([c[:last] for c in cols])
+            yield joined()
+            held = []
+        held.append([c[last:] for c in cols])
+    if held:
+        yield joined()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
 
-        def edges(cols: list[np.ndarray]) -> pa.RecordBatch:
-            t, bits, names = cols[:3]
+def _in_buckets(dealt: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links within the buckets (t, bits) of rows (t, bits, fp, p0, p1), which stream through in the order of their bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bits, fp, p0, p1 in _whole_keys(batches, 2):
             first = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (bits[1:] != bits[:-1])])
-            by_name = dict(zip(columns, cols))
-            fps = np.stack([by_name[c] for c in lanes], axis=1).view(np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in _bucket_edges(names, fps, first, radius, pivots)], ["a", "b"])
-
-        for batch in batches:  # the last bucket of a batch may go on in the next
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if kept is not None:
-                cols = [np.concatenate(pair) for pair in zip(kept, cols)]
-            if not len(cols[0]):
-                continue
-            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            last = int(other[-1]) + 1 if len(other) else 0
-            if last:
-                yield edges([c[:last] for c in cols])
-            kept = [c[last:] for c in cols]
-        if kept is not None:
-            yield edges(kept)
-
-    return dealt.select(columns).repartition("t", "bits").sortWithinPartitions("t", "bits").mapInArrow(run, "a long, b long").distinct()
+            rows = np.stack([p0, p1], axis=1).astype("<i8").view(np.uint8).astype(np.int16)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _bucket_edges(fp, fp[:, None].view(np.uint64), rows, first, radius)], ["a", "b"])
+
+    return dealt.select("t", "bits", "fp", "p0", "p1").repartition("t", "bits").sortWithinPartitions("t", "bits").mapInArrow(run, "a long, b long").distinct()
+
+
+def pivot_table(prints: DataFrame) -> DataFrame:
+    """(fp, p0, p1): each distinct fingerprint with its distances to the 16 pivots, a byte each, worked out once."""
+    signed = lambda m: int(m) - 2**64 if m >= 2**63 else int(m)
+    apart = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(p)))).cast("long") for p in PIVOTS[:, 0].tolist()]
+    packed = lambda some: reduce(Column.bitwiseOR, [F.shiftleft(d, 8 * k) for k, d in enumerate(some)])
+    return prints.select("fp").filter(F.col("fp").isNotNull()).distinct().select("fp", packed(apart[:8]).alias("p0"), packed(apart[8:]).alias("p1"))
 
 
 def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect just what all links of ``radius`` or fewer bits connect."""
-    prints = prints.select("fp").filter(F.col("fp").isNotNull()).distinct()
-    masks = _block_masks(prints.count(), radius)
+    rows = written(pivot_table(prints), "simhash-pivots")
+    masks = _block_masks(rows.count(), radius)
     signed = lambda m: m - 2**64 if m >= 2**63 else m
     keys = F.array(*[F.struct(F.lit(k).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for k, m in masks])
-    dealt = prints.select("fp", F.explode(keys).alias("key")).select("key.t", "key.bits", "fp")
-
-    return _in_buckets(dealt, ["fp"], "fp", radius, PIVOTS)
+    return _in_buckets(rows.select("fp", "p0", "p1", F.explode(keys).alias("key")).select("key.t", "key.bits", "fp", "p0", "p1"), radius)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
@@ -284,20 +296,8 @@ def _near_pairs(company: DataFrame, similarity: float) -> DataFrame:
                     a, b, held = [], [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] | None = None
-        for batch in batches:  # the last cell of a batch may go on in the next
-            cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            if kept is not None:
-                cols = [np.concatenate(pair) for pair in zip(kept, cols)]
-            if not len(cols[0]):
-                continue
-            other = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
-            last = int(other[-1]) + 1 if len(other) else 0
-            if last:
-                yield from pairs([c[:last] for c in cols])
-            kept = [c[last:] for c in cols]
-        if kept is not None:
-            yield from pairs(kept)
+        for cols in _whole_keys(batches, 2):
+            yield from pairs(cols)
 
     parts = F.ceil(F.col("n") / GROUP).cast("long")
     own = company.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))

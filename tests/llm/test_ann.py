@@ -68,12 +68,13 @@ def test_odd_vectors(spark, tmp_path):
     assert op10_ann(spark, sf_dir_of(spark, tmp_path / "e", embeddings=df.limit(0))).count() == 0
 
 
-def test_rows_come_only_from_the_probed_lists(spark, monkeypatch):
+def test_rows_come_only_from_the_probed_lists(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(ann, "PER_LIST", 50)
     monkeypatch.setattr(ann.Index, "_probes", lambda self, sample, k=20: 2)
     rng = np.random.default_rng(7)
     x = rng.normal(size=(1000, 16))
-    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>").localCheckpoint()
+    sf = sf_dir_of(spark, tmp_path, vectors=spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, v array<double>"))
+    vectors = spark.read.parquet(f"{sf}/vectors.parquet")
     index = ann.fit(vectors, 1000)  # the sample is the whole table
     lists = ann.nearest(x, index.coarse)
     out = ann.search(vectors, vectors.filter("vec_id % 20 = 0"), 20).collect()
