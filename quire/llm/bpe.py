@@ -13,7 +13,6 @@ import base64
 import hashlib
 import heapq
 import json
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -194,9 +193,6 @@ def _packed(table: bytes, ranks: dict[bytes, int]) -> dict[str, bytes]:
     return out
 
 
-_worker: dict = {}  # what a Python worker has unpacked, of the encoder it last ran for
-
-
 class Encoder:
     """Frequent pieces with their tokens, and the ranks for the rest; sent to the executors once."""
 
@@ -209,23 +205,20 @@ class Encoder:
         with pa.BufferOutputStream() as out:
             with pa.ipc.new_stream(out, known.schema) as stream:
                 stream.write_table(known)
-            self.mark = uuid.uuid4().hex
             self.sent = docs.sparkSession.sparkContext.broadcast((out.getvalue().to_pybytes(), self.ranks))
         drop_dead_shuffles(docs.sparkSession)
 
     def apply(self, docs: DataFrame, emit: Callable[[bytes, list[bytes]], tuple], schema: dict[str, str]) -> DataFrame:
         """doc_id and the columns of ``emit(tokens as little-endian unsigned 32-bit integers, token bytes by id)`` for every document."""
-        sent, pattern, names, mark = self.sent, portable(), list(schema), self.mark
+        sent, pattern, names = self.sent, portable(), list(schema)
         kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             table, ranks = sent.value
-            if _worker.get("of") != mark:  # a worker runs many tasks; it unpacks the table once
-                by_id = [b""] * (max(ranks.values(), default=-1) + 1)
-                for token, k in ranks.items():
-                    by_id[k] = token
-                _worker.update(of=mark, known=_packed(table, ranks), by_id=by_id, more={})
-            known, by_id, more, split = _worker["known"], _worker["by_id"], _worker["more"], regex.compile(pattern).findall
+            known, more, split = _packed(table, ranks), {}, regex.compile(pattern).findall
+            by_id = [b""] * (max(ranks.values(), default=-1) + 1)
+            for token, k in ranks.items():
+                by_id[k] = token
 
             def rare(piece: str) -> bytes:
                 if (found := more.get(piece)) is None:

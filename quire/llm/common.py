@@ -41,6 +41,18 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return out
 
 
+#: Bytes of Parquet up to which a written table is sent to every executor; beyond, Spark joins by shuffle (or as it sees fit).
+SENT_BYTES = 8 * 1024 * 1024
+
+
+def sent_if_small(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df``, from ``written`` or of the files under ``path``, marked for broadcast if these are no larger than SENT_BYTES."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(path or df._quire_path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return F.broadcast(df) if not files.exists(where) or files.getContentSummary(where).getLength() <= SENT_BYTES else df
+
+
 _FOLDERS: dict[str, SparkSession] = {}
 
 

@@ -17,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import table
 
@@ -151,17 +150,18 @@ class Model:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the rows of ``docs`` (text, lang), of which those without a language or letters teach nothing.
 
-    Every label is learned, from its rows with the smallest hashes of the text, so the order of arrival doesn't matter:
-    sample / labels of each, but LEAST at least, so max(sample, LEAST * labels) rows in all. Copies teach once.
+    Every label is learned, from those of its distinct texts whose hash falls into its share, so the order of arrival doesn't
+    matter: about sample / labels of each, or all if they are fewer, but LEAST at least; so about max(sample, LEAST * labels)
+    rows in all, within a few roots of that. Copies teach once.
     """
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang", F.xxhash64("text").alias("h"))
-    labels = labelled.select("lang").distinct().count()
-    if not labels:
+    counts = labelled.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each label
+    if not counts:
         return Model([], np.empty((0, SLOTS + 1), np.float32), [])
-    each = max(LEAST, sample // labels)
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = labelled.select("lang", "h").distinct().withColumn("at", first).filter(F.col("at") <= each).drop("at")
-    chosen = labelled.join(F.broadcast(picked), ["lang", "h"]).select("text", "lang", "h").dropDuplicates(["lang", "h"])  # as many rows at most as the docstring says
+    each = max(LEAST, sample // len(counts))
+    share = F.create_map(*[F.lit(v) for r in counts for v in (r.lang, min(1.0, each / r.n))])
+    luck = F.pmod(F.col("h"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    chosen = labelled.filter(luck < F.element_at(share, F.col("lang"))).dropDuplicates(["lang", "h"])  # as many rows as the docstring says
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, table, text_or_empty, written
+from .common import discard, sent_if_small, table, text_or_empty, written
 from .spans import count_kind, find_spans, joined, masked, no_spans
 
 #: Share of an entity's information that a term may not reveal.
@@ -94,8 +94,8 @@ def term_spans(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSU
     terms = here.groupBy("term").agg(*_texts("__quire_text_id")).filter(F.col("texts") >= support)
     terms = written(terms, "pii-terms")
     every = F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(), F.lit(_TERM), F.lit(0)), F.lower))
-    spread = docs.select(F.explode(every).alias("term")).join(terms.select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    terms = written(terms.join(spread, "term").select("term", "n_t", F.struct("n_t", "texts", "h1", "h2").alias("t")), "pii-term-classes")
+    spread = docs.select(F.explode(every).alias("term")).join(sent_if_small(terms).select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    seen, terms = terms, written(terms.join(spread, "term").select("term", "n_t", F.struct("n_t", "texts", "h1", "h2").alias("t")), "pii-term-classes")
 
     held = private.select("__quire_text_id", "copies", F.explode(F.array_distinct(F.transform("__quire_base", _entity))).alias("entity"))
     entities = held.groupBy("entity").agg(*_texts("__quire_text_id")).filter(F.col("texts") >= support).select("entity", F.col("docs").alias("n_c"), F.struct("docs", "texts", "h1", "h2").alias("c"))
@@ -111,8 +111,8 @@ def term_spans(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSU
     )
     where = both.join(told, ["c", "t"], "left_semi").select("__quire_text_id", "t").distinct().join(terms.select("term", "t"), "t").select("__quire_text_id", "term")
     hit = words.join(where, ["__quire_text_id", "term"], "left_semi")
-    out = written(hit.groupBy("__quire_text_id").agg(F.collect_list("w").alias("w")), "pii-disclosing")
-    discard(private, words, both, terms)
+    out = sent_if_small(written(hit.groupBy("__quire_text_id").agg(F.collect_list("w").alias("w")), "pii-disclosing"))
+    discard(private, words, both, seen, terms)
     in_order = F.array_sort(F.transform("w", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "rank", "end", "value", "at", "stop")])))
     return out.select("__quire_text_id", F.transform(in_order, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "rank", "start", "end", "value", "at", "stop")])).alias("__quire_terms"))
 

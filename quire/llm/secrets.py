@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, keep_until_exit, shared_dir, table, text_or_empty, written
+from .common import discard, keep_until_exit, sent_if_small, shared_dir, table, text_or_empty, written
 from .spans import count_kind, find_spans, joined, masked
 
 #: Raised whenever a rule below changes, so that blobs are scanned anew.
@@ -75,7 +75,7 @@ def scan(docs: DataFrame, path: str, rule_version: int = RULE_VERSION) -> None:
     known = scanned(spark, path, rule_version).withColumn("known", F.lit(True))
     special = blobs.groupBy("blob").agg(F.count("*").alias("n")).join(known, "blob", "left").filter((F.col("n") > 1) | F.col("known"))
     special = written(special.select(F.col("blob").alias("own"), F.coalesce("known", F.lit(False)).alias("known")), "secrets-special")
-    marked = blobs.join(special, F.col("blob") == F.col("own"), "left")
+    marked = blobs.join(sent_if_small(special), F.col("blob") == F.col("own"), "left")
     once = marked.filter("own is null").select("blob", "text")
     several = marked.filter("not known").select("blob", "text").dropDuplicates(["blob"])
     new = once.unionByName(several).select("blob", spans(F.col("text")).alias("spans"))
@@ -94,7 +94,9 @@ def findings(docs: DataFrame, path: str, rule_version: int = RULE_VERSION) -> Da
 
     Rows are kept as they are, repeated ones too; a text without findings has an empty list.
     """
-    right = found(docs.sparkSession, path, rule_version).select(F.col("blob").alias("__quire_blob"), F.col("spans").alias("__quire_spans"))
+    spark = docs.sparkSession
+    right = found(spark, path, rule_version).select(F.col("blob").alias("__quire_blob"), F.col("spans").alias("__quire_spans"))
+    right = sent_if_small(right, f"{path}/rules={rule_version}/found=true")
     out = docs.withColumn("__quire_own", _blob()).join(right, F.col("__quire_own") == F.col("__quire_blob"), "left").drop("__quire_own", "__quire_blob")
     return out.withColumn("__quire_spans", F.coalesce("__quire_spans", F.array().cast(_SPANS)))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, drop_dead_shuffles, table, written
+from .common import discard, drop_dead_shuffles, sent_if_small, table, written
 from .components import connected_components
 
 #: Blocks of bits at least; buckets hold about this many unrelated fingerprints at most.
@@ -264,11 +264,10 @@ def _common(marked: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near_pairs(company: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): rows (key, node, n, root, size, w0, ...) of one key and several roots that sizes, pivots and bits don't keep apart.
+    """(a, b): rows (key, node, n, root, size, bits) of one key and several roots that sizes, pivots and bits don't keep apart.
 
     A key of more than GROUP rows is cut into cells of two parts of about GROUP rows, so no task holds more.
     """
-    lanes = [f"w{k}" for k in range(LANES)]
     share = (1 - similarity) / (1 + similarity)  # of both sizes, that similar sets differ in at most
 
     def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -276,9 +275,16 @@ def _near_pairs(company: DataFrame, similarity: float) -> DataFrame:
         for at, end in zip(first.tolist(), np.r_[first[1:], len(cols[0])].tolist()):
             order = at + np.argsort(cols[5][at:end], kind="stable")
             part, node, root, size = (c[order] for c in cols[2:6])
-            fps = np.stack([c[order] for c in cols[6:]], axis=1).view(np.uint64)
             across = (part != part[0]).any()  # within a part, pairs are of the cell that has it alone
-            rows = _pivot_rows(fps, WIDE_PIVOTS)
+            bits = cols[6][order]
+            # Larger sets have more bits, which fold to those of smaller ones.
+            width = np.fromiter(map(len, bits), np.int64, len(bits))
+            fps = {}
+            for w in np.unique(width).tolist():
+                fps[w] = np.zeros((len(bits), w // 8), np.uint64)
+                wide = np.flatnonzero(width >= w)
+                fps[w][wide] = np.stack([np.frombuffer(folded(b, w), np.uint64) for b in bits[wide]])
+            rows = _pivot_rows(np.stack([np.frombuffer(folded(b, 8 * LANES), np.uint64) for b in bits]), WIDE_PIVOTS)
             last = np.searchsorted(size, size / similarity + 1e-9, side="right")
             a, b, held = [], [], 0
             for i in range(len(node) - 1):
@@ -287,7 +293,8 @@ def _near_pairs(company: DataFrame, similarity: float) -> DataFrame:
                 radius = (size[j] + size[i]) * share + 1e-9
                 near = (np.abs(rows[j] - rows[i]) <= radius[:, None]).all(axis=1)
                 j, radius = j[near], radius[near]
-                j = j[_apart(fps[j], fps[i]) <= radius]
+                own = fps[width[i]]
+                j = j[_apart(own[j], own[i]) <= radius]
                 a.append(np.full(len(j), node[i]))
                 b.append(node[j])
                 held += len(j)
@@ -303,20 +310,31 @@ def _near_pairs(company: DataFrame, similarity: float) -> DataFrame:
     own = company.withColumn("part", F.pmod(F.xxhash64("node"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     cell = F.least("part", "other") * parts + F.greatest("part", "other")
     # A cell of two parts also gets the rows of both; the cell of one part gets them once.
-    rows = own.withColumn("cell", cell).select("key", "cell", "part", "node", "root", "size", *lanes).repartition("key", "cell").sortWithinPartitions("key", "cell")
+    rows = own.withColumn("cell", cell).select("key", "cell", "part", "node", "root", "size", "bits").repartition("key", "cell").sortWithinPartitions("key", "cell")
     found = rows.mapInArrow(run, "a long, b long")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _bits_agree(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) that sizes and parity bits don't rule out; nothing similar goes."""
+def _with_sides(pairs: DataFrame, classes: DataFrame, *columns: str) -> DataFrame:
+    """``pairs`` with the columns of ``a`` and of ``b``, as <column>_a and <column>_b."""
+    for s in ("a", "b"):
+        side = classes.select(F.col("node").alias(f"node_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in columns])
+        pairs = pairs.join(side, F.col(s) == F.col(f"node_{s}")).drop(f"node_{s}")
+    return pairs
+
+
+def _few_bits_agree(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, radius): written, those of the pairs that sizes and the first parity bits don't rule out; radius: bits they may differ in."""
     lanes = [f"w{k}" for k in range(LANES)]
-    share = (1 - similarity) / (1 + similarity)
-    side = lambda s: classes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("node", "size", "wide", *lanes)])
-    both = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+    both = _with_sides(pairs, classes, "size", *lanes)
     bits = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in lanes), F.lit(0))
     sizes = F.least("size_a", "size_b") + 1e-9 >= F.greatest("size_a", "size_b") * similarity
-    near = both.filter(sizes & (bits <= (F.col("size_a") + F.col("size_b")) * share + 1e-9))
+    radius = (F.col("size_a") + F.col("size_b")) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    return written(both.filter(sizes & (bits <= radius)).select("a", "b", radius.alias("radius")), "simhash-near")
+
+
+def _all_bits_agree(near: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): those pairs that all of their parity bits don't rule out either; nothing similar has gone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -324,7 +342,7 @@ def _bits_agree(pairs: DataFrame, classes: DataFrame, similarity: float) -> Data
             keep = np.fromiter(apart, np.int64, batch.num_rows) <= batch.column(2).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
 
-    return near.select("a", "b", ((F.col("size_a") + F.col("size_b")) * share + 1e-9).alias("radius"), "wide_a", "wide_b").mapInArrow(run, "a long, b long")
+    return _with_sides(near, classes, "wide").select("a", "b", "radius", "wide_a", "wide_b").mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, marked: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -333,13 +351,15 @@ def _verified(pairs: DataFrame, classes: DataFrame, marked: DataFrame, shingle:
     Texts go to the pairs' ``a``, at most about GROUP of them to one place, and stream past it one at a time.
     What needs a text is written first: while it is small, it is sent to the texts, which then aren't shuffled.
     """
-    pairs = written(_bits_agree(pairs, classes, similarity), "simhash-pairs")
+    near = _few_bits_agree(pairs, classes, similarity)
+    pairs = written(_all_bits_agree(near, classes), "simhash-pairs")
+    discard(near)
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("long").alias("parts"))
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     wanted = dealt.unionByName(dealt.select("a", "part", F.col("a").alias("b")).distinct())
     place = classes.select(F.col("node").alias("b"), F.col("doc_id").alias("__quire_id"), F.col("__quire_text").alias("__quire_own"))
     need = written(wanted.join(place, "b").select(F.col("a").alias("__quire_a"), F.col("part").alias("__quire_part"), F.col("b").alias("__quire_b"), "__quire_id", "__quire_own"), "simhash-need")
-    texts = marked.join(need, F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (F.col("__quire_text") == F.col("__quire_own")))
+    texts = marked.join(sent_if_small(need), F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (F.col("__quire_text") == F.col("__quire_own")))
     texts = texts.select("__quire_a", "__quire_part", "__quire_b", "text").repartition("__quire_a", "__quire_part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,11 +388,10 @@ def similar_links(classes: DataFrame, marked: DataFrame, shingle: int, similarit
     """(a, b): verified links between rows of ``classes`` that connect just what all links of that similarity connect.
 
     Similar sets share one of their rarest shingles (``keys``), so candidates share a key; that is exact. Each row is
-    verified against the smallest set of its key first; what is still apart is then verified pair by pair.
+    verified against one set of its key first; what is still apart is then verified pair by pair.
     """
-    lanes = [f"w{k}" for k in range(LANES)]
-    hubs = classes.select(F.explode("keys").alias("key"), "size", "node").groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("size", "node")).alias("hub")).filter("n > 1")
-    company = classes.select(F.explode("keys").alias("key"), "node").join(hubs.select("key", "n", F.col("hub.node").alias("hub")), "key")
+    hubs = classes.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
+    company = classes.select(F.explode("keys").alias("key"), "node").join(hubs, "key")
     company = written(company, "simhash-company")
     drop_dead_shuffles(classes.sparkSession)
     stars = company.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -382,7 +401,7 @@ def similar_links(classes: DataFrame, marked: DataFrame, shingle: int, similarit
     mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
     apart = written(rooted.join(mixed, "key"), "simhash-apart")
     discard(company, roots)
-    more = _verified(_near_pairs(apart.join(classes.select("node", "size", *lanes), "node"), similarity), classes, marked, shingle, similarity)
+    more = _verified(_near_pairs(apart.join(classes.select("node", "size", "bits"), "node"), similarity), classes, marked, shingle, similarity)
     discard(apart)
     return edges.unionByName(more)
 
@@ -402,21 +421,22 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                node, size, wide, bits, keys = [], [], [], [], []
+                node, size, wide, some, bits, keys = [], [], [], [], [], []
                 for t in batch.column(2):
                     h = shingle_set(t.as_py(), shingle)
                     node.append(xxhash.xxh64_intdigest(h.tobytes(), 42))
                     size.append(len(h))
                     wide.append(parity_bits(h))
+                    some.append(folded(wide[-1], min(len(wide[-1]) // 4, 32 * LANES) if len(wide[-1]) > 32 * LANES else 8 * LANES))
                     bits.append(np.frombuffer(folded(wide[-1], 8 * LANES), "<u8"))
                     keys.append(_prefix(h, similarity, *sent.value).view(np.int64))
                 bits = np.stack(bits).view(np.int64)
-                made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(wide, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LANES)], pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "__quire_text", "node", "size", "wide", *lanes, "keys"])
+                made = [pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(size, pa.int64()), pa.array(wide, pa.binary()), pa.array(some, pa.binary()), *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(LANES)], pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc_id", "__quire_text", "node", "size", "wide", "bits", *lanes, "keys"])
 
-    schema = "doc_id long, __quire_text long, node long, size long, wide binary, " + ", ".join(f"{w} long" for w in lanes) + ", keys array<long>"
+    schema = "doc_id long, __quire_text long, node long, size long, wide binary, bits binary, " + ", ".join(f"{w} long" for w in lanes) + ", keys array<long>"
     prints = marked.select("doc_id", "__quire_text", "text").mapInArrow(run, schema)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__quire_text", "size", "wide", *lanes, "keys")).alias("first")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__quire_text", "size", "wide", "bits", *lanes, "keys")).alias("first")
     classes = written(prints.groupBy("node").agg(first).select("node", "first.*"), "simhash-classes")
     drop_dead_shuffles(spark)
     links_ = similar_links(classes, marked, shingle, similarity)
@@ -429,9 +449,10 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
     discard(classes, roots)
     same = F.col("doc_id").eqNullSafe(F.col("__quire_id")) & (F.col("__quire_text") == F.col("__quire_own"))
     # Only rows that repeat are shuffled to drop the repeats.
-    often = marked.select("doc_id", "__quire_text").join(kept, same, "left_semi").groupBy(F.col("doc_id").alias("__quire_id"), F.col("__quire_text").alias("__quire_own")).count().filter("count > 1").drop("count")
-    often = written(often, "simhash-repeated")
-    out = marked.join(kept, same, "left_semi")
+    here = sent_if_small(kept)
+    often = marked.select("doc_id", "__quire_text").join(here, same, "left_semi").groupBy(F.col("doc_id").alias("__quire_id"), F.col("__quire_text").alias("__quire_own")).count().filter("count > 1").drop("count")
+    often = sent_if_small(written(often, "simhash-repeated"))
+    out = marked.join(here, same, "left_semi")
     once, repeated = out.join(often, same, "left_anti"), out.join(often, same, "left_semi")
     return once.unionByName(repeated.dropDuplicates(["doc_id", "__quire_text"])).select(*docs.columns)
 

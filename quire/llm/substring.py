@@ -22,13 +22,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, discard, drop_dead_shuffles, keep_until_exit, remove, shared_dir, table, written
+from .common import Shared, discard, drop_dead_shuffles, keep_until_exit, remove, sent_if_small, shared_dir, table, written
 
 WINDOW = 20
 #: Windows that a task packs at once, and that a bucket gets from the whole corpus at about; buckets at least.
 BLOCK, PER_BUCKET, MIN_BUCKETS = 1_000_000, 2_000_000, 64
 #: Words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 #: Runs that are compacted into one.
 FANOUT = 2
 #: Parts, by doc_id, in which the query feeds the corpus to the index.
@@ -249,6 +249,7 @@ def covered(n_words: int, starts: list[bytes], window: int = WINDOW) -> np.ndarr
 def _kept(docs: DataFrame, repeats: DataFrame, window: int, emit, schema: str) -> DataFrame:
     """Applies ``emit(row's words, kept words)`` to each document; ``docs`` may have any columns besides doc_id and text."""
     starts = repeats.groupBy("doc_id").agg(F.collect_list("starts").alias("__quire_starts")).withColumnRenamed("doc_id", "__quire_id")
+    starts = sent_if_small(starts, repeats._quire_path)
     names = ["doc_id", *schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

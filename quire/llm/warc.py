@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, keep_until_exit, shared_dir, table, written
+from .common import Shared, keep_until_exit, sent_if_small, shared_dir, table, written
 
 CHUNK = 256 * 1024
 #: Records of one batch between the JVM and Python, which bounds it to this many chunks.
@@ -50,7 +50,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     sha1 = F.sha1(html).alias("sha1")
     # Only digests that repeat, without their payloads, are sent to the pages.
     first = pages.select("page_id", sha1).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1")
-    first = written(first.select(F.col("sha1").alias("own"), "first_id", "n"), "warc-repeated")
+    first = sent_if_small(written(first.select(F.col("sha1").alias("own"), "first_id", "n"), "warc-repeated"))
     keyed = pages.select("page_id", "url", html.alias("html"), sha1, F.octet_length(html).cast("long").alias("payload_bytes"))
     again = F.col("n").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return keyed.join(first, F.col("sha1") == F.col("own"), "left").select(
