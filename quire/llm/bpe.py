@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import drop_dead_shuffles, table, text_or_empty, written
 
 #: Distinct pieces that are broadcast at most, bytes of each at most, and pieces that a worker remembers besides.
-PIECES, PIECE_BYTES, REMEMBERED = 262_144, 48, 400_000
+PIECES, PIECE_BYTES, REMEMBERED = 262_144, 48, 50_000
 #: Slots of the literal rank map.
 SLOTS = 16_384
 _NONE = 2**31 - 1

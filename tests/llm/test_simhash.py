@@ -97,3 +97,24 @@ def test_many_buckets_and_radii(spark):
 
 def test_empty_table(spark):
     assert near_duplicates(odd_docs(spark).limit(0)).count() == 0
+
+
+def test_components_by_rounds_equal_those_in_one_task(spark, monkeypatch):
+    from quire.llm import components
+
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 300)] + [(rng.randrange(1000, 1600), rng.randrange(1000, 1600)) for _ in range(250)] + [(-5, 7), (7, 7), (7, -5), (9, -2**62)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {}
+    for a, b in edges:
+        want.setdefault(a, {a}), want.setdefault(b, {b})
+        if want[a] is not want[b]:
+            want[a] |= want[b]
+            for x in want[b]:
+                want[x] = want[a]
+    small = {x: min(group) for x, group in want.items() if min(group) != x}
+    one = {r.node: r.root for r in components.connected_components(df).collect()}
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    rounds = {r.node: r.root for r in components.connected_components(df).collect()}
+    assert one == rounds == small
+    assert components.connected_components(df.limit(0)).count() == 0
