@@ -86,35 +86,40 @@ def term_spans(docs: DataFrame, scanned: DataFrame, disclosure: float = DISCLOSU
     """(__quire_text_id, __quire_terms): the disclosing terms of each text that has any, as spans by start. ``scanned``: from ``scan(docs)``."""
     n = scanned.count()
     private = scanned.filter("text is not null").groupBy("__quire_text_id").agg(F.count("*").alias("copies"), F.any_value("text").alias("text"), F.any_value("__quire_base").alias("__quire_base"))
-    private = written(private.withColumn("__quire_clear", masked(F.col("text"), F.col("__quire_base"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))), "pii-private")
-    words = private.select("__quire_text_id", "copies", F.explode(find_spans(F.col("__quire_clear"), "term", len(BASE), _TERM)).alias("w"))
-    words = written(words.select("__quire_text_id", "copies", F.lower("w.value").alias("term"), "w"), "pii-words")
-
-    here = words.select("__quire_text_id", "copies", "term").distinct()
-    terms = here.groupBy("term").agg(*_texts("__quire_text_id")).filter(F.col("texts") >= support)
-    terms = written(terms, "pii-terms")
-    every = F.array_distinct(F.transform(F.regexp_extract_all(text_or_empty(), F.lit(_TERM), F.lit(0)), F.lower))
-    spread = docs.select(F.explode(every).alias("term")).join(sent_if_small(terms).select("term"), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    seen, terms = terms, written(terms.join(spread, "term").select("term", "n_t", F.struct("n_t", "texts", "h1", "h2").alias("t")), "pii-term-classes")
-
-    held = private.select("__quire_text_id", "copies", F.explode(F.array_distinct(F.transform("__quire_base", _entity))).alias("entity"))
-    entities = held.groupBy("entity").agg(*_texts("__quire_text_id")).filter(F.col("texts") >= support).select("entity", F.col("docs").alias("n_c"), F.struct("docs", "texts", "h1", "h2").alias("c"))
-    by_entity = held.join(entities, "entity").select("__quire_text_id", "copies", "c", "n_c").distinct()
-    by_term = here.join(terms, "term").select("__quire_text_id", "t", "n_t").distinct()
-    # A pair has n_ct of n_c at most, so a term that is too common for that is out before pairs are made.
+    clear = masked(F.col("text"), F.col("__quire_base"), lambda s: F.repeat(F.lit(" "), s["end"] - s["start"]))
+    # Written with a short number for each text, which the joins below go by.
+    private = written(private.select("__quire_text_id", "copies", "__quire_base", clear.alias("clear"), F.monotonically_increasing_id().alias("id")), "pii-private")
+
+    held = private.select("id", "copies", F.explode(F.array_distinct(F.transform("__quire_base", _entity))).alias("entity"))
+    entities = held.groupBy("entity").agg(*_texts("id")).filter(F.col("texts") >= support).select("entity", F.col("docs").alias("n_c"), F.xxhash64("docs", "texts", "h1", "h2").alias("c"))
+    by_entity = written(held.join(entities, "entity").select("id", "copies", "c", "n_c").distinct(), "pii-entities")
+    most = by_entity.agg(F.max("n_c")).first()[0] or 0
+
+    each = lambda text: F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_TERM), F.lit(0)), F.lower))
+    here = private.select("id", "copies", F.explode(each(F.col("clear"))).alias("term"))
+    spread = docs.select(F.explode(each(text_or_empty())).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # A pair has n_ct of n_c at most, so a term that is too common for the most common entity is out before pairs are made.
+    rare = F.pow(F.lit(most / max(n, 1)), F.lit(1 - disclosure)) * F.col("n_t") <= F.lit(most * (1 + 1e-9))
+    terms = here.groupBy("term").agg(*_texts("id")).filter(F.col("texts") >= support).join(spread.filter(rare), "term")
+    terms = written(terms.select("term", "n_t", F.xxhash64("n_t", "texts", "h1", "h2").alias("t")), "pii-terms")
+    by_term = here.join(sent_if_small(terms), "term").select("id", "t", "n_t").distinct()
     least = F.pow(F.col("n_c") / F.lit(float(max(n, 1))), F.lit(1 - disclosure)) * F.col("n_t")
-    both = written(by_entity.join(by_term, "__quire_text_id").filter(least <= F.col("n_c") * (1 + 1e-9)).select("__quire_text_id", "copies", "c", "t", "n_c", "n_t"), "pii-pairs")
+    both = written(by_entity.join(by_term, "id").filter(least <= F.col("n_c") * (1 + 1e-9)).select("id", "copies", "c", "t", "n_c", "n_t"), "pii-pairs")
     pmi = F.log2(F.lit(float(n)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
     told = (
         both.groupBy("c", "t", "n_c", "n_t").agg(F.sum("copies").alias("n_ct"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
         .filter((pmi > 0) & (pmi >= F.lit(disclosure) * F.log2(F.lit(float(n)) / F.col("n_c")) - F.lit(1e-9))).select("c", "t")
     )
-    where = both.join(told, ["c", "t"], "left_semi").select("__quire_text_id", "t").distinct().join(terms.select("term", "t"), "t").select("__quire_text_id", "term")
-    hit = words.join(where, ["__quire_text_id", "term"], "left_semi")
-    out = sent_if_small(written(hit.groupBy("__quire_text_id").agg(F.collect_list("w").alias("w")), "pii-disclosing"))
-    discard(private, words, both, seen, terms)
-    in_order = F.array_sort(F.transform("w", lambda s: F.struct(*[s[c].alias(c) for c in ("start", "kind", "rank", "end", "value", "at", "stop")])))
-    return out.select("__quire_text_id", F.transform(in_order, lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "rank", "start", "end", "value", "at", "stop")])).alias("__quire_terms"))
+    classes = both.join(told, ["c", "t"], "left_semi").select("id", "t").distinct()
+    # Terms of the texts that have any of those classes, with their classes, and where they stand.
+    words = private.join(sent_if_small(written(classes.select("id").distinct(), "pii-hit")), "id", "left_semi").select("id", F.explode(find_spans(F.col("clear"), "term", len(BASE), _TERM)).alias("w"))
+    words = words.select("id", F.lower("w.value").alias("term"), F.struct("w.start", "w.end", "w.value", "w.at", "w.stop").alias("w"))
+    hit = words.join(sent_if_small(terms).select("term", "t"), "term").join(classes, ["id", "t"], "left_semi")
+    spans = hit.groupBy("id").agg(F.array_sort(F.collect_list("w")).alias("w"))
+    whole = F.transform("w", lambda s: F.struct(F.lit("term").alias("kind"), F.lit(len(BASE)).alias("rank"), *[s[c].alias(c) for c in ("start", "end", "value", "at", "stop")]))
+    out = written(spans.join(private.select("id", "__quire_text_id"), "id").select("__quire_text_id", whole.alias("__quire_terms")), "pii-disclosing")
+    discard(private, both, terms, by_entity)
+    return sent_if_small(out)
 
 
 def find(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
