@@ -35,6 +35,24 @@ def island(starts: Column, w) -> Column:
     return F.sum(F.when(F.coalesce(starts, F.lit(True)), 1).otherwise(0)).over(up_to_here(w))
 
 
+def merge_cite_runs(df: DataFrame, keys: list[str], order: str, part: str) -> DataFrame:
+    """(keys, order, part): consecutive parts that are one numbered citation each, as one part at the place of the first.
+
+    Numbers of one digit each are the digits of one number that was split; others are a list. All else stays as it is.
+    """
+    number = F.regexp_extract(part, r"^\\citep\{([0-9]+)\}$", 1)
+    own = df.select(*keys, F.col(order).alias("__quire_at"), F.col(part).alias("__quire_part"), F.nullif(number, F.lit("")).alias("__quire_n"))
+    wo = ordered(keys, "__quire_at")
+    alone = F.col("__quire_n").isNull() | F.lag("__quire_n").over(wo).isNull()
+    runs = own.withColumn("__quire_run", island(alone, wo)).groupBy(*keys, "__quire_run").agg(
+        F.min("__quire_at").alias(order), F.min("__quire_part").alias("__quire_part"), F.array_sort(F.collect_list(F.when(F.col("__quire_n").isNotNull(), F.struct("__quire_at", "__quire_n")))).alias("__quire_ns")
+    )
+    numbers = F.transform("__quire_ns", lambda x: x["__quire_n"])
+    digits = F.forall(numbers, lambda n: F.length(n) == 1)
+    merged = F.concat(F.lit("\\citep{"), F.when(digits, F.array_join(numbers, "")).otherwise(F.array_join(numbers, ",")), F.lit("}"))
+    return runs.select(*keys, order, F.when(F.size("__quire_ns") > 1, merged).otherwise(F.col("__quire_part")).alias(part))
+
+
 def gap_clusters(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """(keys, cluster, lo, hi, mean, n): values whose distance to the one before is under the tolerance cluster together."""
     w = ordered(keys, value)

@@ -73,10 +73,15 @@ def f8(spark, sf):
     return kept.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("kept"))
 
 
-@query("f9_merge_lines", f"""with {LINES}, n as (select *, lead(line) over (partition by doc_id order by ord) as nxt from lines)
-    select doc_id, ord from n where nxt is not null and not regexp_matches(trim(line), '[.!?。！？:：]$') and not regexp_matches(nxt, '^\\s*([A-Z0-9]|\\\\)') and trim(line) <> '' and trim(nxt) <> ''""")
+_CUT = "with lines as (select doc_id, unnest(range(len(p))) as ord, unnest(p) as line from (select doc_id, string_split(replace(text, ', ', chr(10)), chr(10)) as p from documents))"
+
+
+@query("f9_merge_lines", _CUT + r""", n as (select *, lead(line) over (partition by doc_id order by ord) as nxt from lines)
+    select doc_id, ord from n where nxt is not null and not regexp_matches(trim(line), '[.!?。！？:：]$') and not regexp_matches(nxt, '^\s*([A-Z0-9]|\\)') and trim(line) <> '' and trim(nxt) <> ''""")
 def f9(spark, sf):
-    n = lines(spark, sf).withColumn("nxt", F.lead("line").over(O.ordered(["doc_id"], "ord")))
+    """Lines that go on in the next one; the texts are cut at commas, as narrow columns would cut them."""
+    cut = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split(F.replace("text", F.lit(", "), F.lit("\n")), "\n", -1)).alias("ord", "line"))
+    n = cut.withColumn("nxt", F.lead("line").over(O.ordered(["doc_id"], "ord")))
     return n.filter(F.col("nxt").isNotNull() & ~F.trim("line").rlike("[.!?。！？:：]$") & ~F.col("nxt").rlike(r"^\s*([A-Z0-9]|\\)") & (F.trim("line") != "") & (F.trim("nxt") != "")).select("doc_id", "ord")
 
 
@@ -119,13 +124,14 @@ def j1(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", "o_custkey").join(even, "o_custkey", "left").join(c, "o_custkey", "left").select("o_orderkey", F.coalesce("by_mark", "c_name").alias("name"))
 
 
-@query("j2_text_to_entry", "select p_partkey, n_name from (select p_partkey, n_name, row_number() over (partition by p_partkey order by n_nationkey) as rn from part join nation on contains(lower(concat(p_name, ' ', p_type, ' ', n_nationkey % 5)), lower(substring(n_name, length(n_name) - 1, 2)))) where rn = 1")
+@query("j2_text_to_entry", """with e as (select n_nationkey, 'Author' || n_nationkey as surname, cast(1990 + n_nationkey % 7 as varchar) as year from nation),
+    t as (select c_custkey, 'as author' || (c_custkey % 40) || ' et al., ' || (1990 + c_custkey % 9) || ' says' as text from customer)
+    select c_custkey, min(n_nationkey) as n_nationkey from t join e on contains(lower(text), lower(surname)) and contains(text, year) group by 1""")
 def j2(spark, sf):
-    """Containment has no equality to shuffle on; the nations, 25 by the schema, are the broadcast side."""
-    n = table(spark, sf, "nation").withColumn("tail", F.lower(F.substring("n_name", F.length("n_name") - 1, F.lit(2))))
-    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_type")
-    hit = p.join(F.broadcast(n), F.contains(F.lower(F.concat_ws(" ", "p_name", "p_type", (F.col("n_nationkey") % 5).cast("string"))), F.col("tail")))
-    return hit.groupBy("p_partkey").agg(F.min_by("n_name", "n_nationkey").alias("n_name"))
+    """The first entry whose surname and year a text holds. Containment has no equality to shuffle on; the entries, 25 by the schema, are the broadcast side."""
+    e = table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("Author"), "n_nationkey").alias("surname"), (F.col("n_nationkey") % 7 + 1990).cast("string").alias("year"))
+    t = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("as author"), F.col("c_custkey") % 40, F.lit(" et al., "), F.col("c_custkey") % 9 + 1990, F.lit(" says")).alias("text"))
+    return t.join(F.broadcast(e), F.contains(F.lower("text"), F.lower("surname")) & F.contains("text", F.col("year"))).groupBy("c_custkey").agg(F.min("n_nationkey").alias("n_nationkey"))
 
 
 @query("j3_missing_keys", "select distinct c.k from (select unnest(string_split(concat('c', doc_id % 400, ',c', doc_id % 900), ',')) as k from documents) c where not exists (select 1 from customer where concat('c', c_custkey * 3) = c.k)")
@@ -173,11 +179,11 @@ def j9(spark, sf):
     return s.join(c, "n").filter(F.contains("c_name", F.col("tail"))).groupBy("s_suppkey").agg(F.min("c_custkey").alias("c_custkey"))
 
 
-@query("j10_similar_top1", "select a.vec_id, arg_max(b.vec_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) - b.vec_id * 1e-12) as best from embeddings a, embeddings b where a.vec_id % 25 = 0 and a.vec_id <> b.vec_id and a.label = b.label group by 1")
+@query("j10_similar_top1", "select a.vec_id, arg_max(b.vec_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) - b.vec_id * 1e-12) as best from embeddings a, embeddings b where a.vec_id <> b.vec_id and a.label = b.label group by 1")
 def j10_p25(spark, sf):
-    """Cosine of unit vectors within a label; the best of each query vector, ties to the smaller id."""
+    """Cosine of unit vectors within a label; the best of each vector, ties to the smaller id."""
     e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")
+    q = e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")
     dot = F.aggregate(F.zip_with("x", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
     s = q.join(e, "label").filter("q <> vec_id").select("q", "vec_id", (F.round(dot, 6) - F.col("vec_id") * F.lit(1e-12)).alias("s"))
     return s.groupBy("q").agg(F.max_by("vec_id", "s").alias("best")).withColumnRenamed("q", "vec_id")
@@ -219,12 +225,12 @@ def j17_u1(spark, sf):
     return count(a.subtract(b), "dangling").unionByName(count(b.subtract(a), "orphan"))
 
 
-@query("j18_rowspan", "select conv_id, min(turn) as first_turn, role, count(*) as span from (select *, row_number() over (partition by conv_id order by turn) - row_number() over (partition by conv_id, role order by turn) as g from conversations) group by conv_id, role, g")
+@query("j18_rowspan", "select user_id, min(event_id) as first_event, event_type, count(*) as span from (select *, row_number() over (partition by user_id order by event_id) - row_number() over (partition by user_id, event_type order by event_id) as g from events) group by user_id, event_type, g")
 def j18_w8(spark, sf):
     """A cell with those of the same kind that follow it without a gap: islands, not a self join."""
-    w = O.ordered(["conv_id"], "turn")
-    t = table(spark, sf, "conversations").withColumn("s", F.lag("role").over(w) != F.col("role")).withColumn("g", O.island(F.col("s"), w))
-    return t.groupBy("conv_id", "g", "role").agg(F.min("turn").alias("first_turn"), F.count("*").alias("span")).drop("g")
+    w = O.ordered(["user_id"], "event_id")
+    t = table(spark, sf, "events").withColumn("s", F.lag("event_type").over(w) != F.col("event_type")).withColumn("g", O.island(F.col("s"), w))
+    return t.groupBy("user_id", "g", "event_type").agg(F.min("event_id").alias("first_event"), F.count("*").alias("span")).drop("g")
 
 
 @query("j19_ranked_example", "select c_nationkey, c_custkey from (select *, row_number() over (partition by c_nationkey order by case when c_mktsegment like '%BUILD%' then 0 else 1 end, c_acctbal desc, c_custkey) rn from customer) where rn = 1")
@@ -349,10 +355,18 @@ def w7(spark, sf):
     return lines(spark, sf).withColumn("stop", stop).filter("stop is null or ord < stop").groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
-@query("w9_merge_runs", "select conv_id, first_turn, text from (select conv_id, min(turn) as first_turn, string_agg(cast(turn as varchar), case when max(turn) < 10 then '' else ',' end order by turn) as text from (select *, turn - row_number() over (partition by conv_id, role order by turn) as g from conversations) group by conv_id, role, g)".replace("case when max(turn) < 10 then '' else ',' end", "','"))
+_PART = "case when event_id % 3 <> 0 then concat('{b}citep{{', cast(event_id * 7 % (case when user_id % 2 = 0 then 9 else 120 end) as {text}), '}}') else event_type end"
+
+
+@query("w9_merge_runs", f"""with p as (select user_id, event_id, {_PART.format(b=chr(92), text="varchar")} as part from events),
+    n as (select *, nullif(regexp_extract(part, '^\\\\citep\\{{([0-9]+)\\}}$', 1), '') as num, lag(nullif(regexp_extract(part, '^\\\\citep\\{{([0-9]+)\\}}$', 1), '')) over (partition by user_id order by event_id) as before from p),
+    g as (select *, sum(case when num is null or before is null then 1 else 0 end) over (partition by user_id order by event_id) as run from n)
+    select user_id, min(event_id) as event_id, case when count(num) < 2 then min(part) when max(length(num)) = 1 then '{chr(92)}citep{{' || string_agg(num, '' order by event_id) || '}}' else '{chr(92)}citep{{' || string_agg(num, ',' order by event_id) || '}}' end as part
+    from g group by user_id, run""")
 def w9(spark, sf):
-    t = table(spark, sf, "conversations").withColumn("g", F.col("turn") - F.row_number().over(O.ordered(["conv_id", "role"], "turn")))
-    return t.groupBy("conv_id", "role", "g").agg(F.min("turn").alias("first_turn"), F.array_join(F.transform(F.array_sort(F.collect_list("turn")), lambda x: x.cast("string")), ",").alias("text")).select("conv_id", "first_turn", "text")
+    """Neighbouring citations as one: digits of a split number, or a list."""
+    part = F.expr(_PART.format(b=chr(92) * 2, text="string")).alias("part")
+    return O.merge_cite_runs(table(spark, sf, "events").select("user_id", "event_id", part), ["user_id"], "event_id", "part")
 
 
 @query("w11_coalesced_intervals", """with s as (select distinct l_orderkey as k, l_linenumber as lo, l_linenumber + cast(floor(l_quantity) as int) % 3 as hi from lineitem), m as (select *, max(hi) over (partition by k order by lo, hi rows between unbounded preceding and 1 preceding) as reach from s),
