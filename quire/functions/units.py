@@ -45,3 +45,15 @@ def line_capacity(width_mm: Column) -> Column:
 
 def twips_to_cm(twips: Column) -> Column:
     return twips / 567.0
+
+
+def snapped(positions: Column, drawn: Column, near: float = 0.15, beyond: float = 0.01) -> Column:
+    """Grid positions after the drawn coordinates, taken in ascending order: each moves the nearest position if it is closer
+    than ``near``, else the first or last if it lies ``beyond`` them. Positions that have moved count as moved."""
+
+    def step(at: Column, x: Column) -> Column:
+        gap = F.transform(at, lambda p: F.abs(p - x))
+        place = F.when(F.array_min(gap) < near, F.array_position(gap, F.array_min(gap))).when(x < F.get(at, 0) - beyond, 1).when(x > F.element_at(at, -1) + beyond, F.size(at))
+        return F.when(place.isNull(), at).otherwise(F.transform(at, lambda p, k: F.when(k + 1 == place, x).otherwise(p)))
+
+    return F.aggregate(F.array_sort(drawn), positions, step)

@@ -41,6 +41,16 @@ def first_by(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")
 
 
+def first_unused(left: DataFrame, right: DataFrame, keys: list[str], left_order: str, right_order: str) -> DataFrame:
+    """Each row of ``left``, in order, with the first row of ``right`` that agrees on the keys and that none before it took.
+
+    Agreement on keys is an equivalence, so the n-th row of a key on one side gets the n-th on the other: two ranks and an
+    equality join, no loop. Rows without a partner left go. Orders must be total.
+    """
+    ranked = lambda df, order: df.withColumn("__quire_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return ranked(left, left_order).join(ranked(right, right_order), [*keys, "__quire_rank"]).drop("__quire_rank")
+
+
 def greedy_pairs(scored: DataFrame, group: str, left: str, right: str, score: str) -> DataFrame:
     """(group, left, right, score): pairs in order of score (ties by left, then right), each side used once.
 

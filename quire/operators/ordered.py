@@ -104,3 +104,20 @@ def look_ahead(df: DataFrame, keys: list[str], order: str, value: Column, blocke
     out = numbered.withColumn("_hit", hit).withColumn("_stop", stop)
     clear = F.col("_stop").isNull() | (F.col("_stop") > F.col("_hit._n"))
     return out.withColumn(name, F.when(clear, F.col("_hit._v"))).drop("_n", "_v", "_b", "_hit", "_stop")
+
+
+def bracket_pairs(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, open, close, inside): the outermost pairs of round brackets in a text, by places from 0.
+
+    An opening bracket pairs with the next closing one at its depth, so one window gives the depths and one over
+    (keys, depth) the pairs, in linear work. Brackets without a partner contain nothing.
+    """
+    chars = df.select(*keys, F.col(text).alias("__quire_text"), F.posexplode(F.split(text, "")).alias("__quire_at", "__quire_c")).filter(F.col("__quire_c").isin("(", ")"))
+    opens = F.col("__quire_c") == "("
+    running = F.sum(F.when(opens, 1).otherwise(-1)).over(ordered(keys, "__quire_at").rowsBetween(Window.unboundedPreceding, 0))
+    level = chars.withColumn("__quire_depth", running + F.when(opens, 0).otherwise(1))
+    paired = level.withColumn("__quire_close", F.lead("__quire_at").over(ordered([*keys, "__quire_depth"], "__quire_at"))).filter(opens & F.col("__quire_close").isNotNull())
+    before = F.max("__quire_close").over(ordered(keys, "__quire_at").rowsBetween(Window.unboundedPreceding, -1))
+    outer = paired.withColumn("__quire_before", before).filter(F.col("__quire_before").isNull() | (F.col("__quire_before") < F.col("__quire_at")))
+    a, b = F.col("__quire_at"), F.col("__quire_close")
+    return outer.select(*keys, a.alias("open"), b.alias("close"), F.substring("__quire_text", a + 2, b - a - 1).alias("inside"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cites as C
 from ..functions import text as X
+from ..functions import units as U
 from ..operators import aggregates as A
 from ..operators import joins as J
 from ..operators import ordered as O
@@ -172,11 +173,11 @@ def j7(spark, sf):
     return J.contained_anti(s.filter("flag <> 'R'"), s.filter("flag = 'R'"), ["k"], "lo", "hi")
 
 
-@query("j9_items_to_blocks", "select s_suppkey, c_custkey from (select s_suppkey, c_custkey, row_number() over (partition by s_suppkey order by c_custkey) as rn from supplier join customer on s_nationkey = c_nationkey and contains(c_name, right(s_name, 1))) where rn = 1")
+@query("j9_items_to_blocks", "with c as (select c_custkey, c_nationkey as n, right(c_name, 1) as tail, row_number() over (partition by c_nationkey, right(c_name, 1) order by c_custkey) as rn from customer), s as (select s_suppkey, s_nationkey as n, right(s_name, 1) as tail, row_number() over (partition by s_nationkey, right(s_name, 1) order by s_suppkey) as rn from supplier) select s_suppkey, c_custkey from s join c using (n, tail, rn)")
 def j9(spark, sf):
     s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("n"), F.right("s_name", F.lit(1)).alias("tail"))
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), "c_name")
-    return s.join(c, "n").filter(F.contains("c_name", F.col("tail"))).groupBy("s_suppkey").agg(F.min("c_custkey").alias("c_custkey"))
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("n"), F.right("c_name", F.lit(1)).alias("tail"))
+    return J.first_unused(c, s, ["n", "tail"], "c_custkey", "s_suppkey").select("s_suppkey", "c_custkey")
 
 
 @query("j10_similar_top1", "select a.vec_id, arg_max(b.vec_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) - b.vec_id * 1e-12) as best from embeddings a, embeddings b where a.vec_id <> b.vec_id and a.label = b.label group by 1")
@@ -202,16 +203,6 @@ def j13(spark, sf):
     return table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("n_name", "r_name").agg(F.count("*").alias("n"))
 
 
-_CHECKS = "(values ('A', 1000.0, 20000.0), ('N', 5000.0, 60000.0), ('X', 0.0, 1.0)) v(flag, lo, hi)"
-
-
-@query("j14_spec_checks", f"with spec as (select * from {_CHECKS}), fact as (select l_returnflag as flag, avg(l_extendedprice) as v from lineitem group by 1) select s.flag, case when f.v is null then 'missing' when f.v between s.lo and s.hi then 'pass' else 'issue' end as status from spec s left join fact f using (flag)")
-def j14_g17(spark, sf):
-    spec = spark.createDataFrame([("A", 1000.0, 20000.0), ("N", 5000.0, 60000.0), ("X", 0.0, 1.0)], "flag string, lo double, hi double")
-    fact = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("flag")).agg(F.avg("l_extendedprice").alias("v"))
-    return spec.join(fact, "flag", "left").select("flag", F.when(F.col("v").isNull(), "missing").when(F.col("v").between(F.col("lo"), F.col("hi")), "pass").otherwise("issue").alias("status"))
-
-
 @query("j15_prefix_search", "with h as (select l, substring(text, 1, l) as p, min(doc_id) as hay from documents, (values (56), (42), (30), (20), (12)) v(l) where length(text) >= l group by all) select doc_id, hay, length from (select d.doc_id, h.hay, h.l as length, row_number() over (partition by d.doc_id order by h.l desc, h.hay) as rn from documents d join h on substring(d.text, 1, h.l) = h.p and length(d.text) >= h.l) where rn = 1")
 def j15_j16(spark, sf):
     d = table(spark, sf, "documents")
@@ -395,11 +386,17 @@ def w14(spark, sf):
     return table(spark, sf, "events").select("user_id", "value").distinct().select("user_id", "value", F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
 
 
-@query("w15_snap", "select p_partkey, arg_min(g, abs(p_retailprice - g) + g * 1e-9) as snapped from part, (values (900.0), (1000.0), (1100.0), (1500.0)) v(g) where abs(p_retailprice - g) < 40 group by 1")
+_SNAPS = {0: ([0.1, 5.05], [0.1, 5.05, 10.0]), 1: ([0.2, 0.1], [0.2, 5.0, 10.0]), 2: ([12.0, -1.0], [-1.0, 5.0, 12.0]), 3: ([7.0], [0.0, 5.0, 10.0]), 4: ([], [0.0, 5.0, 10.0])}
+
+
+@query("w15_snap", "select p_partkey, unnest(range(3)) as ord, unnest(case p_partkey % 5 " + " ".join(f"when {k} then {want}::double[]" for k, (_, want) in _SNAPS.items()) + " end) as at from part")
 def w15(spark, sf):
-    grid = F.explode(F.array(*[F.lit(x) for x in (900.0, 1000.0, 1100.0, 1500.0)]))
-    t = table(spark, sf, "part").select("p_partkey", "p_retailprice", grid.alias("g")).filter(F.abs(F.col("p_retailprice") - F.col("g")) < 40)
-    return t.groupBy("p_partkey").agg(F.min_by("g", F.abs(F.col("p_retailprice") - F.col("g")) + F.col("g") * 1e-9).alias("snapped"))
+    """Grid lines at 0, 5 and 10 after the drawn coordinates of five cases; the second needs each snap to see the one before."""
+    drawn = F.lit(None).cast("array<double>")
+    for k, (x, _) in _SNAPS.items():
+        drawn = F.when(F.col("p_partkey") % 5 == k, F.array(*map(F.lit, x)).cast("array<double>")).otherwise(drawn)
+    grid = F.array(*map(F.lit, (0.0, 5.0, 10.0)))
+    return table(spark, sf, "part").select("p_partkey", F.posexplode(U.snapped(grid, drawn)).alias("ord", "at"))
 
 
 @query("w16_ranges", "select l_orderkey, min(l_linenumber) as first, max(l_linenumber) as last from (select *, l_linenumber - dense_rank() over (partition by l_orderkey order by l_linenumber) as g from (select distinct l_orderkey, l_linenumber from lineitem where l_quantity > 10)) group by l_orderkey, g")
@@ -415,11 +412,16 @@ def w17_w18(spark, sf):
     return table(spark, sf, "events").select("event_id", F.round(F.sum("value").over(O.up_to_here(w)), 4).alias("at"), F.coalesce(span, F.lit(0)).alias("col_start"))
 
 
-@query("w20_bracket_depth", r"select doc_id, length(regexp_replace(t, '[^(]', '', 'g')) as opens, length(regexp_replace(t, '[^(]', '', 'g')) - length(regexp_replace(t, '[^)]', '', 'g')) as depth from (select doc_id, concat('(a', case when doc_id % 2 = 0 then '(b' else '' end, ')', case when doc_id % 3 = 0 then ')' else '' end, lang) as t from documents)")
+_BRACKETS = {0: ("x (a) y (b", [(2, 4, "a")]), 1: ("(a (b) c) d)", [(0, 8, "a (b) c")]), 2: (") (a", []), 3: ("((q) (r)", [(1, 3, "q"), (5, 7, "r")])}
+
+
+@query("w20_bracket_pairs", " union all ".join(f"select doc_id, {a} as open, {b} as close, '{inner}' as inside from documents where doc_id % 4 = {k}" for k, (_, pairs) in _BRACKETS.items() for a, b, inner in pairs))
 def w20(spark, sf):
-    t = table(spark, sf, "documents").select("doc_id", F.expr("concat('(a', case when doc_id % 2 = 0 then '(b' else '' end, ')', case when doc_id % 3 = 0 then ')' else '' end, lang)").alias("t"))
-    depth = F.aggregate(F.split("t", ""), F.lit(0), lambda a, c: a + F.when(c == "(", 1).when(c == ")", -1).otherwise(0))
-    return t.select("doc_id", F.regexp_count("t", F.lit(r"\(")).alias("opens"), depth.alias("depth"))
+    """The outermost pairs of brackets: nested ones, one that never closes, one that never opens."""
+    text = F.lit(None).cast("string")
+    for k, (t, _) in _BRACKETS.items():
+        text = F.when(F.col("doc_id") % 4 == k, t).otherwise(text)
+    return O.bracket_pairs(table(spark, sf, "documents").select("doc_id", text.alias("t")), ["doc_id"], "t")
 
 
 @query("w21_renumbered", "select event_id, dense_rank() over (partition by user_id order by first) as n from (select *, min(event_id) over (partition by user_id, event_type) as first from events)")

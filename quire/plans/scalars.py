@@ -148,24 +148,6 @@ _PREP = ((r"\\vspace\*?\{[^}]*\}", ""), (r"\\(?:clearpage|newpage|pagebreak|noin
 scalar("p56_pandoc_prep", {"t": f"concat({B}, 'vspace*{{2mm}}', lang, {B}, 'clearpage  ', {B}, 'label{{fig:', doc_id, '}} ', {B}, 'begin{{strip}}x', {B}, 'end{{strip}}')"}, lambda: {"t": L.rewritten(c("t"), *_PREP)}, {"t": subs("t", *[(a, b.replace("$1", r"\1")) for a, b in _PREP])})
 
 
-_SPEC = (  # category, key, pattern, group: one row for each fact that is read from a class or template
-    ("document_class", "name", r"\\documentclass(?:\[[^\]]*\])?\{([^}]+)\}"), ("document_class", "options", r"\\documentclass\[([^\]]*)\]"),
-    ("required_packages", "package", r"\\usepackage(?:\[[^\]]*\])?\{([^}]+)\}"), ("page_layout", "textwidth", r"\\textwidth\s*=?\s*([0-9.]+[a-z]+)"),
-    ("caption_format", "labelfont", r"labelfont=([a-z]+)"), ("bibliography_format", "style", r"\\bibliographystyle\{([^}]+)\}"),
-)
-_CLS = f"concat({B}, 'documentclass', case when doc_id % 2 = 0 then '[11pt,a4]' else '' end, '{{cls', doc_id % 5, '}} ', {B}, 'usepackage{{natbib}} ', {B}, 'usepackage[utf8]{{', lang, '}} ', {B}, 'textwidth ', doc_id % 90 + 100, 'mm ', case when doc_id % 3 = 0 then concat({B}, 'bibliographystyle{{plain}}') else 'labelfont=bf' end)"
-_sql_rows = " union all ".join(f"select doc_id, '{cat}' as category, '{key}' as key, unnest(regexp_extract_all(t, '{pattern}', 1)) as value from s" for cat, key, pattern in _SPEC)
-
-
-@query("p58_spec_facts", f"with s as (select doc_id, {_CLS} as t from documents) select doc_id, category, key, value from ({_sql_rows})")
-def p58_spec_facts(spark, sf_dir):
-    """Table-driven extraction: every (category, key, pattern) over every template, in long form (also P59 and P60, S17)."""
-    t = table(spark, sf_dir, "documents").select("doc_id", F.expr(_CLS).alias("t"))
-    fact = lambda category, key: lambda v: F.struct(F.lit(category).alias("category"), F.lit(key).alias("key"), v.alias("value"))
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("t", F.lit(pattern), F.lit(1)), fact(category, key)) for category, key, pattern in _SPEC]))
-    return t.select("doc_id", F.explode(found).alias("f")).select("doc_id", "f.category", "f.key", "f.value")
-
-
 @query("p43_position_class", "select l_orderkey, l_linenumber, count(*) as n, min(case when l_discount * 5 <= 0.24 then 'top' when l_discount * 5 >= 0.32 then 'inline' when l_tax * 10 >= 0.55 then 'inline' else 'top' end) as place from lineitem group by all")
 def p43_position_class(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.position_class(F.col("l_discount") * 5, F.col("l_tax") * 10).alias("place"))

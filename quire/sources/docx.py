@@ -30,6 +30,7 @@ SCHEMAS = {
     "cells": pa.schema([("path", pa.string()), ("table_ord", pa.int32()), ("block_ord", pa.int32()), ("row", pa.int32()), ("cell", pa.int32()), ("col_start", pa.int32()), ("grid_span", pa.int32()), ("v_merge", pa.string()), ("width_twips", pa.int32()), ("text", pa.string()), ("borders", pa.map_(pa.string(), pa.string()))]),
     "citations": pa.schema([("path", pa.string()), ("any_ord", pa.int32()), ("source", pa.string()), ("target", pa.string()), ("display", pa.string())]),
     "formulas": pa.schema([("path", pa.string()), ("block_ord", pa.int32()), ("ord", pa.int32()), ("type", pa.string()), ("before", pa.string()), ("latex", pa.string())]),
+    "pictures": pa.schema([("path", pa.string()), ("block_ord", pa.int32()), ("ord", pa.int32()), ("rel_id", pa.string()), ("name", pa.string())]),
     "media": pa.schema([("path", pa.string()), ("ord", pa.int32()), ("name", pa.string()), ("size", pa.int64()), ("rel_id", pa.string()), ("content", pa.binary())]),
 }
 _SQL = {
@@ -37,6 +38,7 @@ _SQL = {
     "cells": "path string, table_ord int, block_ord int, row int, cell int, col_start int, grid_span int, v_merge string, width_twips int, text string, borders map<string,string>",
     "citations": "path string, any_ord int, source string, target string, display string",
     "formulas": "path string, block_ord int, ord int, type string, before string, latex string",
+    "pictures": "path string, block_ord int, ord int, rel_id string, name string",
     "media": "path string, ord int, name string, size long, rel_id string, content binary",
 }
 
@@ -143,12 +145,27 @@ class _Package:
                 else:
                     before += _text(e)
 
+    def _relations(self) -> dict[str, str]:
+        """Target of each relation, below word/."""
+        name = "word/_rels/document.xml.rels"
+        if name not in self.zip.namelist():
+            return {}
+        return {r.get("Id"): r.get("Target", "").removeprefix("/").removeprefix("word/") for r in ET.fromstring(self.zip.read(name))}
+
+    def pictures(self) -> Iterator[dict]:
+        """Pictures in the body with the media that they show: the relation's target, else the first media whose name it holds."""
+        media, rels = [n for n in self.zip.namelist() if n.startswith("word/media/")], self._relations()
+        for k, e in enumerate(self.body):
+            for n, blip in enumerate(e.iter(_A + "blip")):
+                rel = blip.get(_R + "embed")
+                target = rels.get(rel)
+                shown = None if not target else next((i for i, m in enumerate(media) if m == f"word/{target}"), next((i for i, m in enumerate(media) if m.rsplit("/", 1)[-1] in target), None))
+                yield {"path": self.path, "block_ord": k, "ord": n, "rel_id": rel, "name": None if shown is None else f"fig{shown + 1}{media[shown][media[shown].rfind('.'):]}"}
+
     def media(self) -> Iterator[dict]:
         """Media in the order of the package; rel_id of the first picture in the body that shows it."""
         names = [n for n in self.zip.namelist() if n.startswith("word/media/")]
-        rels = {}
-        if "word/_rels/document.xml.rels" in self.zip.namelist():
-            rels = {r.get("Target", "").removeprefix("/").removeprefix("word/"): r.get("Id") for r in ET.fromstring(self.zip.read("word/_rels/document.xml.rels"))}
+        rels = {target: rel for rel, target in self._relations().items()}
         shown = {b.get(_R + "embed") for b in self.body.iter(_A + "blip")}
         for k, name in enumerate(names):
             data, rel = self.zip.read(name), rels.get(name.removeprefix("word/"))
@@ -201,6 +218,18 @@ def package(body_xml: str, media: dict[str, bytes] | None = None) -> bytes:
     return out.getvalue()
 
 
+def packages(bodies: DataFrame) -> DataFrame:
+    """(path, content): a Word package for each (path, body, media), media an array of (name, content)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():  # one package at a time: a batch of finished ones has no bound
+                content = package(row["body"] or "", {m["name"]: m["content"] for m in row["media"] or []})
+                yield pa.RecordBatch.from_pydict({"path": [row["path"]], "content": pa.array([content], pa.binary())})
+
+    return bodies.select("path", "body", "media").mapInArrow(run, "path string, content binary")
+
+
 def write_tables(cells: DataFrame) -> DataFrame:
     """(path, content): a Word package for each path, with its tables, from rows as ``read(..., 'cells')`` gives them."""
 
