@@ -10,6 +10,7 @@ from ..functions import latex as L
 from ..functions import omml
 from ..operators import classify as K
 from ..operators import ordered as O
+from ..operators import tables as T
 from ..sources import images, reports, tex
 from ..streaming import documents as S
 from .lines import lines
@@ -126,20 +127,36 @@ def p37(spark, sf):
     return built(spark, sf, r"concat(r'\sum_{i}^{n} x_{', doc_id, '}+1')").select("doc_id", E.with_operands_of("text").alias("t"))
 
 
-@query("p46_table_height", "select l_orderkey, round(sum(h), 6) as cm from (select l_orderkey, l_linenumber, max(greatest(400 / 567.0, ceil(length(concat(l_returnflag, l_linestatus)) * 0.55 * 0.42 * l_quantity / 3.0) * 0.55)) as h from lineitem group by all) group by 1")
+_GRID = "select conv_id, cast(turn // 3 as int) as r, cast(turn % 3 as int) as c, case when turn % 3 = 1 and turn % 2 = 1 then '12.5 %' else trim(text) end as t, 1.0 + conv_id % 3 + turn % 3 as w, case when turn % 5 = 0 then 700 end as h from conversations"
+
+
+def _grid(spark, sf):
+    """Cells of a table for each conversation, three to a row, and the widths of their columns."""
+    t = table(spark, sf, "conversations").select(
+        "conv_id", F.floor(F.col("turn") / 3).cast("int").alias("row"), (F.col("turn") % 3).cast("int").alias("col_start"), F.lit(1).alias("grid_span"),
+        F.when((F.col("turn") % 3 == 1) & (F.col("turn") % 2 == 1), "12.5 %").otherwise(F.col("text")).alias("text"), F.when(F.col("turn") % 5 == 0, 700).alias("row_height"), (1.0 + F.col("conv_id") % 3 + F.col("turn") % 3).alias("width_cm"),
+    )
+    return t.drop("width_cm"), t.groupBy("conv_id", F.col("col_start").alias("col")).agg(F.max("width_cm").alias("width_cm"))
+
+
+@query("p46_table_height", f"""with g as ({_GRID}), n as (select conv_id, count(distinct c) as cols from g group by 1),
+    l as (select g.conv_id, r, c, cols, greatest(coalesce(h, 400), 400) / 567.0 as least, case when t = '' then 1 else greatest(1, floor((0.55 * length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) + length(regexp_replace(t, '[\\x00-\\x7F]', '', 'g'))) * 0.42 / w) + 1) end as k from g join n using (conv_id)),
+    rows_ as (select conv_id, r, max(case when r = 0 and c = 0 and cols = 1 then 0 else greatest(least, case when k > 1 then k * 0.55 else 0 end) end) as high from l group by 1, 2)
+    select conv_id, round(sum(high), 6) as cm from rows_ group by 1""")
 def p46(spark, sf):
-    """Rows as high as their highest cell; a cell's height follows from its text's width."""
-    wide = F.length(F.concat("l_returnflag", "l_linestatus")) * 0.55 * 0.42 * F.col("l_quantity") / 3.0
-    rows = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.greatest(F.lit(400 / 567.0), F.ceil(wide) * 0.55)).alias("h"))
-    return rows.groupBy("l_orderkey").agg(F.round(F.sum("h"), 6).alias("cm"))
+    cells, widths = _grid(spark, sf)
+    return T.heights(cells, widths, ["conv_id"]).select("conv_id", F.round("height_cm", 6).alias("cm"))
 
 
-@query("p47_column_widths", "select c_custkey, round(c_acctbal_w * least(1, 400 / sum(c_acctbal_w) over (partition by c_nationkey)), 6) as w from (select c_custkey, c_nationkey, 5 + c_custkey % 20 as c_acctbal_w from customer)")
+@query("p47_column_widths", f"""with g as ({_GRID}), c as (select conv_id, c as col, max(w) as w0, max(length(t)) filter (where not regexp_matches(t, '^[-+±0-9.,\\s%/()]*$')) as long from g group by 1, 2),
+    s as (select *, greatest(w0 * 12.0 / sum(w0) over (partition by conv_id), 0.2) as w from c),
+    d as (select *, case when long >= 16 and least(greatest(w, long * 0.16), 4.5) > w then least(greatest(w, long * 0.16), 4.5) - w end as up from s),
+    e as (select *, case when up is null then greatest(w - 1.15, 0) else 0 end as spare, sum(up) over (partition by conv_id) as asked from d), f as (select *, sum(spare) over (partition by conv_id) as offered from e)
+    select conv_id, col, round(case when asked > 0 and offered > 0 then case when up is not null then w + up * least(1.0, offered / asked) else w - asked * least(1.0, offered / asked) * spare / offered end else w end, 6) as cm from f""")
 def p47(spark, sf):
-    """Widths scaled down to the table's limit, by a window over the table."""
-    t = table(spark, sf, "customer").select("c_custkey", "c_nationkey", (5 + F.col("c_custkey") % 20).alias("w"))
-    total = F.sum("w").over(O.Window.partitionBy("c_nationkey"))
-    return t.select("c_custkey", F.round(F.col("w") * F.least(F.lit(1.0), F.lit(400.0) / total), 6).alias("w"))
+    """Widths scaled to 12 cm; columns of long text then grow at the cost of the others."""
+    cells, widths = _grid(spark, sf)
+    return T.rebalanced_widths(T.scaled_widths(widths, ["conv_id"], 12.0), cells, ["conv_id"]).select("conv_id", "col", F.round("width_cm", 6).alias("cm"))
 
 
 @query("p57_preamble_lines", "with l as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 as ord, unnest(string_split(text, chr(10))) as line from documents), f as (select *, bool_or(ord % 4 = 1) over (partition by doc_id order by ord) as on_ from l) select doc_id, count(*) as n from f where not on_ or ord % 4 <> 2 group by 1")
@@ -160,6 +177,45 @@ def k4_x6_p52(spark, sf):
     return tex.cells_of_code(tex.table_code(c, ["conv_id"]), ["conv_id"])
 
 
+_ROWS = (  # row, col_start, grid_span, v_merge, text, rule_below
+    (0, 0, 3, None, "Caption [id] of [lang]", False), (1, 0, 2, None, "a & [lang]", True), (1, 2, 1, "restart", "tall [id]", False), (2, 0, 1, None, "x", True), (2, 1, 1, None, None, True), (2, 2, 1, "continue", "", True),
+    (3, 0, 1, None, "y", True), (3, 1, 1, None, "z", False), (3, 2, 1, None, " w ", True),
+)
+_EXPECTED = r"""\begin{table}[htbp]
+  \centering
+  \caption{Caption [id] of [lang]}
+  \label{tab:Caption-[id]-of-[lang]}
+  \begin{tabular}{|c|c|c|}
+    \hline
+    \multicolumn{2}{|c|}{a \& [lang]} & \multirow{2}{*}{tall [id]} \\ \cline{1-2}
+    x &  &  \\ \hline
+    y & z & w \\ \cline{1-1} \cline{3-3}
+    \hline
+  \end{tabular}
+\end{table}"""
+
+
+@query("k4_tabular_code", f"select doc_id, replace(replace('{_EXPECTED}', '[id]', cast(doc_id as varchar)), '[lang]', lang) as code from documents")
+def k4_tabular(spark, sf):
+    cell = lambda r: F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, (("row", "int"), ("col_start", "int"), ("grid_span", "int"), ("v_merge", "string"), ("text", "string"), ("rule_below", "boolean")))])
+    cells = table(spark, sf, "documents").select("doc_id", "lang", F.inline(F.array(*[cell(r) for r in _ROWS])))
+    return T.tabular_code(cells.withColumn("text", F.replace(F.replace("text", F.lit("[id]"), F.col("doc_id").cast("string")), F.lit("[lang]"), F.col("lang"))), ["doc_id"])
+
+
+_TIKZ = (
+    "concat({B}, 'begin{{table*}}{B2}renewcommand{{{B2}thetable}}{{', doc_id, '}}{B2}caption{{C {{', lang, '}}}}{B2}begin{{tikzpicture}}N', doc_id, '{B2}end{{tikzpicture}}{B2}end{{table*}} ', {B}, 'begin{{table}}{B2}begin{{tabular}}{{l}}x{B2}end{{tabular}}{B2}end{{table}}', "
+    "{B}, 'begin{{strip}}{B2}begin{{tikzpicture}}no{B2}end{{tikzpicture}}{B2}end{{strip}}', {B}, 'begin{{strip}}{B2}def{B2}@captype{{table}}{B2}begin{{tikzpicture}}S{B2}end{{tikzpicture}}{B2}end{{strip}}', "
+    "chr(10), '% WORD_SUPERTABLE_BEGIN number=S', doc_id, chr(10), '% WORD_SUPERTABLE_TIKZ=', 'JSBtZXRhOmZ1bGxfd2lkdGg9MQpL', chr(10), {B}, 'tablecaption{{L ', lang, '}} x', chr(10), '% WORD_SUPERTABLE_END')"
+)
+
+
+@query("s14_tikz_tables", """select doc_id, 0 as ord, 'table*' as kind, cast(doc_id as varchar) as number, concat('C {', lang, '}') as caption, concat('N', doc_id) as body, true as is_full_width from documents
+    union all select doc_id, 1, 'strip', '', '', 'S', true from documents union all select doc_id, 2, 'supertabular', concat('S', doc_id), concat('L ', lang), concat('% meta:full_width=1', chr(10), 'K'), true from documents""")
+def s14(spark, sf):
+    text = F.replace(F.expr(_TIKZ.format(B=B, B2="~")), F.lit("~"), F.lit("\\"))
+    return tex.scan(table(spark, sf, "documents").select("doc_id", text.alias("text")), tex.tikz_tables).select("doc_id", "ord", "kind", "number", "caption", "body", "is_full_width")
+
+
 def _blocks(spark, sf):
     b = lines(spark, sf).withColumnRenamed("ord", "block_ord")
     text = F.when(F.col("block_ord") % 6 == 3, F.concat(F.lit("Figure 2. "), F.substring("line", 1, 40))).when(F.col("block_ord") == 0, F.substring("line", 1, 60)).when(F.col("block_ord") == 1, "Abstract").otherwise(F.col("line"))

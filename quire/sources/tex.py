@@ -124,6 +124,38 @@ def tabulars(text: str) -> Iterator[dict]:
             r += 1
 
 
+# The comments that keep a long table's TikZ code, and the mark of a full-width one.
+_KEPT = r"% WORD_SUPERTABLE_BEGIN number=([^\n]*)\n% WORD_SUPERTABLE_TIKZ=([A-Za-z0-9+/=]+)\n(.*?)% WORD_SUPERTABLE_END"
+_FULL_WIDTH = "% meta:full_width=1"
+
+
+def _decoded(code: str) -> str | None:
+    try:
+        return base64.b64decode(code, validate=True).decode()
+    except ValueError:
+        return None
+
+
+def tikz_tables(text: str) -> Iterator[dict]:
+    """TikZ pictures that are tables: in table environments, in strips that say so, and kept as comments of long tables."""
+    found = []
+    for m in re.finditer(r"\\begin\{(table\*?|strip)\}(.*?)\\end\{\1\}", text, re.S):
+        picture = re.search(r"\\begin\{tikzpicture\}(.*?)\\end\{tikzpicture\}", m[2], re.S)
+        if not picture:
+            continue
+        around = m[2][: picture.start()] + m[2][picture.end() :]
+        if m[1] == "strip" and not re.search(r"\\@captype\s*\{table\}", around):
+            continue
+        number = re.search(r"\\renewcommand\{\\thetable\}\{([^}]+)\}", around)
+        found.append((m, m[1], number[1].strip() if number else "", command_arg(around, "caption"), picture[1], m[1] != "table"))
+    for m in re.finditer(_KEPT, text, re.S):
+        body = _decoded(m[2])
+        if body is not None:
+            found.append((m, "supertabular", m[1].strip(), command_arg(m[3], "tablecaption"), body, _FULL_WIDTH in body))
+    for k, (m, kind, number, caption, body, full) in enumerate(sorted(found, key=lambda f: f[0].start())):
+        yield {"ord": k, "kind": kind, "number": number, "caption": caption[0] if caption else "", "body": body, "is_full_width": full, "start": m.start(), "end": m.end()}
+
+
 def conditions(text: str) -> Iterator[dict]:
     """Parameters of a class file with the branch that they stand in, by a real stack of \\if ... \\else ... \\fi."""
     stack: list[list] = []
@@ -145,6 +177,7 @@ _SCHEMAS = {
     figures: "path string, width string, number string, caption string, legend string, is_full_width boolean, start int, end int",
     formulas: "ord int, type string, env string, latex string, label string, start int, end int",
     tabulars: "table_ord int, columns int, caption string, row int, col_start int, grid_span int, row_span int, text string, bold boolean, italic boolean, rule_above boolean",
+    tikz_tables: "ord int, kind string, number string, caption string, body string, is_full_width boolean, start int, end int",
     conditions: "branch string, param string, value double",
 }
 _KINDS = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
@@ -170,7 +203,7 @@ def scan(docs: DataFrame, scanner: Callable[[str], Iterator[dict]], text: str =
 def bbl_items(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ord, item_key, label, plain_text, doi_url, external_url) of a .bbl text: split at \\bibitem, cut at the list's end."""
     body = F.regexp_replace(text, r"(?s)\\end\{thebibliography\}.*", "")
-    parts = F.slice(F.split(body, r"\\bibitem"), 2, 1_000_000)
+    parts = F.filter(F.split(body, r"\\bibitem"), lambda x, k: k > 0)
     head = r"(?s)^(?:\[((?:[^\[\]{}]|\{[^{}]*\})*)\])?\{([^}]+)\}(.*)$"
     items = docs.select(key, F.posexplode(parts).alias("ord", "item"))
     raw = F.trim(F.regexp_extract("item", head, 3))
