@@ -61,10 +61,10 @@ def classify(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """``blocks`` with semantic_type. Needs block_ord, text, heading_level, alignment, size_pt, indent_pt, has_formula, has_cite."""
     sized = blocks.join(body_size(blocks, keys), keys, "left").withColumn("body_pt", F.coalesce("body_pt", F.lit(BODY_PT)))
     text = F.trim("text")
-    marked = sized.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("block_ord")) - 1).withColumn("candidate", candidate())
+    marked = sized.withColumn("__quire_n", F.row_number().over(Window.partitionBy(*keys).orderBy("block_ord")) - 1).withColumn("candidate", candidate())
     centred = F.coalesce(F.col("alignment") == "center", F.lit(False))
     facts = marked.select(
-        *keys, "block_ord", F.col("_n").alias("n"), "candidate", centred.alias("centred"), F.length(text).alias("size"), text.rlike(AFFILIATION).alias("affiliated"),
+        *keys, "block_ord", F.col("__quire_n").alias("n"), "candidate", centred.alias("centred"), F.length(text).alias("size"), text.rlike(AFFILIATION).alias("affiliated"),
         (text.rlike(CORRESPONDENCE) | text.rlike(EMAIL)).alias("mailed"), F.coalesce(F.col("size_pt") < F.col("body_pt"), F.lit(False)).alias("small"),
         (F.col("has_formula") & (F.trim(F.regexp_replace(text, r"\([0-9.-]+\)", "")) == "")).alias("alone"), (F.col("has_formula") & (F.length(text) < 100) & text.rlike(r"\([0-9.-]+\)")).alias("numbered"),
         ((F.coalesce(F.col("indent_pt"), F.lit(0.0)) > 0) | (F.length(text) > 50) | F.col("has_cite") | F.col("has_formula")).alias("solid"),
@@ -124,4 +124,4 @@ def assemble(blocks: DataFrame, keys: list[str]) -> DataFrame:
     joined = F.when((F.col("semantic_type") == "unknown") & (F.row_number().over(w) > 1), F.lit(" ")).otherwise(F.lit("\n"))
     rows = blocks.select(*keys, "block_ord", F.concat(joined, line).alias("piece"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "piece"))), lambda x: x["piece"]), "")
-    return rows.groupBy(*keys).agg(F.ltrim(F.lit("\n"), text).alias("tex"))
+    return rows.groupBy(*keys).agg(F.ltrim(text, F.lit("\n")).alias("tex"))
