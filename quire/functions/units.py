@@ -53,7 +53,7 @@ def snapped(positions: Column, drawn: Column, near: float = 0.15, beyond: float
 
     def step(at: Column, x: Column) -> Column:
         gap = F.transform(at, lambda p: F.abs(p - x))
-        place = F.when(F.array_min(gap) < near, F.array_position(gap, F.array_min(gap))).when(x < F.get(at, 0) - beyond, 1).when(x > F.element_at(at, -1) + beyond, F.size(at))
+        place = F.when(F.array_min(gap) < near, F.array_position(gap, F.array_min(gap))).when(x < F.get(at, 0) - beyond, 1).when(x > F.get(at, F.size(at) - 1) + beyond, F.size(at))
         return F.when(place.isNull(), at).otherwise(F.transform(at, lambda p, k: F.when(k + 1 == place, x).otherwise(p)))
 
     return F.aggregate(F.array_sort(drawn), positions, step)

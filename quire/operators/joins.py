@@ -15,12 +15,12 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], left_at: s
     """
     side = 1 if strict else -1  # at one place, left rows come before right rows if strict
     payload = F.struct(*values)
-    a = left.withColumn("_at", F.col(left_at)).withColumn("_side", F.lit(0)).withColumn("_right", F.lit(None).cast(right.select(payload.alias("x")).schema["x"].dataType))
-    a = a.withColumn("_tie", F.lit(None).cast(dict(right.dtypes)[tie] if tie else "int"))
-    b = right.select(*keys, F.col(right_at).alias("_at"), F.lit(side).alias("_side"), payload.alias("_right"), (F.col(tie) if tie else F.lit(None).cast("int")).alias("_tie"))
-    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_found", F.last("_right", ignorenulls=True).over(w)).filter(F.col("_side") == 0)
-    return both.select(*left.columns, *[F.col(f"_found.{v}").alias(v) for v in values])
+    a = left.withColumn("__quire_at", F.col(left_at)).withColumn("__quire_side", F.lit(0)).withColumn("__quire_right", F.lit(None).cast(right.select(payload.alias("x")).schema["x"].dataType))
+    a = a.withColumn("__quire_tie", F.lit(None).cast(dict(right.dtypes)[tie] if tie else "int"))
+    b = right.select(*keys, F.col(right_at).alias("__quire_at"), F.lit(side).alias("__quire_side"), payload.alias("__quire_right"), (F.col(tie) if tie else F.lit(None).cast("int")).alias("__quire_tie"))
+    w = Window.partitionBy(*keys).orderBy("__quire_at", "__quire_side", "__quire_tie").rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__quire_found", F.last("__quire_right", ignorenulls=True).over(w)).filter(F.col("__quire_side") == 0)
+    return both.select(*left.columns, *[F.col(f"__quire_found.{v}").alias(v) for v in values])
 
 
 def contained_anti(left: DataFrame, right: DataFrame, keys: list[str], lo: str, hi: str) -> DataFrame:
@@ -29,16 +29,16 @@ def contained_anti(left: DataFrame, right: DataFrame, keys: list[str], lo: str,
     The span containing [lo, hi] exists if the largest end among spans that begin at or before lo reaches hi: a
     running maximum over one sort, not a join of all pairs.
     """
-    w = Window.partitionBy(*keys).orderBy(lo, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    a = left.withColumn("_side", F.lit(1)).withColumn("_reach", F.lit(None).cast(dict(right.dtypes)[hi]))
-    b = right.select(*keys, lo, F.lit(0).alias("_side"), F.col(hi).alias("_reach"))
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("_most", F.max("_reach").over(w)).filter("_side = 1")
-    return both.filter(F.col("_most").isNull() | (F.col("_most") < F.col(hi))).select(*left.columns)
+    w = Window.partitionBy(*keys).orderBy(lo, "__quire_side").rowsBetween(Window.unboundedPreceding, 0)
+    a = left.withColumn("__quire_side", F.lit(1)).withColumn("__quire_reach", F.lit(None).cast(dict(right.dtypes)[hi]))
+    b = right.select(*keys, lo, F.lit(0).alias("__quire_side"), F.col(hi).alias("__quire_reach"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__quire_most", F.max("__quire_reach").over(w)).filter("__quire_side = 1")
+    return both.filter(F.col("__quire_most").isNull() | (F.col("__quire_most") < F.col(hi))).select(*left.columns)
 
 
 def first_by(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
     """The first row of each key in an order, which must be total."""
-    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_rank = 1").drop("_rank")
+    return df.withColumn("__quire_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__quire_rank = 1").drop("__quire_rank")
 
 
 def first_unused(left: DataFrame, right: DataFrame, keys: list[str], left_order: str, right_order: str) -> DataFrame:

@@ -56,8 +56,8 @@ def merge_cite_runs(df: DataFrame, keys: list[str], order: str, part: str) -> Da
 def gap_clusters(df: DataFrame, keys: list[str], value: str, tolerance: float) -> DataFrame:
     """(keys, cluster, lo, hi, mean, n): values whose distance to the one before is under the tolerance cluster together."""
     w = ordered(keys, value)
-    numbered = df.withColumn("_start", F.col(value) - F.lag(value).over(w) >= tolerance)
-    numbered = numbered.withColumn("cluster", island(F.col("_start"), w))
+    numbered = df.withColumn("__quire_start", F.col(value) - F.lag(value).over(w) >= tolerance)
+    numbered = numbered.withColumn("cluster", island(F.col("__quire_start"), w))
     return numbered.groupBy(*keys, "cluster").agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
@@ -65,9 +65,9 @@ def coalesce_intervals(df: DataFrame, keys: list[str], lo: str, hi: str) -> Data
     """(keys, lo, hi): overlapping and touching intervals merged. Repeated intervals count once."""
     w = ordered(keys, lo, hi)
     before = F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    numbered = df.select(*keys, lo, hi).distinct().withColumn("_start", F.col(lo) > before)
-    numbered = numbered.withColumn("_island", island(F.col("_start"), w))
-    return numbered.groupBy(*keys, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+    numbered = df.select(*keys, lo, hi).distinct().withColumn("__quire_start", F.col(lo) > before)
+    numbered = numbered.withColumn("__quire_island", island(F.col("__quire_start"), w))
+    return numbered.groupBy(*keys, "__quire_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("__quire_island")
 
 
 def anchored_clusters(df: DataFrame, key: str, value: str, tolerance: float) -> DataFrame:
@@ -98,12 +98,12 @@ def look_ahead(df: DataFrame, keys: list[str], order: str, value: Column, blocke
     """``df`` with the first value among the next ``rows`` records, null if a blocking record comes before it."""
     w = ordered(keys, order)
     ahead = w.rowsBetween(1, rows)
-    numbered = df.withColumn("_n", F.row_number().over(w)).withColumn("_v", value).withColumn("_b", blocked)
-    hit = F.first(F.when(F.col("_v").isNotNull(), F.struct("_n", "_v")), ignorenulls=True).over(ahead)
-    stop = F.min(F.when(F.col("_b"), F.col("_n"))).over(ahead)
-    out = numbered.withColumn("_hit", hit).withColumn("_stop", stop)
-    clear = F.col("_stop").isNull() | (F.col("_stop") > F.col("_hit._n"))
-    return out.withColumn(name, F.when(clear, F.col("_hit._v"))).drop("_n", "_v", "_b", "_hit", "_stop")
+    numbered = df.withColumn("__quire_n", F.row_number().over(w)).withColumn("__quire_v", value).withColumn("__quire_b", blocked)
+    hit = F.first(F.when(F.col("__quire_v").isNotNull(), F.struct("__quire_n", "__quire_v")), ignorenulls=True).over(ahead)
+    stop = F.min(F.when(F.col("__quire_b"), F.col("__quire_n"))).over(ahead)
+    out = numbered.withColumn("__quire_hit", hit).withColumn("__quire_stop", stop)
+    clear = F.col("__quire_stop").isNull() | (F.col("__quire_stop") > F.col("__quire_hit.__quire_n"))
+    return out.withColumn(name, F.when(clear, F.col("__quire_hit.__quire_v"))).drop("__quire_n", "__quire_v", "__quire_b", "__quire_hit", "__quire_stop")
 
 
 def bracket_pairs(df: DataFrame, keys: list[str], text: str) -> DataFrame:

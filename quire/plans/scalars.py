@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import cites as C
+from ..functions import fixes as R
 from ..functions import latex as L
 from ..functions import text as X
 from ..functions import units as U
@@ -144,8 +145,32 @@ scalar("p53_slug", {"t": "concat(lang, ' A (', doc_id, '): ', source, ' - and a
 scalar("p54_safe_name", {"t": "concat(source, case when doc_id % 2 = 0 then '.bib' else ' (copy)é.bib' end)"}, lambda: {"name": X.safe_name(c("t"))}, {"name": "case when regexp_matches(t, '^[A-Za-z0-9_.-]+$') then t else regexp_replace(t, '[^A-Za-z0-9_.-]+', '_', 'g') end"})
 scalar("p55_author_emails", {"t": "text"}, lambda: {"emails": F.array_join(F.array_distinct(F.regexp_extract_all("t", F.lit(r"[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\.[A-Za-z0-9_]+"), F.lit(0))), ",")},
        {"emails": "array_to_string(list_transform(list_filter(list_transform(range(1, len(regexp_extract_all(t, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+')) + 1), lambda i: {'i': i, 'e': regexp_extract_all(t, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+')[i]}), lambda z: list_position(regexp_extract_all(t, '[A-Za-z0-9_.-]+@[A-Za-z0-9_.-]+\\.[A-Za-z0-9_]+'), z.e) = z.i), lambda z: z.e), ',')"})
-_PREP = ((r"\\vspace\*?\{[^}]*\}", ""), (r"\\(?:clearpage|newpage|pagebreak|noindent)\b", ""), (r"\\label\{fig:([^}]*)\}", r"[fig-$1]"), (r"\\begin\{strip\}|\\end\{strip\}", ""), (r"[ \t]+", " "))
-scalar("p56_pandoc_prep", {"t": f"concat({B}, 'vspace*{{2mm}}', lang, {B}, 'clearpage  ', {B}, 'label{{fig:', doc_id, '}} ', {B}, 'begin{{strip}}x', {B}, 'end{{strip}}')"}, lambda: {"t": L.rewritten(c("t"), *_PREP)}, {"t": subs("t", *[(a, b.replace("$1", r"\1")) for a, b in _PREP])})
+_PREP = (  # code before and after; @ is the document's language
+    (r"\vspace*{2mm}@\clearpage  \label{fig:@} \begin{strip}x\end{strip}", "@ [fig-@] x"), (r"\dataavailability{Data availability. See {the {site}} @}", "\\section{Data Availability}\nSee {the {site}} @\n"),
+    (r"\competinginterests{利益冲突：none}", "\\section{Competing Interests}\nnone\n"), ("\\introduction\na\n\\conclusions b", "\\section{Introduction}\na\n\\section{Conclusions} b"),
+    (r"\begin{acknowledgements}@\end{acknowledgements}", r"\begin{acknowledgment}@\end{acknowledgment}"), (r"\Author[1][a@b]{Ann}{Lee} \Author{Bo}{}", r"\author{Ann Lee} \author{Bo}"),
+    ("\\affil[1]{Uni}\n\\affil{Lab}", "% \\affil[1]{Uni}\n% \\affil{Lab}"), ("\\runningtitle{@}\n\\noappendix\nx \\received{y}", "% \\runningtitle{@}\n% \\noappendix\nx \\received{y}"), (r"a\vadjust {b}c", "ac"), ("a\n\\centerline{\\includegraphics[width=1cm,draft]{empty}\nb", "a\n\nb"),
+)
+_REPAIRED = (
+    (r"$ ^{1}\mathrm{Uni @} $ and $^{2}\mathrm{ Lab}$", r"\textsuperscript{1} Uni @ and \textsuperscript{2} Lab"), (r"CO2 XCO2 OCO2 CO2x CO$_2$ CO$\_\{2\}$", r"CO$_2$ XCO$_2$ OCO-2 CO2x CO$_2$ CO$_2$"), (r"see https://x.org/@) \url{http://y}", r"see \url{https://x.org/@}) \url{http://y}"),
+    ("a\n\n\n\n\nb", "a\n\n\nb"), (r"\textbf{x}\citep{a}\citep{b}\citep{@} (\citep{d})", r"\textbf{x}\citep{a,b,@} \citep{d}"), ("((Gui et al., 2024)) ((x))", "(Gui et al., 2024) ((x))"), (r"\caption{Figure 2. The @} \caption{表 1.2：b}", r"\caption{The @} \caption{b}"),
+    (r"\mathrm{+\lambda} \mathrm{abc} \mathrm{a_{x=1}} \mathrm{\delta}", r"+\lambda \mathrm{abc} a_{x=1} \delta"), ("CO₂ @₁ ₃", r"CO\textsubscript{2} @\textsubscript{1} ₃"),
+    (r"\usepackage{unicode-math}\begin{document}@", "\\usepackage{unicode-math}\\ExplSyntaxOn\n\\cs_set_eq:NN \\__um_scanprime_collect:N \\use_none:n\n\\ExplSyntaxOff\n\\begin{document}@"),
+)
+
+
+def _cases(name: str, cases: tuple, f) -> None:
+    """Registers f over a case for each document, beside what must come out."""
+    n, quoted = len(cases), lambda t: "'" + t.replace("'", "''") + "'"
+
+    @query(name, f"select doc_id, replace(case doc_id % {n} " + " ".join(f"when {k} then {quoted(after)}" for k, (_, after) in enumerate(cases)) + " end, '@', lang) as t from documents")
+    def run(spark, sf_dir):
+        text = F.element_at(F.array(*[F.lit(before) for before, _ in cases]), (F.col("doc_id") % n + 1).cast("int"))
+        return table(spark, sf_dir, "documents").select("doc_id", f(F.replace(text, F.lit("@"), F.col("lang"))).alias("t"))
+
+
+_cases("p56_pandoc_prep", _PREP, R.for_converter)
+_cases("p34_post_fixes", _REPAIRED, R.repaired)
 
 
 @query("p43_position_class", "select l_orderkey, l_linenumber, count(*) as n, min(case when l_discount * 5 <= 0.24 then 'top' when l_discount * 5 >= 0.32 then 'inline' when l_tax * 10 >= 0.55 then 'inline' else 'top' end) as place from lineitem group by all")

@@ -102,13 +102,6 @@ def p32(spark, sf):
     return built(spark, sf, "concat('y = a', doc_id, '+b+c')").select("doc_id", F.array_join(E.lines_of("text", F.lit(40.0)), "|").alias("t"))
 
 
-@query("p34_merge_cites", r"select doc_id, concat('x \citep{a', doc_id % 9, ',b,c} y') as t from documents")
-def p34(spark, sf):
-    """Runs of adjacent citation commands become one, by one replacement over the run."""
-    run = L.rewritten(F.col("text"), (r"\}\s*\\citep\{", ","), (r"\s+,", ","))
-    return built(spark, sf, r"concat(r'x \citep{a', doc_id % 9, r'} \citep{b}\citep{c} y')").select("doc_id", run.alias("t"))
-
-
 @query("p35_formula_cleanup", r"select doc_id, concat('X', doc_id % 9, ' \times y-1') as t from documents")
 def p35(spark, sf):
     return built(spark, sf, "concat('Ｘ', doc_id % 9, ' ×  y−１$')").select("doc_id", E.cleaned_of("text").alias("t"))
