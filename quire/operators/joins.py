@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,3 +82,33 @@ def prefix_search(needles: DataFrame, hay: DataFrame, needle: str, text: str, le
     a = needles.select(needle_id, cut(needle).alias("p")).select(needle_id, "p.length", "p.prefix")
     b = hay.select(hay_id, cut(text).alias("p")).select(hay_id, "p.length", "p.prefix").groupBy("length", "prefix").agg(F.min(hay_id).alias(hay_id))
     return first_by(a.join(b, ["length", "prefix"]), [needle_id], F.desc("length"), hay_id).select(needle_id, hay_id, "length")
+
+
+def nearest_in_group(df: DataFrame, group: str, row_id: str, vector: str, tile: int = 4096, digits: int = 6) -> DataFrame:
+    """(row_id, best): the other row of its group with the largest inner product, rounded, ties to the smaller id.
+
+    A group is cut into tiles by a hash of the id, and each pair of tiles is one matrix product in one task that gives a row
+    for each of its rows; no pair of rows is ever a row, and a task holds two tiles, whatever the group's size. Rows without
+    a vector or without another row in their group have no best.
+    """
+    kinds = dict(df.dtypes)
+    known = df.select(F.col(group).alias("g"), F.col(row_id).alias("k"), F.col(vector).cast("array<double>").alias("v")).filter("g is not null and k is not null and v is not null")
+    tiles = known.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    cut = known.join(tiles, "g").withColumn("own", F.pmod(F.xxhash64("k"), F.col("tiles")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    asks = cut.select("g", F.col("own").alias("a"), every.alias("b"), F.lit(True).alias("asks"), "k", "v")
+    offers = cut.select("g", every.alias("a"), F.col("own").alias("b"), F.lit(False).alias("asks"), "k", "v")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        left, right = rows[rows["asks"]], rows[~rows["asks"]].sort_values("k")
+        if left.empty or right.empty:
+            return pd.DataFrame({"k": left["k"][:0], "best": left["k"][:0], "score": []})
+        score = np.round(np.stack(left["v"].to_list()) @ np.stack(right["v"].to_list()).T, digits)
+        score[left["k"].to_numpy()[:, None] == right["k"].to_numpy()[None, :]] = -np.inf
+        best = score.argmax(axis=1)  # the first of equals, so the smallest id
+        out = pd.DataFrame({"k": left["k"].to_numpy(), "best": right["k"].to_numpy()[best], "score": score[np.arange(len(left)), best]})
+        return out[np.isfinite(out["score"])]
+
+    found = asks.unionByName(offers).groupBy("g", "a", "b").applyInPandas(run, f"k {kinds[row_id]}, best {kinds[row_id]}, score double")
+    top = found.groupBy("k").agg(F.min_by("best", F.struct(-F.col("score"), F.col("best"))).alias("best"))
+    return top.withColumnRenamed("k", row_id)

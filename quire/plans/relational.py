@@ -183,11 +183,7 @@ def j9(spark, sf):
 @query("j10_similar_top1", "select a.vec_id, arg_max(b.vec_id, round(list_inner_product(a.embedding::double[], b.embedding::double[]), 6) - b.vec_id * 1e-12) as best from embeddings a, embeddings b where a.vec_id <> b.vec_id and a.label = b.label group by 1")
 def j10_p25(spark, sf):
     """Cosine of unit vectors within a label; the best of each vector, ties to the smaller id."""
-    e = table(spark, sf, "embeddings")
-    q = e.select(F.col("vec_id").alias("q"), F.col("embedding").alias("x"), "label")
-    dot = F.aggregate(F.zip_with("x", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    s = q.join(e, "label").filter("q <> vec_id").select("q", "vec_id", (F.round(dot, 6) - F.col("vec_id") * F.lit(1e-12)).alias("s"))
-    return s.groupBy("q").agg(F.max_by("vec_id", "s").alias("best")).withColumnRenamed("q", "vec_id")
+    return J.nearest_in_group(table(spark, sf, "embeddings"), "label", "vec_id", "embedding")
 
 
 @query("j12_positional", "select a.conv_id, a.rn, a.role, b.role as other from (select *, row_number() over (partition by conv_id order by turn) rn from conversations) a join (select *, row_number() over (partition by conv_id order by turn desc) rn from conversations) b using (conv_id, rn)")

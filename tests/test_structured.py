@@ -212,3 +212,13 @@ def test_packages_of_odd_rows(spark):
     assert sorted(r.path for r in docx.parse(docx.packages(df), "blocks").collect()) == ["b"]
     assert docx.parse(docx.packages(df.limit(0)), "media").count() == 0
     assert text.numeric_looking(F.lit("1")) is not None
+
+
+def test_nearest_over_many_tiles(spark):
+    rows = [(k, k % 2, [float(k * 7 % 11), float(k * 5 % 13), 1.0]) for k in range(60)] + [(99, 7, [1.0, 1.0, 1.0]), (98, 0, None)]
+    df = spark.createDataFrame(rows, "k long, g long, v array<double>")
+    dot = lambda a, b: round(sum(x * y for x, y in zip(a, b)), 6)
+    want = {k: min((-dot(v, w), o) for o, h, w in rows if h == g and o != k and w)[1] for k, g, v in rows[:60]}
+    for tile in (7, 4096):
+        assert {r.k: r.best for r in joins.nearest_in_group(df, "g", "k", "v", tile=tile).collect()} == want
+    assert joins.nearest_in_group(df.limit(0), "g", "k", "v").count() == 0
