@@ -6,7 +6,7 @@ of the contract, since RE2 has neither lookbehind nor possessive runs.
 
 from __future__ import annotations
 
-from . import pii, secrets, substring
+from . import pii, resample, secrets, substring, vectorcodes
 
 
 def _places(source: str, rules: list[tuple[str, int, str, str]], keep: str = "id, t") -> str:
@@ -95,4 +95,4 @@ select d.doc_id, len(w) as n_words, coalesce(len(gone), 0) as n_removed,
 from d left join g using (doc_id)
 """
 
-ORACLE_SQL = {"op1_pii": OP1, "op3_warc": OP3, "op5_substring_dedup": OP5, "op7_secret_scan": OP7}
+ORACLE_SQL = {"op1_pii": OP1, "op3_warc": OP3, "op5_substring_dedup": OP5, "op7_secret_scan": OP7, "op12_vector_codes": vectorcodes.oracle(), "op13_resample": resample.oracle()}

@@ -8,10 +8,12 @@ from .decontam import op2_decontaminate
 from .langid import op6_language
 from .oracles import ORACLE_SQL
 from .pii import op1_pii
+from .resample import op13_resample
 from .secrets import op7_secret_scan
 from .sharding import op9_shard
 from .simhash import op8_simhash
 from .substring import op5_substring_dedup
+from .vectorcodes import op12_vector_codes
 from .warc import op3_warc
 
 QUERIES = {
@@ -25,6 +27,8 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_shard": op9_shard,
     "op10_ann": op10_ann,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_resample": op13_resample,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
