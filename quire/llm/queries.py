@@ -13,6 +13,7 @@ from .secrets import op7_secret_scan
 from .sharding import op9_shard
 from .simhash import op8_simhash
 from .substring import op5_substring_dedup
+from .toxicity import op11_toxicity
 from .vectorcodes import op12_vector_codes
 from .warc import op3_warc
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_shard": op9_shard,
     "op10_ann": op10_ann,
+    "op11_toxicity": op11_toxicity,
     "op12_vector_codes": op12_vector_codes,
     "op13_resample": op13_resample,
 }
