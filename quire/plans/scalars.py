@@ -132,13 +132,6 @@ _FIG = {"w": "cast(p_size * 4 as double)", "h": "cast(p_size % 17 * 9 + 5 as dou
 scalar("p45_figure_fit", _FIG, lambda: {"full_width": c("w") > F.lit(85.0) * 1.02, "height_mm": F.round(F.greatest(F.lit(20.0), F.least(c("h") * F.least(F.lit(1.0), F.lit(177.0) / c("w")), F.lit(240.0) * F.when(c("w") > 86.7, 0.82).otherwise(0.60) - 18)), 6)},
        {"full_width": "w > 85.0 * 1.02", "height_mm": "round(greatest(20.0, least(h * least(1.0, 177.0 / w), 240.0 * case when w > 86.7 then 0.82 else 0.60 end - 18)), 6)"}, "part", "p_partkey")
 scalar("p48_numeric_looking", {"t": "case doc_id % 4 when 0 then ' 1,234.5 ± 2 %' when 1 then '' when 2 then lang else '(3/4)' end"}, lambda: {"numeric": X.numeric_looking(c("t"))}, {"numeric": "regexp_matches(trim(t), '^[-+±0-9.,\\s%/()]*$')"})
-scalar("p49_column_format", {"t": "case doc_id % 4 when 0 then 'lcc' when 1 then '|l|c|r|' when 2 then 'p{3cm}cp{4cm}' else '@{}lccc@{}' end"},
-       lambda: {"columns": F.size(F.regexp_extract_all(F.regexp_replace("t", r"@\{[^}]*\}", ""), F.lit(r"[lcr]|[pmb]\{[^}]*\}"), F.lit(0))), "rules": F.length(F.regexp_replace("t", r"[^|]", ""))},
-       {"columns": "cast(len(regexp_extract_all(regexp_replace(t, '@\\{[^}]*\\}', '', 'g'), '[lcr]|[pmb]\\{[^}]*\\}')) as int)", "rules": "cast(length(regexp_replace(t, '[^|]', '', 'g')) as int)"})
-scalar("p50_cell_text", {"t": f"concat({B}, 'textbf{{', lang, '}} ', {B}, 'textit{{x}} a$_', doc_id % 9, '$ ')"},
-       lambda: {"t": L.plain(c("t")), "bold": c("t").contains("\\textbf"), "italic": c("t").contains("\\textit")}, {"t": "trim(" + subs(nested("t", *_DIGITS), (r"\\[A-Za-z0-9_]+\{([^}]*)\}", r"\1"), (r"[${}\\]", "")) + ")", "bold": r"contains(t, '\textbf')", "italic": r"contains(t, '\textit')"})
-scalar("p51_cell_split", {"t": f"concat('a', doc_id % 5, ' & ', lang, {B}, '& b & c')"}, lambda: {"cells": F.array_join(F.transform(F.split(c("t"), r"(?<!\\)&"), lambda x: F.trim(x)), "|")},
-       {"cells": r"array_to_string(list_transform(string_split(replace(t, '\&', chr(1)), '&'), lambda x: trim(replace(x, chr(1), '\&'))), '|')"})
 _META = {"t": "text"}
 scalar("p52_base64_round_trip", _META, lambda: {"size": F.length(F.regexp_replace(F.base64(F.encode("t", "UTF-8")), r"\s", "")), "same": F.decode(F.unbase64(F.base64(F.encode("t", "UTF-8"))), "UTF-8") == c("t")}, {"size": "length(to_base64(encode(t)))", "same": "decode(from_base64(to_base64(encode(t)))) = t"})
 scalar("p53_slug", {"t": "concat(lang, ' A (', doc_id, '): ', source, ' - and a long tail of words that goes on')"}, lambda: {"slug": X.slug(c("t"))}, {"slug": "substring(regexp_replace(trim(regexp_replace(t, '[^A-Za-z0-9_\\s-]', '', 'g')), '\\s+', '-', 'g'), 1, 50)"})

@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from ..functions import cites, latex
 
 
+_BRACE = re.compile(r"\\.|[{}]", re.S)
+
+
 def group_at(text: str, start: int) -> tuple[str, int]:
-    """Content of the brace group that opens at ``start``, and the place after it; to the end if nothing closes it."""
+    """Content of the brace group that opens at ``start``, and the place after it; to the end if nothing closes it. Escaped braces are text."""
     depth = 0
-    for k in range(start, len(text)):
-        depth += {"{": 1, "}": -1}.get(text[k], 0)
+    for m in _BRACE.finditer(text, start):
+        depth += {"{": 1, "}": -1}.get(m[0], 0)
         if depth == 0:
-            return text[start + 1 : k], k + 1
+            return text[start + 1 : m.start()], m.end()
     return text[start + 1 :], len(text)
 
 
@@ -90,13 +93,91 @@ def _cells_of(row: str) -> list[str]:
     return [c.strip() for c in out]
 
 
+def _rows_of(body: str) -> list[str]:
+    """Rows of a tabular: its parts between double backslashes outside of braces."""
+    out, depth, begin = [], 0, 0
+    for m in re.finditer(r"\\\\(?:\[[^\]]*\])?|\\.|[{}]", body, re.S):
+        if m[0].startswith("\\\\") and depth == 0:
+            out.append(body[begin : m.start()])
+            begin = m.end()
+        depth = max(0, depth + {"{": 1, "}": -1}.get(m[0], 0))
+    return [*out, body[begin:]]
+
+
 def columns_of(form: str) -> list[str]:
-    """Column kinds of a tabular format."""
-    return re.findall(r"[lcr]|[pmb]\{[^}]*\}", re.sub(r"@\{[^}]*\}", "", form))
+    """Column kinds of a tabular format: letters, with their widths; what ``@``, ``!``, ``<`` and ``>`` put between goes, ``*{3}{..}`` is written out."""
+    out, at = [], 0
+    while at < len(form):
+        kind, at = form[at], at + 1
+        if kind not in "@!<>*pmb":
+            out += [kind] if kind in "lcr" else []
+            continue
+        if form[at : at + 1] != "{":
+            continue
+        inside, at = group_at(form, at)
+        if kind in "pmb":
+            out.append(f"{kind}{{{inside}}}")
+        elif kind == "*" and form[at : at + 1] == "{":
+            repeated, at = group_at(form, at)
+            out += columns_of(repeated) * (int(inside) if inside.strip().isdigit() else 1)
+    return out
+
+
+def _told(cell: str, name: str, groups: int) -> list[str] | None:
+    """The ``groups`` arguments of ``\\name`` at the start of a cell, whatever braces they hold; None if it doesn't begin with that."""
+    m = re.match(rf"\\{name}\s*(?=\{{)", cell)
+    if not m:
+        return None
+    found, at = [], m.end()
+    for _ in range(groups):
+        at += len(cell[at:]) - len(cell[at:].lstrip())
+        if cell[at : at + 1] != "{":
+            return None
+        inside, at = group_at(cell, at)
+        found.append(inside)
+    return found
+
+
+def _spans(cell: str) -> tuple[int, int, str]:
+    """Columns, rows and content of a cell; \\multicolumn and \\multirow stand in either order."""
+    wide, tall = 1, 1
+    for _ in range(2):
+        if (told := _told(cell, "multicolumn", 3)) and told[0].strip().isdigit():
+            wide, cell = int(told[0]), told[2].strip()
+        elif (told := _told(cell, "multirow", 3)) and told[0].strip().isdigit():
+            tall, cell = int(told[0]), told[2].strip()
+    return wide, tall, cell
+
+
+def placed(row: list[tuple[int, int, str]], columns: int, held: dict[int, tuple[int, int, int]]) -> tuple[list[tuple[int, int, int, str | None, str]], dict[int, tuple[int, int, int]]]:
+    """The cells (columns, rows, content) of a row at their columns, and what taller cells hold for the next row.
+
+    ``held`` has (rows left, first column, columns) for each column that a cell above still covers. There the row goes on with that
+    cell; the empty cell that code usually writes for it is passed over. A row that writes none, since its cells would fit beside
+    what is held, just moves on. Gives (col_start, grid_span, row_span, v_merge, content).
+    """
+    writes = sum(wide for wide, _, _ in row) > columns - len(held)
+    out, after, column, todo = [], {}, 0, list(row)
+    while todo or column in held:
+        if column in held:
+            left, first, wide = held[column]
+            after |= {c: (left - 1, first, wide) for c in range(first, first + wide) if left > 1}
+            wide -= column - first  # less than all of it only where a cell overlaps it, which code shouldn't do
+            out.append((column, wide, 1, "continue", ""))
+            passed = 0
+            while writes and todo and passed < wide:
+                passed += todo.pop(0)[0]
+            column += wide
+        else:
+            wide, tall, content = todo.pop(0)
+            out.append((column, wide, tall, "restart" if tall > 1 else None, content))
+            after |= {c: (tall - 1, column, wide) for c in range(column, column + wide) if tall > 1}
+            column += wide
+    return out, after
 
 
 def tabulars(text: str) -> Iterator[dict]:
-    """A row for each cell of each tabular, wherever it stands; spans by \\multicolumn and \\multirow, rules as borders."""
+    """A row for each cell of each tabular, wherever it stands; spans by \\multicolumn and \\multirow, cells below a taller one as its continuation, rules as borders."""
     for t, m in enumerate(re.finditer(r"\\begin\{tabular\}\s*\{", text)):
         form, at = group_at(text, m.end() - 1)
         end = text.find(r"\end{tabular}", at)
@@ -106,21 +187,16 @@ def tabulars(text: str) -> Iterator[dict]:
         caption = command_arg(text[outer : m.start()], "caption") if outer > closed else None
         if caption is None and outer > closed and end >= 0:
             caption = command_arg(text[end : text.find(r"\end{table", end)], "caption")
-        r = 0
-        for line in re.split(r"\\\\(?:\[[^\]]*\])?", body):
+        r, held = 0, {}
+        for line in _rows_of(body):
             rules = re.findall(r"\\(toprule|midrule|bottomrule|hline|cline)", line)
             line = re.sub(r"\\(?:toprule|midrule|bottomrule|hline|cline\{[^}]*\}|cmidrule(?:\([^)]*\))?\{[^}]*\})", "", line).strip()
-            if not line:
+            if not line and not (held and len(held) == columns):
                 continue
-            column = 0
-            for cell in _cells_of(line):
-                wide = re.match(r"\\multicolumn\{(\d+)\}\{[^}]*\}\{(.*)\}$", cell, re.S)
-                tall = re.match(r"\\multirow\{(\d+)\}\{[^}]*\}\{(.*)\}$", (wide[2] if wide else cell), re.S)
-                inner = tall[2] if tall else wide[2] if wide else cell
-                span = int(wide[1]) if wide else 1
+            cells, held = placed([_spans(c) for c in _cells_of(line)] if line else [], columns, held)
+            for column, wide, tall, merge, inner in cells:
                 plain = re.sub(r"[{}$]", "", re.sub(r"\\[A-Za-z]+\s*", "", inner)).strip()
-                yield {"table_ord": t, "columns": columns, "caption": caption[0] if caption else None, "row": r, "col_start": column, "grid_span": span, "row_span": int(tall[1]) if tall else 1, "text": plain, "bold": "\\textbf" in inner or "\\bfseries" in inner, "italic": "\\textit" in inner or "\\itshape" in inner, "rule_above": bool(rules)}
-                column += span
+                yield {"table_ord": t, "columns": columns, "caption": caption[0] if caption else None, "row": r, "col_start": column, "grid_span": wide, "row_span": tall, "v_merge": merge, "text": plain, "bold": "\\textbf" in inner or "\\bfseries" in inner, "italic": "\\textit" in inner or "\\itshape" in inner, "rule_above": bool(rules)}
             r += 1
 
 
@@ -176,7 +252,7 @@ _SCHEMAS = {
     bib_entries: "ord int, key string, author string, year string, title string",
     figures: "path string, width string, number string, caption string, legend string, is_full_width boolean, start int, end int",
     formulas: "ord int, type string, env string, latex string, label string, start int, end int",
-    tabulars: "table_ord int, columns int, caption string, row int, col_start int, grid_span int, row_span int, text string, bold boolean, italic boolean, rule_above boolean",
+    tabulars: "table_ord int, columns int, caption string, row int, col_start int, grid_span int, row_span int, v_merge string, text string, bold boolean, italic boolean, rule_above boolean",
     tikz_tables: "ord int, kind string, number string, caption string, body string, is_full_width boolean, start int, end int",
     conditions: "branch string, param string, value double",
 }

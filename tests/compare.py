@@ -44,5 +44,6 @@ def differ(df, con, sql):
         return f"columns {mine} and {names}"
     if got == want:
         return None
-    extra, lacking = [r for r in got if r not in set(want)][:2], [r for r in want if r not in set(got)][:2]
+    known, mine = set(want), set(got)
+    extra, lacking = [r for r in got if r not in known][:2], [r for r in want if r not in mine][:2]
     return f"{len(got)} and {len(want)} rows; only here {extra}; only in SQL {lacking}"
