@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import specs as S
+from ..functions.units import UNIT_MM
 
 _CHECK = "array<struct<category:string,status:string,item:string>>"
 
@@ -29,6 +30,26 @@ def _each(category: str, wanted: Column, present: Column, missing: str | None) -
     return F.filter(rows, lambda r: r["status"].isNotNull())
 
 
+#: A definition of a length, and a term of what it is defined as: sign, factor, and a unit or another length.
+_DEFINES = r"\\(?:setlength|def)\s*\{?\s*\\([A-Za-z@]+)\s*\}?\s*\{([^{}]*)\}"
+_TERM = r"([+-]?)\s*([0-9]*\.?[0-9]*)\s*(?:(pt|mm|cm|in|bp|dd|cc)\b|\\([A-Za-z@]+))"
+
+
+def length_terms(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, name, factor, refers, mm): the terms of every length that code defines, the last definition of a name in full.
+
+    A term is a number times a unit, or times another length by name: ``210mm+2\\bleed``. A factor that isn't told is one.
+    """
+    all_of = lambda t, pattern, names: F.arrays_zip(*[F.regexp_extract_all(t, F.lit(pattern), F.lit(k)).alias(n) for k, n in enumerate(names, 1)])
+    found = docs.select(*keys, F.posexplode(all_of(F.col(text), _DEFINES, ("name", "body"))).alias("__quire_at", "d"))
+    last = found.groupBy(*keys, F.col("d.name").alias("name")).agg(F.max_by("d.body", "__quire_at").alias("body"))
+    body = F.regexp_replace("body", r"\\(?:dimexpr|relax)(?![A-Za-z@])", "")
+    terms = last.select(*keys, "name", F.explode(all_of(body, _TERM, ("sign", "number", "unit", "refers"))).alias("t"))
+    units = F.create_map(*[F.lit(x) for pair in UNIT_MM.items() for x in pair])
+    factor = F.when(F.col("t.number") == "", 1.0).otherwise(F.col("t.number").try_cast("double")) * F.when(F.col("t.sign") == "-", -1).otherwise(1)
+    return terms.select(*keys, "name", factor.alias("factor"), F.nullif("t.refers", F.lit("")).alias("refers"), F.when(F.col("t.unit") != "", F.element_at(units, F.col("t.unit"))).alias("mm"))
+
+
 def checks(t: Column, spec: Column) -> Column:
     """What a document's code ``t`` does or fails to do of its template's facts: array<struct<category, status, item>>."""
     extract = lambda p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
@@ -50,7 +71,7 @@ def checks(t: Column, spec: Column) -> Column:
     style, wanted = F.get(extract(r"\\bibliographystyle\{([^}]+)\}"), 0), one("bibliography_format", "style")
     spacing, separator = one("spacing", "line_spacing"), one("caption_format", "separator")
     by_biblatex = F.exists(spec, lambda f: f["key"].startswith("biblatex."))
-    alias = F.transform(F.filter(spec, lambda f: (f["category"] == "section_commands") & f["key"].startswith("alias.")), lambda f: F.struct(F.substring(f["key"], 7, 100).alias("a"), f["value"].alias("b")))
+    alias = F.transform(F.filter(spec, lambda f: (f["category"] == "section_commands") & f["key"].startswith("alias.")), lambda f: F.struct(F.substring(f["key"], F.lit(7), F.length(f["key"])).alias("a"), f["value"].alias("b")))
     formats = of("table_format", "column_format")
     no_rules = (F.size(formats) > 0) & ~F.exists(formats, lambda c: c.contains("|"))
     declared = F.array_union(commands, environments)

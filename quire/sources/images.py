@@ -7,12 +7,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import natural_key
+from ..operators.rounds import in_turn, settled
 
 #: Scores: same size and bytes within SLACK; same size; within NEAR pixels of it.
 SLACK, NEAR = 1000, 50
@@ -64,9 +64,10 @@ def cosine(a, b):
 
 
 def match(extracted: DataFrame, originals: DataFrame, group: str) -> DataFrame:
-    """(group, extracted, original, score): in natural order, each extracted image takes the best original still free.
+    """(group, extracted, original, score): in natural order, each extracted image takes the best original still free, ties to the smaller name.
 
-    Candidates are joined within a group on near size classes, scored natively, and dealt out per group.
+    Candidates are joined within a group on near size classes, scored natively, and dealt out in rounds over all groups
+    at once (``rounds.in_turn``), so no group goes through one task.
     """
     cell = lambda c: F.floor(F.col(c) / NEAR)
     near = lambda c: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
@@ -75,16 +76,8 @@ def match(extracted: DataFrame, originals: DataFrame, group: str) -> DataFrame:
     b = originals.select(group, F.col("path").alias("original"), "width", "height", "file_size", "histogram", cell("width").alias("cw"), cell("height").alias("ch"))
     dw, dh, far = F.abs(F.col("w") - F.col("width")), F.abs(F.col("h") - F.col("height")), (1 - cosine(F.col("x"), F.col("histogram"))) * 100
     score = F.when((dw == 0) & (dh == 0) & (F.abs(F.col("s") - F.col("file_size")) < SLACK), -2000.0).when((dw == 0) & (dh == 0), -1000 + far).when((dw < NEAR) & (dh < NEAR), dw + dh + far)
-    scored = a.join(b, [group, "cw", "ch"]).select(group, "extracted", "original", score.alias("score"), natural_key(F.col("extracted")).alias("place")).filter("score is not null")
-    kind = dict(extracted.dtypes)[group]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for _, own in rows.sort_values(["place", "score", "original"], kind="stable").groupby("place", sort=True):
-            free = own[~own["original"].isin(used)]
-            if len(free):
-                keep.append(free.index[0])
-                used.add(free["original"].iloc[0])
-        return rows.loc[keep, [group, "extracted", "original", "score"]]
-
-    return scored.groupBy(group).applyInPandas(run, f"{group} {kind}, extracted string, original string, score double")
+    scored = settled(a.join(b, [group, "cw", "ch"]).select(group, "extracted", "original", score.alias("score"), natural_key(F.col("extracted")).alias("place")).filter("score is not null"), "image-scores")
+    own = lambda c: F.struct(F.col(group).alias("g"), F.col(c).alias("path"))
+    wishes = scored.select(own("extracted").alias("l"), F.struct("place", "extracted").alias("p"), own("original").alias("r"), F.struct("score", "original").alias("o"))
+    pairs = in_turn(wishes, "l", "p", "r", "o").select(F.col("l.g").alias(group), F.col("l.path").alias("extracted"), F.col("r.path").alias("original"))
+    return pairs.join(scored.groupBy(group, "extracted", "original").agg(F.min("score").alias("score")), [group, "extracted", "original"])
