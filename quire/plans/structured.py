@@ -211,7 +211,7 @@ def s14(spark, sf):
 
 def _blocks(spark, sf):
     b = lines(spark, sf).withColumnRenamed("ord", "block_ord")
-    text = F.when(F.col("block_ord") % 6 == 3, F.concat(F.lit("Figure 2. "), F.substring("line", 1, 40))).when(F.col("block_ord") == 0, F.substring("line", 1, 60)).when(F.col("block_ord") == 1, "Abstract").otherwise(F.col("line"))
+    text = F.when(F.col("block_ord") % 6 == 3, F.concat(F.lit("Figure 2. "), "line")).when(F.col("block_ord") == 1, "Abstract").otherwise(F.col("line"))
     return b.select(
         "doc_id", "block_ord", text.alias("text"), F.when(F.col("block_ord") % 7 == 5, 1).alias("heading_level"), F.when(F.col("block_ord") < 1, "center").alias("alignment"),
         F.when(F.col("block_ord") % 6 == 3, 9.0).otherwise(12.0).alias("size_pt"), F.lit(None).cast("double").alias("indent_pt"), F.lit(False).alias("has_formula"), F.col("line").contains("(1)").alias("has_cite"),
