@@ -53,21 +53,23 @@ def padded(parts: Column, n: Column) -> Column:
     return F.slice(F.concat(parts, F.array_repeat(F.lit(""), F.greatest(n - F.size(parts), F.lit(0)))), 1, n)
 
 
-def group(text: Column, start: Column) -> Column:
-    """Content of the brace at ``start`` (1-based) up to its match; null if no brace is there."""
-    return let(F.substring(text, start, F.length(text)), _group)
+def group(text: Column, start: Column, opening: str = "{", closing: str = "}") -> Column:
+    """Content of the brace (or bracket) at ``start`` (1-based) up to its match; null if none is there."""
+    return let(F.substring(text, start, F.length(text)), lambda rest: _group(rest, opening, closing))
 
 
-def _group(rest: Column) -> Column:
+def _group(rest: Column, opening: str, closing: str) -> Column:
     zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(None).cast("int").alias("end"))
+    either = "".join(f"\\{c}" for c in (opening, closing))
+    found = F.regexp_extract_all(rest, F.lit(rf"(?s)\\.|[{either}]|[^\\{either}]+|\\"), F.lit(0))
 
     def step(acc: Column, mark: Column) -> Column:
-        depth = _deeper(acc["depth"], mark)
-        closes = acc["end"].isNull() & (mark == "}") & (depth == 0)
+        depth = F.greatest(F.lit(0), acc["depth"] + F.when(mark == opening, 1).when(mark == closing, -1).otherwise(0))
+        closes = acc["end"].isNull() & (mark == closing) & (depth == 0)
         return F.struct((acc["at"] + F.length(mark)).alias("at"), depth.alias("depth"), F.when(closes, acc["at"]).otherwise(acc["end"]).alias("end"))
 
-    inside = F.aggregate(marks(rest), zero, step, lambda acc: F.substring(rest, F.lit(2), F.coalesce(acc["end"], acc["at"]) - 1))
-    return F.when(rest.startswith("{"), inside)
+    inside = F.aggregate(found, zero, step, lambda acc: F.substring(rest, F.lit(2), F.coalesce(acc["end"], acc["at"]) - 1))
+    return F.when(rest.startswith(opening), inside)
 
 
 def arguments(text: Column, *names: str) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import braces
+
 
 def marker(key: Column, mode: Column) -> Column:
     """Alphanumeric marker that carries a key through other tools."""
@@ -98,3 +100,22 @@ def style(tex: Column) -> Column:
         .when(bst.isin("plain", "unsrt", "abbrv", "plainnat"), "numbered")
         .when(cls.contains("ieee"), "ieee").when(cls.rlike("copernicus|gmd|acp"), "copernicus").when(cls.contains("nature"), "nature").otherwise("apa")
     )
+
+
+def bbl_label(label: Column) -> Column:
+    """An author-year label of a bibliography item, ``{Wang et~al.(2022{\\natexlab{a}})Wang, Ding, and Ma}``, as it is cited: ``Wang et al. (2022)``.
+
+    One or two authors of the full list are named, of more the first; without a full list the short one is. A label without a year is plain text.
+    """
+    return braces.let(F.trim(F.translate(F.replace(braces.unwrapped(label, "natexlab"), F.lit("~"), F.lit(" ")), "{}", "")), _cited_label)
+
+
+def _cited_label(plain: Column) -> Column:
+    pattern = r"(?s)^(.+?)\(([0-9]{4})[a-z]?\)(.*)$"
+    short, year, full = (F.trim(F.regexp_extract(plain, pattern, k)) for k in (1, 2, 3))
+
+    def named(authors: Column) -> Column:
+        return F.when(F.size(authors) == 0, short).when(F.size(authors) <= 2, F.array_join(authors, " and ")).otherwise(F.concat(F.get(authors, 0), F.lit(" et al.")))
+
+    authors = F.filter(F.transform(F.split(full, r"\s*,\s*(?:and\s+)?|\s+and\s+"), lambda a: F.trim(a)), lambda a: a != "")
+    return F.when(year == "", plain).otherwise(F.concat(braces.let(authors, named), F.lit(" ("), year, F.lit(")")))

@@ -42,7 +42,19 @@ _BBL = f"concat({B}, 'begin{{thebibliography}}{{9}} ', {B}, 'bibitem[Wang(2020)]
 
 @query("s10_bbl_items", "select doc_id, 0 as ord, concat('k', doc_id) as item_key, 'Wang(2020)' as label, 'Wang: T' as plain_text, concat('https://doi.org/10.1/', doc_id) as doi_url, null as external_url from documents union all select doc_id, 1, concat('m', doc_id % 5), '2', concat('Ma, http://x.org/', doc_id), null, concat('http://x.org/', doc_id) from documents")
 def s10_s11(spark, sf):
-    return tex.bbl_items(built(spark, sf, _BBL))
+    return tex.bbl_items(built(spark, sf, _BBL)).drop("cite")
+
+
+_LABELS = "concat(case doc_id % 5 when 0 then '[{Wang et~al.(2022{~natexlab{a}})Wang, Ding, and Ma}]' when 1 then concat('[', lang, ' Li(', doc_id % 40 + 1980, 'b)', lang, ' Li and Ng]') when 2 then '[Solo[x](1999)]' when 3 then '[{No {Y}ear}]' else '' end)"
+
+
+@query("s11_bbl_labels", """select doc_id, k as ord, case k when 0 then concat('k', doc_id) else 'z' end as item_key, case k when 1 then '2' else case doc_id % 5 when 0 then 'Wang et al. (2022)' when 1 then concat(lang, ' Li and Ng (', doc_id % 40 + 1980, ')') when 2 then 'Solo[x] (1999)' when 3 then 'No Year' else '1' end end as cite
+    from documents, (values (0), (1)) v(k)""")
+def s11(spark, sf):
+    """Labels in square brackets with braces and brackets inside, as authors and year; running numbers where there are none."""
+    t = F.replace(F.expr(f"concat('~begin{{thebibliography}}{{9}} ~bibitem', {_LABELS}, '{{k', doc_id, '}} Wang: T ~bibitem{{z}} y')"), F.lit("~natexlab"), F.lit("\\natexlab"))
+    t = F.replace(F.replace(t, F.lit("~bibitem"), F.lit("\\bibitem")), F.lit("~begin"), F.lit("\\begin"))
+    return tex.bbl_items(table(spark, sf, "documents").select("doc_id", t.alias("text"))).select("doc_id", "ord", "item_key", "cite")
 
 
 _FORM = f"concat('A ', {B}, 'begin{{equation}}a=', doc_id, {B}, 'label{{eq', doc_id % 6, '}}', {B}, 'end{{equation}} b $x_', doc_id % 9, '$ c ', {B}, '[z', {B}, ']')"

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import cites, latex
+from ..functions import braces, cites, latex
 
 
 _BRACE = re.compile(r"\\.|[{}]", re.S)
@@ -277,15 +277,21 @@ def scan(docs: DataFrame, scanner: Callable[[str], Iterator[dict]], text: str =
 # --- bibliography lists, in SQL functions
 
 def bbl_items(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ord, item_key, label, plain_text, doi_url, external_url) of a .bbl text: split at \\bibitem, cut at the list's end."""
+    """(key, ord, item_key, label, cite, plain_text, doi_url, external_url) of a .bbl text: split at \\bibitem, cut at the list's end.
+
+    ``label`` is what stands in square brackets, whatever it holds, else the running number; ``cite`` is how it is cited.
+    """
     body = F.regexp_replace(text, r"(?s)\\end\{thebibliography\}.*", "")
     parts = F.filter(F.split(body, r"\\bibitem"), lambda x, k: k > 0)
-    head = r"(?s)^(?:\[((?:[^\[\]{}]|\{[^{}]*\})*)\])?\{([^}]+)\}(.*)$"
-    items = docs.select(key, F.posexplode(parts).alias("ord", "item"))
-    raw = F.trim(F.regexp_extract("item", head, 3))
-    return items.filter(F.col("item").rlike(head) & (raw != "")).select(
-        key, "ord", F.trim(F.regexp_extract("item", head, 2)).alias("item_key"),
-        F.coalesce(F.nullif(F.regexp_extract("item", head, 1), F.lit("")), (F.col("ord") + 1).cast("string")).alias("label"),
+    items = docs.select(key, F.posexplode(parts).alias("ord", "item")).withColumn("__quire_label", braces.group(F.col("item"), F.lit(1), "[", "]"))
+    rest = F.when(F.col("__quire_label").isNull(), F.col("item")).otherwise(F.substring("item", F.length("__quire_label") + 3, F.length("item")))
+    items = items.withColumn("__quire_rest", rest)
+    head = r"(?s)^\{([^}]+)\}(.*)$"
+    raw = F.trim(F.regexp_extract("__quire_rest", head, 2))
+    told = F.nullif("__quire_label", F.lit(""))
+    number = (F.col("ord") + 1).cast("string")
+    return items.filter(F.col("__quire_rest").rlike(head) & (raw != "")).select(
+        key, "ord", F.trim(F.regexp_extract("__quire_rest", head, 1)).alias("item_key"), F.coalesce(told, number).alias("label"), F.coalesce(cites.bbl_label(told), number).alias("cite"),
         latex.bbl_plain(raw).alias("plain_text"), cites.doi(raw).alias("doi_url"), cites.url(raw).alias("external_url"),
     )
 
