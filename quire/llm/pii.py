@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, sent_if_small, table, text_or_empty, written
-from .spans import count_kind, find_spans, joined, masked, no_spans
+from .spans import count_kind, find_all, find_spans, joined, masked, no_spans
 
 #: Share of an entity's information that a term may not reveal.
 DISCLOSURE = 0.8
@@ -63,7 +63,7 @@ BASE = (
 
 def base_spans(text: Column) -> Column:
     """Base spans by kind as listed, then start."""
-    return F.concat(*[find_spans(text, kind, k, pattern, probe(text), keep) for k, (kind, pattern, probe, keep) in enumerate(BASE)])
+    return find_all(text, *[(kind, k, pattern, probe(text), keep) for k, (kind, pattern, probe, keep) in enumerate(BASE)])
 
 
 def _entity(b: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, keep_until_exit, sent_if_small, shared_dir, table, text_or_empty, written
-from .spans import count_kind, find_spans, joined, masked
+from .spans import count_kind, find_all, joined, masked
 
 #: Raised whenever a rule below changes, so that blobs are scanned anew.
 RULE_VERSION = 1
@@ -40,7 +40,7 @@ _LEDGER = f"blob binary, spans {_SPANS}"
 
 def spans(text: Column, rules=BASE + EXTRA) -> Column:
     """All spans by start, then kind in the order of the rules, without the secrets themselves."""
-    found = F.concat(*[find_spans(text, kind, k, pattern, keep=keep) for k, (kind, pattern, keep) in enumerate(rules)])
+    found = find_all(text, *[(kind, k, pattern, None, keep) for k, (kind, pattern, keep) in enumerate(rules)])
     return F.array_sort(F.transform(found, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "rank", "end", "kind", "at", "stop")])))
 
 

@@ -46,18 +46,26 @@ def running(items: Column, zero: Column, add: Callable, emit: Callable, empty: C
     return let(items, lambda whole: F.when(F.size(whole) == 0, empty).otherwise(cut(whole)))
 
 
-def find_spans(text: Column, kind: str, rank: int, pattern: str, probe: Column | None = None, keep: Callable[[Column], Column] | None = None) -> Column:
-    """Leftmost non-overlapping matches of ``pattern`` whose value passes ``keep``.
-
-    probe: a cheap condition that holds wherever a match can be kept; other rows skip the two passes.
-    """
+def _gaps(text: Column, kind: str, rank: int, pattern: str, probe: Column | None, keep: Callable[[Column], Column] | None) -> Column:
+    """The matches of a pattern, each with the text before it, and a last one for the text behind them all; none where ``probe`` fails."""
     gaps = F.zip_with(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
         F.split(text, pattern, -1),
         lambda m, p: F.struct(
-            m.alias("value"), F.length(p).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), F.octet_length(p).alias("byte_gap"), F.coalesce(F.octet_length(m), F.lit(0)).alias("byte_size")
+            F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), m.alias("value"), (m.isNotNull() & (keep(m) if keep else F.lit(True))).alias("wanted"),
+            F.length(p).alias("gap"), F.coalesce(F.length(m), F.lit(0)).alias("size"), F.octet_length(p).alias("byte_gap"), F.coalesce(F.octet_length(m), F.lit(0)).alias("byte_size"),
         ),
-    )
+    )
+    none = F.array().cast("array<struct<kind:string,rank:int,value:string,wanted:boolean,gap:int,size:int,byte_gap:int,byte_size:int>>")
+    return F.when(probe if probe is not None else text.rlike(pattern), gaps).otherwise(none)
+
+
+def find_all(text: Column, *rules: tuple) -> Column:
+    """Leftmost non-overlapping matches of each rule's pattern whose value passes its condition, rule by rule.
+
+    A rule is (kind, rank, pattern, probe, keep). probe: a cheap condition that holds wherever a match can be kept, or None for the pattern
+    itself; other rows skip the two passes. keep: the condition, or None. Places are folded by one expression, whatever the number of rules.
+    """
     place = lambda chars, octets: F.struct(chars.alias("chars"), octets.alias("octets"))
 
     def add(a: Column, x: Column | None, other: Column | None = None) -> Column:
@@ -68,13 +76,16 @@ def find_spans(text: Column, kind: str, rank: int, pattern: str, probe: Column |
     def emit(a: Column, x: Column) -> Column:
         start, at = a["chars"] + x["gap"], a["octets"] + x["byte_gap"]
         span = F.struct(
-            F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"), at.alias("at"), (at + x["byte_size"]).alias("stop")
+            x["kind"].alias("kind"), x["rank"].alias("rank"), start.alias("start"), (start + x["size"]).alias("end"), x["value"].alias("value"), at.alias("at"), (at + x["byte_size"]).alias("stop")
         )
-        wanted = x["value"].isNotNull() & (keep(x["value"]) if keep else F.lit(True))
-        return F.when(wanted, F.array(span)).otherwise(no_spans())
+        return F.when(x["wanted"], F.array(span)).otherwise(no_spans())
+
+    return F.flatten(F.transform(F.array(*[_gaps(text, *rule) for rule in rules]), lambda gaps: running(gaps, place(F.lit(0), F.lit(0)), add, emit, no_spans())))
 
-    found = running(gaps, place(F.lit(0), F.lit(0)), add, emit, no_spans())
-    return F.when(probe if probe is not None else text.rlike(pattern), found).otherwise(no_spans())
+
+def find_spans(text: Column, kind: str, rank: int, pattern: str, probe: Column | None = None, keep: Callable[[Column], Column] | None = None) -> Column:
+    """``find_all`` of one rule."""
+    return find_all(text, (kind, rank, pattern, probe, keep))
 
 
 def joined(spans: Column) -> Column:
