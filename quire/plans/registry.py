@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 #: Modules that register queries when they are imported.
-_MODULES = ("lines", "scalars", "relational", "structured", "flow", "templates", "packages", "grids", "matching", "bodies")
+_MODULES = ("lines", "scalars", "relational", "structured", "flow", "templates", "packages", "grids", "matching", "bodies", "blocks")
 
 
 def query(name: str, sql: str | None = None):
