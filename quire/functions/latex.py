@@ -97,6 +97,28 @@ def run_to_latex(text: Column, bold: Column, italic: Column, script: Column, und
     return F.when(underline, F.concat(F.lit(r"\underline{"), out, F.lit("}"))).otherwise(out)
 
 
+# The colour, and the themes, by which editors show a citation's number.
+CITE_COLOUR, CITE_THEMES = "EE0000", ("hyperlink", "accent1", "accent2")
+
+
+def styled_run(text: Column, bold: Column, italic: Column, script: Column, underline: Column, strike: Column, colour: Column, theme: Column, colour_commands: Column) -> Column:
+    """A run as an editor formats it. One in the colour or theme of citations is a citation of the numbers in it, nothing if it has none.
+
+    In any other, each character is escaped or written as LaTeX in one pass, so neither spoils the other's braces; then compounds get
+    their subscripts. Outside in: strike, underline, the colour's command (``colour_commands``, by colour), script, bold, italic.
+    """
+    cites = F.coalesce(colour == CITE_COLOUR, F.lit(False)) | F.coalesce(theme.isin(*CITE_THEMES), F.lit(False))
+    numbers = F.regexp_extract_all(text, F.lit("[0-9]+"), F.lit(0))
+    cited = F.when(F.size(numbers) > 0, F.concat(F.lit("\\citep{"), F.array_join(numbers, ","), F.lit("}"))).otherwise("")
+    mapped = F.create_map(*[F.lit(x) for pair in (ESCAPES | UNICODE_TEXT).items() for x in pair])
+    plain = chemistry(F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), ""), lambda c: F.coalesce(F.element_at(mapped, c), c)), ""))
+    wrapped = lambda on, command, inside: F.when(F.coalesce(on, F.lit(False)), F.concat(command, F.lit("{"), inside, F.lit("}"))).otherwise(inside)
+    role = F.element_at(colour_commands, colour)
+    out = wrapped(bold, F.lit("\\textbf"), wrapped(italic, F.lit("\\textit"), F.when(cites, cited).otherwise(plain)))
+    out = wrapped(script == "sub", F.lit("\\textsubscript"), wrapped(script == "super", F.lit("\\textsuperscript"), out))
+    return wrapped(strike, F.lit("\\sout"), wrapped(underline, F.lit("\\underline"), wrapped(role.isNotNull() & ~cites, role, out)))
+
+
 def balanced(text: Column, start: Column) -> Column:
     """Content of the brace at ``start`` (1-based) up to its match, or to the end if it has none."""
     chars = F.split(F.substring(text, start, F.length(text)), "")

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import blocks as B
+from ..functions import latex as L
+from ..sources import docx, images, reports
 from .lines import lines
+from .packages import packages
 from .registry import query, table
 from .scalars import scalar
 
@@ -85,3 +88,35 @@ def p57(spark, sf):
     l = lines(spark, sf).select("doc_id", F.struct("ord", t.alias("t")).alias("x"))  # noqa: E741
     docs = l.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n").alias("text"))
     return B.clean_preamble(docs, ["doc_id"], "text")
+
+
+_RUN = "concat(lang, ' CO2 {α_', doc_id % 7, '} 5% ', doc_id % 3, '; 4')"
+
+
+@query("p7_styled_runs", r"""with r as (select *, doc_id % 2 = 0 as b, doc_id % 3 = 0 as i, case doc_id % 5 when 0 then 'super' when 1 then 'sub' end as sc, doc_id % 7 = 0 as u, doc_id % 11 = 0 as st, case doc_id % 4 when 0 then 'EE0000' when 1 then '0000FF' when 2 then '00FF00' end as c, case when doc_id % 13 = 0 then 'hyperlink' end as th from documents),
+    k as (select *, coalesce(c = 'EE0000', false) or th is not null as cite from r),
+    t as (select *, case when cite then concat('\citep{2,', doc_id % 7, ',5,', doc_id % 3, ',4}') else concat(lang, ' CO$_{2}$ \{$\alpha$\_', doc_id % 7, '\} 5\% ', doc_id % 3, '; 4') end as x from k)
+    select doc_id, concat(case when st then '\sout{' else '' end, case when u then '\underline{' else '' end, case when c = '0000FF' and not cite then '\blue{' else '' end, case sc when 'super' then '\textsuperscript{' when 'sub' then '\textsubscript{' else '' end, case when b then '\textbf{' else '' end, case when i then '\textit{' else '' end, x,
+      case when i then '}' else '' end, case when b then '}' else '' end, case when sc is not null then '}' else '' end, case when c = '0000FF' and not cite then '}' else '' end, case when u then '}' else '' end, case when st then '}' else '' end) as latex from t""")
+def p7(spark, sf):
+    """Runs with every format: citations by colour and theme, characters that are escaped or written as LaTeX, compounds, and six wrappers."""
+    e = F.expr
+    run = L.styled_run(e(_RUN), e("doc_id % 2 = 0"), e("doc_id % 3 = 0"), e("case doc_id % 5 when 0 then 'super' when 1 then 'sub' end"), e("doc_id % 7 = 0"), e("doc_id % 11 = 0"), e("case doc_id % 4 when 0 then 'EE0000' when 1 then '0000FF' when 2 then '00FF00' end"), e("case when doc_id % 13 = 0 then 'hyperlink' end"), F.create_map(F.lit("0000FF"), F.lit("\\blue")))
+    return table(spark, sf, "documents").select("doc_id", run.alias("latex"))
+
+
+@query("p25_cosine", """with e as (select vec_id, embedding::double[] as a, case vec_id % 3 when 0 then list_reverse(embedding)::double[] when 1 then embedding[1:5]::double[] else list_transform(embedding, lambda x: 0.0::double) end as b from embeddings)
+    select vec_id, round(case when len(a) = len(b) and list_inner_product(b, b) > 0 then list_inner_product(a, b) / (sqrt(list_inner_product(a, a)) * sqrt(list_inner_product(b, b))) else 0 end, 6) as similarity from e""")
+def p25(spark, sf):
+    """Cosine of vectors, with those of another size and of zeros, which have none."""
+    a = F.transform("embedding", lambda x: x.cast("double"))
+    b = F.when(F.col("vec_id") % 3 == 0, F.reverse(a)).when(F.col("vec_id") % 3 == 1, F.slice(a, 1, 5)).otherwise(F.transform(a, lambda x: F.lit(0.0)))
+    return table(spark, sf, "embeddings").select("vec_id", F.round(images.cosine(a, b), 6).alias("similarity"))
+
+
+@query("g15_element_counts", "select doc_id, len(string_split(coalesce(text, ''), chr(10))) + 6 as paragraphs, 1 as tables, 2 as formulas, 2 as media, array_to_string(list_transform(range(0, least(3, (len(string_split(coalesce(text, ''), chr(10))) + 4) // 5)), lambda k: 'Heading1'), ',') as styles from documents")
+def g15(spark, sf):
+    """Paragraphs, tables, formulas, media and first styles of a package for each document."""
+    made = packages(spark, sf)
+    counts = reports.element_counts(docx.parse(made, "blocks"), docx.parse(made, "media"), ["path"], styles=3)
+    return counts.select(F.col("path").cast("long").alias("doc_id"), "paragraphs", "tables", "formulas", "media", F.array_join("styles", ",").alias("styles"))

@@ -30,6 +30,15 @@ def block_report(blocks: DataFrame, keys: list[str], samples: int = 5, preview:
     return classes.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("semantic_type", text.alias("text")))), lambda x: x["text"]), "\n").alias("report"))
 
 
+def element_counts(blocks: DataFrame, media: DataFrame, keys: list[str], styles: int = 10) -> DataFrame:
+    """(keys, paragraphs, tables, formulas, media, styles) of scanned packages: counts of top-level elements, and the first styles in order."""
+    formulas = F.size(F.filter("runs", lambda r: r["type"] == "formula"))
+    named = F.transform(F.array_sort(F.collect_list(F.when(F.col("style").isNotNull(), F.struct("block_ord", "style")))), lambda x: x["style"])
+    own = blocks.groupBy(*keys).agg(F.count_if(F.col("kind") == "p").alias("paragraphs"), F.count_if(F.col("kind") == "tbl").alias("tables"), F.sum(F.when(F.col("kind") == "p", formulas).otherwise(0)).alias("formulas"), F.slice(named, 1, styles).alias("styles"))
+    files = media.groupBy(*keys).agg(F.count("*").alias("__quire_media"))
+    return own.join(files, keys, "left").select(*keys, "paragraphs", "tables", "formulas", F.coalesce("__quire_media", F.lit(0)).alias("media"), "styles")
+
+
 def round_trip_report(pairs: DataFrame, level: str) -> DataFrame:
     """(line): a Markdown table of how many formulas came back at each level, with shares."""
     counts = pairs.groupBy(F.col(level).alias("level")).agg(F.count("*").alias("n"))
