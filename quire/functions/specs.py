@@ -7,11 +7,14 @@ and 2, ``flag`` gives ``true`` if the pattern occurs. A rule with a scope reads
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import braces
+
 
 class Rule(NamedTuple):
     category: str
@@ -189,33 +192,51 @@ def _groups(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def _scoped(text: Column, scope: str) -> Column:
+    """The parts of a text that rules of a scope look at."""
+    if scope == "free":
+        return F.regexp_replace(text, SCOPES["conditional"], "")
+    return F.array_join(_groups(text, SCOPES[scope], 1), "\n") if scope else text
+
+
+def _probe(rule: Rule) -> str | None:
+    """The command that a pattern begins with: a text without it needs no search."""
+    found = re.match(r"\\\\([A-Za-z@]{4,})(?![A-Za-z@?*+{])", rule.pattern)
+    return "\\" + found[1] if found else None
+
+
 def _found(text: Column, rule: Rule) -> Column:
-    """The rule's (category, key, value) facts in a text, as an array."""
-    if rule.scope == "free":
-        text = F.regexp_replace(text, SCOPES["conditional"], "")
-    elif rule.scope:
-        text = F.array_join(_groups(text, SCOPES[rule.scope], 1), "\n")
+    """The rule's (category, key, value) facts in the text of its scope, as an array."""
 
     def fact(key: Column, value: Column) -> Column:
         return F.struct(F.lit(rule.category).alias("category"), key.alias("key"), F.trim(value).alias("value"))
 
-    if rule.how == "pairs":
-        both = F.arrays_zip(_groups(text, rule.pattern, 1).alias("k"), _groups(text, rule.pattern, 2).alias("v"))
-        return F.transform(both, lambda x: fact(F.concat(F.lit(rule.key), x["k"]), x["v"]))
     if rule.how == "flag":
-        values = F.when(text.rlike(rule.pattern), F.array(F.lit("true"))).otherwise(F.array().cast("array<string>"))
-    elif rule.how == "list":
-        values = F.filter(F.flatten(F.transform(_groups(text, rule.pattern, 1), lambda v: F.split(v, ","))), lambda v: F.trim(v) != "")
+        return F.when(text.rlike(rule.pattern), F.array(fact(F.lit(rule.key), F.lit("true")))).otherwise(_NO_FACTS())
+    if rule.how == "pairs":
+        # One search for whole matches; their groups come from these few characters.
+        part = lambda m, k: F.regexp_extract(m, rule.pattern, k)
+        made = F.transform(_groups(text, rule.pattern, 0), lambda m: fact(F.concat(F.lit(rule.key), part(m, 1)), part(m, 2)))
     else:
         values = _groups(text, rule.pattern, 1)
-        values = F.slice(values, 1, 1) if rule.how == "first" else F.array_distinct(values)
-    return F.transform(values, lambda v: fact(F.lit(rule.key), v))
+        if rule.how == "list":
+            values = F.filter(F.flatten(F.transform(values, lambda v: F.split(v, ","))), lambda v: F.trim(v) != "")
+        else:
+            values = F.slice(values, 1, 1) if rule.how == "first" else F.array_distinct(values)
+        made = F.transform(values, lambda v: fact(F.lit(rule.key), v))
+    probe = _probe(rule)
+    return made if probe is None else F.when(text.contains(probe), made).otherwise(_NO_FACTS())
+
+
+def _NO_FACTS() -> Column:  # noqa: N802  a constant that needs a session
+    return F.array().cast("array<struct<category:string,key:string,value:string>>")
 
 
 def facts(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All facts of a class or template, as array<struct<category, key, value>>; none of a null text."""
-    text = F.coalesce(text, F.lit(""))
-    return F.flatten(F.array(*[_found(text, r) for r in rules]))
+    """All facts of a class or template, as array<struct<category, key, value>>; none of a null text. The text, and each scope's part of it, is worked out once."""
+    scopes = list(dict.fromkeys(r.scope for r in rules))
+    of = lambda scope: lambda part: F.flatten(F.array(*[_found(part, r) for r in rules if r.scope == scope]))
+    return braces.let(F.coalesce(text, F.lit("")), lambda whole: F.flatten(F.array(*[braces.let(_scoped(whole, s), of(s)) for s in scopes])))
 
 
 def values(found: Column, category: str, key: str) -> Column:
