@@ -120,3 +120,18 @@ def g15(spark, sf):
     made = packages(spark, sf)
     counts = reports.element_counts(docx.parse(made, "blocks"), docx.parse(made, "media"), ["path"], styles=3)
     return counts.select(F.col("path").cast("long").alias("doc_id"), "paragraphs", "tables", "formulas", "media", F.array_join("styles", ",").alias("styles"))
+
+
+_NAMED = "case ord % 5 when 0 then 'CO2 and OCO2' when 1 then 'H2 v2' when 2 then concat('GCAS', ord % 9) when 3 then 'XCO2' else 'none2x' end"
+_CODES = "case name when 'CO2' then 'CO$_{2}$' when 'XCO2' then 'XCO$_{2}$' when 'H2' then 'H$_{2}$' end"
+
+
+@query("k2_chemistry_report", _LINES + f""", n as (select doc_id, ord, unnest(case ord % 5 when 0 then ['CO2', 'OCO2'] when 1 then ['H2'] when 2 then [concat('GCAS', ord % 9)] when 3 then ['XCO2'] else [] end) as name from l),
+    r as (select doc_id, case when code is null then '2 kept' else '1 converted' end as section, ord, case when code is null then name else concat(name, ' -> ', code) end as line from (select *, {_CODES} as code from n)),
+    k as (select *, row_number() over (partition by doc_id, section order by ord, line) as rank, count(*) over (partition by doc_id, section) as n from r),
+    s as (select doc_id, section, concat('[', section, '] ', max(n), string_agg(concat(chr(10), '  ', line), '' order by rank) filter (where rank <= 10), case when max(n) > 10 then concat(chr(10), '  ... ', max(n) - 10, ' more') else '' end) as t from k group by 1, 2)
+    select doc_id, string_agg(t, chr(10) order by section) as report from s group by 1""")
+def k2_chemistry(spark, sf):
+    """What became of every name with a number in a document: converted with its code, or kept; ten of each at most, and how many more."""
+    t = lines(spark, sf).select("doc_id", "ord", F.expr(_NAMED).alias("t"))
+    return reports.section_report(reports.chemistry_rows(t, ["doc_id"], "ord", "t"), ["doc_id"])

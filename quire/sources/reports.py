@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.latex import CHEM_NAMES, chemistry
 from ..operators.aggregates import sample_of_groups
 
 RUN_LOG = "step string, severity string, message string, at timestamp"
@@ -30,6 +31,33 @@ def block_report(blocks: DataFrame, keys: list[str], samples: int = 5, preview:
     return classes.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("semantic_type", text.alias("text")))), lambda x: x["text"]), "\n").alias("report"))
 
 
+def section_report(rows: DataFrame, keys: list[str], samples: int = 10) -> DataFrame:
+    """(keys, report): sections in order, each with its count, its first lines, and how many more there are.
+
+    ``rows`` has (keys, section, ord, line). Lines are numbered by one window, and only those that are shown are collected.
+    """
+    w = Window.partitionBy(*keys, "section").orderBy("ord", "line")
+    few = rows.withColumns({"__quire_rank": F.row_number().over(w), "__quire_n": F.count("*").over(Window.partitionBy(*keys, "section"))}).filter(F.col("__quire_rank") <= samples)
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__quire_rank", "line"))), lambda x: F.concat(F.lit("\n  "), x["line"])), "")
+    parts = few.groupBy(*keys, "section").agg(F.first("__quire_n").alias("n"), shown.alias("lines"))
+    more = F.when(F.col("n") > samples, F.format_string("\n  ... %d more", F.col("n") - samples)).otherwise("")
+    text = F.concat(F.format_string("[%s] %d", "section", "n"), "lines", more)
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section", text.alias("t")))), lambda x: x["t"]), "\n").alias("report"))
+
+
+def chemistry_rows(texts: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
+    """(keys, section, ord, line) of every name with a number in a text: ``1 converted`` with its code, ``2 kept`` as it is, and ``3 doubtful``
+    if a converted one is in a listed name of a model or satellite, or the other way about."""
+    names = F.regexp_extract_all(text, F.lit(r"(?<![0-9A-Za-z_])([A-Z][A-Za-z]*[0-9]{1,2})(?![0-9A-Za-z_])"), F.lit(1))
+    found = texts.select(*keys, F.col(order).alias("ord"), F.explode(names).alias("name"))
+    made = found.withColumn("code", chemistry(F.col("name")))
+    doubtful = F.exists(F.array(*[F.lit(n) for n in CHEM_NAMES]), lambda n: F.lower("name").contains(F.lower(n)))
+    converted = F.col("code") != F.col("name")
+    row = lambda section, line: F.struct(F.lit(section).alias("section"), line.alias("line"))
+    rows = F.concat(F.array(F.when(converted, row("1 converted", F.concat("name", F.lit(" -> "), "code"))).otherwise(row("2 kept", F.col("name")))), F.when(converted & doubtful, F.array(row("3 doubtful", F.col("name")))).otherwise(F.array().cast("array<struct<section:string,line:string>>")))
+    return made.select(*keys, "ord", F.explode(rows).alias("r")).select(*keys, "r.section", "ord", "r.line")
+
+
 def element_counts(blocks: DataFrame, media: DataFrame, keys: list[str], styles: int = 10) -> DataFrame:
     """(keys, paragraphs, tables, formulas, media, styles) of scanned packages: counts of top-level elements, and the first styles in order."""
     formulas = F.size(F.filter("runs", lambda r: r["type"] == "formula"))
