@@ -45,20 +45,52 @@ SCOPES = {
 }
 
 #: The names that classes and templates define, and the commands that say so.
-ENVIRONMENTS = "acknowledgements acknowledgment dataavailability codeavailability authorcontribution competinginterests supplement supplementary correspondence introduction conclusions methods results discussion".split()
-SECTIONS = "section subsection subsubsection paragraph subparagraph".split()
-SPECIALS = "correspondence corresponding_author runningauthor runningtitle shorttitle authormark received accepted published revised disclosure fundinginfo funding supplementary supplement coverletter editor reviewer dedication".split()
-DECLARATIONS = "acknowledgements acknowledgment dataavailability codeavailability authorcontribution competinginterests fundinginfo supplementary".split()
-AUTHORS = "author affil affiliation correspondence corresponding_author thanks email orcid presentaddress".split()
-TABLE_PACKAGES = "booktabs tabularx longtable multirow array siunitx".split()
-HLINES = "tophline middlehline bottomhline toprule midrule bottomrule colrule botrule hline cline cmidrule".split()
-FLOATS = "topfraction bottomfraction textfraction floatpagefraction dbltopfraction dblfloatpagefraction".split()
-FLOAT_COUNTERS = "topnumber bottomnumber totalnumber dbltopnumber".split()
-FLOAT_SKIPS = "floatsep textfloatsep intextsep dblfloatsep dbltextfloatsep abovecaptionskip belowcaptionskip".split()
-DISPLAY_SKIPS = "abovedisplayskip belowdisplayskip abovedisplayshortskip belowdisplayshortskip mathindent".split()
-PAGE = "paperwidth paperheight textwidth textheight topmargin oddsidemargin evensidemargin headheight headsep footskip columnsep columnseprule marginparwidth marginparsep marginparpush".split()
-FONT_DEFAULTS = "rmdefault sfdefault ttdefault bfdefault itdefault familydefault".split()
-NAMES = "figurename tablename refname bibname abstractname contentsname listfigurename listtablename appendixname indexname proofname".split()
+ENVIRONMENTS = [
+    "acknowledgements", "acknowledgment", "dataavailability", "codeavailability", "authorcontribution", "competinginterests", "supplement", "supplementary",
+    "correspondence", "introduction", "conclusions", "methods", "results", "discussion",
+]
+SECTIONS = [
+    "section", "subsection", "subsubsection", "paragraph", "subparagraph",
+]
+SPECIALS = [
+    "correspondence", "corresponding_author", "runningauthor", "runningtitle", "shorttitle", "authormark", "received", "accepted", "published", "revised",
+    "disclosure", "fundinginfo", "funding", "supplementary", "supplement", "coverletter", "editor", "reviewer", "dedication",
+]
+DECLARATIONS = [
+    "acknowledgements", "acknowledgment", "dataavailability", "codeavailability", "authorcontribution", "competinginterests", "fundinginfo", "supplementary",
+]
+AUTHORS = [
+    "author", "affil", "affiliation", "correspondence", "corresponding_author", "thanks", "email", "orcid", "presentaddress",
+]
+TABLE_PACKAGES = [
+    "booktabs", "tabularx", "longtable", "multirow", "array", "siunitx",
+]
+HLINES = [
+    "tophline", "middlehline", "bottomhline", "toprule", "midrule", "bottomrule", "colrule", "botrule", "hline", "cline", "cmidrule",
+]
+FLOATS = [
+    "topfraction", "bottomfraction", "textfraction", "floatpagefraction", "dbltopfraction", "dblfloatpagefraction",
+]
+FLOAT_COUNTERS = [
+    "topnumber", "bottomnumber", "totalnumber", "dbltopnumber",
+]
+FLOAT_SKIPS = [
+    "floatsep", "textfloatsep", "intextsep", "dblfloatsep", "dbltextfloatsep", "abovecaptionskip", "belowcaptionskip",
+]
+DISPLAY_SKIPS = [
+    "abovedisplayskip", "belowdisplayskip", "abovedisplayshortskip", "belowdisplayshortskip", "mathindent",
+]
+PAGE = [
+    "paperwidth", "paperheight", "textwidth", "textheight", "topmargin", "oddsidemargin", "evensidemargin", "headheight", "headsep", "footskip", "columnsep",
+    "columnseprule", "marginparwidth", "marginparsep", "marginparpush",
+]
+FONT_DEFAULTS = [
+    "rmdefault", "sfdefault", "ttdefault", "bfdefault", "itdefault", "familydefault",
+]
+NAMES = [
+    "figurename", "tablename", "refname", "bibname", "abstractname", "contentsname", "listfigurename", "listtablename", "appendixname", "indexname",
+    "proofname",
+]
 
 
 def _one_of(names: list[str]) -> str:
@@ -245,9 +277,13 @@ def values(found: Column, category: str, key: str) -> Column:
 
 
 #: What a template's folder may hold besides, and what marks its sample documents.
-_KINDS = "cls sty bst cfg".split()
+_KINDS = [
+    "cls", "sty", "bst", "cfg",
+]
 _SAMPLE = "template|sample|example"
-_LEFT_OUT = "zip docx pdf log aux bbl blg fdb_latexmk fls 4ct 4tc out tmp xref gz tar dvi ps xdv".split()
+_LEFT_OUT = [
+    "zip", "docx", "pdf", "log", "aux", "bbl", "blg", "fdb_latexmk", "fls", "4ct", "4tc", "out", "tmp", "xref", "gz", "tar", "dvi", "ps", "xdv",
+]
 
 
 def file_kind(path: Column) -> Column:
