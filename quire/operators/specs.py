@@ -30,6 +30,35 @@ def _each(category: str, wanted: Column, present: Column, missing: str | None) -
     return F.filter(rows, lambda r: r["status"].isNotNull())
 
 
+def template_code(spec: Column) -> Column:
+    """The skeleton of a document that follows a template's facts: class, packages, front matter, sections, statements, bibliography.
+
+    What a template doesn't say is left out, save what every document has. Its own names for sections and statements are used.
+    """
+    of = lambda category, key: F.array_distinct(S.values(spec, category, key))
+    one = lambda category, key: F.get(of(category, key), 0)
+    has = lambda category, *keys: F.exists(spec, lambda f: (f["category"] == category) & f["key"].isin(*keys))
+    put = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    some = lambda condition, line: F.when(condition, F.array(line if isinstance(line, Column) else F.lit(line))).otherwise(F.array().cast("array<string>"))
+    options, packages = of("document_class", "default_options"), of("required_packages", "package")
+    aliases = F.transform(F.filter(spec, lambda f: (f["category"] == "section_commands") & f["key"].startswith("alias.")), lambda f: f["value"])
+    own = F.array_distinct(F.concat(aliases, of("special_envs", "command"), of("special_envs", "generated")))
+    known = lambda name, otherwise: F.array(F.when(F.array_contains(own, name), f"\\{name}").otherwise(otherwise))
+    statements = lambda names: F.filter(names, lambda n: ~n.isin("introduction", "conclusions"))
+    style = one("bibliography_format", "style")
+    lines = F.concat(
+        F.array(put("\\documentclass", F.when(F.size(options) > 0, put("[", F.array_join(options, ","), "]")).otherwise(""), "{", F.coalesce(one("document_class", "class_name"), one("document_class", "name"), F.lit("article")), "}")),
+        F.transform(packages, lambda p: put("\\usepackage{", p, "}")), F.array(F.lit("\\begin{document}")),
+        F.array(F.when(has("title_format", "has_short_title") | (one("title_format", "title_args") == "2"), "\\title[Short title]{Title}").otherwise("\\title{Title}")), F.array(F.lit("\\author{Author}")), F.array(F.lit("\\maketitle")),
+        some(has("abstract_format", "type"), "\\begin{abstract}\nAbstract\n\\end{abstract}"), some(has("abstract_format", "command") & ~has("abstract_format", "type"), "\\abstract{Abstract}"),
+        some(has("keywords_format", "exists"), "\\keywords{Keywords}"), known("introduction", "\\section{Introduction}"), known("conclusions", "\\section{Conclusions}"), some(has("appendix_format", "environment", "command"), "\\appendix"),
+        F.transform(statements(of("special_envs", "environment")), lambda e: put("\\begin{", e, "}\n\\end{", e, "}")),
+        F.transform(F.filter(statements(own), lambda c: ~F.array_contains(of("special_envs", "environment"), c) & ~F.array_contains(aliases, c)), lambda c: put("\\", c, "{}")),
+        F.when(style.isNotNull(), F.array(put("\\bibliographystyle{", style, "}"))).otherwise(F.array().cast("array<string>")), F.array(F.lit("\\bibliography{references}"), F.lit("\\end{document}")),
+    )
+    return F.array_join(lines, "\n")
+
+
 #: A definition of a length, and a term of what it is defined as: sign, factor, and a unit or another length.
 _DEFINES = r"\\(?:setlength|def)\s*\{?\s*\\([A-Za-z@]+)\s*\}?\s*\{([^{}]*)\}"
 _TERM = r"([+-]?)\s*([0-9]*\.?[0-9]*)\s*(?:(pt|mm|cm|in|bp|dd|cc)\b|\\([A-Za-z@]+))"

@@ -123,3 +123,17 @@ _FILE_KINDS = ("cls", "sty", "bst", "tex", "other", "cfg", None, "other", None,
 def s18(spark, sf_dir):
     name = F.element_at(F.array(*map(F.lit, _FILES)), (F.col("doc_id") % 10 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", S.file_kind(F.concat_ws("/", F.col("lang"), name)).alias("kind")).filter("kind is not null")
+
+
+_SKELETON = (
+    "'~documentclass[final,a4]{cls', n % 4, '}', nl, '~usepackage{natbib}', nl, '~begin{document}', nl, case when n % 2 = 0 then '~title[Short title]{Title}' else '~title{Title}' end, nl, '~author{Author}', nl, '~maketitle', nl, "
+    "case when n % 2 = 0 then concat('~keywords{Keywords}', nl) else '' end, case when n % 5 = 0 then '~introduction' else '~section{Introduction}' end, nl, '~conclusions', nl, case when n % 3 = 1 then concat('~appendix', nl) else '' end, "
+    "'~begin{acknowledgements}', nl, '~end{acknowledgements}', nl, '~bibliographystyle{plain}', nl, '~bibliography{references}', nl, '~end{document}'"
+)
+
+
+@query("k11_template_code", f"select n as n_nationkey, replace(concat({_SKELETON}), '~', chr(92)) as code from (select n_nationkey as n, chr(10) as nl from nation)")
+def k11(spark, sf_dir):
+    """The skeleton of a document for each nation's template, from the facts that its class states."""
+    t = table(spark, sf_dir, "nation").select("n_nationkey", _code(_TEMPLATE, "n_nationkey").alias("code"))
+    return t.select("n_nationkey", S.facts(F.col("code")).alias("spec")).select("n_nationkey", C.template_code(F.col("spec")).alias("code"))
