@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import braces, latex
+from ..sources import tex
 from . import ordered as O
 from .rounds import settled
 
@@ -157,3 +158,18 @@ def drawn_cells(code: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "row", "col_start", "grid_span", F.when(rows == 1, None).when(F.col("row") == first, "restart").otherwise("continue").alias("v_merge"), rows.alias("row_span"),
         F.when(F.col("row") == first, F.array_join(texts, " ")).otherwise("").alias("text"), "top_pt", "bottom_pt", "left_pt", "right_pt",
     )
+
+
+def tables_of_tex(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, kind, table_ord, row, col_start, grid_span, v_merge, text): the cells of all tables of TeX sources, each kind numbered by place.
+
+    ``tabular`` ones are read row by row; ``tikz`` ones from their own description where they carry one, else from their lines and nodes.
+    """
+    shape = ["row", "col_start", "grid_span", "v_merge", "text"]
+    tabular = tex.scan(docs, tex.tabulars, text, key).select(key, F.lit("tabular").alias("kind"), "table_ord", *shape)
+    pictures = settled(tex.scan(docs, tex.tikz_tables, text, key).select(key, F.col("ord").alias("table_ord"), F.col("body").alias("code")), "tikz-tables")
+    described = F.col("code").contains("% table-meta: ")
+    told = tex.cells_of_code(pictures.filter(described), [key, "table_ord"]).withColumn("v_merge", F.lit(None).cast("string"))
+    seen = drawn_cells(pictures.filter(~described), [key, "table_ord"]).withColumn("text", braces.cell(F.col("text"))["text"])
+    tikz = told.select(key, "table_ord", *shape).unionByName(seen.select(key, "table_ord", *shape))
+    return tabular.unionByName(tikz.select(key, F.lit("tikz").alias("kind"), "table_ord", *shape))

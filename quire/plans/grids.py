@@ -120,3 +120,19 @@ def x6_k4(spark, sf):
     back = G.drawn_cells(G.drawn_code(once, widths, ["l_orderkey"]), ["l_orderkey"])
     pts = [F.round(p, 6).alias(p) for p in ("top_pt", "bottom_pt", "left_pt", "right_pt")]
     return back.select("l_orderkey", "row", "col_start", "grid_span", "v_merge", "row_span", braces.cell(F.col("text"))["text"].alias("text"), *pts)
+
+
+_SOURCE = (
+    "concat('~begin{table}~begin{tabular}{lc} ~multirow{2}{*}{', lang, '} & ', doc_id, ' ~~ & ', source, ' ~~ ~end{tabular}~end{table} text ~begin{table}~caption{c}~begin{tikzpicture}', chr(10), "
+    "'~draw (0,0) -- (4,0);~draw (0,-1) -- (4,-1);~draw[line width=1pt] (0,-2) -- (4,-2);~draw (0,0) -- (0,-2);~draw (4,0) -- (4,-2);~draw (1.5,', case when doc_id % 2 = 0 then '-1' else '0' end, ') -- (1.5,-2);', "
+    "'~node at (', case when doc_id % 2 = 0 then 2.0 else 0.75 end, ',-0.5) {', lang, ' {~bfseries x}};', case when doc_id % 2 = 0 then '' else '~node at (2.7,-0.5) {right};' end, '~node at (0.75,-1.5) {', doc_id, '};~end{tikzpicture}~end{table}')"
+)
+
+
+@query("s16_tex_tables", """select doc_id, 'tabular' as kind, 0 as table_ord, r as "row", c as col_start, 1 as grid_span, m as v_merge, replace(replace(replace(t, '[lang]', lang), '[id]', cast(doc_id as varchar)), '[source]', source) as "text" from documents, (values (0, 0, 'restart', '[lang]'), (0, 1, null, '[id]'), (1, 0, 'continue', ''), (1, 1, null, '[source]')) v(r, c, m, t)
+    union all select doc_id, 'tikz', 0, 0, 0, case when doc_id % 2 = 0 then 2 else 1 end, null, concat(lang, ' x') from documents union all select doc_id, 'tikz', 0, 0, 1, 1, null, 'right' from documents where doc_id % 2 = 1
+    union all select doc_id, 'tikz', 0, 1, 0, 1, null, cast(doc_id as varchar) from documents union all select doc_id, 'tikz', 0, 1, 1, 1, null, '' from documents""")
+def s16(spark, sf):
+    """Both kinds of tables of a source as one record: a tabular with a taller cell, and a drawn table whose upper cells are one in every second document."""
+    t = F.replace(F.expr(_SOURCE), F.lit("~~"), F.lit("\\\\"))
+    return G.tables_of_tex(table(spark, sf, "documents").select("doc_id", F.replace(t, F.lit("~"), F.lit("\\")).alias("text")))
