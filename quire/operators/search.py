@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .joins import first_by
+from .rounds import settled
 
 # Lengths of the prefixes that a needle is sought by.
 PREFIXES = (56, 44, 34, 26, 18, 12)
@@ -63,7 +64,7 @@ def inside_pages(needles: DataFrame, pages: DataFrame, keys: list[str], needle_i
             values = [int(_signed(window_hashes(_points(p.as_py()), n.as_py()))[0]) for n, p in zip(batch.column(0), batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.int64())], ["length", "prefix", "h"])
 
-    prefixes = wanted.select("length", "prefix").distinct().mapInArrow(hashed, "length int, prefix string, h long")
+    prefixes = settled(wanted.select("length", "prefix").distinct().mapInArrow(hashed, "length int, prefix string, h long"), "sought-prefixes")
     blocks = max(1, -(-prefixes.count() // SOUGHT))
     context, found = needles.sparkSession.sparkContext, None
     for k in range(blocks):
