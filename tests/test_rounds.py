@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from quire.operators import paragraphs, rounds, search, specs
@@ -84,6 +86,39 @@ def test_search_inside_pages_equals_brute_force(spark):
     assert search.inside_pages(a.limit(0), b, ["k"], "n", "t", "p", "text").count() == 0
 
 
+def test_search_reads_each_page_once_per_part_of_its_own_needles(spark, monkeypatch):
+    """Equal lines, long pages, keys of many needles and batches that cut keys apart; work doesn't grow with the needles of other keys."""
+    rng = random.Random(3)
+    pages = [(k, p, "the same line everywhere" if p % 2 else "".join(rng.choices("ab é", k=300))) for k in range(4) for p in range(20)]
+    needles = [(k, 100 * k + p, t[7 : 7 + rng.randrange(4, 30)]) for k, p, t in pages] + [(9, 1000, "the same line")]
+    lengths = (20, 9, 4)
+    want = {}
+    for k, n, t in needles:
+        hits = [(-length, p, text.find(t[:length])) for length in lengths if len(t) >= length for j, p, text in pages if j == k and t[:length] in text]
+        if hits:
+            want[k, n] = min(hits)
+    a, b = spark.createDataFrame(needles, "k int, n int, t string"), spark.createDataFrame(pages, "k int, p int, text string")
+    monkeypatch.setattr(search, "SLICE", 64)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for sought, read in ((1 << 16, 1 << 26), (6, 1000)):
+            monkeypatch.setattr(search, "SOUGHT", sought)
+            monkeypatch.setattr(search, "READ", read)
+            found = search.inside_pages(a, b, ["k"], "n", "t", "p", "text", lengths)
+            assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1  # one pass, however many are sought
+            got = found.collect()
+            assert len(got) == len(want) and {(r.k, r.n): (-r.length, r.p, r["at"]) for r in got} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_search_compares_as_text_when_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(search, "window_hashes", lambda points, lengths: ((n, np.zeros(len(points) - n + 1, np.uint64)) for n in lengths if n <= len(points)))
+    texts = pa.array(["needle", "nothing", "needed", "a needle here", "the needed one"])
+    got = search._best(texts, np.array([0, 0, 1, 0, 1]), np.array([False, False, False, True, True]), (6, 3))
+    assert sorted(zip(*got)) == [(0, 3, 2, 6), (2, 4, 4, 6)]
+
+
 @pytest.mark.parametrize("room", [10.0, 3.0, 1000.0])
 def test_pages_of_tables_equal_the_loop(spark, room):
     rng = random.Random(4)
