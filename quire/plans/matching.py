@@ -23,8 +23,9 @@ def j9(spark, sf):
     """Every block, in order, takes the first entry whose author and year it contains and that none before it took; containment is no equivalence (``S4`` stands in ``S41``)."""
     b = table(spark, sf, "customer").select(F.col("c_nationkey").alias("n"), "c_custkey", F.expr(_CITING).alias("t"))
     e = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("n"), "s_suppkey", F.concat(F.lit("S"), F.col("s_suppkey") % 40).alias("author"), (F.col("s_suppkey") % 5 + 1990).alias("year"))
-    met = R.containing(b, e, ["n"], "t", "year", "author")
-    return R.in_turn(met, "c_custkey", "c_custkey", "s_suppkey", "s_suppkey").select("s_suppkey", "c_custkey")
+    # Entries of one author and year are contained by the same blocks, so blocks meet these, not each entry.
+    met = R.containing(b, e.select("n", "author", "year").distinct(), ["n"], "t", "year", "author")
+    return R.in_turn_of_classes(met, e, ["n"], "c_custkey", "c_custkey", ["author", "year"], "s_suppkey", "s_suppkey").select("s_suppkey", "c_custkey")
 
 
 _NEEDLE = "case when doc_id % 3 = 1 then concat(substring(line, length(line) // 3 + 1, 30), repeat('~', 30)) else substring(line, length(line) // 3 + 1, 60) end"

@@ -58,6 +58,22 @@ def test_lengths_that_refer_to_lengths(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_turns_over_classes_equal_turns_over_their_rights(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    entries = [(rng.randrange(3), rng.choice("abcd"), rng.choice([1990, 1991, None]), r, rng.randrange(40)) for r in range(90)]
+    lefts = [(rng.randrange(4), l, rng.randrange(1000)) for l in range(150)]  # noqa: E741
+    wishes = [(k, l, p, a, y) for k, l, p in lefts for a in "abcde" for y in (1990, 1991) if rng.random() < 0.3]
+    pairs = [(l, (p, l), r, (o, r)) for k, l, p, a, y in wishes for j, b, z, r, o in entries if (k, a, y) == (j, b, z)]
+    want = turns(pairs)
+    w = spark.createDataFrame(wishes + wishes[:20] + [(0, None, 1, "a", 1990)], "n int, l int, p int, a string, y int")
+    e = spark.createDataFrame(entries, "n int, a string, y int, r long, o int")
+    monkeypatch.setattr(rounds, "Rounds", None)  # no round is written
+    got = rounds.in_turn_of_classes(w, e, ["n"], "l", "p", ["a", "y"], "r", "o")
+    assert dict(got.dtypes) == {"l": "int", "r": "bigint"}
+    assert sorted((r.l, r.r) for r in got.collect()) == sorted(want if isinstance(want, list) else want.items()) and len(want) > 30
+
+
 def test_search_inside_pages_equals_brute_force(spark):
     rng = random.Random(9)
     page = lambda: "".join(rng.choices("abé \U0001f600", k=rng.randrange(0, 90)))
