@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import ordered as O
-from .rounds import Rounds
 
 #: A float environment, and what ends a sentence.
 FLOAT = r"(?s)\\begin\{((?:table|figure)\*?)\}.*?\\end\{\1\}"
@@ -42,31 +46,37 @@ def page_starts(rows: DataFrame, keys: list[str], order: str, height: str, head:
     """(keys, order, page): the rows of long tables on pages. Each page begins with the head, which takes ``head`` of its ``room``,
     and takes rows while they fit; a row that is higher than a page stands alone.
 
-    Where a page ends depends on where it began, but the page that would begin at any given row doesn't, so every row knows the
-    row after its page: the first whose running height goes beyond, found by an as-of pass over running heights. Whether a row begins a page is then
-    reached from the first row in rounds that double their step, so a table of n pages takes log2(n) rounds, whatever its length.
+    Where a page ends depends on where it began, so the rows of a table stream in order, narrow and sorted by one shuffle; all that is held is
+    the page and how full it is. Tables go side by side. Nothing is joined and no round is written.
     """
-    w = O.ordered(keys, order)
     sized = rows.select(*keys, F.col(order).alias("__quire_o"), F.coalesce(F.col(height), F.lit(0.0)).cast("double").alias("__quire_h"))
-    w = O.ordered(keys, "__quire_o")
-    n = sized.withColumns({"n": F.row_number().over(w) - 1, "below": F.sum("__quire_h").over(O.up_to_here(w))})
-    above = F.col("below") - F.col("__quire_h")
-    # A page from row n ends before the first row whose lower edge is beyond n's upper edge and the room left.
-    limit, slack = F.lit(room - head), F.lit(1e-9)
-    edges = n.select(*keys, F.col("below").alias("e"), F.lit(0).alias("asks"), F.col("n"), F.lit(None).cast("double").alias("own"))
-    asks = n.select(*keys, (above + limit + slack).alias("e"), F.lit(1).alias("asks"), F.col("n"), above.alias("own"))
-    last = F.max(F.when(F.col("asks") == 0, F.col("n"))).over(O.ordered(keys, "e", "asks").rowsBetween(Window.unboundedPreceding, 0))
-    jumps = edges.unionByName(asks).withColumn("fits", last).filter("asks = 1").select(*keys, "n", (F.greatest(F.coalesce("fits", F.lit(-1)), F.col("n")) + 1).alias("to"))
-    rounds = Rounds(rows, "page-starts")
-    state = rounds.step(jumps.select(*keys, "n", F.col("to"), (F.col("n") == 0).alias("begins")))
-    while True:
-        # Starts pass on over the jumps, then jumps are chained: both by equality on the row they lead to.
-        reached = state.filter("begins").select(*keys, F.col("to").alias("n"), F.lit(True).alias("told"))
-        farther = state.select(*keys, F.col("n").alias("to"), F.col("to").alias("beyond"))
-        told = state.join(reached.distinct(), [*keys, "n"], "left").join(farther, [*keys, "to"], "left")
-        after = rounds.step(told.select(*keys, "n", F.coalesce("beyond", "to").alias("to"), (F.col("begins") | F.coalesce("told", F.lit(False))).alias("begins"), (~F.col("begins") & F.coalesce("told", F.lit(False))).alias("new")))
-        grew, state = not after.filter("new").isEmpty(), after.drop("new")
-        if not grew:
-            break
-    pages = n.join(state.select(*keys, "n", "begins"), [*keys, "n"])
-    return pages.select(*keys, F.col("__quire_o").alias(order), (O.running_count(F.col("begins"), w) - 1).alias("page"))
+    streamed = sized.repartition(*keys).sortWithinPartitions(*keys, "__quire_o")
+    limit = room - head + 1e-9
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, page, filled = None, 0, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.columns[: len(keys)]
+            new = np.zeros(batch.num_rows, bool)
+            for c in own:
+                same = pc.fill_null(pc.equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+                none = c.is_null().to_numpy(zero_copy_only=False)
+                new[1:] |= ~(same | (none[1:] & none[:-1]))
+            first = [c[0].as_py() for c in own]
+            new[0] = last is None or first != last
+            pages = []
+            for begins, h in zip(new.tolist(), batch.column(batch.num_columns - 1).to_pylist()):
+                if begins:
+                    page, filled = 0, h
+                elif filled + h > limit:
+                    page, filled = page + 1, h
+                else:
+                    filled += h
+                pages.append(page)
+            last = [c[-1].as_py() for c in own]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pages, pa.int64())], [*keys, order, "page"])
+
+    kinds = dict(rows.dtypes)
+    return streamed.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, order)) + ", page long")

@@ -151,6 +151,17 @@ def test_pages_of_tables_equal_the_loop(spark, room):
     assert {(r.k, r.o): r.page for r in paragraphs.page_starts(rows, ["k"], "o", "h", 1.0, room).collect()} == want
 
 
+def test_pages_go_on_over_batches_without_rounds(spark, monkeypatch):
+    monkeypatch.setattr(rounds.Rounds, "step", None)  # no round is written
+    rows = spark.createDataFrame([(k, n, None if n == 4 else 1.0) for k in (None, 1, 2) for n in range(50)], "k int, o int, h double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.k, r.o): r.page for r in paragraphs.page_starts(rows, ["k"], "o", "h", 1.0, 11.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(k, n): (max(n - 1, 0) if n > 4 else n) // 10 for k in (None, 1, 2) for n in range(50)}
+
+
 def test_paragraphs_about_floats(spark):
     f, g = "\\begin{table}[h]\nx\n\ny.\n\\end{table}", "\\begin{figure*}\nz\n\\end{figure*}"
     cases = [
