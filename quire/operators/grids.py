@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import braces, latex
 from ..sources import tex
 from . import ordered as O
-from .rounds import settled
+from .rounds import dropped, settled
 
 # Centimetres within which coordinates are one line, and up to which a segment counts as straight.
 SNAP_CM, STRAIGHT_CM = 0.15, 0.001
@@ -29,20 +29,29 @@ def drawn_code(cells: DataFrame, widths: DataFrame, keys: list[str]) -> DataFram
     """(keys, code): a tikzpicture with the four sides of each cell as lines and its text as a node in its middle.
 
     ``cells`` has (keys, row, col_start, grid_span, row_span, text, pt), merged cells once; ``widths`` has (keys, col, width_cm).
-    Cells meet their columns by equality on the first and the last one.
+    Cells meet the places of all columns of their key at once, and lines are written only where a key's cells have come together.
     """
     w = O.ordered(keys, "col")
-    places = widths.select(*keys, "col", (F.sum("width_cm").over(O.up_to_here(w)) - F.col("width_cm")).alias("__quire_left"), F.sum("width_cm").over(O.up_to_here(w)).alias("__quire_right"))
-    left = places.select(*keys, F.col("col").alias("col_start"), F.col("__quire_left").alias("__quire_x0"))
-    right = places.select(*keys, (F.col("col") + 1).alias("__quire_end"), F.col("__quire_right").alias("__quire_x1"))
-    placed = cells.withColumn("__quire_end", F.col("col_start") + F.col("grid_span")).join(left, [*keys, "col_start"]).join(right, [*keys, "__quire_end"])
-    x0, x1, y0, y1 = F.col("__quire_x0"), F.col("__quire_x1"), F.col("row") * F.lit(-ROW_CM), (F.col("row") + F.col("row_span")) * F.lit(-ROW_CM)
-    line = lambda a, b, c, d: F.format_string("\\draw[line width=%.1fpt] (%.3f,%.3f) -- (%.3f,%.3f);", F.col("pt"), a, b, c, d)
-    node = F.format_string("\\node[align=center] at (%.3f,%.3f) {%s};", (x0 + x1) / 2, (y0 + y1) / 2, latex.escape(F.col("text")))
-    sides = F.array(line(x0, y0, x1, y0), line(x0, y1, x1, y1), line(x0, y0, x0, y1), line(x1, y0, x1, y1))
-    made = placed.select(*keys, "row", "col_start", sides.alias("sides"), node.alias("node")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("row", "col_start", "sides", "node"))).alias("__quire_all"))
-    lines = F.array_distinct(F.flatten(F.transform("__quire_all", lambda c: c["sides"])))
-    code = F.concat(F.lit("\\begin{tikzpicture}\n"), F.array_join(F.concat(lines, F.transform("__quire_all", lambda c: c["node"])), "\n"), F.lit("\n\\end{tikzpicture}"))
+    right = F.sum("width_cm").over(O.up_to_here(w))
+    places = widths.filter("col is not null").select(*keys, F.col("col").cast("long").alias("__quire_col"), F.struct((right - F.col("width_cm")).alias("x0"), right.alias("x1")).alias("__quire_at"))
+    places = places.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__quire_col", "__quire_at"))).alias("__quire_places"))
+    cell = F.struct("row", "col_start", "grid_span", "row_span", "pt", latex.escape(F.col("text")).alias("text"))
+    made = cells.select(*keys, cell.alias("__quire_cell")).groupBy(*keys).agg(F.array_sort(F.collect_list("__quire_cell")).alias("__quire_all")).join(places, keys)
+    at = lambda col, side: F.try_element_at("__quire_places", col.cast("long"))[side]
+    placed = F.transform("__quire_all", lambda c: F.struct(c.alias("c"), at(c["col_start"], "x0").alias("x0"), at(c["col_start"] + c["grid_span"] - 1, "x1").alias("x1")))
+    made = made.withColumn("__quire_all", F.filter(placed, lambda p: p["x0"].isNotNull() & p["x1"].isNotNull())).filter(F.size("__quire_all") > 0)
+    line = lambda pt, a, b, c, d: F.format_string("\\draw[line width=%.1fpt] (%.3f,%.3f) -- (%.3f,%.3f);", pt, a, b, c, d)
+
+    def sides(p: Column) -> Column:
+        x0, x1, y0, y1 = p["x0"], p["x1"], p["c"]["row"] * F.lit(-ROW_CM), (p["c"]["row"] + p["c"]["row_span"]) * F.lit(-ROW_CM)
+        return F.array(*[line(p["c"]["pt"], *ends) for ends in ((x0, y0, x1, y0), (x0, y1, x1, y1), (x0, y0, x0, y1), (x1, y0, x1, y1))])
+
+    def node(p: Column) -> Column:
+        y0, y1 = p["c"]["row"] * F.lit(-ROW_CM), (p["c"]["row"] + p["c"]["row_span"]) * F.lit(-ROW_CM)
+        return F.format_string("\\node[align=center] at (%.3f,%.3f) {%s};", (p["x0"] + p["x1"]) / 2, (y0 + y1) / 2, p["c"]["text"])
+
+    lines = F.array_distinct(F.flatten(F.transform("__quire_all", sides)))
+    code = F.concat(F.lit("\\begin{tikzpicture}\n"), F.array_join(F.concat(lines, F.transform("__quire_all", node)), "\n"), F.lit("\n\\end{tikzpicture}"))
     return made.select(*keys, code.alias("code"))
 
 
@@ -96,7 +105,8 @@ def _told(found: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
 
 def _located(points: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
     """``points`` (keys, axis, v, ...) with ``line``, the number of the last line at or before them."""
-    both = points.withColumn("__quire_point", F.lit(1)).unionByName(lines.select(*keys, "axis", "v", "line"), allowMissingColumns=True)
+    # Dealt by the key alone, so what groups by more than it afterwards needs no other shuffle.
+    both = points.withColumn("__quire_point", F.lit(1)).unionByName(lines.select(*keys, "axis", "v", "line"), allowMissingColumns=True).repartition(*keys)
     filled = both.withColumn("line", O.forward_fill(F.col("line"), O.ordered([*keys, "axis"], "v", F.col("__quire_point").asc_nulls_first())))
     return filled.filter(F.col("__quire_point").isNotNull()).drop("__quire_point")
 
@@ -112,34 +122,36 @@ def drawn_cells(code: DataFrame, keys: list[str]) -> DataFrame:
     width if all of it is drawn, the largest of its parts. Several nodes of a cell are joined by spaces, from the top and the left.
     A picture without nodes is no table.
     """
-    code = settled(code.select(*keys, "code"), "drawn-code")
+    code = settled(code.select(*keys, "code").dropna(subset=keys), "drawn-code")
     found = settled(nodes(code, keys), "drawn-nodes")
     segs = settled(segments(code, keys).join(found.select(*keys).distinct(), keys, "left_semi"), "drawn-segments")
+    dropped(code)
     other = F.when(F.col("axis") == "x", "y").otherwise("x")
     points = F.explode(F.array(F.struct(F.lit("at").alias("role"), F.col("axis").alias("axis"), F.col("at").alias("v")), *[F.struct(F.lit(r).alias("role"), other.alias("axis"), F.col(r).alias("v")) for r in ("lo", "hi")]))
-    ends = segs.select(*keys, "seg", points.alias("p")).select(*keys, "seg", "p.role", "p.axis", "p.v")
+    ends = segs.select(*keys, "seg", F.col("axis").alias("__quire_axis"), "pt", points.alias("p")).select(*keys, "seg", "__quire_axis", "pt", "p.role", "p.axis", "p.v")
     drawn = settled(_snapped(ends.select(*keys, "axis", "v").distinct(), keys), "drawn-lines")
     lines = drawn.withColumn("drawn", F.lit(True)).unionByName(_told(found, drawn, keys).withColumn("drawn", F.lit(False)))
     lines = settled(lines.withColumn("line", F.row_number().over(O.ordered([*keys, "axis"], "v")) - 1), "drawn-grid")
 
-    numbers = _located(ends, lines, keys).groupBy(*keys, "seg").agg(*[F.max(F.when(F.col("role") == r, F.col("line"))).alias(r) for r in ("at", "lo", "hi")])
-    spans = segs.select(*keys, "seg", "axis", "pt").join(numbers, [*keys, "seg"]).filter(F.col("hi") > F.col("lo"))
+    spans = _located(ends, lines, keys).groupBy(*keys, "seg").agg(F.max("__quire_axis").alias("axis"), F.max("pt").alias("pt"), *[F.max(F.when(F.col("role") == r, F.col("line"))).alias(r) for r in ("at", "lo", "hi")]).filter(F.col("hi") > F.col("lo"))
     edges = spans.select(*keys, "axis", F.col("at").alias("line"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("unit"), "pt").groupBy(*keys, "axis", "line", "unit").agg(F.max("pt").alias("pt"))
-    edges = settled(edges, "drawn-edges")
 
     seen = found.select(*keys, "node", "x", "y", "text", F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("x").alias("v")), F.struct(F.lit("y").alias("axis"), F.col("y").alias("v")))).alias("p")).select(*keys, "node", "x", "y", "text", "p.axis", "p.v")
     homes = _located(seen, lines, keys).groupBy(*keys, "node", "x", "y", "text").agg(F.max(F.when(F.col("axis") == "y", F.col("line"))).alias("row"), F.max(F.when(F.col("axis") == "x", F.col("line"))).alias("col"))
-    texts = homes.groupBy(*keys, "row", "col").agg(F.collect_list(F.struct("y", "x", "node", "text")).alias("__quire_texts"))
-
-    sizes = lines.groupBy(*keys).agg(*[(F.sum(F.when(F.col("axis") == a, 1).otherwise(0)) - 1).cast("int").alias(n) for a, n in (("y", "__quire_rows"), ("x", "__quire_cols"))]).filter("__quire_rows > 0 and __quire_cols > 0")
-    units = sizes.select(*keys, "__quire_cols", F.explode(F.sequence(F.lit(0), F.col("__quire_rows") - 1)).alias("row")).select(*keys, "row", F.explode(F.sequence(F.lit(0), F.col("__quire_cols") - 1)).alias("col"))
-    for name, axis, shift in (("top", "y", 0), ("bottom", "y", 1), ("left", "x", 0), ("right", "x", 1)):
-        line, unit = ("row", "col") if axis == "y" else ("col", "row")
-        side = edges.filter(F.col("axis") == axis).select(*keys, (F.col("line") - shift).alias(line), F.col("unit").alias(unit), F.col("pt").alias(f"__quire_{name}"))
-        units = units.join(side, [*keys, line, unit], "left")
-    for name, axis, line in (("real_top", "y", "row"), ("real_left", "x", "col")):
-        units = units.join(lines.filter(F.col("axis") == axis).select(*keys, F.col("line").alias(line), F.col("drawn").alias(f"__quire_{name}")), [*keys, line])
-    units = settled(units.join(texts, [*keys, "row", "col"], "left"), "drawn-units")
+    texts = homes.select(*keys, "row", "col", F.struct("y", "x", "node", "text").alias("__quire_text"))
+
+    # Unit cells, their sides and their texts meet by one grouping, dealt by the key alone as all that follows.
+    along_axis = lambda a: F.array_sort(F.collect_list(F.when(F.col("axis") == a, F.struct("line", "drawn"))))
+    sizes = lines.groupBy(*keys).agg(along_axis("y").alias("__quire_ys"), along_axis("x").alias("__quire_xs")).filter("size(__quire_ys) > 1 and size(__quire_xs) > 1")
+    units = sizes.select(*keys, "__quire_xs", F.explode(F.slice("__quire_ys", F.lit(1), F.size("__quire_ys") - 1)).alias("__quire_y")).select(*keys, "__quire_y", F.explode(F.slice("__quire_xs", F.lit(1), F.size("__quire_xs") - 1)).alias("__quire_x"))
+    units = units.select(*keys, F.col("__quire_y.line").alias("row"), F.col("__quire_x.line").alias("col"), F.col("__quire_y.drawn").alias("__quire_real_top"), F.col("__quire_x.drawn").alias("__quire_real_left"))
+    names = ("top", "bottom", "left", "right")
+    side = lambda row, col, name: F.struct(row.alias("row"), col.alias("col"), *[(F.col("pt") if n == name else F.lit(None).cast("double")).alias(f"__quire_{n}") for n in names])
+    line, unit = F.col("line"), F.col("unit")
+    both = F.when(F.col("axis") == "y", F.array(side(line, unit, "top"), side(line - 1, unit, "bottom"))).otherwise(F.array(side(unit, line, "left"), side(unit, line - 1, "right")))
+    sides = edges.select(*keys, F.inline(both))
+    units = units.unionByName(sides, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True).repartition(*keys)
+    units = units.groupBy(*keys, "row", "col").agg(*[F.max(_edge(n)).alias(f"__quire_{n}") for n in (*names, "real_top", "real_left")], F.collect_list("__quire_text").alias("__quire_texts")).filter(_edge("real_top").isNotNull())
 
     along = O.ordered([*keys, "row"], "col")
     units = units.withColumn("__quire_run", O.island(_edge("left").isNotNull() | ~_edge("real_left") | (F.col("col") == 0), along))

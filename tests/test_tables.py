@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import braces, fixes
-from quire.operators import grids
+from quire.operators import grids, rounds
 from quire.sources import tex
 
 
@@ -136,3 +136,12 @@ def test_repairs_have_no_caps(spark, n):
     deep = "{" * 9 + long + "}" * 9
     more = {f"\\disclaimer{{ Disclaimer: {deep}}}": f"\\section{{Disclaimer}}\n{deep}\n", f"a\\vadjust{{{deep}}}b": "ab", "\\includegraphics[draft , width=2cm]{empty}": "", "\\includegraphics[draftly]{empty}": "\\includegraphics[draftly]{empty}", "x \\includegraphics[draft]{empty}": "x \\includegraphics[draft]{empty}"}
     assert column_of(spark, list(more), fixes.for_converter) == list(more.values())
+
+
+def test_a_drawing_leaves_no_code_and_no_units_behind(spark):
+    code = spark.createDataFrame([(1, "\\draw (0,0) -- (2,0);\\draw (0,-1) -- (2,-1);\\draw (0,0) -- (0,-1);\\draw (2,0) -- (2,-1);\\node at (1,-0.5) {x};"), (None, "\\node at (1,-0.5) {y};")], "k int, code string")
+    before = set(rounds._FOLDERS)
+    got = grids.drawn_cells(code, ["k"])
+    assert [(r.k, r.row, r.col_start, r.text) for r in got.collect()] == [(1, 0, 0, "x")]
+    kept = [f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in set(rounds._FOLDERS) - before]
+    assert not {"drawn-code", "drawn-units", "drawn-edges"} & set(kept), kept
