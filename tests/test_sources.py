@@ -137,6 +137,22 @@ def test_images_match(spark, tmp_path):
     assert struct.calcsize("d") == 8 and f.count() == 4
 
 
+def test_many_equal_images_match_without_rounds(spark):
+    flat, own = [1.0, 2.0], lambda k: [1.0, float(k)]
+    row = lambda g, p, w, s, h: (g, p, w, 60, s, h)
+    figs = [row(1, f"fig{k}.png", 60, 10**6 * k, flat) for k in range(150)] + [row(2, "fig1.png", 60, 0, own(3)), row(2, "fig2.png", 109, None, own(3)), row(2, "fig3.png", 500, 0, flat), row(2, "fig4.png", 60, 0, None), row(2, "fig5.png", 60, 0, [1.0, None])]
+    originals = [row(1, f"orig{k:03}.png", 60, 10**6 * k + 10**9, flat) for k in range(140)] + [row(2, "a", 60, 5000, own(9)), row(2, "b", 60, 5000, own(4)), row(2, "c", 62, 0, own(3)), row(2, "d", 60, 10**6, [1.0]), row(2, "e", 60, 10**6, None)]
+    schema = "g long, path string, width int, height int, file_size long, histogram array<double>"
+    spark.sparkContext.setJobGroup("images", "images")
+    found = images.match(spark.createDataFrame(figs, schema), spark.createDataFrame(originals, schema), "g").collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("images")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 20  # dealt in rounds, equal images took a job or more each
+    got = {(r.g, r.extracted): r.original for r in found}
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {f"fig{k}.png": f"orig{k:03}.png" for k in range(140)}
+    assert {k[1]: v for k, v in got.items() if k[0] == 2} == {"fig1.png": "b", "fig2.png": "c", "fig4.png": "a", "fig5.png": "d"}
+
+
 def test_greedy_pairs(spark):
     df = spark.createDataFrame([(1, "a", "x", 0.9), (1, "a", "y", 0.8), (1, "b", "x", 0.95), (1, "b", "y", 0.1), (2, "c", "x", 0.5)], "g long, l string, r string, s double")
     assert sorted((r.l, r.r) for r in joins.greedy_pairs(df, "g", "l", "r", "s").collect()) == [("a", "y"), ("b", "x"), ("c", "x")]
