@@ -46,8 +46,9 @@ def packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docx.packages(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.array_join(line, ""), _filled(_TAIL)).alias("body"), media.alias("media")))
 
 
-def _scan(spark: SparkSession, sf_dir: str, kind: str, *columns: str | Column) -> DataFrame:
-    return docx.parse(packages(spark, sf_dir), kind).select(F.col("path").cast("long").alias("doc_id"), *columns)
+def _scan(spark: SparkSession, sf_dir: str, kind: str, *columns: str | Column, read: list[str] | None = None) -> DataFrame:
+    """``columns`` of the rows of one kind, of which ``read`` (null: the columns themselves) are read from the packages."""
+    return docx.parse(packages(spark, sf_dir), kind, ["path", *(read or columns)]).select(F.col("path").cast("long").alias("doc_id"), *columns)
 
 
 #: n: the number of lines, so the place of the first block after them.
@@ -69,13 +70,13 @@ def s1_docx(spark, sf_dir):
     (2, 0, 'text', 'let ', null, null, null, null, null), (2, 1, 'formula', 'x', null, null, null, null, null), (2, 2, 'text', ' be', null, null, null, null, null), (2, 3, 'formula', 'y^{[id]}', null, null, null, null, null), (3, 4, 'text', '[lang], ', null, null, null, null, null), (3, 5, 'text', '2020', null, null, null, null, null)) v(k, o, type, t, b, i, s, c, a)""")
 def s2_docx(spark, sf_dir):
     """Runs with text, in mixed order; field marks, instructions and pictures have none."""
-    runs = _scan(spark, sf_dir, "blocks", "block_ord", F.posexplode("runs").alias("ord", "r"))
+    runs = _scan(spark, sf_dir, "blocks", "block_ord", F.posexplode("runs").alias("ord", "r"), read=["block_ord", "runs"])
     return runs.select("doc_id", "block_ord", "ord", "r.*").filter("text <> ''")
 
 
 @query("s3_docx_media", "select doc_id, 0 as ord, 'fig1.png' as name, strlen(lang) as size, 'rIm0' as rel_id, lang as content from documents union all select doc_id, 1, 'fig2.jpg', length(cast(doc_id as varchar)), 'rIm1', cast(doc_id as varchar) from documents")
 def s3_docx(spark, sf_dir):
-    return _scan(spark, sf_dir, "media", "ord", "name", "size", "rel_id", F.decode("content", "UTF-8").alias("content"))
+    return _scan(spark, sf_dir, "media", "ord", "name", "size", "rel_id", F.decode("content", "UTF-8").alias("content"), read=["ord", "name", "size", "rel_id", "content"])
 
 
 @query("s4_docx_pictures", _D + " select doc_id, n + k as block_ord, o as ord, rel as rel_id, name from d, (values (4, 0, 'rIm1', 'fig2.jpg'), (5, 0, 'rIm0', 'fig1.png'), (5, 1, 'none', null)) v(k, o, rel, name)")
@@ -86,7 +87,7 @@ def s4_docx(spark, sf_dir):
 @query("s5_docx_cells", _D + """ select doc_id, 0 as table_ord, n + 1 as block_ord, r as "row", c as cell, col_start, span as grid_span, v as v_merge, w as width_twips, replace(replace(replace(t, '[id]', cast(doc_id as varchar)), '[lang]', lang), '|', chr(10)) as text, b as top from d,
     (values (0, 0, 0, 2, null, 900, '[lang]', 'single'), (0, 1, 2, 1, 'restart', null, 'a|b', null), (1, 0, 0, 1, null, null, '[id]', null), (1, 1, 1, 1, null, null, '', null), (1, 2, 2, 1, 'continue', null, '', null)) v(r, c, col_start, span, v, w, t, b)""")
 def s5_docx(spark, sf_dir):
-    return _scan(spark, sf_dir, "cells", "table_ord", "block_ord", "row", "cell", "col_start", "grid_span", "v_merge", "width_twips", "text", F.col("borders")["top"].alias("top"))
+    return _scan(spark, sf_dir, "cells", "table_ord", "block_ord", "row", "cell", "col_start", "grid_span", "v_merge", "width_twips", "text", F.col("borders")["top"].alias("top"), read=["table_ord", "block_ord", "row", "cell", "col_start", "grid_span", "v_merge", "width_twips", "text", "borders"])
 
 
 @query("s6_docx_formulas", _D + " select doc_id, n + 2 as block_ord, 0 as ord, 'inline' as type, 'let ' as before, 'x' as latex from d union all select doc_id, n + 2, 1, 'display', 'let  be', concat('y^{', doc_id, '}') from d")

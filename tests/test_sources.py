@@ -50,6 +50,23 @@ def test_docx_citations_formulas_media(spark):
     assert m.name == "fig1.png" and bytes(m.content) == b"png-bytes" and m.rel_id == "rIm0"
 
 
+def test_docx_is_opened_once_for_several_kinds(spark):
+    (row,) = docx.gathered(files(spark), {"blocks": ["block_ord", "style", "formulas"], "media": ["name"]}).collect()
+    blocks = docx.parse(files(spark), "blocks").orderBy("block_ord").collect()
+    assert row.path == "a.docx" and [(b.block_ord, b.style) for b in row.blocks] == [(b.block_ord, b.style) for b in blocks]
+    assert [b.formulas for b in row.blocks] == [None if b.runs is None else sum(r.type == "formula" for r in b.runs) for b in blocks]
+    assert [m.name for m in row.media] == [m.name for m in docx.parse(files(spark), "media").collect()]
+    some = docx.parse(files(spark), "blocks", ["path", "kind"])
+    assert some.columns == ["path", "kind"] and [r.kind for r in some.collect()] == [b.kind for b in blocks]
+
+
+def test_docx_rows_of_many_packages(spark):
+    df = spark.createDataFrame([(str(k), "<w:p/>" * (1 + k % 7), []) for k in range(3000)], "path string, body string, media array<struct<name:string,content:binary>>").coalesce(1)
+    got = docx.parse(docx.packages(df), "blocks", ["path", "block_ord"]).groupBy("path").count().collect()
+    assert {r.path: r["count"] for r in got} == {str(k): 1 + k % 7 for k in range(3000)}
+    assert docx.gathered(docx.packages(df), {"blocks": ["kind"]}).count() == 3000
+
+
 def test_docx_folder(spark, tmp_path):
     (tmp_path / "x.docx").write_bytes(docx.package(BODY))
     (tmp_path / "y.txt").write_text("no")
