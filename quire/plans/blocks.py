@@ -117,8 +117,8 @@ def p25(spark, sf):
 @query("g15_element_counts", "select doc_id, len(string_split(coalesce(text, ''), chr(10))) + 6 as paragraphs, 1 as tables, 2 as formulas, 2 as media, array_to_string(list_transform(range(0, least(3, (len(string_split(coalesce(text, ''), chr(10))) + 4) // 5)), lambda k: 'Heading1'), ',') as styles from documents")
 def g15(spark, sf):
     """Paragraphs, tables, formulas, media and first styles of a package for each document."""
-    made = packages(spark, sf)
-    counts = reports.element_counts(docx.parse(made, "blocks"), docx.parse(made, "media"), ["path"], styles=3)
+    scanned = docx.gathered(packages(spark, sf), {"blocks": ["kind", "style", "formulas"], "media": ["name"]})
+    counts = reports.element_counts(scanned, styles=3)
     return counts.select(F.col("path").cast("long").alias("doc_id"), "paragraphs", "tables", "formulas", "media", F.array_join("styles", ",").alias("styles"))
 
 

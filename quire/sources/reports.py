@@ -58,13 +58,16 @@ def chemistry_rows(texts: DataFrame, keys: list[str], order: str, text: str) ->
     return made.select(*keys, "ord", F.explode(rows).alias("r")).select(*keys, "r.section", "ord", "r.line")
 
 
-def element_counts(blocks: DataFrame, media: DataFrame, keys: list[str], styles: int = 10) -> DataFrame:
-    """(keys, paragraphs, tables, formulas, media, styles) of scanned packages: counts of top-level elements, and the first styles in order."""
-    formulas = F.size(F.filter("runs", lambda r: r["type"] == "formula"))
-    named = F.transform(F.array_sort(F.collect_list(F.when(F.col("style").isNotNull(), F.struct("block_ord", "style")))), lambda x: x["style"])
-    own = blocks.groupBy(*keys).agg(F.count_if(F.col("kind") == "p").alias("paragraphs"), F.count_if(F.col("kind") == "tbl").alias("tables"), F.sum(F.when(F.col("kind") == "p", formulas).otherwise(0)).alias("formulas"), F.slice(named, 1, styles).alias("styles"))
-    files = media.groupBy(*keys).agg(F.count("*").alias("__quire_media"))
-    return own.join(files, keys, "left").select(*keys, "paragraphs", "tables", "formulas", F.coalesce("__quire_media", F.lit(0)).alias("media"), "styles")
+def element_counts(scanned: DataFrame, styles: int = 10) -> DataFrame:
+    """(path, paragraphs, tables, formulas, media, styles) of packages: counts of top-level elements, and the first styles in order.
+
+    ``scanned`` has a row for each package with arrays of its blocks (kind, style, formulas) and media, as ``docx.gathered`` gives, so nothing is shuffled.
+    """
+    of = lambda kind: F.size(F.filter("blocks", lambda b: b["kind"] == kind)).cast("long")
+    formulas = F.aggregate("blocks", F.lit(0).cast("long"), lambda n, b: n + F.coalesce(b["formulas"], F.lit(0)))
+    named = F.transform(F.filter("blocks", lambda b: b["style"].isNotNull()), lambda b: b["style"])
+    counts = scanned.filter(F.size("blocks") > 0)
+    return counts.select("path", of("p").alias("paragraphs"), of("tbl").alias("tables"), formulas.alias("formulas"), F.size("media").cast("long").alias("media"), F.slice(named, 1, styles).alias("styles"))
 
 
 def round_trip_report(pairs: DataFrame, level: str) -> DataFrame:
