@@ -263,8 +263,38 @@ def _common(marked: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order], counts[order]
 
 
-def _near_pairs(company: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): rows (key, node, n, root, size, bits) of one key and several roots that sizes, pivots and bits don't keep apart.
+def _nearest_forest(part: np.ndarray, root: np.ndarray, size: np.ndarray, width: np.ndarray, fps: dict[int, np.ndarray], rows: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """The lightest spanning forest of what sizes, pivots and bits don't keep apart; weights are shares of the bits that may differ, rows of one root are one.
+
+    It has at most as many links as there are roots, and those most likely to be similar.
+    """
+    share, across = (1 - similarity) / (1 + similarity), (part != part[0]).any()
+    left, links = np.arange(len(size)), []
+    best, by = np.full(len(size), np.inf), np.zeros(len(size), np.int64)
+    while len(left):
+        k = int(np.argmin(best[left]))
+        i = int(left[k])
+        left = np.delete(left, k)
+        if 0 <= best[i] < np.inf:
+            links.append((int(by[i]), i))
+        best[left[root[left] == root[i]]] = -1.0
+        j = left[(best[left] > 0) & ((part[left] != part[i]) | (not across))]
+        j = j[np.minimum(size[j], size[i]) + 1e-9 >= np.maximum(size[j], size[i]) * similarity]
+        radius = (size[j] + size[i]) * share + 1e-9
+        near = (np.abs(rows[j] - rows[i]) <= radius[:, None]).all(axis=1)
+        j, radius = j[near], radius[near]
+        apart = np.empty(len(j))
+        for w in np.unique(width[j]).tolist():
+            these, own = width[j] == w, fps[min(w, int(width[i]))]
+            apart[these] = _apart(own[j[these]], own[i])
+        weight = apart / np.maximum(radius, 1.0)
+        closer = (apart <= radius) & (weight < best[j])
+        best[j[closer]], by[j[closer]] = weight[closer], i
+    return links
+
+
+def _near_pairs(company: DataFrame, similarity: float, forest: bool = False) -> DataFrame:
+    """(a, b): rows (key, node, n, root, size, bits) of one key and several roots that sizes, pivots and bits don't keep apart; of these, if asked for, a ``forest``.
 
     A key of more than GROUP rows is cut into cells of two parts of about GROUP rows, so no task holds more.
     """
@@ -285,6 +315,11 @@ def _near_pairs(company: DataFrame, similarity: float) -> DataFrame:
                 wide = np.flatnonzero(width >= w)
                 fps[w][wide] = np.stack([np.frombuffer(folded(b, w), np.uint64) for b in bits[wide]])
             rows = _pivot_rows(np.stack([np.frombuffer(folded(b, 8 * LANES), np.uint64) for b in bits]), WIDE_PIVOTS)
+            if forest:
+                if found := _nearest_forest(part, root, size, width, fps, rows, similarity):
+                    at_a, at_b = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(node[at_a]), pa.array(node[at_b])], ["a", "b"])
+                continue
             last = np.searchsorted(size, size / similarity + 1e-9, side="right")
             a, b, held = [], [], 0
             for i in range(len(node) - 1):
@@ -388,7 +423,8 @@ def similar_links(classes: DataFrame, marked: DataFrame, shingle: int, similarit
     """(a, b): verified links between rows of ``classes`` that connect just what all links of that similarity connect.
 
     Similar sets share one of their rarest shingles (``keys``), so candidates share a key; that is exact. Each row is
-    verified against one set of its key first; what is still apart is then verified pair by pair.
+    verified against one set of its key first. Of what is still apart, a forest of the nearest in each key comes next, no more than there are rows, and
+    links most of it; what is then still apart, and only that, is verified pair by pair.
     """
     hubs = classes.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
     company = classes.select(F.explode("keys").alias("key"), "node").join(hubs, "key")
@@ -396,14 +432,17 @@ def similar_links(classes: DataFrame, marked: DataFrame, shingle: int, similarit
     drop_dead_shuffles(classes.sparkSession)
     stars = company.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     edges = _verified(stars, classes, marked, shingle, similarity)
-    roots = connected_components(edges)
-    rooted = company.filter("n > 2").join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    apart = written(rooted.join(mixed, "key"), "simhash-apart")
-    discard(company, roots)
-    more = _verified(_near_pairs(apart.join(classes.select("node", "size", "bits"), "node"), similarity), classes, marked, shingle, similarity)
+    rows = company.filter("n > 2").select("key", "node", "n")
+    for forest in (True, False):
+        roots = connected_components(edges)
+        rooted = rows.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+        mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+        apart = written(rooted.join(mixed, "key"), "simhash-apart")
+        discard(company, roots)
+        edges = edges.unionByName(_verified(_near_pairs(apart.join(classes.select("node", "size", "bits"), "node"), similarity, forest), classes, marked, shingle, similarity))
+        company, rows = apart, apart.select("key", "node", "n")
     discard(apart)
-    return edges.unionByName(more)
+    return edges
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -427,7 +466,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> Data
                     node.append(xxhash.xxh64_intdigest(h.tobytes(), 42))
                     size.append(len(h))
                     wide.append(parity_bits(h))
-                    some.append(folded(wide[-1], min(len(wide[-1]) // 4, 32 * LANES) if len(wide[-1]) > 32 * LANES else 8 * LANES))
+                    some.append(folded(wide[-1], min(len(wide[-1]), 64 * LANES)))
                     bits.append(np.frombuffer(folded(wide[-1], 8 * LANES), "<u8"))
                     keys.append(_prefix(h, similarity, *sent.value).view(np.int64))
                 bits = np.stack(bits).view(np.int64)

@@ -68,3 +68,21 @@ def test_texts_below_the_threshold_stay(spark):
             words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
             docs += [(len(docs) + e, " ".join(words[: n - e * n // 7] + [f"t{rng.randrange(10**9)}" for _ in range(e * n // 7)])) for e in (0, 1)]
     assert kept(spark, docs) == brute(docs) == {i for i, _ in docs}
+
+
+def test_a_group_of_near_copies_is_not_listed_pair_by_pair(spark, monkeypatch):
+    rng, base = random.Random(28), [f"w{k}" for k in range(400)]
+    docs = [(k, " ".join(edited(rng, base, 4 + (k % 3 > 0)))) for k in range(90)]  # half of the pairs are below the threshold
+    listed, near = [], simhash._near_pairs
+
+    def counted(*args):
+        pairs = near(*args)
+        listed.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(simhash, "_near_pairs", counted)
+    want = brute(docs)
+    assert kept(spark, docs) == want == {0}
+    sets = [shingles(t) for _, t in docs]
+    assert sum(jaccard(a, b) >= 0.8 for k, a in enumerate(sets) for b in sets[:k]) > 1500
+    assert sum(listed) < 2 * len(docs)
