@@ -70,8 +70,8 @@ _RUNS = f"""with n as (select *, row_number() over w - 1 as r, case when lag(l_r
       union all select l_orderkey, r, 3, 1, r, 1, concat(cast(l_quantity as int), '%') from g union all select l_orderkey, r, 4, 1, r, 1, case when l_suppkey % 2 = 0 then '' else 'odd' end from g)"""
 
 
-def _cells(spark, sf):
-    """(l_orderkey, row, col_start, grid_span, first, rows, text): merged cells once for each of their ``rows`` from ``first`` on."""
+def _rows(spark, sf):
+    """(l_orderkey, row, cells) with the cells (col_start, grid_span, first, rows, text) of a row in order: merged ones in each of their ``rows`` from ``first`` on."""
     w = O.ordered(["l_orderkey"], *_ORDER)
     flag, state = (F.col(c) != F.lag(c).over(w) for c in ("l_returnflag", "l_linestatus"))
     n = table(spark, sf, "lineitem").withColumns({"row": (F.row_number().over(w) - 1), "a": O.island(flag, w), "b": O.island(flag | state, w)})
@@ -86,7 +86,12 @@ def _cells(spark, sf):
         F.array(cell(0, 1, F.col("a0"), F.col("an"), F.concat("l_returnflag", F.lit(" {"), "a0", F.lit("}")))), F.when(f, F.array(wide)).otherwise(F.array(*rest)),
         F.array(cell(3, 1, F.col("row"), one, F.concat(F.col("l_quantity").cast("int"), F.lit("%"))), cell(4, 1, F.col("row"), one, F.when(F.col("l_suppkey") % 2 == 0, "").otherwise("odd"))),
     )
-    return n.select("l_orderkey", "row", F.inline(all_))
+    return n.select("l_orderkey", "row", all_.alias("cells"))
+
+
+def _cells(spark, sf):
+    """The same with a row for each cell: (l_orderkey, row, col_start, grid_span, first, rows, text)."""
+    return _rows(spark, sf).select("l_orderkey", "row", F.inline("cells"))
 
 
 _MERGE = """case when rows = 1 then null when "row" = "first" then 'restart' else 'continue' end as v_merge"""
@@ -95,15 +100,18 @@ _MERGE = """case when rows = 1 then null when "row" = "first" then 'restart' els
 @query("x7_multirow_cells", _RUNS + f""" select l_orderkey, "row", col_start, grid_span, {_MERGE}, case when "row" = "first" then rows else 1 end as row_span, case when "row" = "first" then translate("text", '{{}}', '') else '' end as "text" from cells""")
 def x7(spark, sf):
     """Tabular code in which \\multirow and \\multicolumn cross, back into cells. Odd orders leave out the empty cells below a taller one."""
-    c = _cells(spark, sf)
-    text = F.replace(F.replace("text", F.lit("&"), F.lit("\\&")), F.lit("%"), F.lit("\\%"))
-    starts, odd = F.col("row") == F.col("first"), F.col("l_orderkey") % 2 == 1
-    tall = F.when(~starts, F.lit("")).when(F.col("rows") > 1, F.concat(F.lit("\\multirow{"), "rows", F.lit("}{*}{"), text, F.lit("}"))).otherwise(text)
-    shown = F.when(F.col("grid_span") > 1, F.concat(F.lit("\\multicolumn{"), "grid_span", F.lit("}{@{}c|}{"), tall, F.lit("}"))).otherwise(tall)
-    rows = c.filter(starts | ~odd).groupBy("l_orderkey", "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_start", shown.alias("s")))), lambda x: x["s"]), " & ").alias("line"))
+    row, odd = F.col("row"), F.col("l_orderkey") % 2 == 1
+
+    def shown(c):
+        text = F.replace(F.replace(c["text"], F.lit("&"), F.lit("\\&")), F.lit("%"), F.lit("\\%"))
+        tall = F.when(c["first"] != row, F.lit("")).when(c["rows"] > 1, F.concat(F.lit("\\multirow{"), c["rows"], F.lit("}{*}{"), text, F.lit("}"))).otherwise(text)
+        return F.when(c["grid_span"] > 1, F.concat(F.lit("\\multicolumn{"), c["grid_span"], F.lit("}{@{}c|}{"), tall, F.lit("}"))).otherwise(tall)
+
+    written = F.filter("cells", lambda c: (c["first"] == row) | ~odd)
+    rows = _rows(spark, sf).select("l_orderkey", "row", F.array_join(F.transform(written, shown), " & ").alias("line"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), " \\\\ \\hline\n")
     code = rows.groupBy("l_orderkey").agg(F.concat(F.lit("\\begin{tabular}{|l|@{}c|*{2}{r|}p{2cm}|}\n\\hline "), lines, F.lit("\\\\\n\\end{tabular}")).alias("text"))
-    back = tex.scan(code, tex.tabulars, key="l_orderkey")
+    back = tex.scan(code, tex.tabulars, key="l_orderkey", only=("row", "col_start", "grid_span", "v_merge", "row_span", "text"))
     return back.select("l_orderkey", "row", "col_start", "grid_span", "v_merge", "row_span", F.replace(F.replace("text", F.lit("\\&"), F.lit("&")), F.lit("\\%"), F.lit("%")).alias("text"))
 
 

@@ -118,6 +118,27 @@ def test_tabular_cases(spark):
     assert got[4].b and got[4].i and not got[0].b
 
 
+def test_tabulars_whatever_the_braces_hold():
+    """Cells and rows cut at once (groups two deep) and mark by mark (deeper, or never closed) are the same."""
+    for deep in range(6):
+        inner = "{" * deep + r"a & b \\ c \& \{" + "}" * deep
+        want = [r"x \& y", *([inner] if deep else ["a", r"b"])]
+        got = tex._cells_of(r"x \& y & " + (inner if deep else "a & b"))
+        assert got == want
+        assert tex._rows_of((inner if deep else "p") + r" \\[2pt] q \\ {r") == [(inner if deep else "p") + " ", " q ", " {r"]
+    assert tex._cells_of("a} & b") == ["a} & b"] and tex._cells_of("{a & b") == ["{a & b"]
+
+
+def test_scan_gives_on_rows_and_fields_as_they_are_wanted(spark, monkeypatch):
+    """A batch of large tables goes on in pieces, with the fields asked for only."""
+    monkeypatch.setattr(tex, "_BATCH", 7)
+    rows = [(k, r"\begin{tabular}{ll}" + r"\\".join(f"{k} & {r}" for r in range(5)) + r"\end{tabular}") for k in range(9)]
+    cells = tex.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), tex.tabulars, only=("row", "col_start", "text"))
+    assert cells.columns == ["doc_id", "row", "col_start", "text"]
+    assert sorted(tuple(r) for r in cells.collect()) == sorted((k, r, c, str((k, r)[c])) for k in range(9) for r in range(5) for c in range(2))
+    assert tex.scan(spark.createDataFrame([], "doc_id long, text string"), tex.tabulars).count() == 0
+
+
 def test_tex_scanners_take_anything():
     for scanner in (tex.bib_entries, tex.figures, tex.formulas, tex.tabulars, tex.conditions):
         for text in ("", "{", "}" * 50, r"\begin{tabular}{l", r"@a{b, title={", r"\begin{figure}", "\\", "%", r"\if@x \else \fi \fi", "$", "\\begin{table}\\begin{tabular}{ll}a\\"):
