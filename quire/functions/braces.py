@@ -150,21 +150,53 @@ _FORM = r"(?s)\\[A-Za-z@]+|\\.|[{}|]|[lcrpmb]|[@!<>]|[^\\{}|lcrpmb@!<>]+|\\"
 _COLUMN = "struct<align:string,width:string,rule_left:boolean,rule_right:boolean>"
 
 
+# Groups that close, eight deep at most, and what stands outside of groups in a format besides its columns and bars.
+_CLOSED = r"\{(?:[^\\{}]++|\\.)*+\}"
+for _ in range(7):
+    _CLOSED = rf"\{{(?:[^\\{{}}]++|\\.|{_CLOSED})*+\}}"
+_ASIDE = rf"\\[A-Za-z@]++|\\.|{_CLOSED}"
+_LENGTH = r"\s*([0-9.]+)\s*(cm|mm|in)\s*"
+
+
 def columns(form: Column) -> Column:
     """array<struct<align, width_twips, rule_left, rule_right>> of a column format.
 
     A bar belongs to the column before it, at the start to the first column. Groups after ``@``, ``!``, ``<`` and ``>`` may hold
-    anything, at any depth. A width in another unit than cm, mm or in is null, as is that of a column without one.
+    anything, at any depth. A width in another unit than cm, mm or in is null, as is that of a column without one. Formats whose groups
+    all close, eight deep at most, are cut into columns at once; the fold, mark by mark, is for the others.
     """
+    return let(form, lambda f: F.when(f.rlike(rf"(?s)^(?:[^\\{{}}]++|{_ASIDE})*+\z"), _columns_cut(f)).otherwise(_columns_fold(f)))
+
+
+def _twips(number: Column, unit: Column) -> Column:
+    units = F.create_map(*[F.lit(x) for pair in TWIPS.items() for x in pair])
+    return F.bround(number.try_cast("double") * F.element_at(units, unit)).cast("int")
+
+
+def _align(letter: Column) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ALIGNMENTS.items() for x in pair]), letter)
+
+
+def _columns_cut(form: Column) -> Column:
+    """Every match is a column letter, the groups right behind it and what follows up to the next; of several groups the last is the width."""
+    other = rf"(?:[^\\{{}}lcrpmb]++|{_ASIDE})*+"
+    bar = lambda stretch: stretch.contains("|") & (~stretch.rlike(r"[\\{]") | F.regexp_replace(stretch, rf"(?s){_ASIDE}", "").contains("|"))
+    width = rf"(?s)^[pmb](?:{_CLOSED}(?=\{{))*+\{{{_LENGTH}\}}"
+    first = bar(F.regexp_extract(form, rf"(?s)^{other}", 0))
+    parts = F.regexp_extract_all(form, F.lit(rf"(?s)\G(?:^{other})?([lcrpmb]{other})"), F.lit(1))
+    measured = lambda p: F.when(p.rlike(width), _twips(F.regexp_extract(p, width, 1), F.regexp_extract(p, width, 2)))
+    return F.transform(parts, lambda p, k: F.struct(_align(F.substring(p, 1, 1)).alias("align"), measured(p).alias("width_twips"), ((k == 0) & first).alias("rule_left"), bar(p).alias("rule_right")))
+
+
+def _columns_fold(form: Column) -> Column:
     zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kind"), F.lit("").alias("inside"), F.lit(False).alias("bar"), F.array().cast(f"array<{_COLUMN}>").alias("out"))
-    align = F.create_map(*[F.lit(x) for pair in ALIGNMENTS.items() for x in pair])
 
     def step(acc: Column, mark: Column) -> Column:
         depth, out = _deeper(acc["depth"], mark), acc["out"]
         top, last = (acc["depth"] == 0), F.get(out, F.size(out) - 1)
         column = top & mark.rlike("^[lcrpmb]$")
         bar, measured = top & (mark == "|"), (mark == "}") & (depth == 0) & (acc["kind"] == "width") & (F.size(out) > 0)
-        new = F.struct(F.element_at(align, mark).alias("align"), F.lit(None).cast("string").alias("width"), (acc["bar"] & (F.size(out) == 0)).alias("rule_left"), F.lit(False).alias("rule_right"))
+        new = F.struct(_align(mark).alias("align"), F.lit(None).cast("string").alias("width"), (acc["bar"] & (F.size(out) == 0)).alias("rule_left"), F.lit(False).alias("rule_right"))
         changed = F.struct(last["align"].alias("align"), F.when(measured, acc["inside"]).otherwise(last["width"]).alias("width"), last["rule_left"].alias("rule_left"), (last["rule_right"] | bar).alias("rule_right"))
         return F.struct(
             depth.alias("depth"),
@@ -175,9 +207,8 @@ def columns(form: Column) -> Column:
         )
 
     found = F.aggregate(F.regexp_extract_all(form, F.lit(_FORM), F.lit(0)), zero, step, lambda acc: acc["out"])
-    length = r"^\s*([0-9.]+)\s*(cm|mm|in)\s*$"
-    unit = F.create_map(*[F.lit(x) for pair in TWIPS.items() for x in pair])
-    twips = lambda w: F.bround(F.regexp_extract(w, length, 1).try_cast("double") * F.element_at(unit, F.regexp_extract(w, length, 2))).cast("int")
+    length = rf"^{_LENGTH}$"
+    twips = lambda w: _twips(F.regexp_extract(w, length, 1), F.regexp_extract(w, length, 2))
     return F.transform(found, lambda c: F.struct(c["align"].alias("align"), F.when(c["width"].rlike(length), twips(c["width"])).alias("width_twips"), c["rule_left"].alias("rule_left"), c["rule_right"].alias("rule_right")))
 
 

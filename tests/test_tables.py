@@ -145,3 +145,16 @@ def test_a_drawing_leaves_no_code_and_no_units_behind(spark):
     assert [(r.k, r.row, r.col_start, r.text) for r in got.collect()] == [(1, 0, 0, "x")]
     kept = [f.rsplit("/", 1)[1].rsplit("-", 1)[0] for f in set(rounds._FOLDERS) - before]
     assert not {"drawn-code", "drawn-units", "drawn-edges"} & set(kept), kept
+
+
+def test_column_formats_cut_at_once_and_by_the_fold(spark):
+    """Formats whose groups close are cut into columns at once; the result is the fold's, which reads any format."""
+    rng = random.Random(5)
+    bits = ["l", "c", "r", "p", "m{", "p{3cm}", "p{2.55mm}", "b{ 1 in }", "p{3pt}", "p{1.2.3cm}", "p{3cm}{4cm}", "|", "@{", "<{", ">{p{3cm}|}", "{", "}", "{l|r}", "\\|", "\\{", "\\hspace{", " ", "{" * 9, "}" * 9, "\n", "\\", "@{\\hspace{{{l|r}}}}", "p{{3cm}}"]
+    forms = ["", "|", "l" * 20_000, "p" + "{a}" * 20_000 + "{1cm}|", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(2000))]
+    df = spark.createDataFrame(list(enumerate(forms)), "k int, t string").where("k <> 3")
+    both = df.select("t", braces.columns(F.col("t")).alias("x"), braces._columns_fold(F.col("t")).alias("y"))
+    assert both.filter("not x <=> y").count() == 0
+    long = spark.createDataFrame([(forms[3],), (r"|l>{p{3cm}|}p{2cm}|\||c",), ("@{{l|r}}|",), (None,)], "t string")
+    got = [[tuple(c) for c in r.x] if r.x is not None else None for r in long.select(braces._columns_cut(F.col("t")).alias("x")).collect()]
+    assert got == [[("left", 567, False, True)], [("left", None, True, False), ("left", 1134, False, True), ("center", None, False, False)], [], None]
