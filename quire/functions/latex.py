@@ -55,15 +55,17 @@ def chemical_prefixes() -> tuple[str, ...]:
 
 
 def chemistry(text: Column) -> Column:
-    """Subscripts the number of known compounds: ``CO2`` -> ``CO$_{2}$``."""
+    """Subscripts the number of known compounds: ``CO2`` -> ``CO$_{2}$``. A text without a digit after a letter, and without subscripts, stays."""
     known = "|".join(sorted(chemical_prefixes(), key=len, reverse=True))
-    return identifier_digits(F.regexp_replace(text, rf"(?<![0-9A-Za-z_])({known})(\d{{1,2}})(?![0-9A-Za-z_])", r"$1\$_{$2}\$"))
+    made = identifier_digits(F.regexp_replace(text, rf"(?<![0-9A-Za-z_])({known})(\d{{1,2}})(?![0-9A-Za-z_])", r"$1\$_{$2}\$"))
+    return F.when(text.rlike(r"[A-Za-z][0-9]|[_t]\{"), made).otherwise(text)
 
 
 def escape(text: Column) -> Column:
     """Every special character escaped once; null counts as empty."""
     mapped = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
-    return F.array_join(F.transform(F.split(F.coalesce(text, F.lit("")), ""), lambda c: F.coalesce(F.element_at(mapped, c), c)), "")
+    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\\%_&#${}~^]++|[\\%_&#${}~^]"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda c: F.coalesce(F.element_at(mapped, c), c)), "")
 
 
 def subscript(text: Column) -> Column:

@@ -62,10 +62,10 @@ def classify(blocks: DataFrame, keys: list[str]) -> DataFrame:
     sized = blocks.join(body_size(blocks, keys), keys, "left").withColumn("body_pt", F.coalesce("body_pt", F.lit(BODY_PT)))
     text = F.trim("text")
     marked = sized.withColumn("__quire_n", F.row_number().over(Window.partitionBy(*keys).orderBy("block_ord")) - 1).withColumn("candidate", candidate())
-    centred = F.coalesce(F.col("alignment") == "center", F.lit(False))
+    centred, undecided = F.coalesce(F.col("alignment") == "center", F.lit(False)), F.col("candidate") == "open"  # only these are asked whom they name
     facts = marked.select(
-        *keys, "block_ord", F.col("__quire_n").alias("n"), "candidate", centred.alias("centred"), F.length(text).alias("size"), text.rlike(AFFILIATION).alias("affiliated"),
-        (text.rlike(CORRESPONDENCE) | text.rlike(EMAIL)).alias("mailed"), F.coalesce(F.col("size_pt") < F.col("body_pt"), F.lit(False)).alias("small"),
+        *keys, "block_ord", F.col("__quire_n").alias("n"), "candidate", centred.alias("centred"), F.length(text).alias("size"), (undecided & text.rlike(AFFILIATION)).alias("affiliated"),
+        (undecided & (text.rlike(CORRESPONDENCE) | text.contains("@") & text.rlike(EMAIL))).alias("mailed"), F.coalesce(F.col("size_pt") < F.col("body_pt"), F.lit(False)).alias("small"),
         (F.col("has_formula") & (F.trim(F.regexp_replace(text, r"\([0-9.-]+\)", "")) == "")).alias("alone"), (F.col("has_formula") & (F.length(text) < 100) & text.rlike(r"\([0-9.-]+\)")).alias("numbered"),
         ((F.coalesce(F.col("indent_pt"), F.lit(0.0)) > 0) | (F.length(text) > 50) | F.col("has_cite") | F.col("has_formula")).alias("solid"),
     )
@@ -113,15 +113,15 @@ def assemble(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, tex): a document's lines in order, from classified blocks; an unclassed short block goes on the line before it."""
     from ..functions import latex as L
 
-    body = L.chemistry(L.escape(F.col("text")))
+    blocks = blocks.withColumn("__quire_escaped", L.escape(F.col("text")))
+    body = L.chemistry(F.col("__quire_escaped"))
     level = F.coalesce("heading_level", F.lit(1))
     line = (
         F.when(F.col("semantic_type") == "heading", F.concat(F.lit("\\"), F.when(level == 2, "sub").when(level >= 3, "subsub").otherwise(""), F.lit("section{"), body, F.lit("}")))
         .when(F.col("semantic_type") == "title", F.concat(F.lit("\\title{"), body, F.lit("}"))).when(F.col("semantic_type") == "author", F.concat(F.lit("\\author{"), body, F.lit("}")))
         .when(F.col("semantic_type").isin("figure_caption", "table_caption"), F.concat(F.lit("\\caption{"), body, F.lit("}"))).when(F.col("semantic_type") == "empty", F.lit("")).otherwise(body)
     )
-    w = Window.partitionBy(*keys).orderBy("block_ord")
-    joined = F.when((F.col("semantic_type") == "unknown") & (F.row_number().over(w) > 1), F.lit(" ")).otherwise(F.lit("\n"))
-    rows = blocks.select(*keys, "block_ord", F.concat(joined, line).alias("piece"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_ord", "piece"))), lambda x: x["piece"]), "")
-    return rows.groupBy(*keys).agg(F.ltrim(text, F.lit("\n")).alias("tex"))
+    rows = blocks.select(*keys, F.struct("block_ord", (F.col("semantic_type") == "unknown").alias("goes_on"), line.alias("line")).alias("piece"))
+    joined = lambda x, k: F.concat(F.when(x["goes_on"] & (k > 0), F.lit(" ")).otherwise(F.lit("\n")), x["line"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), joined), "")
+    return rows.repartition(*keys).groupBy(*keys).agg(F.ltrim(text, F.lit("\n")).alias("tex"))

@@ -101,6 +101,22 @@ def test_classes_of_all_blocks(spark, sf, blocks):
     assert got == want and len(set(want.values())) >= 6
 
 
+def test_escapes_and_chemistry_of_odd_texts(spark):
+    """Every special character once, whatever stands beside it; subscripts come and go as without the guard that spares most texts."""
+    texts = ["", "a", "\\", "\\%_&#${}~^", "{{}}", "50 % of CO2_flag", "CO2 and H2O", "x\n\ny_1", "é中\U0001f600_\U0001f600", "_{2}", "CO$_{2}$_flag", "a\\textsubscript{2}b", "Fe3", "3Fe", None]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", latex.escape(F.col("t")).alias("e"), latex.chemistry(F.col("t")).alias("c")).collect()
+    assert [r.e for r in out] == ["".join(latex.ESCAPES.get(c, c) for c in t or "") for t in texts]
+    assert [r.c for r in out][5:7] == ["50 % of CO2_flag", "CO$_{2}$ and H2O"] and [r.c for r in out][9:] == ["_{2}", "CO2_flag", "a2b", "Fe$_{3}$", "3Fe", None]
+
+
+def test_assembling_sorts_the_text_once(spark, sf):
+    """The lines of a document meet by one grouping; no window sorts the whole texts before it."""
+    blocks = spark.createDataFrame([(1, 0, "a", None, "unknown"), (1, 1, "b", None, "unknown"), (1, 2, "c", 2, "heading"), (2, 3, "CO2 %", None, "body")], "d int, block_ord int, text string, heading_level int, semantic_type string")
+    made = classify.assemble(blocks, ["d"])
+    assert dict(made.collect()) == {1: "a b\n\\subsection{c}", 2: "CO$_{2}$ \\%"}
+    assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
+
+
 def test_assembled_documents(spark, sf, blocks):
     texts = sorted({b.text for own in blocks.values() for b in own})
     escaped = dict(spark.createDataFrame([(t,) for t in texts], "t string").select("t", latex.chemistry(latex.escape(F.col("t")))).collect())
