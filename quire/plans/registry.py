@@ -30,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Narrow rows that cost much each, dealt evenly: files of few row groups would leave cores idle."""
+    return rows.repartition(max(rows.rdd.getNumPartitions(), 4 * rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def _load() -> None:
     from importlib import import_module
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import specs as S
 from ..operators import specs as C
-from .registry import query, table
+from .registry import query, spread, table
 
 #: Parts of a class, each with the facts that it states. A template holds two in three of them; @@ is a number of its own.
 PARTS = (
@@ -62,7 +62,7 @@ _ROWS = ", ".join(f"({k}, '{category}', '{key}', '{value}')" for k, (_, stated)
 def p58_p59_s17(spark, sf_dir):
     """Facts of a class for each document, against what the parts that it is made of are known to state."""
     parts = F.concat(*[F.when((F.col("doc_id") + k) % 3 != 0, F.lit(part + "\n")).otherwise("") for k, (part, _) in enumerate(PARTS)])
-    t = table(spark, sf_dir, "documents").select("doc_id", F.replace(parts, F.lit("@@"), (F.col("doc_id") % 90).cast("string")).alias("t"))
+    t = spread(table(spark, sf_dir, "documents").select("doc_id")).select("doc_id", F.replace(parts, F.lit("@@"), (F.col("doc_id") % 90).cast("string")).alias("t"))
     return t.select("doc_id", F.explode(S.facts(F.col("t"))).alias("f")).select("doc_id", "f.category", "f.key", "f.value")
 
 

@@ -1,6 +1,7 @@
 """Queries that SQL can't express, all rows of them against plain Python over the same blocks."""
 
 import math
+import random
 import re
 from collections import defaultdict
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.functions import latex, specs, text, units
 from quire.operators import classify, joins, ordered, tables
 from quire.operators import specs as checks
-from quire.plans import registry, structured
+from quire.plans import registry, structured, templates
 from quire.sources import docx, images
 
 QUERIES = registry.queries()
@@ -175,6 +176,26 @@ def test_specs_of_odd_texts(spark):
     assert checks.summary(empty, ["k"]).filter("status = 'FAIL'").count() == 5
 
 
+def test_specs_are_read_once_and_as_sparks_own_searches_read_them(spark):
+    code = [p for p, _ in templates.PARTS]
+    odd = ["\\", "{", "}", "]", "\\def", "\\newcommand{", "\\if@", "\\fi", "\\maketitle", "\\begin{abstract}", " \t\x0b", "\u00a0", "中", "é", "_", "5pt", ", ,", ": ", "\u0661"]
+    pick = random.Random(3).choice
+    texts = ["".join(pick(code) if pick("ab") == "a" else pick(odd) + pick(code)[: pick(range(60))] for _ in range(pick((2, 9, 40)))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(4).cache()
+    read = df.select("k", F.explode(specs.facts(F.col("t"))).alias("f")).select("k", "f.*")
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan  # no search of the whole text for each rule
+    got = defaultdict(set)
+    for r in read.collect():
+        got[r.k, r.category].add((r.key, r.value))
+    rules = [r for r in specs.RULES if not r.scope and (r.how == "all" or r.how == "pairs" and r.key)]
+    searched = [F.array(*[F.regexp_extract_all("t", F.lit(r.pattern), F.lit(n)) for n in ((1, 2) if r.how == "pairs" else (1,))]) for r in rules]
+    for k, *found in df.select("k", *searched).collect():
+        for rule, (keys, *read) in zip(rules, found):
+            want = {(rule.key + key, v.strip(" ")) for key, v in zip(keys, *read)} if read else {(rule.key, v.strip(" ")) for v in keys}
+            assert {f for f in got[k, rule.category] if (f[0].startswith(rule.key) if read else f[0] == rule.key)} == want, (rule, texts[k])
+
+
 def test_brackets_against_a_stack(spark):
     texts = [None, "", "()", ")(", "((a)", "(a)b)c(", "(()())((", "x(y(z)w)(", "((((", "(a)(b)"] + ["".join("()a"[(k * j) % 7 % 3] for j in range(1, 20)) for k in range(1, 30)]
 
