@@ -196,6 +196,11 @@ def test_specs_are_read_once_and_as_sparks_own_searches_read_them(spark):
             assert {f for f in got[k, rule.category] if (f[0].startswith(rule.key) if read else f[0] == rule.key)} == want, (rule, texts[k])
 
 
+def test_specs_of_bytes_that_are_no_text(spark):
+    df = spark.sql(r"select cast(concat(encode('\\\\appendix', 'utf-8'), unhex('FF'), encode('\\\\bibliographystyle{', 'utf-8'), unhex('61C3'), encode('}', 'utf-8')) as string) t")
+    assert {tuple(f) for f in df.select(specs.facts(F.col("t"))).first()[0]} == {("appendix_format", "command", "true"), ("bibliography_format", "style", "a\ufffd")}
+
+
 def test_brackets_against_a_stack(spark):
     texts = [None, "", "()", ")(", "((a)", "(a)b)c(", "(()())((", "x(y(z)w)(", "((((", "(a)(b)"] + ["".join("()a"[(k * j) % 7 % 3] for j in range(1, 20)) for k in range(1, 30)]
 
