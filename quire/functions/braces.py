@@ -224,14 +224,27 @@ def cell(text: Column) -> Column:
     return let(text, _cell)
 
 
-def _cell(text: Column) -> Column:
-    found = F.lit(None).cast("int")
-    for name, pt in reversed(CELL_SIZES.items()):
-        found = F.when(text.rlike(rf"\\{name}(?![A-Za-z])"), F.lit(pt)).otherwise(found)
+def cell_text(text: Column) -> Column:
+    """The text alone of ``cell``. Without commands and dollars it is one replacement; the marks are for the others."""
+    return let(text, _cell_text)
+
+
+def _cell_text(text: Column) -> Column:
+    escapes = F.trim(F.regexp_replace(text, r"(?s)\\(.)|[{}\\]", "$1"))
+    return F.when(~text.rlike(r"\$|\\[\\A-Za-z@]"), escapes).otherwise(_cell_marks(text))
+
+
+def _cell_marks(text: Column) -> Column:
     lowered = lambda mark: L.subscript(F.regexp_replace(mark, r"^\$_\{?|^\\textsubscript\{|\}?\$$|\}$", ""))
     shown = lambda mark: (
         F.when(mark.rlike(r"^(?:\$_.|\\textsubscript\{)"), lowered(mark)).when(mark.rlike(r"^\\[^A-Za-z@]$"), F.when(mark == "\\\\", " ").otherwise(F.substring(mark, 2, 1)))
         .when(mark.rlike(r"^(?:\\|[{}$]$)"), "").otherwise(mark)
     )
-    plain = F.trim(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_CELL), F.lit(0)), shown), ""))
-    return F.struct(plain.alias("text"), text.rlike(r"\\(?:textbf|bfseries|bf)(?![A-Za-z])").alias("bold"), text.rlike(r"\\(?:textit|emph|itshape|it)(?![A-Za-z])").alias("italic"), found.alias("size_pt"))
+    return F.trim(F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_CELL), F.lit(0)), shown), ""))
+
+
+def _cell(text: Column) -> Column:
+    found = F.lit(None).cast("int")
+    for name, pt in reversed(CELL_SIZES.items()):
+        found = F.when(text.rlike(rf"\\{name}(?![A-Za-z])"), F.lit(pt)).otherwise(found)
+    return F.struct(_cell_text(text).alias("text"), text.rlike(r"\\(?:textbf|bfseries|bf)(?![A-Za-z])").alias("bold"), text.rlike(r"\\(?:textit|emph|itshape|it)(?![A-Za-z])").alias("italic"), found.alias("size_pt"))

@@ -62,9 +62,14 @@ def chemistry(text: Column) -> Column:
 
 
 def escape(text: Column) -> Column:
-    """Every special character escaped once; null counts as empty."""
+    """Every special character escaped once; null counts as empty. Those that take a backslash go by one replacement, runs are for texts with others."""
+    own = F.coalesce(text, F.lit(""))
+    return F.when(own.rlike(r"[\\~^]"), _escape_runs(own)).otherwise(F.regexp_replace(own, r"([%_&#${}])", r"\\$1"))
+
+
+def _escape_runs(text: Column) -> Column:
     mapped = F.create_map(*[F.lit(x) for pair in ESCAPES.items() for x in pair])
-    runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\\%_&#${}~^]++|[\\%_&#${}~^]"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(r"[^\\%_&#${}~^]++|[\\%_&#${}~^]"), F.lit(0))
     return F.array_join(F.transform(runs, lambda c: F.coalesce(F.element_at(mapped, c), c)), "")
 
 

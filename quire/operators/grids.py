@@ -1,28 +1,27 @@
 """Tables that are only drawn: TikZ code of lines and nodes from cells, and the cells back from lines and nodes.
 
-Reading goes through a planar grid. Coordinates snap to lines; a point finds its line by an as-of pass (lines and points in one
-order, the last line so far), never by a range join. Lines cut the table into unit cells with an edge on each side. Neighbours without
+Reading goes through a planar grid, and a picture is read where its code stands, so nothing is shuffled. Coordinates snap to lines; a
+point finds its line by its place among them. Lines cut the table into unit cells with an edge on each side. Neighbours without
 an edge between them are one cell: runs within a row are islands, equal runs without an edge between rows are islands again,
-so spans and vertical merges are rectangles found by two windows. A line that is drawn nowhere, only told by nodes, always separates.
+so spans and vertical merges are rectangles found by one sweep down the rows. A line that is drawn nowhere, only told by nodes, always separates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import braces, latex
-from ..sources import tex
+from ..sources import tex, tikz
 from . import ordered as O
-from .rounds import dropped, settled
+from .rounds import settled
 
-# Centimetres within which coordinates are one line, and up to which a segment counts as straight.
-SNAP_CM, STRAIGHT_CM = 0.15, 0.001
-#: Height of a drawn row, and distance of a made outer line from its outermost node.
-ROW_CM, BEYOND_CM = 0.6, 1.0
-_NUMBER = r"(-?[0-9.]+)"
-_SEGMENT = rf"\\draw\s*(?:\[([^\]]*)\])?\s*\(\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\)\s*--\s*\(\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\)\s*;"
-_NODE = rf"^\s*(?:\[[^\]]*\])?\s*(?:at\s*)?\(\s*{_NUMBER}\s*,\s*{_NUMBER}\s*\)\s*"
+#: Fixed value: height of a drawn row in centimetres.
+ROW_CM = 0.6
 
 
 def drawn_code(cells: DataFrame, widths: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,89 +29,42 @@ def drawn_code(cells: DataFrame, widths: DataFrame, keys: list[str]) -> DataFram
 
     ``cells`` has (keys, row, col_start, grid_span, row_span, text, pt), merged cells once; ``widths`` has (keys, col, width_cm).
     Cells meet the places of all columns of their key at once, and lines are written only where a key's cells have come together.
+    Places are written as text once for each cell and column, not once for each side.
     """
     w = O.ordered(keys, "col")
     right = F.sum("width_cm").over(O.up_to_here(w))
-    places = widths.filter("col is not null").select(*keys, F.col("col").cast("long").alias("__quire_col"), F.struct((right - F.col("width_cm")).alias("x0"), right.alias("x1")).alias("__quire_at"))
+    cm = lambda c: F.format_string("%.3f", c)
+    places = widths.filter("col is not null").select(*keys, F.col("col").cast("long").alias("__quire_col"), (right - F.col("width_cm")).alias("x0"), right.alias("x1"))
+    places = places.select(*keys, "__quire_col", F.struct("x0", "x1", cm(F.col("x0")).alias("left"), cm(F.col("x1")).alias("right")).alias("__quire_at"))
     places = places.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__quire_col", "__quire_at"))).alias("__quire_places"))
-    cell = F.struct("row", "col_start", "grid_span", "row_span", "pt", latex.escape(F.col("text")).alias("text"))
-    made = cells.select(*keys, cell.alias("__quire_cell")).groupBy(*keys).agg(F.array_sort(F.collect_list("__quire_cell")).alias("__quire_all")).join(places, keys)
-    at = lambda col, side: F.try_element_at("__quire_places", col.cast("long"))[side]
-    placed = F.transform("__quire_all", lambda c: F.struct(c.alias("c"), at(c["col_start"], "x0").alias("x0"), at(c["col_start"] + c["grid_span"] - 1, "x1").alias("x1")))
-    made = made.withColumn("__quire_all", F.filter(placed, lambda p: p["x0"].isNotNull() & p["x1"].isNotNull())).filter(F.size("__quire_all") > 0)
-    line = lambda pt, a, b, c, d: F.format_string("\\draw[line width=%.1fpt] (%.3f,%.3f) -- (%.3f,%.3f);", pt, a, b, c, d)
+    y0, y1 = F.col("row") * F.lit(-ROW_CM), (F.col("row") + F.col("row_span")) * F.lit(-ROW_CM)
+    written = cells.select(
+        *keys, "row", "col_start", "grid_span", "row_span", "pt", cm(y0).alias("__quire_upper"), cm(y1).alias("__quire_lower"), F.format_string("\\draw[line width=%.1fpt] (", F.col("pt")).alias("draw"),
+        F.concat(F.lit(","), cm((y0 + y1) / 2), F.lit(") {"), latex.escape(F.col("text")), F.lit("};")).alias("node"),
+    )
+    # What comes behind a place of x in a line: a place of y, and the rest of the code up to the next place, or to the end.
+    ends = [F.concat(F.lit(","), f"__quire_{n}", F.lit(rest)).alias(f"{n}_{kind}") for n in ("upper", "lower") for kind, rest in (("turn", ") -- ("), ("stop", ");"))]
+    cell = F.struct("row", "col_start", "grid_span", "row_span", "pt", "node", "draw", *ends)
+    made = written.select(*keys, cell.alias("__quire_cell")).groupBy(*keys).agg(F.array_sort(F.collect_list("__quire_cell")).alias("__quire_all")).join(places, keys)
+    at = lambda col: F.try_element_at("__quire_places", col.cast("long"))
+    placed = F.transform("__quire_all", lambda c: F.struct(c.alias("c"), at(c["col_start"]).alias("a"), at(c["col_start"] + c["grid_span"] - 1).alias("b")))
+    made = made.withColumn("__quire_all", F.filter(placed, lambda p: p["a"]["x0"].isNotNull() & p["b"]["x1"].isNotNull())).filter(F.size("__quire_all") > 0)
 
     def sides(p: Column) -> Column:
-        x0, x1, y0, y1 = p["x0"], p["x1"], p["c"]["row"] * F.lit(-ROW_CM), (p["c"]["row"] + p["c"]["row_span"]) * F.lit(-ROW_CM)
-        return F.array(*[line(p["c"]["pt"], *ends) for ends in ((x0, y0, x1, y0), (x0, y1, x1, y1), (x0, y0, x0, y1), (x1, y0, x1, y1))])
-
-    def node(p: Column) -> Column:
-        y0, y1 = p["c"]["row"] * F.lit(-ROW_CM), (p["c"]["row"] + p["c"]["row_span"]) * F.lit(-ROW_CM)
-        return F.format_string("\\node[align=center] at (%.3f,%.3f) {%s};", (p["x0"] + p["x1"]) / 2, (y0 + y1) / 2, p["c"]["text"])
+        left, right = p["a"]["left"], p["b"]["right"]
+        line = lambda x0, begin, x1, end: F.concat(p["c"]["draw"], x0, p["c"][f"{begin}_turn"], x1, p["c"][f"{end}_stop"])
+        return F.array(line(left, "upper", right, "upper"), line(left, "lower", right, "lower"), line(left, "upper", left, "lower"), line(right, "upper", right, "lower"))
 
+    node = lambda p: F.concat(F.lit("\\node[align=center] at ("), cm((p["a"]["x0"] + p["b"]["x1"]) / 2), p["c"]["node"])
     lines = F.array_distinct(F.flatten(F.transform("__quire_all", sides)))
     code = F.concat(F.lit("\\begin{tikzpicture}\n"), F.array_join(F.concat(lines, F.transform("__quire_all", node)), "\n"), F.lit("\n\\end{tikzpicture}"))
     return made.select(*keys, code.alias("code"))
 
 
-def segments(code: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, seg, axis, at, lo, hi, pt) of the straight lines of ``code``: a horizontal one is ``at`` a place of axis y, which points down."""
-    groups = {n: F.regexp_extract_all("code", F.lit(_SEGMENT), F.lit(k)) for k, n in enumerate(("attrs", "x1", "y1", "x2", "y2"), 1)}
-    found = code.select(*keys, F.posexplode(F.arrays_zip(*[g.alias(n) for n, g in groups.items()])).alias("seg", "s"))
-    number = lambda n: F.col(f"s.{n}").try_cast("double")
-    pt = F.coalesce(F.regexp_extract("s.attrs", r"line width=([0-9.]+)pt", 1).try_cast("double"), F.lit(0.4))
-    x1, y1, x2, y2 = number("x1"), -number("y1"), number("x2"), -number("y2")
-    axis = F.when(F.abs(y1 - y2) < STRAIGHT_CM, "y").when(F.abs(x1 - x2) < STRAIGHT_CM, "x")
-    flat = axis == "y"
-    ends = [F.when(flat, x1).otherwise(y1), F.when(flat, x2).otherwise(y2)]
-    return found.select(*keys, "seg", axis.alias("axis"), F.when(flat, y1).otherwise(x1).alias("at"), F.least(*ends).alias("lo"), F.greatest(*ends).alias("hi"), pt.alias("pt")).filter("axis is not null")
-
-
-def nodes(code: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, x, y, text) of the nodes of ``code``, whatever braces their texts hold."""
-    parts = code.select(*keys, F.posexplode(F.slice(F.split("code", r"\\node(?![A-Za-z])"), 2, 1 << 30)).alias("node", "part"))
-    head = F.regexp_extract("part", _NODE, 0)
-    value = lambda k: F.regexp_extract("part", _NODE, k).try_cast("double")
-    return parts.filter(head != "").select(*keys, "node", value(1).alias("x"), (-value(2)).alias("y"), F.coalesce(braces.group(F.col("part"), F.length(head) + 1), F.lit("")).alias("text"))
-
-
-def _snapped(points: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, axis, v): the first value of each cluster of values ``v``."""
-    w = O.ordered([*keys, "axis"], "v")
-    numbered = points.withColumn("__quire_cluster", O.island(F.col("v") - F.lag("v").over(w) >= SNAP_CM, w))
-    return numbered.groupBy(*keys, "axis", "__quire_cluster").agg(F.min("v").alias("v")).drop("__quire_cluster")
-
-
-def _told(found: DataFrame, drawn: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, axis, v): lines that nodes tell. Between neighbours in the fullest rows, and columns, that no drawn line parts; and beyond the outermost."""
-    by = {}
-    for axis, across in (("x", "y"), ("y", "x")):
-        w = O.ordered(keys, across)
-        rows = found.withColumn("__quire_group", O.island(F.col(across) - F.lag(across).over(w) >= SNAP_CM, w)).select(*keys, F.lit(axis).alias("axis"), "__quire_group", F.col(axis).alias("v"))
-        by[axis] = rows.withColumn("__quire_n", F.count("*").over(Window.partitionBy(*keys, "__quire_group")))
-    points = by["x"].unionByName(by["y"])
-    points = points.withColumn("__quire_full", F.col("__quire_n") == F.max("__quire_n").over(Window.partitionBy(*keys, "axis")))
-    lines = drawn.select(*keys, "axis", "v", F.col("v").alias("__quire_line"))
-    last = points.unionByName(lines, allowMissingColumns=True).withColumn("__quire_line", O.forward_fill(F.col("__quire_line"), O.ordered([*keys, "axis"], "v", F.col("__quire_group").asc_nulls_first())))
-    last = last.filter(F.col("__quire_group").isNotNull()).withColumn("__quire_before", F.lag("v").over(O.ordered([*keys, "axis", "__quire_group"], "v")))
-    alone = F.col("__quire_full") & (F.col("v") - F.col("__quire_before") >= SNAP_CM) & (F.coalesce("__quire_line", F.lit(float("-inf"))) <= F.col("__quire_before"))
-    middles = last.filter(alone).select(*keys, "axis", ((F.col("v") + F.col("__quire_before")) / 2).alias("v"))
-    bounds = points.groupBy(*keys, "axis").agg(F.min("v").alias("a"), F.max("v").alias("b")).join(drawn.groupBy(*keys, "axis").agg(F.min("v").alias("lo"), F.max("v").alias("hi")), [*keys, "axis"], "left")
-    before, after = F.col("lo").isNull() | (F.col("lo") > F.col("a")), F.col("hi").isNull() | (F.col("hi") < F.col("b"))
-    outer = bounds.select(*keys, "axis", F.explode(F.array_compact(F.array(F.when(before, F.col("a") - BEYOND_CM), F.when(after, F.col("b") + BEYOND_CM)))).alias("v"))
-    return _snapped(middles, keys).unionByName(outer)
-
-
-def _located(points: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:
-    """``points`` (keys, axis, v, ...) with ``line``, the number of the last line at or before them."""
-    # Dealt by the key alone, so what groups by more than it afterwards needs no other shuffle.
-    both = points.withColumn("__quire_point", F.lit(1)).unionByName(lines.select(*keys, "axis", "v", "line"), allowMissingColumns=True).repartition(*keys)
-    filled = both.withColumn("line", O.forward_fill(F.col("line"), O.ordered([*keys, "axis"], "v", F.col("__quire_point").asc_nulls_first())))
-    return filled.filter(F.col("__quire_point").isNotNull()).drop("__quire_point")
-
-
-def _edge(name: str) -> Column:
-    return F.col(f"__quire_{name}")
+_CELL = {"row": pa.int32(), "col_start": pa.int32(), "grid_span": pa.int32(), "v_merge": pa.string(), "row_span": pa.int32(), "text": pa.string(), "top_pt": pa.float64(), "bottom_pt": pa.float64(), "left_pt": pa.float64(), "right_pt": pa.float64()}
+_KINDS = {pa.int32(): "int", pa.string(): "string", pa.float64(): "double"}
+#: Cells that are given on at once, at most.
+_BATCH = 10_000
 
 
 def drawn_cells(code: DataFrame, keys: list[str]) -> DataFrame:
@@ -120,56 +72,20 @@ def drawn_cells(code: DataFrame, keys: list[str]) -> DataFrame:
 
     ``v_merge`` is ``restart`` at the first row of a cell over several and ``continue`` below, where the text is empty. A side has a
     width if all of it is drawn, the largest of its parts. Several nodes of a cell are joined by spaces, from the top and the left.
-    A picture without nodes is no table.
+    A picture without nodes is no table. A row of ``code`` is a picture, whose cells come in no order; rows without a key give none.
     """
-    code = settled(code.select(*keys, "code").dropna(subset=keys), "drawn-code")
-    found = settled(nodes(code, keys), "drawn-nodes")
-    segs = settled(segments(code, keys).join(found.select(*keys).distinct(), keys, "left_semi"), "drawn-segments")
-    dropped(code)
-    other = F.when(F.col("axis") == "x", "y").otherwise("x")
-    points = F.explode(F.array(F.struct(F.lit("at").alias("role"), F.col("axis").alias("axis"), F.col("at").alias("v")), *[F.struct(F.lit(r).alias("role"), other.alias("axis"), F.col(r).alias("v")) for r in ("lo", "hi")]))
-    ends = segs.select(*keys, "seg", F.col("axis").alias("__quire_axis"), "pt", points.alias("p")).select(*keys, "seg", "__quire_axis", "pt", "p.role", "p.axis", "p.v")
-    drawn = settled(_snapped(ends.select(*keys, "axis", "v").distinct(), keys), "drawn-lines")
-    lines = drawn.withColumn("drawn", F.lit(True)).unionByName(_told(found, drawn, keys).withColumn("drawn", F.lit(False)))
-    lines = settled(lines.withColumn("line", F.row_number().over(O.ordered([*keys, "axis"], "v")) - 1), "drawn-grid")
-
-    spans = _located(ends, lines, keys).groupBy(*keys, "seg").agg(F.max("__quire_axis").alias("axis"), F.max("pt").alias("pt"), *[F.max(F.when(F.col("role") == r, F.col("line"))).alias(r) for r in ("at", "lo", "hi")]).filter(F.col("hi") > F.col("lo"))
-    edges = spans.select(*keys, "axis", F.col("at").alias("line"), F.explode(F.sequence("lo", F.col("hi") - 1)).alias("unit"), "pt").groupBy(*keys, "axis", "line", "unit").agg(F.max("pt").alias("pt"))
-
-    seen = found.select(*keys, "node", "x", "y", "text", F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("x").alias("v")), F.struct(F.lit("y").alias("axis"), F.col("y").alias("v")))).alias("p")).select(*keys, "node", "x", "y", "text", "p.axis", "p.v")
-    homes = _located(seen, lines, keys).groupBy(*keys, "node", "x", "y", "text").agg(F.max(F.when(F.col("axis") == "y", F.col("line"))).alias("row"), F.max(F.when(F.col("axis") == "x", F.col("line"))).alias("col"))
-    texts = homes.select(*keys, "row", "col", F.struct("y", "x", "node", "text").alias("__quire_text"))
-
-    # Unit cells, their sides and their texts meet by one grouping, dealt by the key alone as all that follows.
-    along_axis = lambda a: F.array_sort(F.collect_list(F.when(F.col("axis") == a, F.struct("line", "drawn"))))
-    sizes = lines.groupBy(*keys).agg(along_axis("y").alias("__quire_ys"), along_axis("x").alias("__quire_xs")).filter("size(__quire_ys) > 1 and size(__quire_xs) > 1")
-    units = sizes.select(*keys, "__quire_xs", F.explode(F.slice("__quire_ys", F.lit(1), F.size("__quire_ys") - 1)).alias("__quire_y")).select(*keys, "__quire_y", F.explode(F.slice("__quire_xs", F.lit(1), F.size("__quire_xs") - 1)).alias("__quire_x"))
-    units = units.select(*keys, F.col("__quire_y.line").alias("row"), F.col("__quire_x.line").alias("col"), F.col("__quire_y.drawn").alias("__quire_real_top"), F.col("__quire_x.drawn").alias("__quire_real_left"))
-    names = ("top", "bottom", "left", "right")
-    side = lambda row, col, name: F.struct(row.alias("row"), col.alias("col"), *[(F.col("pt") if n == name else F.lit(None).cast("double")).alias(f"__quire_{n}") for n in names])
-    line, unit = F.col("line"), F.col("unit")
-    both = F.when(F.col("axis") == "y", F.array(side(line, unit, "top"), side(line - 1, unit, "bottom"))).otherwise(F.array(side(unit, line, "left"), side(unit, line - 1, "right")))
-    sides = edges.select(*keys, F.inline(both))
-    units = units.unionByName(sides, allowMissingColumns=True).unionByName(texts, allowMissingColumns=True).repartition(*keys)
-    units = units.groupBy(*keys, "row", "col").agg(*[F.max(_edge(n)).alias(f"__quire_{n}") for n in (*names, "real_top", "real_left")], F.collect_list("__quire_text").alias("__quire_texts")).filter(_edge("real_top").isNotNull())
-
-    along = O.ordered([*keys, "row"], "col")
-    units = units.withColumn("__quire_run", O.island(_edge("left").isNotNull() | ~_edge("real_left") | (F.col("col") == 0), along))
-    whole = lambda name: F.when(F.count(_edge(name)) == F.count("*"), F.max(_edge(name)))
-    end = lambda pick, name: F.expr(f"{pick}(__quire_{name}, col)")
-    runs = units.groupBy(*keys, "row", "__quire_run").agg(
-        F.min("col").alias("col_start"), F.count("*").cast("int").alias("grid_span"), F.max(F.coalesce(_edge("top").isNotNull() | ~_edge("real_top"), F.lit(False))).alias("__quire_apart"),
-        F.flatten(F.collect_list("__quire_texts")).alias("__quire_texts"), whole("top").alias("top_pt"), whole("bottom").alias("bottom_pt"), end("min_by", "left").alias("left_pt"), end("max_by", "right").alias("right_pt"),
-    )
-    down = O.ordered([*keys, "col_start", "grid_span"], "row")
-    runs = runs.withColumn("__quire_block", O.island(F.col("__quire_apart") | (F.coalesce(F.col("row") - F.lag("row").over(down), F.lit(0)) != 1), down))
-    block = Window.partitionBy(*keys, "col_start", "grid_span", "__quire_block")
-    rows, first = F.count("*").over(block).cast("int"), F.min("row").over(block)
-    texts = F.transform(F.array_sort(F.flatten(F.collect_list("__quire_texts").over(block))), lambda t: t["text"])
-    return runs.select(
-        *keys, "row", "col_start", "grid_span", F.when(rows == 1, None).when(F.col("row") == first, "restart").otherwise("continue").alias("v_merge"), rows.alias("row_span"),
-        F.when(F.col("row") == first, F.array_join(texts, " ")).otherwise("").alias("text"), "top_pt", "bottom_pt", "left_pt", "right_pt",
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = ((k, *cell) for k, text in enumerate(batch.column(len(keys))) for cell in tikz.cells(text.as_py() or ""))
+            while some := list(islice(found, _BATCH)):
+                at, *columns = zip(*some)
+                own = [batch.column(n).take(pa.array(at, pa.int32())) for n in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*own, *map(pa.array, columns, _CELL.values())], [*keys, *_CELL])
+
+    own = code.select(*keys, "code").dropna(subset=keys)
+    kinds = dict(own.dtypes)
+    return own.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), *(f"{n} {_KINDS[t]}" for n, t in _CELL.items())]))
 
 
 def tables_of_tex(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -182,6 +98,6 @@ def tables_of_tex(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
     pictures = settled(tex.scan(docs, tex.tikz_tables, text, key).select(key, F.col("ord").alias("table_ord"), F.col("body").alias("code")), "tikz-tables")
     described = F.col("code").contains("% table-meta: ")
     told = tex.cells_of_code(pictures.filter(described), [key, "table_ord"]).withColumn("v_merge", F.lit(None).cast("string"))
-    seen = drawn_cells(pictures.filter(~described), [key, "table_ord"]).withColumn("text", braces.cell(F.col("text"))["text"])
+    seen = drawn_cells(pictures.filter(~described), [key, "table_ord"]).withColumn("text", braces.cell_text(F.col("text")))
     tikz = told.select(key, "table_ord", *shape).unionByName(seen.select(key, "table_ord", *shape))
     return tabular.unionByName(tikz.select(key, F.lit("tikz").alias("kind"), "table_ord", *shape))

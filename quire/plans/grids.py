@@ -124,10 +124,10 @@ def x6_k4(spark, sf):
     """
     c = _cells(spark, sf)
     once = c.filter("row = first").withColumn("row_span", F.col("rows")).withColumn("pt", F.lit(0.4) + F.col("l_orderkey") % 3 * F.lit(0.4))
-    widths = c.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("col")).withColumn("width_cm", F.lit(1.3) + F.col("l_orderkey") % 7 * 0.31 + F.col("col") * 0.17)
+    widths = table(spark, sf, "lineitem").select("l_orderkey").distinct().select("l_orderkey", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("col")).withColumn("width_cm", F.lit(1.3) + F.col("l_orderkey") % 7 * 0.31 + F.col("col") * 0.17)
     back = G.drawn_cells(G.drawn_code(once, widths, ["l_orderkey"]), ["l_orderkey"])
     pts = [F.round(p, 6).alias(p) for p in ("top_pt", "bottom_pt", "left_pt", "right_pt")]
-    return back.select("l_orderkey", "row", "col_start", "grid_span", "v_merge", "row_span", braces.cell(F.col("text"))["text"].alias("text"), *pts)
+    return back.select("l_orderkey", "row", "col_start", "grid_span", "v_merge", "row_span", braces.cell_text(F.col("text")).alias("text"), *pts)
 
 
 _SOURCE = (

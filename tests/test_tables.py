@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quire.functions import braces, fixes
+from quire.functions import braces, fixes, latex
 from quire.operators import grids, rounds
 from quire.sources import tex
 
@@ -147,6 +147,42 @@ def test_a_drawing_leaves_no_code_and_no_units_behind(spark):
     assert not {"drawn-code", "drawn-units", "drawn-edges"} & set(kept), kept
 
 
+def test_drawings_are_read_where_they_stand(spark):
+    """Random tables with cells over rows and columns, drawn and read back, without a shuffle or a folder of tables in between."""
+    rng, cells, want = random.Random(3), [], []
+    for key in range(60):
+        rows, columns, taken = rng.randint(1, 6), rng.randint(1, 6), set()
+        for row in range(rows):
+            for col in range(columns):
+                if (row, col) in taken:
+                    continue
+                # The first row and column hold single cells, so that every line is drawn somewhere.
+                tall, wide = (rng.randint(1, rows - row), rng.randint(1, columns - col)) if row and col else (1, 1)
+                while any((row, col + k) in taken for k in range(wide)):
+                    wide -= 1
+                taken |= {(row + r, col + c) for r in range(tall) for c in range(wide)}
+                text, pt = rng.choice(["", f"a{{{row}}} & {col}%", "s_1 \\node", f"{key}"]), 0.4 + 0.4 * (key % 3)
+                cells.append((key, row, col, wide, tall, text, pt))
+                want += [(key, row + r, col, wide, None if tall == 1 else "continue" if r else "restart", tall, "" if r else text, pt if r == 0 else None, pt if r == tall - 1 else None, pt, pt) for r in range(tall)]
+    drawing = spark.createDataFrame(cells, "k int, row int, col_start int, grid_span int, row_span int, text string, pt double")
+    widths = drawing.selectExpr("k", "explode(sequence(0, 5)) as col").distinct().withColumn("width_cm", F.lit(1.3))
+    code = grids.drawn_code(drawing, widths, ["k"]).localCheckpoint()
+    before = set(rounds._FOLDERS)
+    back = grids.drawn_cells(code, ["k"])
+    assert set(rounds._FOLDERS) == before and "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+    got = back.withColumn("text", F.replace(F.replace(F.col("text"), F.lit("\\textbackslash{}"), F.lit("~")), F.lit("\\"), F.lit(""))).withColumn("text", F.replace("text", F.lit("~"), F.lit("\\")))
+    assert sorted(map(str, map(tuple, got.withColumns({c: F.round(c, 6) for c in back.columns[-4:]}).collect()))) == sorted(str((*w[:7], *[p and round(p, 6) for p in w[7:]])) for w in want)
+
+
+def test_texts_of_cells_at_once_and_by_marks(spark):
+    rng = random.Random(8)
+    bits = ["a", " ", "{", "}", "\\", "\\%", "\\\\", "$_{2}$", "$", "\\emph{x}", "\n", "\\\n", "é", "\U0001f600", "\\\U0001f600", "\\@", "*", "~", "^", "#", "&"]
+    texts = [None, "", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 7))) for _ in range(3000))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.filter(~braces.cell_text(F.col("t")).eqNullSafe(braces._cell_marks(F.col("t")))).count() == 0
+    assert df.filter(~latex.escape(F.col("t")).eqNullSafe(latex._escape_runs(F.coalesce("t", F.lit(""))))).count() == 0
+
+
 def test_column_formats_cut_at_once_and_by_the_fold(spark):
     """Formats whose groups close are cut into columns at once; the result is the fold's, which reads any format."""
     rng = random.Random(5)
